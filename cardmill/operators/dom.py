@@ -16,7 +16,7 @@ hides with a plain ``.class {display:none}`` rule, or a tag that is never drawn.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -251,7 +251,7 @@ def _flatten(html: str, path_attrs: set[str] | None, columns: Sequence[str]) ->
 def flatten_dom(
     pages: DataFrame,
     columns: Sequence[str] | None = None,
-    path_attrs: Sequence[str] | None = None,
+    path_attrs: Iterable[str] | None = None,
     carry: Sequence[str] = ("page_id",),
 ) -> DataFrame:
     """One row per element of every page: the ``carry`` columns of the page and the wanted node columns.

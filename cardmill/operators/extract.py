@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardmill import fixed
 from cardmill.functions.urls import absolute_url, fill_template
-from cardmill.operators.selectors import compile_selectors, first_candidates, match_selectors
+from cardmill.operators.selectors import Specs, first_candidates, match_selectors
 from cardmill.session import bounded, materialize
 
 # Node columns that extraction reads.
@@ -36,7 +36,7 @@ def field_specs(sites: DataFrame) -> DataFrame:
     )
 
 
-def extraction_specs(sites: DataFrame) -> DataFrame:
+def extraction_specs(sites: DataFrame) -> Specs:
     """All compiled selectors of the sites, with the ``kind`` of use: card, self, inner or closest.
 
     A field that reads the card itself becomes a 'self' row per card candidate.
@@ -53,18 +53,18 @@ def extraction_specs(sites: DataFrame) -> DataFrame:
             allowMissingColumns=True,
         )
     )
-    return bounded(compile_selectors(wanted))
+    return Specs.of(wanted)
 
 
 def find_cards(nodes: DataFrame, sites: DataFrame) -> DataFrame:
     """Elements matched by the winning card candidate of each page, hidden ones included."""
-    return first_candidates(match_selectors(nodes, bounded(compile_selectors(card_specs(sites)))))
+    return first_candidates(match_selectors(nodes, Specs.of(card_specs(sites))))
 
 
 def count_cards(nodes: DataFrame, sites: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Matched cards per page; pages without a match count 0 when ``pages`` is given."""
     counts = (
-        match_selectors(nodes, bounded(compile_selectors(card_specs(sites))))
+        match_selectors(nodes, Specs.of(card_specs(sites)))
         .groupBy("page_id", "rank")
         .agg(F.count("*").alias("n"))
         .groupBy("page_id")
@@ -85,7 +85,7 @@ def read_value(attr: Column) -> Column:
     )
 
 
-def extract_cards(nodes: DataFrame, sites: DataFrame) -> DataFrame:
+def extract_cards(nodes: DataFrame, sites: DataFrame, specs: Specs | None = None) -> DataFrame:
     """Raw job rows: page_id, slug, pos (card id), the eight job fields and ``extras``.
 
     For each card and field the first selector that matches inside the card wins, then the first
@@ -95,8 +95,8 @@ def extract_cards(nodes: DataFrame, sites: DataFrame) -> DataFrame:
     One pass over the elements keeps the matched ones, which are written to the work folder. Only they
     are shuffled, on (page_id, card id), so a page with very many elements spreads over many tasks.
     """
-    specs = extraction_specs(sites)
-    kinds = {r.kind for r in specs.select("kind").distinct().collect()}
+    sites = bounded(sites)
+    specs = specs or extraction_specs(sites)
     value = F.when(F.col("kind") != "card", read_value(F.col("attr")))
     matches = materialize(
         match_selectors(nodes, specs).select(
@@ -120,12 +120,12 @@ def extract_cards(nodes: DataFrame, sites: DataFrame) -> DataFrame:
         .withColumn("at", F.col("node_id"))
         .select(*found)
     )
-    if "closest" in kinds:
+    if specs.may_have("closest"):
         lines = F.explode(F.array_append("anc", F.col("node_id")))
         card_lines = cards.select("page_id", F.col("node_id").alias("card_id"), lines.alias("node_id"))
         above = matches.filter("kind = 'closest' and scope_pattern is null").join(card_lines, ["page_id", "node_id"])
         hits = hits.unionByName(above.withColumn("at", -F.col("node_id")).select(*found))
-    if "self" in kinds:
+    if specs.may_have("self"):
         itself = matches.filter("kind = 'self'").join(cards.select("page_id", "node_id", "rank"), ["page_id", "node_id", "rank"])
         hits = hits.unionByName(itself.withColumns({"card_id": F.col("node_id"), "at": F.lit(0)}).select(*found))
 
@@ -155,9 +155,9 @@ def _job_columns(rows: DataFrame) -> DataFrame:
 
 def apply_url_fallback(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """Add ``_link``, the site's link template filled from the ``row`` map, for rows without their own link."""
-    templates = sites.select("slug", F.col("dom.apply_url_template").alias("_template"))
+    templates = bounded(sites).select("slug", F.col("dom.apply_url_template").alias("_template"))
     return (
-        rows.join(bounded(templates), "slug", "left")
+        rows.join(templates, "slug", "left")
         .withColumn("_link", fill_template(F.col("_template"), F.col("row")))
         .drop("_template")
     )

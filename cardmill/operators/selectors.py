@@ -8,19 +8,18 @@ Supported: tag, ``*``, ``.class``, ``#id``, ``[attr]``, ``[attr="v"]``, ``:nth-o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardmill.functions.elements import control_disabled
 from cardmill.operators.dom import ATOM, SEGMENT
-from cardmill.session import bounded
-
-COMPILED_FIELDS = ["tag", "pattern", "scope_pattern", "text"]
-COMPILED = T.StructType([T.StructField(f, T.StringType()) for f in COMPILED_FIELDS])
+from cardmill.session import local_table, small_rows
 
 _NAME = r"(?:[\w-]|[^\x00-\x7F]|\\[0-9a-fA-F]{1,6}\s?|\\[^0-9a-fA-F\n])+"
 _TOKEN = re.compile(
@@ -99,42 +98,71 @@ def compile_selector(selector: str | None) -> dict | None:
     }
 
 
-@F.pandas_udf(COMPILED)
-def _compile(selectors: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    empty = dict.fromkeys(COMPILED_FIELDS)
-    for batch in selectors:
-        yield pd.DataFrame([compile_selector(s) or empty for s in batch], columns=COMPILED_FIELDS)
+COMPILED = {"tag": "spec_tag", "pattern": "pattern", "scope_pattern": "scope_pattern", "text": "spec_text"}
+
+
+def compiled_schema(specs: DataFrame) -> T.StructType:
+    return T.StructType([*specs.schema.fields, *[T.StructField(c, T.StringType()) for c in COMPILED.values()]])
+
+
+def compile_rows(rows: Iterable[dict]) -> Iterator[dict]:
+    """Rows with a valid ``selector``, with its compiled parts added."""
+    for row in rows:
+        compiled = compile_selector(row["selector"])
+        if compiled:
+            yield row | {COMPILED[k]: v for k, v in compiled.items()}
 
 
 def compile_selectors(specs: DataFrame) -> DataFrame:
-    """Add tag, pattern, scope_pattern and text for the ``selector`` column; invalid selectors are dropped."""
-    compiled = specs.withColumn("_c", _compile("selector"))
-    return compiled.select(
-        *specs.columns,
-        F.col("_c.tag").alias("spec_tag"),
-        F.col("_c.pattern").alias("pattern"),
-        F.col("_c.scope_pattern").alias("scope_pattern"),
-        F.col("_c.text").alias("spec_text"),
-    ).filter(F.col("pattern").isNotNull())
-
-
-def selector_attrs(specs: DataFrame, max_names: int = 200) -> list[str] | None:
-    """Attribute names that the selectors mention, for ``flatten_dom(path_attrs=…)``; None when they are many."""
-    names = specs.select(
-        F.explode(F.regexp_extract_all("selector", F.lit(r"\[\s*([\w-]+)"), F.lit(1))).alias("name")
-    ).distinct()
-    found = [r.name for r in names.limit(max_names + 1).collect()]
-    return sorted(found) if len(found) <= max_names else None
-
-
-def match_selectors(nodes: DataFrame, specs: DataFrame, on: Sequence[str] = ("slug",)) -> DataFrame:
+    """Add spec_tag, pattern, scope_pattern and spec_text for ``selector``; invalid selectors are dropped."""
+    schema = compiled_schema(specs)
+    arrow = to_arrow_schema(schema)
+
+    def compile_batches(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist(list(compile_rows(batch.to_pylist())), schema=arrow)
+
+    return specs.mapInArrow(compile_batches, schema)
+
+
+@dataclass(frozen=True)
+class Specs:
+    """Compiled selectors of all sites, and what a plan may know about them in advance."""
+
+    table: DataFrame
+    kinds: set[str] | None = None  # values of ``kind`` that occur, None when unknown
+    attrs: set[str] | None = None  # attribute names the selectors mention, None when unknown
+
+    @staticmethod
+    def of(specs: DataFrame) -> Specs:
+        """Compile selectors; a small table is evaluated here, a large one stays distributed."""
+        found = small_rows(specs)
+        if found is None:
+            return Specs(compile_selectors(specs))
+        rows = list(compile_rows(r.asDict() for r in found))
+        names = {name.lower() for r in rows for name in re.findall(r"\[\s*([\w-]+)", r["selector"])}
+        kinds = {r.get("kind") for r in rows} if "kind" in specs.columns else None
+        return Specs(local_table(specs.sparkSession, rows, compiled_schema(specs)), kinds, names)
+
+    def may_have(self, kind: str) -> bool:
+        return self.kinds is None or kind in self.kinds
+
+
+def mentioned_attrs(*specs: Specs) -> set[str] | None:
+    """Attributes that any of the selectors mention, for ``flatten_dom(path_attrs=…)``."""
+    if any(s.attrs is None for s in specs):
+        return None
+    return set().union(*[s.attrs for s in specs])
+
+
+def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",)) -> DataFrame:
     """Every (element, selector) match: the node columns plus those of the compiled ``specs``.
 
-    The specs of all sites are a small table (see ``bounded``), so that matching is one pass over the
-    elements without a shuffle.
+    The specs of all sites are a small broadcast table, so that matching is one pass over the elements
+    without a shuffle. If they are too many for that, Spark shuffles both sides by site.
     """
     same_tag = (F.col("spec_tag") == F.col("tag")) | (F.col("spec_tag") == "*")
-    joined = nodes.join(specs, list(on)).filter(same_tag).filter(F.rlike("path", F.col("pattern")))
+    joined = nodes.join(specs.table, list(on)).filter(same_tag).filter(F.rlike("path", F.col("pattern")))
     if "text" in nodes.columns:
         own = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
         joined = joined.filter(F.col("spec_text").isNull() | (own == F.col("spec_text")))
@@ -151,18 +179,17 @@ def first_candidates(
     return matches.join(winners, [*by, rank])
 
 
-def control_specs(sites: DataFrame) -> DataFrame:
+def control_specs(sites: DataFrame) -> Specs:
     """Compiled selectors (slug, page_no, rank) of the control that leads from a page to the next one."""
     p = F.col("pagination")
     pages = F.explode(F.sequence(F.lit(1), F.greatest(p.max_pages, F.lit(1)))).alias("page_no")
     numbered = F.replace(p.page_number_template, F.lit("{page}"), (F.col("page_no") + 1).cast("string"))
     listed = sites.filter(p.type.isin("next", "load_more", "page_number")).select("slug", "pagination", pages)
     selectors = F.when(p.type == "page_number", F.array_compact(F.array(numbered))).otherwise(p.control.candidates)
-    specs = listed.select("slug", "page_no", F.posexplode(selectors).alias("rank", "selector"))
-    return bounded(compile_selectors(specs))
+    return Specs.of(listed.select("slug", "page_no", F.posexplode(selectors).alias("rank", "selector")))
 
 
-def next_control(nodes: DataFrame, specs: DataFrame) -> DataFrame:
+def next_control(nodes: DataFrame, specs: Specs) -> DataFrame:
     """The usable next-page control of each page: (page_id, node_id). Pages without one are absent.
 
     Only the first element of the first matching candidate counts; it must be visible and enabled.
@@ -173,13 +200,13 @@ def next_control(nodes: DataFrame, specs: DataFrame) -> DataFrame:
     return first.filter("_first.usable").select("page_id", F.col("_first.node_id").alias("node_id"))
 
 
-def selector_report(nodes: DataFrame, pages: DataFrame, specs: DataFrame, max_selectors: int = 4) -> DataFrame:
+def selector_report(nodes: DataFrame, pages: DataFrame, specs: Specs, max_selectors: int = 4) -> DataFrame:
     """Why a control was not found: per page, what each of the first selectors matches, as one text.
 
     ``pages`` has the (page_id, slug, page_no) to report on, also those without any match.
     """
     on = ["slug", "page_no"]
-    few = specs.filter(F.col("rank") < max_selectors)
+    few = replace(specs, table=specs.table.filter(F.col("rank") < max_selectors))
     stats = (
         match_selectors(nodes, few, on)
         .groupBy("page_id", "rank")
@@ -190,7 +217,7 @@ def selector_report(nodes: DataFrame, pages: DataFrame, specs: DataFrame, max_se
             ).alias("first"),
         )
     )
-    asked = pages.select("page_id", *on).join(few.select(*on, "rank", "selector"), on, "left")
+    asked = pages.select("page_id", *on).join(few.table.select(*on, "rank", "selector"), on, "left")
     rows = asked.join(stats, ["page_id", "rank"], "left")
     n = F.coalesce("n", F.lit(0))
     detail = F.concat(

@@ -20,7 +20,7 @@ from cardmill.operators.jobs import (
     rank_jobs,
     within_cutoff,
 )
-from cardmill.operators.selectors import control_specs, has_next, next_control, selector_attrs
+from cardmill.operators.selectors import control_specs, has_next, mentioned_attrs, next_control
 from cardmill.session import bounded, materialize
 
 JOB_ORDER = ["slug", "page_no", "pos"]
@@ -38,10 +38,9 @@ class Run:
 def extract_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """Raw job rows of pages (page_id, url, html, slug), reading only the attributes that selectors name."""
     sites = bounded(sites)
-    nodes = flatten_dom(
-        pages, CARD_NODE_COLUMNS, selector_attrs(extraction_specs(sites)), carry=["page_id", "url", "slug"]
-    )
-    return extract_cards(nodes, sites)
+    specs = extraction_specs(sites)
+    nodes = flatten_dom(pages, CARD_NODE_COLUMNS, mentioned_attrs(specs), carry=["page_id", "url", "slug"])
+    return extract_cards(nodes, sites, specs)
 
 
 def rank(raw: DataFrame, order: list[str] = JOB_ORDER, min_score: int | None = fixed.MIN_SCORE) -> DataFrame:
@@ -63,19 +62,21 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
     visits = materialize(visits)
     blocked = visits.filter("page_no = 1 and block_reason is not null").select("slug").distinct()
     open_pages = pages.join(blocked, "slug", "left_anti")
-    specs = control_specs(sites)
-    attrs = selector_attrs(
-        extraction_specs(sites).select("selector").unionByName(specs.select("selector"))
-    )
+    controls, fields = control_specs(sites), extraction_specs(sites)
     nodes = materialize(
-        flatten_dom(open_pages, [*CARD_NODE_COLUMNS, "classes"], attrs, carry=["page_id", "url", "slug", "page_no"])
+        flatten_dom(
+            open_pages,
+            [*CARD_NODE_COLUMNS, "classes"],
+            mentioned_attrs(controls, fields),
+            carry=["page_id", "url", "slug", "page_no"],
+        )
     )
 
-    jobs = extract_cards(nodes, sites).join(visits.select("page_id", "page_no"), "page_id")
+    jobs = extract_cards(nodes, sites, fields).join(visits.select("page_id", "page_no"), "page_id")
     first_seen = materialize(harvest_first_seen(jobs))
     p = F.col("pagination")
     reachable = p.type.isin("next", "page_number")
-    steps = has_next(visits, next_control(nodes, specs), F.when(reachable, p.url_template))
+    steps = has_next(visits, next_control(nodes, controls), F.when(reachable, p.url_template))
     limit = F.lit(max_pages) if max_pages else p.max_pages
     cutoff = pagination_cutoff(
         steps, first_seen, max_pages=limit, kind=p.type, can_continue=F.col("can_continue")

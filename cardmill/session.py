@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_ROWS = 50_000
 
 
 def local_session(app: str = "cardmill", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -76,6 +76,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list | None:
+    """The rows of a small table, None when there are more than ``max_rows``."""
+    rows = df.limit(max_rows + 1).coalesce(1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
 def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Evaluate a small table once, with a broadcast hint; a larger one is returned as it is.
 
@@ -83,7 +89,14 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     by reading at most ``max_rows + 1`` rows. A larger side stays distributed and unhinted, so that
     Spark shuffles it and splits skewed partitions.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if getattr(df, "_is_bounded", False):
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows))
+    rows = small_rows(df, max_rows)
+    return df if rows is None else local_table(df.sparkSession, rows, df.schema)
+
+
+def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A broadcast table from already read rows."""
+    table = F.broadcast(spark.createDataFrame(rows, schema).coalesce(1))
+    table._is_bounded = True
+    return table

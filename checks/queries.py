@@ -562,7 +562,7 @@ def match_selectors(spark, sf):
     wanted = ["nav > ul > li", "nav li:nth-of-type(2) > a", "div.ad", "article b", "a[href]", "div > a", '[href="/The"]',
               'a:text-is("The")']
     specs = spark.createDataFrame([("feed", i, s) for i, s in enumerate(wanted)], "slug string, rank int, selector string")
-    hits = selectors.match_selectors(nodes, selectors.compile_selectors(specs))
+    hits = selectors.match_selectors(nodes, selectors.Specs.of(specs))
     return hits.groupBy("page_id", "rank").agg(F.count("*").alias("n"))
 
 
