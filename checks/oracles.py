@@ -92,6 +92,12 @@ PAGE_ROOT = "regexp_extract(url, '^[a-z]+://[^/]*')"
 PAGE_PATH = "regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)"
 PAGE_QUERY = r"regexp_extract(url, '\?([^#]*)', 1)"
 
+TAGS = """
+    SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages
+"""
+SIGNATURE = "CASE WHEN tag = 'div' THEN 'div.ad' ELSE tag END"
+PLACE = "['Pune, India', 'Remote', 'Berlin, Germany'][c_nationkey % 3 + 1]"
+
 ORACLES = {
     "canonical_url": rf"""
         SELECT page_id, {PAGE_ROOT} || coalesce(nullif(regexp_replace({PAGE_PATH}, '/+$', ''), ''), '/') ||
@@ -313,4 +319,28 @@ ORACLES = {
     "scrape_pages": f"""
         SELECT page_id, title, apply_url, 0 AS score FROM ({CARDS})
         QUALIFY row_number() OVER (PARTITION BY lower(apply_url) ORDER BY page_id, card_no) = 1""",
+    "element_signature": f"SELECT page_id, {SIGNATURE} AS sig, count(*) AS n FROM ({TAGS}) GROUP BY 1, 2",
+    "shared_signatures": f"SELECT page_id, {SIGNATURE} AS shared_sig, count(*) AS n FROM ({TAGS}) GROUP BY 1, 2",
+    "path_selectors": f"""
+        SELECT page_id, ':scope > ul > li' || CASE WHEN count(*) OVER (PARTITION BY page_id) > 1 THEN ':nth-of-type(' || card_no || ')' ELSE '' END || ' > a' AS path_key
+        FROM ({HREFS})""",
+    "infer_configs": f"""
+        SELECT page_id, CAST(count(*) AS INTEGER) AS count, 'ul > li | li | nav ul > li' AS candidates,
+               'a | :scope > a' AS title, 'a | :scope > a' AS apply_url
+        FROM ({HREFS}) GROUP BY 1 HAVING count(*) > 1""",
+    "learn_sites": f"""
+        SELECT 's' || (c_custkey // 10) AS slug, c_name AS title, {PLACE} AS location, c_mktsegment AS department,
+               (c_nationkey % 9 + 1) || ' days ago' AS posted, 'c-' || c_custkey AS job_id,
+               'https://s' || (c_custkey // 10) || '.example.com/c/' || c_custkey AS apply_url
+        FROM customer""",
+    "learn_link_templates": """
+        SELECT 's' || (c_custkey // 10) AS slug, c_name AS title, 'c-' || c_custkey AS job_id,
+               'https://x.example.com/job?id=c-' || c_custkey || '&v=1' AS apply_url
+        FROM customer""",
+    "verify_sites": """
+        SELECT 's' || (c_custkey // 10) AS slug, CAST(count(*) AS INTEGER) AS onboarded_job_count FROM customer GROUP BY 1""",
+    "stream_pages": f"SELECT DISTINCT 'feed' AS slug, apply_url AS job_key FROM ({CARDS})",
+    "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
 }
+ORACLES["stream_harvest"] = ORACLES["harvest_first_seen"]
+ORACLES["stream_health"] = ORACLES["health_history"]

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardmill.functions import elements, text, urls, verdicts
-from cardmill.operators import dom, evaluate, extract, frontier, health, jobs, selectors
-from cardmill.plans import scrape
-from cardmill.session import materialize, ship_package, work_dir
+from cardmill.operators import dom, evaluate, extract, frontier, health, infer, jobs, selectors
+from cardmill.plans import onboard, scrape
+from cardmill.session import ship_package, work_dir
 from cardmill.sources import capture, pages, sheets, sites
+from cardmill.streaming import harvest
+from cardmill.streaming.health import health_stream
 
 FEED_SITE = {
     "name": "Feed",
@@ -623,6 +625,134 @@ def site_run(spark, sf):
     return run.runs
 
 
+# --- learning configs ---------------------------------------------------------------------------
+def element_signature(spark, sf):
+    nodes = page_nodes(spark, sf, ["tag", "classes", "attrs"])
+    sig = elements.element_signature(F.col("tag"), F.col("classes"), F.col("attrs"))
+    return nodes.groupBy("page_id", sig.alias("sig")).agg(F.count("*").alias("n"))
+
+
+def shared_signatures(spark, sf):
+    ship_package(spark)
+    nodes = infer.prepare_nodes(feed_pages(spark, sf))
+    return infer.shared_signatures(nodes).groupBy("page_id", "shared_sig").agg(F.count("*").alias("n"))
+
+
+def path_selectors(spark, sf):
+    ship_package(spark)
+    nodes = infer.prepare_nodes(feed_pages(spark, sf))
+    navs = nodes.filter("tag = 'nav'").select("page_id", F.col("node_id").alias("card_id"))
+    links = nodes.filter("tag = 'a'").select("page_id", F.col("node_id").alias("leaf_id"))
+    return infer.path_selectors(nodes, navs.join(links, "page_id")).select("page_id", "path_key")
+
+
+def infer_configs(spark, sf):
+    ship_package(spark)
+    learned = infer.infer_configs(feed_pages(spark, sf))
+    field = lambda name: F.array_join(F.try_element_at("fields", F.lit(name)).selectors, " | ")
+    return learned.select(
+        "page_id", "count", F.array_join("candidates", " | ").alias("candidates"),
+        field("title").alias("title"), field("apply_url").alias("apply_url"),
+    )
+
+
+def customer_pages(spark, sf, linked: bool = True) -> DataFrame:
+    """Customers as listing pages of ten cards each, as HTML."""
+    key = F.col("c_custkey")
+    places = F.array(*[F.lit(p) for p in ("Pune, India", "Remote", "Berlin, Germany")])
+    title = F.concat(F.lit("<a class='name' href='/c/"), key, F.lit("'>"), "c_name", F.lit("</a>")) if linked else F.concat(
+        F.lit("<h3 class='name'>"), "c_name", F.lit("</h3>"))
+    card = F.concat(
+        F.lit("<li class='card' data-job-id='c-"), key, F.lit("'>"), title, F.lit("<div><span>"),
+        F.get(places, (F.col("c_nationkey") % 3).cast("int")), F.lit("</span><span>"), "c_mktsegment",
+        F.lit("</span><span>"), F.col("c_nationkey") % 9 + 1, F.lit(" days ago</span></div></li>"),
+    )
+    slug = F.floor(key / 10)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), card.alias("c")))), lambda x: x.c), "\n")
+    listed = table(spark, sf, "customer").groupBy(slug.alias("page_id")).agg(body.alias("cards"))
+    slug = F.concat(F.lit("s"), "page_id")
+    return listed.select(
+        "page_id", slug.alias("slug"), slug.alias("name"), F.lit(1).alias("page_no"),
+        F.concat(F.lit("https://s"), "page_id", F.lit(".example.com/jobs")).alias("url"),
+        F.concat(F.lit("<html><body><h1>Jobs</h1><ul class='list'>"), "cards", F.lit("</ul></body></html>")).alias("html"),
+    )
+
+
+def learn_sites(spark, sf):
+    """Learn a config for every listing page, then read the pages with it."""
+    ship_package(spark)
+    fetched = customer_pages(spark, sf)
+    configs = onboard.learn_sites(fetched)
+    rows = scrape.extract_pages(fetched, configs)
+    return rows.select("slug", "title", "location", "department", "posted", "job_id", "apply_url")
+
+
+def learn_link_templates(spark, sf):
+    """Cards without links: the address of one opened card gives the link of all."""
+    ship_package(spark)
+    fetched = customer_pages(spark, sf, linked=False)
+    nodes = infer.prepare_nodes(fetched)
+    targets = nodes.filter("tag = 'h3'").groupBy("page_id").agg(F.min("node_id").alias("node_id")).withColumn("target_id", F.col("node_id"))
+    opened = F.concat(F.lit("https://x.example.com/job?id=c-"), F.col("page_id") * 10, F.lit("&v=1#top"))
+    configs = onboard.learn_sites(fetched, targets, fetched.select("page_id", opened.alias("detail_url")))
+    rows = scrape.extract_pages(fetched, configs)
+    return rows.select("slug", "title", "job_id", "apply_url")
+
+
+def verify_sites(spark, sf):
+    ship_package(spark)
+    fetched = customer_pages(spark, sf)
+    return onboard.verify_sites(fetched, onboard.learn_sites(fetched)).select("slug", "onboarded_job_count")
+
+
+# --- streams ------------------------------------------------------------------------------------
+def stream_harvest(spark, sf):
+    """Rows arriving in several batches, kept once each."""
+    source, folder = work_dir(spark), work_dir(spark)
+    rows = harvested_items(spark, sf)
+    rows.repartition(4, "slug", "job_id").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    harvest.harvest_stream(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("slug", "job_key", "page_no", "pos")
+
+
+def stream_pages(spark, sf):
+    """Pages arriving in several batches, extracted and kept once per job."""
+    ship_package(spark)
+    source, folder = work_dir(spark), work_dir(spark)
+    fetched = feed_pages(spark, sf)
+    fetched.repartition(2, "page_id").write.parquet(source)
+    stream = spark.readStream.schema(fetched.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    extract_rows = harvest.page_extractor(site_table(spark, FEED_SITE))
+    run = harvest.harvest_stream(stream, f"{folder}/rows", f"{folder}/checkpoint", extract_rows, order=["page_id", "pos"])
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("slug", "job_key")
+
+
+def stream_first_seen(spark, sf):
+    """Repeats dropped inside a watermark, with bounded state."""
+    source, folder = work_dir(spark), work_dir(spark)
+    rows = table(spark, sf, "events").select("user_id", "event_type", "ts")
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    stream = spark.readStream.schema("user_id long, event_type string, ts timestamp").parquet(source)
+    seen = harvest.first_seen_within(stream, ["user_id", "event_type"], "ts", "60 days")
+    run = seen.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("user_id", "event_type")
+
+
+def stream_health(spark, sf):
+    """Finished runs arriving in three parts, judged against the counts carried from part to part."""
+    source, folder = work_dir(spark), work_dir(spark)
+    runs = event_runs(spark, sf)
+    for first, last in (("2000-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-21", "2100-01-01")):
+        runs.filter(F.col("run_at").between(first, last)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(runs.schema).parquet(source)
+        health_stream(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    history = spark.read.parquet(f"{folder}/history")
+    return history.select("slug", F.col("run_at").cast("string").alias("run_at"), "n_jobs", "baseline", "health", "count")
+
+
 FUNCTIONS = [
     canonical_url, absolute_url, clean_text, slugify, is_plausible_query, block_reason, fill_template, search_url,
     query_url_template, page_url_template, id_url_template, read_site_configs, rejected_site_configs, filter_sites,
@@ -632,5 +762,7 @@ FUNCTIONS = [
     capture_body_plan, read_capture_index, visited_url_templates, listing_frame, export_projection,
     job_sheet_round_trip, write_run, flatten_dom, visible_text, match_selectors, extract_cards, count_cards,
     next_control, selector_report, classify_pagination, text_category, scrape_pages, site_run,
+    element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites,
+    stream_harvest, stream_pages, stream_first_seen, stream_health,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
