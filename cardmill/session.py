@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _local_folder(app_id: str) -> str:
+    return tempfile.mkdtemp(prefix="cardmill-")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
     Only a session that runs on one machine and names no such folder gets a temporary one.
     """
@@ -51,8 +57,7 @@ def work_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="cardmill-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _local_folder(spark.sparkContext.applicationId)
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
