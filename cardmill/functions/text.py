@@ -12,6 +12,7 @@ from cardmill import fixed
 # Line ends and blanks as Python's str methods see them; Java's \s leaves out 0x1C-0x1F.
 LINE_END = r"[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 BLANK = r"(?U)[\s\x1C-\x1F]"
+FIRST_LINE = rf"(?U)^[\s\x1C-\x1F]*([^{LINE_END[1:-1]}]*)"
 EDGE_BLANKS = rf"{BLANK}+$|^[\s\x1C-\x1F]+"
 
 
@@ -37,8 +38,12 @@ def clean_text(c: Column, single_line: bool = False) -> Column:
 
     The label rule also hits titles ("Team Lead" gives "Lead"); a blank after the label is required.
     """
-    lines = clean_lines(c)
-    text = F.get(lines, 0) if single_line else F.array_join(F.array_distinct(lines), " | ")
+    if single_line:
+        # the first line that is not blank starts at the first character that is not blank
+        line = F.regexp_extract(c, FIRST_LINE, 1)
+        text = F.trim(F.regexp_replace(line, BLANK + "+", " "))
+    else:
+        text = F.array_join(F.array_distinct(clean_lines(c)), " | ")
     return none_if_empty(F.trim(F.regexp_replace(text, "(?iU)" + fixed.LABEL_PREFIX, "")))
 
 

@@ -22,6 +22,11 @@ PARAM_SCHEMES = ["", "http", "https", "ftp", "rtsp", "sip", "sips", "sftp", "tel
 PATH_UNSAFE = r"""\x00-\x20\x7F-\x{10FFFF}"<>^`{}"""
 QUERY_UNSAFE = r"""\x00-\x20\x7F-\x{10FFFF}"<>'"""
 FRAGMENT_UNSAFE = r"""\x00-\x20\x7F-\x{10FFFF}"<>`"""
+# Shapes that a rule leaves as they are, tested first because they are by far the most common.
+ALREADY_CANONICAL = r"^https?://[A-Za-z0-9.:\-]+/[A-Za-z0-9_.~%+,/\-]*[A-Za-z0-9_.~%+,\-]\z"
+PLAIN_BASE = r"^(https?://[a-z0-9.\-]+)([/?#].*)?\z"
+PLAIN_ABSOLUTE = r"^(?!.*/\.)https?://[a-z0-9.\-]+/[A-Za-z0-9_.~+,/\-]*\z"
+PLAIN_ROOTED = r"^(?!.*/\.)/(?!/)[A-Za-z0-9_.~+,/\-]*(\?[A-Za-z0-9_.~%+,=&\-]*)?\z"
 
 
 def quote_plus(c: Column) -> Column:
@@ -119,7 +124,7 @@ def canonical_url(c: Column) -> Column:
 
         return let(url_parts(url), text)
 
-    return F.when(c != "", let(strip(c), canonical))
+    return F.when(F.rlike(c, F.lit(ALREADY_CANONICAL)), c).when(c != "", let(strip(c), canonical))
 
 
 # --- resolution ---------------------------------------------------------------------------------
@@ -216,7 +221,13 @@ def absolute_url(href: Column, base: Column) -> Column:
         )
 
     both = F.struct(let(raw, cut).alias("h"), url_parts(F.coalesce(base, F.lit(""))).alias("b"))
-    return F.when(href != "", let(both, resolve))
+    # most links are plain: they are resolved without taking them apart
+    tidy = F.rlike(base, F.lit(PLAIN_BASE))
+    return (
+        F.when(F.rlike(href, F.lit(PLAIN_ABSOLUTE)), href)
+        .when(tidy & F.rlike(href, F.lit(PLAIN_ROOTED)), F.concat(F.regexp_extract(base, PLAIN_BASE, 1), href))
+        .when(href != "", let(both, resolve))
+    )
 
 
 # --- templates ----------------------------------------------------------------------------------

@@ -44,6 +44,7 @@ NODE_COLUMNS = {
     "path": "string",
     "visible": "boolean",
     "icon_id": "int",
+    "prominence": "double",
     "link": "string",
     "link_id": "int",
     "inner_link": "string",
@@ -51,6 +52,7 @@ NODE_COLUMNS = {
 }
 _ARROW = {
     "int": pa.int32(),
+    "double": pa.float64(),
     "string": pa.string(),
     "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()),
@@ -81,6 +83,12 @@ CLOSED_BY = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+# Default text sizes of a browser, times 1.3 where bold.
+TEXT_SIZE = 16.0
+TEXT_SIZES = {
+    "h1": 32 * 1.3, "h2": 24 * 1.3, "h3": 18.72 * 1.3, "h4": 16 * 1.3, "h5": 13.28 * 1.3, "h6": 10.72 * 1.3,
+    "b": 16 * 1.3, "strong": 16 * 1.3, "th": 16 * 1.3,
+}
 PATH_SKIPS = re.compile(r"^(style|src|srcset|d|on.*)$")
 HIDDEN_STYLE = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 HIDDEN_RULE = re.compile(r"\.([\w-]+)\s*\{[^}]*display\s*:\s*none", re.I)
@@ -147,6 +155,7 @@ class _Walker(HTMLParser):
             "path": (parent["path"] if parent else "") + self._segment(tag, named, classes, nth),
             "visible": not hidden and (parent is None or parent["visible"]),
             "icon_id": node_id if is_icon else parent["icon_id"] if parent else None,
+            "prominence": TEXT_SIZES.get(tag) or (parent["prominence"] if parent else TEXT_SIZE),
             "link": named["href"] if is_link else parent["link"] if parent else None,
             "link_id": node_id if is_link else parent["link_id"] if parent else None,
             "inner_link": None,
@@ -235,11 +244,15 @@ class _Walker(HTMLParser):
         return re.sub(r"\s+\n", "\n", out).strip()
 
 
-def _flatten(html: str, path_attrs: set[str] | None, columns: Sequence[str]) -> Iterator[list]:
+def _flatten(
+    html: str, path_attrs: set[str] | None, columns: Sequence[str], tags: set[str] | None = None
+) -> Iterator[list]:
     walker = _Walker(path_attrs)
     walker.feed(html)
     walker.finish()
     for node in walker.nodes:
+        if tags is not None and node["tag"] not in tags:
+            continue
         if "text" in columns:
             node["text"] = walker.text(node)
         if "own_text" in columns:
@@ -253,14 +266,17 @@ def flatten_dom(
     columns: Sequence[str] | None = None,
     path_attrs: Iterable[str] | None = None,
     carry: Sequence[str] = ("page_id",),
+    tags: Iterable[str] | None = None,
 ) -> DataFrame:
     """One row per element of every page: the ``carry`` columns of the page and the wanted node columns.
 
     ``path_attrs`` limits the attributes kept in ``path`` to those the selectors name; by default all
-    but styles, sources and scripts are kept.
+    but styles, sources and scripts are kept. ``tags`` limits the rows to elements of these tags; their
+    paths and ancestor ids still tell about the others.
     """
     columns = list(columns or NODE_COLUMNS)
     wanted = None if path_attrs is None else set(path_attrs)
+    emitted = None if tags is None else set(tags)
     source = spread(pages.select(*carry, "html"), carry[0])
     carried = [f for f in source.schema.fields if f.name != "html"]
     schema = ", ".join(
@@ -283,7 +299,7 @@ def flatten_dom(
                 )
 
             for at, html in enumerate(htmls):
-                for row in _flatten(html or "", wanted, columns):
+                for row in _flatten(html or "", wanted, columns, emitted):
                     rows.append(row)
                     owners.append(at)
                     if len(rows) >= OUTPUT_ROWS:

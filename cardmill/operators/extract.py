@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cardmill import fixed
 from cardmill.functions.urls import absolute_url, fill_template
 from cardmill.operators.selectors import Specs, first_candidates, match_selectors
-from cardmill.session import bounded, materialize
+from cardmill.session import SITE_MAX_ROWS, bounded, materialize
 
 # Node columns that extraction reads.
 CARD_NODE_COLUMNS = [
@@ -95,7 +95,7 @@ def extract_cards(nodes: DataFrame, sites: DataFrame, specs: Specs | None = None
     One pass over the elements keeps the matched ones, which are written to the work folder. Only they
     are shuffled, on (page_id, card id), so a page with very many elements spreads over many tasks.
     """
-    sites = bounded(sites)
+    sites = bounded(sites, SITE_MAX_ROWS)
     specs = specs or extraction_specs(sites)
     value = F.when(F.col("kind") != "card", read_value(F.col("attr")))
     matches = materialize(
@@ -155,7 +155,7 @@ def _job_columns(rows: DataFrame) -> DataFrame:
 
 def apply_url_fallback(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """Add ``_link``, the site's link template filled from the ``row`` map, for rows without their own link."""
-    templates = bounded(sites).select("slug", F.col("dom.apply_url_template").alias("_template"))
+    templates = bounded(sites, SITE_MAX_ROWS).select("slug", F.col("dom.apply_url_template").alias("_template"))
     return (
         rows.join(templates, "slug", "left")
         .withColumn("_link", fill_template(F.col("_template"), F.col("row")))

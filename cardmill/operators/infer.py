@@ -37,9 +37,6 @@ ID_SAMPLE = 30
 ID_NODES = 120
 ATTRIBUTE_NODES = 150
 NEVER_LEAF = ["script", "style", "noscript", "template", "svg"]
-# Default text sizes of a browser, times 1.3 for bold.
-HEADING_SIZES = {"h1": 32 * 1.3, "h2": 24 * 1.3, "h3": 18.72 * 1.3, "h4": 16 * 1.3, "h5": 13.28 * 1.3, "h6": 10.72 * 1.3}
-BOLD_SIZE, TEXT_SIZE = 16 * 1.3, 16.0
 
 KEY = ["page_id", "target_id"]
 FIELD_SPEC = "struct<selectors: array<string>, attr: string, closest: boolean>"
@@ -53,14 +50,6 @@ def _attr_part(attrs: Column) -> Column:
     return F.array_join(F.slice(attrs, 1, 3), "")
 
 
-def _prominence(path: Column) -> Column:
-    """Text size by tag: the nearest heading around the text, else bold or plain."""
-    heading = F.regexp_extract(path, "(?s).*\x01(h[1-6])\x02", 1)
-    sizes = F.create_map(*[F.lit(x) for kv in HEADING_SIZES.items() for x in kv])
-    bold = F.rlike(path, F.lit("\x01(b|strong|th)\x02"))
-    return F.coalesce(F.try_element_at(sizes, heading), F.when(bold, BOLD_SIZE), F.lit(TEXT_SIZE))
-
-
 def prepare_nodes(pages: DataFrame) -> DataFrame:
     """Element table with signatures, written to the work folder because every step below reads it."""
     nodes = flatten_dom(pages)
@@ -68,14 +57,13 @@ def prepare_nodes(pages: DataFrame) -> DataFrame:
     return materialize(
         nodes.select(
             "page_id", "node_id", "parent_id", "depth", "subtree_end", "anc", "tag", "attrs", "nth_of_type", "path",
-            "visible", "icon_id", "link_id",
+            "visible", "icon_id", "link_id", "prominence",
             classes.alias("sclasses"),
             attrs.alias("sattrs"),
             visible_text(F.col("text")).alias("text"),
             (F.col("own_text") != "").alias("own"),
             (F.col("link_id").isNotNull() | F.col("inner_link").isNotNull()).alias("has_link"),
             ((F.col("own_text") != "") & F.col("visible") & ~F.col("tag").isin(NEVER_LEAF)).alias("leaf"),
-            _prominence(F.col("path")).alias("prominence"),
         ).withColumn("sig", F.concat("tag", _class_part(F.col("sclasses")), _attr_part(F.col("sattrs"))))
     )
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,7 @@ def _element(tag: str | None, tests: Sequence[str]) -> str:
     return f"{SEGMENT}{aheads}{re.escape(tag) if tag else f'[^{SEGMENT}{ATOM}]*'}{ATOM}{_REST}"
 
 
+@lru_cache(maxsize=100_000)
 def compile_selector(selector: str | None) -> dict | None:
     """Path pattern of a selector; ``scope_pattern`` tests the path below the card; None when invalid."""
     selector = (selector or "").strip()
@@ -132,6 +134,7 @@ class Specs:
     table: DataFrame
     kinds: set[str] | None = None  # values of ``kind`` that occur, None when unknown
     attrs: set[str] | None = None  # attribute names the selectors mention, None when unknown
+    tags: set[str] | None = None  # tags of the elements they can match, None when unknown or any
 
     @staticmethod
     def of(specs: DataFrame) -> Specs:
@@ -142,17 +145,21 @@ class Specs:
         rows = list(compile_rows(r.asDict() for r in found))
         names = {name.lower() for r in rows for name in re.findall(r"\[\s*([\w-]+)", r["selector"])}
         kinds = {r.get("kind") for r in rows} if "kind" in specs.columns else None
-        return Specs(local_table(specs.sparkSession, rows, compiled_schema(specs)), kinds, names)
+        tags = {r["spec_tag"] for r in rows}
+        table = local_table(specs.sparkSession, rows, compiled_schema(specs))
+        return Specs(table, kinds, names, None if "*" in tags else tags)
 
     def may_have(self, kind: str) -> bool:
         return self.kinds is None or kind in self.kinds
 
 
-def mentioned_attrs(*specs: Specs) -> set[str] | None:
-    """Attributes that any of the selectors mention, for ``flatten_dom(path_attrs=…)``."""
-    if any(s.attrs is None for s in specs):
-        return None
-    return set().union(*[s.attrs for s in specs])
+def needed(*specs: Specs) -> dict[str, set[str] | None]:
+    """What ``flatten_dom`` must emit for these selectors: ``path_attrs`` and ``tags``, None for all."""
+
+    def union(sets: list[set[str] | None]) -> set[str] | None:
+        return None if any(s is None for s in sets) else set().union(*sets)
+
+    return {"path_attrs": union([s.attrs for s in specs]), "tags": union([s.tags for s in specs])}
 
 
 def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",)) -> DataFrame:
@@ -162,10 +169,12 @@ def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",
     without a shuffle. If they are too many for that, Spark shuffles both sides by site.
     """
     same_tag = (F.col("spec_tag") == F.col("tag")) | (F.col("spec_tag") == "*")
-    joined = nodes.join(specs.table, list(on)).filter(same_tag).filter(F.rlike("path", F.col("pattern")))
+    hit = F.rlike("path", F.col("pattern"))
     if "text" in nodes.columns:
         own = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-        joined = joined.filter(F.col("spec_text").isNull() | (own == F.col("spec_text")))
+        hit = hit & (F.col("spec_text").isNull() | (own == F.col("spec_text")))
+    # the order counts: most pairs fail on the tag, before any pattern is compiled
+    joined = nodes.join(specs.table, list(on)).filter(F.when(same_tag, hit).otherwise(False))
     return joined.drop("spec_tag", "pattern", "spec_text")
 
 

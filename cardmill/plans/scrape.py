@@ -20,8 +20,8 @@ from cardmill.operators.jobs import (
     rank_jobs,
     within_cutoff,
 )
-from cardmill.operators.selectors import control_specs, has_next, mentioned_attrs, next_control
-from cardmill.session import bounded, materialize
+from cardmill.operators.selectors import control_specs, has_next, needed, next_control
+from cardmill.session import SITE_MAX_ROWS, bounded, materialize
 
 JOB_ORDER = ["slug", "page_no", "pos"]
 
@@ -36,10 +36,10 @@ class Run:
 
 
 def extract_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Raw job rows of pages (page_id, url, html, slug), reading only the attributes that selectors name."""
-    sites = bounded(sites)
+    """Raw job rows of pages (page_id, url, html, slug), reading only the elements that selectors can match."""
+    sites = bounded(sites, SITE_MAX_ROWS)
     specs = extraction_specs(sites)
-    nodes = flatten_dom(pages, CARD_NODE_COLUMNS, mentioned_attrs(specs), carry=["page_id", "url", "slug"])
+    nodes = flatten_dom(pages, CARD_NODE_COLUMNS, carry=["page_id", "url", "slug"], **needed(specs))
     return extract_cards(nodes, sites, specs)
 
 
@@ -54,7 +54,7 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
     Blocked sites are left out, pages after a run's end are not counted, and rows seen twice in a run
     are kept once.
     """
-    sites = bounded(sites)
+    sites = bounded(sites, SITE_MAX_ROWS)
     reason = block_reason(F.col("html"), F.col("status"))
     visits = pages.select("page_id", "slug", "page_no", reason.alias("block_reason")).join(
         sites.select("slug", "name", "pagination"), "slug"
@@ -67,8 +67,8 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
         flatten_dom(
             open_pages,
             [*CARD_NODE_COLUMNS, "classes"],
-            mentioned_attrs(controls, fields),
             carry=["page_id", "url", "slug", "page_no"],
+            **needed(controls, fields),
         )
     )
 

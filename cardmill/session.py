@@ -11,7 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 50_000
+BROADCAST_MAX_ROWS = 50_000  # of a few hundred bytes each
+SITE_MAX_ROWS = 5_000  # site configs, of a few kilobytes each
+SCAN_PARTITION_BYTES = 128 * 1024 * 1024  # spark.sql.files.maxPartitionBytes
 
 
 def local_session(app: str = "cardmill", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -73,26 +75,28 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that arrives in fewer partitions than there are cores, as from one small file.
+    """Spread a small table over all cores before an expensive step, as a single small file is one task.
 
-    A large input already has more partitions than cores and is returned as it is, without a shuffle.
+    The size comes from the plan's own estimate, so nothing is run to find it. A table that fills a scan
+    partition per core, or whose size is unknown, is returned as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores, key) if size < cores * SCAN_PARTITION_BYTES else df
 
 
 def small_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list | None:
     """The rows of a small table, None when there are more than ``max_rows``."""
-    rows = df.limit(max_rows + 1).coalesce(1).collect()
+    rows = df.take(max_rows + 1)
     return rows if len(rows) <= max_rows else None
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Evaluate a small table once, with a broadcast hint; a larger one is returned as it is.
 
-    Meant for site configs and selector tables, whose rows are a few hundred bytes. The size is proven
-    by reading at most ``max_rows + 1`` rows. A larger side stays distributed and unhinted, so that
-    Spark shuffles it and splits skewed partitions.
+    The size is proven by reading at most ``max_rows + 1`` rows. A larger side stays distributed and
+    unhinted, so that Spark shuffles it and splits skewed partitions.
     """
     if getattr(df, "_is_bounded", False):
         return df
@@ -102,6 +106,6 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
 
 def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     """A broadcast table from already read rows."""
-    table = F.broadcast(spark.createDataFrame(rows, schema).coalesce(1))
+    table = F.broadcast(spark.createDataFrame(rows, schema, verifySchema=False).coalesce(1))
     table._is_bounded = True
     return table

@@ -50,9 +50,26 @@ def capture_body_plan(responses: DataFrame, mode: str = "all") -> DataFrame:
     )
 
 
-def visited_url_templates(responses: DataFrame, visit: str = "visit_id", order: str = "ts") -> DataFrame:
-    """Add ``url_template``: the page pattern between consecutive listing URLs of a visit."""
-    w = Window.partitionBy(visit).orderBy(order)
-    return responses.withColumn("before_url", F.lag("url").over(w)).withColumn(
-        "url_template", page_url_template(F.col("before_url"), F.col("url"))
+def visited_url_templates(
+    responses: DataFrame, visit: str = "visit_id", order: str = "ts", bucket: Column | None = None
+) -> DataFrame:
+    """Add ``url_template``: the page pattern between consecutive listing URLs of a visit.
+
+    The previous URL is found in two levels, within time buckets (hours by default) and across them, so
+    that a visit with very many responses spreads over many tasks.
+    """
+    responses = responses.withColumn("_bucket", F.floor(F.col(order) / 3600) if bucket is None else bucket)
+    across = Window.partitionBy(visit).orderBy("_bucket")
+    within = Window.partitionBy(visit, "_bucket").orderBy(order)
+    carried = (
+        responses.groupBy(visit, "_bucket")
+        .agg(F.max_by("url", order).alias("_last"))
+        .select(visit, "_bucket", F.lag("_last").over(across).alias("_carried"))
+    )
+    before = F.when(F.row_number().over(within) == 1, F.col("_carried")).otherwise(F.lag("url").over(within))
+    return (
+        responses.join(carried, [visit, "_bucket"])
+        .withColumn("before_url", before)
+        .withColumn("url_template", page_url_template(F.col("before_url"), F.col("url")))
+        .drop("_bucket", "_carried")
     )

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardmill.operators.jobs import harvest_first_seen
 from cardmill.plans.scrape import extract_pages
-from cardmill.session import bounded
+from cardmill.session import SITE_MAX_ROWS, bounded
 
 
 def first_seen_within(rows: DataFrame, keys: Sequence[str], event_time: str, delay: str = "1 day") -> DataFrame:
@@ -56,7 +56,7 @@ def harvest_stream(
 
 def page_extractor(sites: DataFrame, page_no: str = "page_no") -> Callable[[DataFrame], DataFrame]:
     """Extraction step for ``harvest_stream``: pages with slug and page_no to rows."""
-    sites = bounded(sites)
+    sites = bounded(sites, SITE_MAX_ROWS)
 
     def extract(batch: DataFrame) -> DataFrame:
         rows = extract_pages(batch, sites)

@@ -313,16 +313,14 @@ def harvest_first_seen(spark, sf):
 
 def event_pages(spark, sf) -> DataFrame:
     """Events as harvested rows: the days a user was active are the pages."""
-    days = Window.partitionBy("user_id").orderBy("day")
-    return (
-        table(spark, sf, "events")
-        .withColumn("day", F.to_date("ts"))
-        .select(
-            "user_id",
-            F.dense_rank().over(days).alias("page_no"),
-            F.col("event_id").alias("pos"),
-            F.concat_ws("|", "event_type", (F.floor("value") % 4).cast("string")).alias("job_id"),
-        )
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("day"))
+    days = events.select("user_id", "day").distinct().withColumn("page_no", number)
+    return events.join(days, ["user_id", "day"]).select(
+        "user_id",
+        "page_no",
+        F.col("event_id").alias("pos"),
+        F.concat_ws("|", "event_type", (F.floor("value") % 4).cast("string")).alias("job_id"),
     )
 
 

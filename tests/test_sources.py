@@ -124,10 +124,11 @@ def test_small_tables_are_size_checked(spark):
     assert "broadcast" in plan(bounded(df, 20)) and "broadcast" not in plan(bounded(df, 19))
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 16)
-    assert spread(wide, "id") is wide
-    assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_spread_is_for_small_inputs_and_runs_nothing(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/small")
+    assert spread(spark.read.parquet(f"{tmp_path}/small"), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    large = spark.range(0, 1 << 40, 1, 3)
+    assert spread(large, "id") is large
 
 
 class FakeSession:
