@@ -112,17 +112,25 @@ def page_number_template(text: Column, sig: Column) -> Column:
 
 
 # --- field vocabularies -------------------------------------------------------------------------
+# A word boundary between ASCII word characters only; Java's own depends on its version.
+ASCII_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def _has_word(c: Column, pattern: str) -> Column:
+    return F.rlike(c, F.lit(pattern.replace(r"\b", ASCII_BOUNDARY)))
+
+
 def is_location(c: Column) -> Column:
     """A place word, or ', XX' with any two letters in any case."""
-    return F.rlike(c, F.lit(fixed.LOCATION_WORDS))
+    return _has_word(c, fixed.LOCATION_WORDS)
 
 
 def is_date(c: Column) -> Column:
-    return F.rlike(c, F.lit(fixed.DATE_WORDS))
+    return _has_word(c, fixed.DATE_WORDS)
 
 
 def is_department(c: Column) -> Column:
-    return F.rlike(c, F.lit(fixed.DEPARTMENT_WORDS))
+    return _has_word(c, fixed.DEPARTMENT_WORDS)
 
 
 def text_category(c: Column) -> Column:

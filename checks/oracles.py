@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cardmill.fixed import DATE_WORDS, DEPARTMENT_WORDS, LOCATION_WORDS
+
 LABEL = (
     r"^(location|locations|department|team|category|posted( on)?|date posted|job id|req(uisition)? id)\s*[:\-–]?\s+"
 )
@@ -316,6 +318,23 @@ ORACLES = {
                CASE WHEN len(regexp_extract_all(html, '<li><a href=')) >= 6 THEN '1 match, visible' ELSE '0 matches' END AS report
         FROM pages""",
     "classify_pagination": f"SELECT page_id, 'next' AS kind, count(*) AS n FROM ({HREFS}) GROUP BY 1",
+    "text_category": f"""
+        SELECT doc_id, CAST(regexp_matches(text, '{LOCATION_WORDS}') AS INTEGER) AS location,
+               CAST(regexp_matches(text, '{DATE_WORDS}') AS INTEGER) AS posted,
+               CAST(regexp_matches(text, '{DEPARTMENT_WORDS}') AS INTEGER) AS department
+        FROM documents""",
+    "site_run": f"""
+        WITH fetched AS (SELECT page_id, html, regexp_extract(url, '://([^/]*)', 1) AS slug,
+                                row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]*)', 1) ORDER BY page_id) AS page_no FROM pages),
+             seen AS (SELECT slug, page_no FROM ({CARDS}) JOIN fetched USING (page_id)
+                      QUALIFY row_number() OVER (PARTITION BY slug, apply_url ORDER BY page_no, card_no) = 1),
+             grid AS (SELECT f.slug, f.page_no, any_value(len(regexp_extract_all(f.html, '<li><a href='))) >= 6 AS more, count(s.slug) AS news
+                      FROM fetched f LEFT JOIN seen s ON s.slug = f.slug AND s.page_no = f.page_no GROUP BY 1, 2),
+             ends AS (SELECT slug, coalesce(min(page_no) FILTER ((page_no > 1 AND news = 0) OR page_no >= 5 OR NOT more), max(page_no)) AS pages
+                      FROM grid GROUP BY 1)
+        SELECT 'r1' AS run_id, slug, slug AS name, CASE WHEN sum(news) > 0 THEN 'ok' ELSE 'empty' END AS status,
+               CAST(sum(news) AS INTEGER) AS n_jobs, CAST(pages AS INTEGER) AS pages, CAST(NULL AS VARCHAR) AS error
+        FROM grid JOIN ends USING (slug) WHERE page_no <= pages GROUP BY slug, pages""",
     "scrape_pages": f"""
         SELECT page_id, title, apply_url, 0 AS score FROM ({CARDS})
         QUALIFY row_number() OVER (PARTITION BY lower(apply_url) ORDER BY page_id, card_no) = 1""",
