@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cardmill.operators.dom import flatten_dom, visible_text
 from cardmill.operators.extract import count_cards, extract_cards, listing_frame
 from cardmill.operators.selectors import Specs, compile_selectors, control_specs, match_selectors, next_control, selector_report
+from cardmill.plans.rate import rate_ranked
 from cardmill.plans.scrape import extract_pages, scrape
 from cardmill.sources.sites import SITE_SCHEMA, with_defaults
 from pages_html import LISTING_SITE, listing
@@ -166,6 +167,14 @@ def test_scrape_three_pages(spark):
     assert two.raw.count() == 20
 
 
+def test_rate_ranked_rates_the_best_rows(spark):
+    pages = page_table(spark, listing(1, 2)).withColumn("status", F.lit(200))
+    ranked = scrape(pages, sites_of(spark, LISTING_SITE), "r1").ranked
+    rated = rate_ranked(ranked, lambda prompts: ['{"fit": "Maybe", "score": 4, "reason": "r"}' for _ in prompts], limit=3).collect()
+    assert [(r.title, r.ai_score) for r in rated[:4]] == [("Engineer 101", 4), ("Engineer 102", 4), ("Engineer 103", 4), ("Engineer 104", None)]
+    assert len(rated) == 10 and rate_ranked(ranked, None) is ranked
+
+
 def test_listing_frame(spark):
     rows = [("v", 0, "https://main"), ("v", 1, "https://ads"), ("v", 2, "https://boards/acme"), ("v", 3, "https://boards/acme2"),
             ("w", 0, "https://main"), ("w", 1, "https://ads")]
