@@ -277,7 +277,7 @@ def flatten_dom(
     columns = list(columns or NODE_COLUMNS)
     wanted = None if path_attrs is None else set(path_attrs)
     emitted = None if tags is None else set(tags)
-    source = spread(pages.select(*carry, "html"), carry[0])
+    source = spread(pages.select(*carry, "html"))
     carried = [f for f in source.schema.fields if f.name != "html"]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in carried]

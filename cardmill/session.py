@@ -74,16 +74,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Spread a small table over all cores before an expensive step, as a single small file is one task.
 
     The size comes from the plan's own estimate, so nothing is run to find it. A table that fills a scan
-    partition per core, or whose size is unknown, is returned as it is, without a shuffle.
+    partition per core, or whose size is unknown, is returned as it is, without a shuffle. The rows are
+    dealt out without a key, as Spark merges the partitions of a small keyed shuffle again.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores, key) if size < cores * SCAN_PARTITION_BYTES else df
+    return df.repartition(cores) if size < cores * SCAN_PARTITION_BYTES else df
 
 
 def small_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list | None:

@@ -126,9 +126,9 @@ def test_small_tables_are_size_checked(spark):
 
 def test_spread_is_for_small_inputs_and_runs_nothing(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/small")
-    assert spread(spark.read.parquet(f"{tmp_path}/small"), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.read.parquet(f"{tmp_path}/small")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     large = spark.range(0, 1 << 40, 1, 3)
-    assert spread(large, "id") is large
+    assert spread(large) is large
 
 
 class FakeSession:
