@@ -2,9 +2,9 @@
 
 Input is the prepared element table of the pages and a table of targets, one element per row that lies in
 a card (a job title, as a rule). Elements are pre-order numbered, so "inside" is an equi-join on an
-exploded ancestor list, never a range join. Every join key starts with (page_id, node id or target id), so
-a page with very many elements spreads over many tasks; per-card work is limited by the sample sizes
-that the rules name.
+exploded ancestor list, never a range join. Most joins are on (page_id, node id); selectors meet elements on
+(page_id, tag), which for one huge page relies on AQE's split of skewed partitions. Per-card work is limited
+by the sample sizes that the rules name.
 """
 
 from __future__ import annotations
