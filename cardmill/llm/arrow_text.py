@@ -103,12 +103,9 @@ def frame(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def binary_rows(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """One binary value per row: the bytes of ``values[first[i]:first[i + 1]]``."""
-    values = np.ascontiguousarray(values)
-    return pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(first) - 1, [None, pa.py_buffer((np.asarray(first, np.int64) * values.dtype.itemsize).tobytes()), pa.py_buffer(values.tobytes())]
-    ).cast(pa.binary())
+def list_rows(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """One list per row: ``values[first[i]:first[i + 1]]``."""
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
 
 
 def per_chunk(function: Callable, text: str) -> Callable:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import language
+from cardmill.llm import jaccard, language
 from cardmill.llm.tables import crc_fold, table
 
 HELD_OUT = 2  # the fold of documents that language identification does not learn from
@@ -19,7 +19,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=75)
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
