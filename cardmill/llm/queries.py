@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import jaccard, language
+from cardmill.llm import jaccard, language, substrings
 from cardmill.llm.tables import crc_fold, table
 
 HELD_OUT = 2  # the fold of documents that language identification does not learn from
@@ -19,12 +19,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    one_blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(one_blank, 256).alias("kept_sha256"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=75)
 
 
 QUERIES = {
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
