@@ -54,10 +54,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = CHUNK_
             a = b
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for every row the number of its first word (one entry more than rows)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word (bytes that ``gap`` marks are none), and for every row the number of its first word (one entry more than rows)."""
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(gap[data], out=inside[1:-1])
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import jaccard, language, substrings
+from cardmill.llm import decontaminate, jaccard, language, substrings
 from cardmill.llm.tables import crc_fold, table
 
 HELD_OUT = 2  # the fold of documents that language identification does not learn from
@@ -25,6 +25,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(one_blank, 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=75)
 
@@ -32,6 +38,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
