@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import decontaminate, jaccard, language, substrings
+from cardmill.llm import decontaminate, jaccard, language, packing, substrings
 from cardmill.llm.tables import crc_fold, table
 
 HELD_OUT = 2  # the fold of documents that language identification does not learn from
@@ -35,10 +36,17 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=75)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1).drop("ids")
+    return packing.pack(found, capacity=4096)
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {}
