@@ -6,12 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import decontaminate, jaccard, language, packing, substrings
+from cardmill.llm import decontaminate, jaccard, language, licenses, packing, quality, sharding, substrings, url_filter, warc
 from cardmill.llm.tables import crc_fold, table
+from cardmill.session import work_dir
 
 HELD_OUT = 2  # the fold of documents that language identification does not learn from
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "identifiers", "n_sentences", "n_matches", "licenses")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    # the labelled table: urls that a rule decides, of which the model takes a bounded number
+    labelled = pages.select(F.col("page_id").alias("key"), F.concat(host, path).alias("url"), url_filter.fitting_rule(host, path, URL_RULES).alias("rule")).where("rule is not null")
+    blocks = F.col("rule").isin([r for r, action in URL_RULES.items() if action == "block"])
+    model = url_filter.train(labelled.select("key", "url", blocks.alias("block")))
+    return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = crc_fold(F.col("doc_id"))
@@ -36,17 +54,44 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=75)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1).drop("ids")
     return packing.pack(found, capacity=4096)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.byte_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = sharding.contiguous_shards(docs, ["doc_id", "text_crc32"], "size", 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    found = warc.page_captures(warc.captures(warc.read_records(spark, folder, with_payload=False)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op7_quality_rules": quality.oracle(),
 }
-ORACLES: dict[str, str] = {}
