@@ -31,12 +31,11 @@ from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import U64, frame, list_rows, mix, per_chunk, run_hashes, word_hashes, word_spans
 from cardmill.llm.fm_index import FMIndex
-from cardmill.llm.tables import materialize, replace_columns
+from cardmill.llm.tables import BROADCAST_IDS, join_ids, materialize, replace_columns
 
 ANCHOR_WORDS = 8
 SHARD_WORDS = 500_000  # of a shard's segments, on average
 HOT_SEGMENTS = 5_000  # of one anchor in one shard, 500,000 words
-BROADCAST_IDS = 1_000_000  # ids and hashes, 16 MB; more are joined by shuffle
 
 
 def window_anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +91,7 @@ def contents(docs: DataFrame, wanted: DataFrame, window: int, single: bool) -> D
     """The words of the wanted segments (doc, fp, anchor, sid, start, count, owner), or of each of their windows."""
     lists = wanted.groupBy("doc", "fp").agg(F.collect_list(F.struct("anchor", "sid", "start", "count", "owner")).alias("want"))
     ids = wanted.select("doc", "fp").distinct()
-    rows = few_first(docs, ids).join(lists, ["doc", "fp"]).dropDuplicates(["doc", "fp"]).select("text", "want")
+    rows = join_ids(docs, ids, ["doc", "fp"], "left_semi").join(lists, ["doc", "fp"]).dropDuplicates(["doc", "fp"]).select("text", "want")
     schema = pa.schema([("route", pa.int64()), ("sid", pa.int64()), ("place", pa.int32()), ("owner", pa.int64()), ("words", pa.list_(pa.int32()))])
 
     def function(rows, data, offsets):
@@ -119,11 +118,6 @@ def contents(docs: DataFrame, wanted: DataFrame, window: int, single: bool) -> D
     return rows.mapInArrow(per_chunk(function, "text"), "route long, sid long, place int, owner long, words array<int>")
 
 
-def few_first(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with one of the ids, where these are few enough to be broadcast; else all rows, for a join by shuffle."""
-    return docs.join(F.broadcast(ids), ["doc", "fp"], "left_semi") if ids.count() <= BROADCAST_IDS else docs
-
-
 def least_owners(found: DataFrame, window: int) -> DataFrame:
     """(sid, owners): for every window of the segments (route, sid, owner, words), the smallest owner that has its words."""
     total = found.agg(F.sum(F.size("words"))).first()[0] or 0

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cardmill.session import materialize
 
-__all__ = ["checked_rows", "crc_fold", "materialize", "replace_columns", "table"]
+BROADCAST_IDS = 1_000_000  # rows of one or two numbers, 16 MB
+
+__all__ = ["checked_rows", "crc_fold", "join_ids", "materialize", "replace_columns", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +32,10 @@ def checked_rows(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows")
     return rows
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join with a table of ids: while it has a proven bound of rows the ids are broadcast, so that no text is
+    shuffled; beyond that it is a join by shuffle with the same result."""
+    ids = materialize(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)

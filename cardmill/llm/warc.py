@@ -146,13 +146,13 @@ def captures(records: DataFrame) -> DataFrame:
         return F.collect_list(F.when(F.col("record_type").isin(*kinds), entry))
 
     return records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
-        of("response", "revisit", "resource")[0].alias("capture"), of("request").alias("requests"), of("metadata").alias("metadata")
+        F.get(of("response", "revisit", "resource"), F.lit(0)).alias("capture"), of("request").alias("requests"), of("metadata").alias("metadata")
     )
 
 
 def page_captures(found: DataFrame) -> DataFrame:
     """The captures of ``write_archive`` by page: what was archived, and for a revisit the page it refers to."""
-    fields = F.map_from_entries(F.col("metadata")[0]["fields"])
+    fields = F.map_from_entries(F.get("metadata", F.lit(0))["fields"])
     return found.select(
         fields["page-id"].cast("long").alias("page_id"), fields["payload-length"].cast("long").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.record_type").alias("record_type"), F.regexp_extract("capture.refers_to", r"^<urn:capture:([0-9-]+):", 1).try_cast("long").alias("refers_to"), "capture_id", "capture", "requests",
