@@ -138,7 +138,8 @@ def least_owners(found: DataFrame, window: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, window: int = 50, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc, fp, begin, end): ranges of words of the documents (doc, fp, text) that an earlier document has."""
     cut = materialize(segments(docs.where("doc is not null"), window))
-    shared = cut.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("anchor")
+    # written, so that both sides of the join are shuffles whose hot anchors Spark can split
+    shared = materialize(cut.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("anchor"))
     cut = materialize(cut.join(shared, "anchor", "left_semi"))
     first = cut.groupBy("sid").agg(F.min(F.struct("doc", "fp", "start", "count", "anchor")).alias("s")).select("sid", "s.*", F.col("s.doc").alias("owner"))
     first = materialize(first)
