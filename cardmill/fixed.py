@@ -20,7 +20,6 @@ SHEET_COLUMNS = {
     "job_id": "Job ID",
     "apply_url": "Apply URL",
 }
-SHEET_CELL_CHARS = 32000
 SHEET_CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 # --- text and urls ------------------------------------------------------------------------------
@@ -65,7 +64,6 @@ CHALLENGE_MARKERS = [
     "are you a robot",
     "unusual traffic from your computer",
 ]
-BLOCK_SCAN_CHARS = 20000
 
 # --- capture log --------------------------------------------------------------------------------
 # Content type needle -> body file extension, first match wins.

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cardmill import fixed
+from cardmill.functions.text import strip
 
 
 def is_stable_class(c: Column) -> Column:
@@ -96,7 +97,7 @@ def control_disabled(classes: Column, attrs: Column) -> Column:
 
 def classify_pagination(text: Column, attrs: Column, page_template: Column) -> Column:
     """'page_number', 'load_more' or 'next' for a control that shows more rows."""
-    text = F.trim(F.coalesce(text, F.lit("")))
+    text = strip(F.coalesce(text, F.lit("")))
     words = [F.coalesce(F.try_element_at(attrs, F.lit(a)), F.lit("")) for a in ("aria-label", "class", "rel")]
     blob = F.lower(F.concat_ws(" ", text, *words))
     return (
@@ -108,7 +109,7 @@ def classify_pagination(text: Column, attrs: Column, page_template: Column) -> C
 
 def page_number_template(text: Column, sig: Column) -> Column:
     """Selector for 'the control whose text is page n', when the control shows a number."""
-    return F.when(F.rlike(F.trim(text), F.lit(r"^\d+$")), F.concat(sig, F.lit(':text-is("{page}")')))
+    return F.when(F.rlike(strip(text), F.lit(r"^\d+$")), F.concat(sig, F.lit(':text-is("{page}")')))
 
 
 # --- field vocabularies -------------------------------------------------------------------------

@@ -61,8 +61,8 @@ def is_plausible_query(c: Column) -> Column:
 def block_reason(
     html: Column, status: Column | None = None, markers: Sequence[str] = tuple(fixed.CHALLENGE_MARKERS)
 ) -> Column:
-    """Why a page looks like a bot check, else null: first marker in the head of the page, then the status."""
-    head = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, fixed.BLOCK_SCAN_CHARS))
+    """Why a page looks like a bot check, else null: first marker anywhere in the page, then the status."""
+    head = F.lower(F.coalesce(html, F.lit("")))
     reasons = [F.when(F.contains(head, F.lit(m)), F.lit(f"challenge page ({m})")) for m in markers]
     if status is not None:
         reasons.append(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardmill import fixed
 from cardmill.functions.common import let
+from cardmill.functions.text import strip
 
 
 def build_prompt(
@@ -27,7 +28,7 @@ def parse_verdict(reply: Column) -> Column:
     found = F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
 
     def verdict(x: Column) -> Column:
-        fit = F.trim(F.try_variant_get(x.doc, "$.fit", "string"))
+        fit = strip(F.try_variant_get(x.doc, "$.fit", "string"))
         fit = F.concat(F.upper(F.substring(fit, 1, 1)), F.lower(F.substring(fit, 2, 1 << 30)))
         # the score is read from the text, which keeps numbers of any length
         text = F.coalesce(F.get_json_object(x.found, "$.score"), F.lit(""))
@@ -52,6 +53,6 @@ def parse_verdict(reply: Column) -> Column:
 
 
 def verdict_error(reply: Column) -> Column:
-    """Why a reply gave no verdict, at most 80 characters."""
+    """Why a reply gave no verdict."""
     has_object = F.rlike(F.coalesce(reply, F.lit("")), F.lit(r"(?s)\{.*\}"))
     return F.when(has_object, "reply is not a valid verdict").otherwise("no JSON object in reply")

@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.session import spread
-
 SEGMENT = "\x01"  # starts each element in a path
 ATOM = "\x02"  # ends the tag and each atom of an element in a path
 
@@ -49,6 +47,7 @@ NODE_COLUMNS = {
     "link_id": "int",
     "inner_link": "string",
     "base_href": "string",
+    "error": "string",
 }
 _ARROW = {
     "int": pa.int32(),
@@ -60,6 +59,7 @@ _ARROW = {
     "map<string,string>": pa.map_(pa.string(), pa.string()),
 }
 OUTPUT_ROWS = 20_000
+OUTPUT_CHARS = 16 << 20  # of texts and paths in one batch
 
 # HTML tag groups.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,7 +89,6 @@ TEXT_SIZES = {
     "h1": 32 * 1.3, "h2": 24 * 1.3, "h3": 18.72 * 1.3, "h4": 16 * 1.3, "h5": 13.28 * 1.3, "h6": 10.72 * 1.3,
     "b": 16 * 1.3, "strong": 16 * 1.3, "th": 16 * 1.3,
 }
-PATH_SKIPS = re.compile(r"^(style|src|srcset|d|on.*)$")
 HIDDEN_STYLE = re.compile(r"(display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 HIDDEN_RULE = re.compile(r"\.([\w-]+)\s*\{[^}]*display\s*:\s*none", re.I)
 ICON_CLASS = re.compile(r"material-icons|material-symbols")
@@ -104,6 +103,7 @@ class _Walker(HTMLParser):
 
     def __init__(self, path_attrs: set[str] | None):
         super().__init__(convert_charrefs=True)
+        self.error = None
         self.path_attrs = path_attrs
         self.nodes: list[dict] = []
         self.open: list[dict] = []
@@ -111,6 +111,17 @@ class _Walker(HTMLParser):
         self.hidden_classes: set[str] = set()
         self.base_href = None
 
+    def parse_marked_section(self, i, report=1):
+        """Any '<![…' is a comment up to the next '>', as in a browser."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+    def handle_startendtag(self, tag, attrs):
+        """The '/' of '<div/>' means nothing but inside drawings and formulas."""
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(n["tag"] in ("svg", "math") for n in self.open):
+            self.handle_endtag(tag)
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and any(n["tag"] == tag for n in self.open):
             return
@@ -118,6 +129,11 @@ class _Walker(HTMLParser):
             self._close({"p"}, {"button", "td", "th", "caption", "object"})
         if tag in CLOSED_BY:
             self._close(*CLOSED_BY[tag])
+        within = self.open[-1]["tag"] if self.open else None
+        if tag == "tr" and within == "table":
+            self.handle_starttag("tbody", [])
+        elif tag in ("td", "th") and within in ("table", "tbody", "thead", "tfoot"):
+            self.handle_starttag("tr", [])
         named = {}
         for name, value in attrs:
             named.setdefault(name, (value or "").replace(SEGMENT, "�").replace(ATOM, "�"))
@@ -146,13 +162,13 @@ class _Walker(HTMLParser):
             "parent_id": parent["node_id"] if parent else None,
             "depth": parent["depth"] + 1 if parent else 0,
             "subtree_end": node_id,
-            "anc": parent["anc"] + [parent["node_id"]] if parent else [],
+            "parent": parent,
             "tag": tag,
             "id": named.get("id"),
             "classes": classes,
             "attrs": list(named.items()),
             "nth_of_type": nth,
-            "path": (parent["path"] if parent else "") + self._segment(tag, named, classes, nth),
+            "segment": self._segment(tag, named, classes, nth),
             "visible": not hidden and (parent is None or parent["visible"]),
             "icon_id": node_id if is_icon else parent["icon_id"] if parent else None,
             "prominence": TEXT_SIZES.get(tag) or (parent["prominence"] if parent else TEXT_SIZE),
@@ -181,7 +197,7 @@ class _Walker(HTMLParser):
         atoms = [f"#{named['id']}"] if named.get("id") else []
         atoms += [f".{c}" for c in classes]
         for name, value in named.items():
-            if name in self.path_attrs if self.path_attrs is not None else not PATH_SKIPS.match(name):
+            if self.path_attrs is None or name in self.path_attrs:
                 atoms.append(f"[{name}={value}]")
         return SEGMENT + tag + ATOM + "".join(a + ATOM for a in [*atoms, f":{nth}"])
 
@@ -248,11 +264,21 @@ def _flatten(
     html: str, path_attrs: set[str] | None, columns: Sequence[str], tags: set[str] | None = None
 ) -> Iterator[list]:
     walker = _Walker(path_attrs)
-    walker.feed(html)
-    walker.finish()
+    try:
+        walker.feed(html)
+        walker.finish()
+    except Exception as e:  # the elements up to there stand
+        walker.error = f"{type(e).__name__}: {e}"
+        walker._pop_to(0)
     for node in walker.nodes:
         if tags is not None and node["tag"] not in tags:
             continue
+        # made for one element at a time, as the lines of deep pages are long
+        line, at = [], node
+        while at is not None and ("path" in columns or "anc" in columns):
+            line.append(at)
+            at = at["parent"]
+        node = node | {"error": walker.error, "anc": [n["node_id"] for n in line[:0:-1]], "path": "".join(n["segment"] for n in reversed(line))}
         if "text" in columns:
             node["text"] = walker.text(node)
         if "own_text" in columns:
@@ -271,13 +297,14 @@ def flatten_dom(
     """One row per element of every page: the ``carry`` columns of the page and the wanted node columns.
 
     ``path_attrs`` limits the attributes kept in ``path`` to those the selectors name; by default all
-    but styles, sources and scripts are kept. ``tags`` limits the rows to elements of these tags; their
-    paths and ancestor ids still tell about the others.
+    are kept. ``tags`` limits the rows to elements of these tags; their paths and ancestor ids still tell
+    about the others. What the parser can't go on with ends the page there: its elements have the reason
+    in ``error``.
     """
     columns = list(columns or NODE_COLUMNS)
     wanted = None if path_attrs is None else set(path_attrs)
     emitted = None if tags is None else set(tags)
-    source = spread(pages.select(*carry, "html"))
+    source = pages.select(*carry, "html")
     carried = [f for f in source.schema.fields if f.name != "html"]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in carried]
@@ -286,8 +313,9 @@ def flatten_dom(
 
     def parse(batches):
         for batch in batches:
-            htmls = batch.column("html").to_pylist()
-            rows, owners = [], []
+            rows, owners, chars = [], [], 0
+            texts = [i for i, c in enumerate(columns) if c in ("path", "text", "own_text")]
+            lists = [i for i, c in enumerate(columns) if c == "anc"]
 
             def flush():
                 taken = batch.select([f.name for f in carried]).take(pa.array(owners, pa.int32()))
@@ -298,13 +326,14 @@ def flatten_dom(
                     taken.columns + arrays, names=[f.name for f in carried] + columns
                 )
 
-            for at, html in enumerate(htmls):
-                for row in _flatten(html or "", wanted, columns, emitted):
+            for at, html in enumerate(batch.column("html")):
+                for row in _flatten(html.as_py() or "", wanted, columns, emitted):
                     rows.append(row)
                     owners.append(at)
-                    if len(rows) >= OUTPUT_ROWS:
+                    chars += sum(len(row[i]) for i in texts) + sum(8 * len(row[i]) for i in lists)
+                    if len(rows) >= OUTPUT_ROWS or chars >= OUTPUT_CHARS:
                         yield flush()
-                        rows, owners = [], []
+                        rows, owners, chars = [], [], 0
             if rows:
                 yield flush()
 

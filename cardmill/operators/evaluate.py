@@ -18,25 +18,33 @@ _REPLY = T.StructType([T.StructField("reply", T.StringType()), T.StructField("er
 
 
 def _ask(scorer: Scorer):
-    """A column function that sends the non-null prompts of a batch to the scorer."""
+    """A column function that sends the non-null prompts of a batch to the scorer; if that fails, one prompt at a time."""
+
+    def answers(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            replies = list(scorer(prompts))
+            if len(replies) != len(prompts):
+                raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+            return [(r, None) for r in replies]
+        except Exception as e:
+            return [(None, str(e))] if len(prompts) == 1 else [a for p in prompts for a in answers([p])]
 
     @F.pandas_udf(_REPLY)
     def ask(prompts: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame({"reply": None, "error": None}, index=prompts.index, dtype=object)
         asked = prompts.notna()
         if asked.any():
-            try:
-                out.loc[asked, "reply"] = list(scorer(prompts[asked].tolist()))
-            except Exception as e:
-                out.loc[asked, "error"] = str(e)
+            out.loc[asked, ["reply", "error"]] = answers(prompts[asked].tolist())
         return out
 
     return ask.asNondeterministic()
 
 
 def first_rows(jobs: DataFrame, limit: int, order: Sequence[str | Column], key: str) -> DataFrame:
-    """Flag the first ``limit`` rows in ``_chosen``; a top-k over the rows, not a global sort."""
-    chosen = jobs.orderBy(*order).limit(limit).select(key, F.lit(True).alias("_chosen"))
+    """Flag the rows with the keys of the first ``limit`` rows in ``_chosen``; a top-k over the rows, not a global sort.
+
+    ``limit`` is the number of model calls, so the first rows' keys fit in one task."""
+    chosen = jobs.orderBy(*order, key).limit(limit).select(key).distinct().withColumn("_chosen", F.lit(True))
     return jobs.join(chosen, key, "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(False)))
 
 
@@ -71,7 +79,7 @@ def evaluate_jobs(
         .withColumn("_verdict", F.coalesce("_verdict", parse_verdict(F.col("_two.reply"))))
     )
     error = F.coalesce(F.col("_two.error"), verdict_error(F.col("_two.reply")))
-    failed = F.concat(F.lit("evaluation failed: "), F.substring(error, 1, 80))
+    failed = F.concat(F.lit("evaluation failed: "), error)
     rated = tried.select(
         *jobs.columns,
         F.when(F.col("_chosen"), F.coalesce("_verdict.fit", F.lit("Unknown"))).alias("ai_fit"),

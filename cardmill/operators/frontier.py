@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.functions.text import strip
 from cardmill.functions.urls import search_url, url_tokens, without_fragment
 
 
@@ -38,7 +39,7 @@ def id_url_template(details: DataFrame, attributes: DataFrame) -> DataFrame:
         {"_tokens": url_tokens(F.col("_url")), "_tail": F.regexp_replace("_url", r"(?s)^(.*?://)?([^/]*/)?", "")}
     )
     candidates = attributes.withColumns(
-        {"_value": F.trim("value"), "_length": F.length("value")}
+        {"_value": strip(F.col("value")), "_length": F.length("value")}
     ).filter((F.length("_value") >= 3) & ~F.col("attr").isin("href", "class", "style"))
     within = (F.length("_value") >= 5) & F.contains(F.col("_tail"), F.col("_value"))
     hits = candidates.join(urls, "page_id").filter(F.array_contains("_tokens", F.col("_value")) | within)

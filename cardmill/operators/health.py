@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cardmill import fixed
 
 
+TIE = ("status", "n_jobs")  # of runs at one time
+
+
 def site_run_status(visits: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row per (run_id, slug): name, status, n_jobs, pages, error.
 
@@ -65,10 +68,10 @@ def health_history(runs: DataFrame, order: str = "run_at", bucket: Column | None
     runs = runs.withColumn("_bucket", bucket)
     before = (Window.unboundedPreceding, -1)
     across = Window.partitionBy("slug").orderBy("_bucket").rowsBetween(*before)
-    within = Window.partitionBy("slug", "_bucket").orderBy(order).rowsBetween(*before)
+    within = Window.partitionBy("slug", "_bucket").orderBy(order, *TIE).rowsBetween(*before)
     carried = (
         runs.groupBy("slug", "_bucket")
-        .agg(F.max_by(ok_jobs, F.when(ok_jobs.isNotNull(), F.col(order))).alias("_last"))
+        .agg(F.max_by(ok_jobs, F.when(ok_jobs.isNotNull(), F.struct(order, *TIE))).alias("_last"))
         .select("slug", "_bucket", F.last("_last", ignorenulls=True).over(across).alias("_carried"))
     )
     previous = F.coalesce(F.last(ok_jobs, ignorenulls=True).over(within), F.col("_carried"))
@@ -94,7 +97,7 @@ def health_snapshot(history: DataFrame, order: str = "run_at") -> DataFrame:
         "pages",
         "error",
     )
-    return history.groupBy("slug").agg(F.max_by(state, F.col(order)).alias("s")).select("slug", "s.*")
+    return history.groupBy("slug").agg(F.max_by(state, F.struct(order, *TIE)).alias("s")).select("slug", "s.*")
 
 
 def site_listing(sites: DataFrame, snapshot: DataFrame) -> DataFrame:

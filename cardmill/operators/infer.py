@@ -3,8 +3,8 @@
 Input is the prepared element table of the pages and a table of targets, one element per row that lies in
 a card (a job title, as a rule). Elements are pre-order numbered, so "inside" is an equi-join on an
 exploded ancestor list, never a range join. Most joins are on (page_id, node id); selectors meet elements on
-(page_id, tag), which for one huge page relies on AQE's split of skewed partitions. Per-card work is limited
-by the sample sizes that the rules name.
+(page_id, tag), which for one huge page relies on AQE's split of skewed partitions. Shares are taken over all cards, all
+elements of a card and all levels; ``sample`` limits them to the first cards where a caller wants that.
 """
 
 from __future__ import annotations
@@ -28,14 +28,6 @@ from cardmill.operators.dom import flatten_dom, visible_text
 from cardmill.operators.selectors import compile_selectors
 from cardmill.session import materialize
 
-# Limits of the rules.
-MAX_LEVELS = 15
-MAX_MEMBERS = 1000
-SELECTOR_SAMPLE = 40
-FIELD_SAMPLE = 50
-ID_SAMPLE = 30
-ID_NODES = 120
-ATTRIBUTE_NODES = 150
 NEVER_LEAF = ["script", "style", "noscript", "template", "svg"]
 
 KEY = ["page_id", "target_id"]
@@ -220,7 +212,7 @@ def _levels(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         _renamed(nodes, "el_parent_", "node_id", "sig").withColumnRenamed("el_parent_node_id", "el_parent_id"),
         ["page_id", "el_parent_id"],
     )
-    upwards = F.slice(F.reverse(F.array_append("el_anc", F.col("el_id"))), 1, MAX_LEVELS)
+    upwards = F.reverse(F.array_append("el_anc", F.col("el_id")))
     climbed = el.select("*", F.posexplode(upwards).alias("lvl", "node_id")).drop("el_anc")
     levels = climbed.join(
         nodes.filter(~F.col("tag").isin("html", "body")).select("page_id", "node_id", "parent_id"), ["page_id", "node_id"]
@@ -253,7 +245,7 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     groups = (
         found.groupBy(*at)
         .agg(F.count("*").alias("n"), F.max(F.col("member_id") == F.col("card_id")).alias("has_card"))
-        .filter(F.col("has_card") & F.col("n").between(2, MAX_MEMBERS))
+        .filter(F.col("has_card") & (F.col("n") >= 2))
         .select(*at, "n")
     )
     follows = F.lead("member_id").over(Window.partitionBy(*at).orderBy("member_id"))
@@ -319,12 +311,17 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     return materialize(cards), group.select(*KEY, "member_id", "idx")
 
 
+def first_cards(members: DataFrame, sample: int | None) -> DataFrame:
+    """All cards of each group, or the first ``sample``."""
+    return members if sample is None else members.filter(F.col("idx") <= sample)
+
+
 # --- fields -------------------------------------------------------------------------------------
-def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame, sample: int | None = None) -> DataFrame:
     """(page_id, target_id, field, selectors): selectors that find an element in its card and its group.
 
     ``wanted`` has page_id, target_id, field, card_id, el_id, need_text. The signature and the relative
-    selector must also hit, with text if needed, in 60 % of the first 40 cards; the exact path need not.
+    selector must also hit, with text if needed, in 60 % of the cards; the exact path need not.
     Each must select exactly the wanted element in the picked card.
     """
     el = _renamed(nodes, "el_", "node_id", "sig", "parent_id").withColumnRenamed("el_node_id", "el_id")
@@ -342,9 +339,9 @@ def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame) ->
         .join(paths, ["page_id", "card_id", "el_id"])
         .select(*of, "card_id", "el_id", "need_text", F.posexplode(options).alias("rank", "selector"))
     )
-    sample = members.filter(F.col("idx") <= SELECTOR_SAMPLE).select(*KEY, "member_id", F.lit(True).alias("sampled"))
-    sizes = sample.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
-    looked = sample.unionByName(
+    cards = first_cards(members, sample).select(*KEY, "member_id", F.lit(True).alias("sampled"))
+    sizes = cards.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
+    looked = cards.unionByName(
         wanted.select(*KEY, F.col("card_id").alias("member_id"), F.lit(False).alias("sampled")).distinct()
     )
     looked = looked.groupBy(*KEY, "member_id").agg(F.max("sampled").alias("sampled"))
@@ -394,7 +391,7 @@ def promoted_leaves(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     )
     family = family.groupBy("page_id", "parent_id").agg(F.count("*").alias("n"), F.min("inline").alias("all_inline"))
     parents = nodes.filter(inline & ~F.col("own")).select("page_id", F.col("node_id").alias("parent_id"))
-    wrappers = family.join(parents, ["page_id", "parent_id"]).filter("n <= 8 and all_inline").select(
+    wrappers = family.join(parents, ["page_id", "parent_id"]).filter("all_inline").select(
         "page_id", "parent_id", F.lit(True).alias("wraps")
     )
     up = F.col("wraps") & F.col("inline") & (F.col("parent_id") > F.col("card_id"))
@@ -439,15 +436,15 @@ def infer_title_link(nodes: DataFrame, cards: DataFrame) -> DataFrame:
     return joined.select(*KEY, "card_id", "title_id", F.coalesce("around_id", "first_id").alias("link_id"), kind.alias("link_kind"))
 
 
-def infer_text_fields(nodes: DataFrame, members: DataFrame, titles: DataFrame) -> DataFrame:
+def infer_text_fields(nodes: DataFrame, members: DataFrame, titles: DataFrame, sample: int | None = None) -> DataFrame:
     """(page_id, target_id, field, el_id): which text position holds location, posted and department.
 
-    Texts at the same path are compared over the first 50 cards. A position counts when the picked card
-    and half of the sample have it. Each position is used once; the later one wins a tie.
+    Texts at the same path are compared over the cards. A position counts when the picked card and half
+    of the cards have it. Each position is used once; the later one wins a tie.
     """
-    sample = members.filter(F.col("idx") <= FIELD_SAMPLE).select(*KEY, F.col("member_id").alias("card_id"), "idx")
-    sizes = sample.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
-    leaves = sample.join(text_leaves(nodes).withColumnRenamed("in_id", "card_id"), ["page_id", "card_id"])
+    looked = first_cards(members, sample).select(*KEY, F.col("member_id").alias("card_id"), "idx")
+    sizes = looked.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
+    leaves = looked.join(text_leaves(nodes).withColumnRenamed("in_id", "card_id"), ["page_id", "card_id"])
     leaves = materialize(promoted_leaves(nodes, leaves))
     title_pairs = titles.select("page_id", "card_id", F.col("title_id").alias("leaf_id"))
     keys = materialize(path_selectors(nodes, leaves.select("page_id", "card_id", "leaf_id").unionByName(title_pairs)))
@@ -506,10 +503,10 @@ def infer_text_fields(nodes: DataFrame, members: DataFrame, titles: DataFrame) -
     return taken[0].unionByName(taken[1]).unionByName(taken[2])
 
 
-def _card_nodes(nodes: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` elements of each picked card, with their relative selector (null for the card)."""
+def _card_nodes(nodes: DataFrame, cards: DataFrame) -> DataFrame:
+    """The elements of each picked card, with their relative selector (null for the card)."""
     inside = _lines(nodes, "attrs", "sig", "parent_id").withColumnRenamed("in_id", "card_id")
-    near = cards.select(*KEY, "card_id").join(inside, ["page_id", "card_id"]).filter(F.col("node_id") < F.col("card_id") + limit)
+    near = cards.select(*KEY, "card_id").join(inside, ["page_id", "card_id"])
     parent = _renamed(nodes, "parent_", "node_id", "sig").withColumnRenamed("parent_node_id", "parent_id")
     sel = F.when(
         F.col("node_id") != F.col("card_id"),
@@ -518,13 +515,13 @@ def _card_nodes(nodes: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
     return near.join(parent, ["page_id", "parent_id"], "left").withColumn("selector", sel)
 
 
-def infer_id_attribute(nodes: DataFrame, cards: DataFrame, members: DataFrame) -> DataFrame:
+def infer_id_attribute(nodes: DataFrame, cards: DataFrame, members: DataFrame, sample: int | None = None) -> DataFrame:
     """(page_id, target_id, selectors, attr): the attribute that identifies a card.
 
-    Over the first 30 cards 80 % must have a value, and all values must differ. A telling name and a
+    Of the cards 80 % must have a value, and all values must differ. A telling name and a
     place on the card itself count for an attribute; the first best wins.
     """
-    listed = _card_nodes(nodes, cards, ID_NODES).select(
+    listed = _card_nodes(nodes, cards).select(
         *KEY, "card_id", "node_id", "selector", F.posexplode(F.map_entries("attrs")).alias("pos", "a")
     )
     usable = (
@@ -533,19 +530,19 @@ def infer_id_attribute(nodes: DataFrame, cards: DataFrame, members: DataFrame) -
         & F.rlike(F.col("a.value"), F.lit(r"\d"))
     )
     options = materialize(listed.filter(usable).select(*KEY, "card_id", "node_id", "selector", "pos", F.col("a.key").alias("attr")))
-    sample = members.filter(F.col("idx") <= ID_SAMPLE).select(*KEY, "member_id")
-    sizes = sample.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
+    looked = first_cards(members, sample).select(*KEY, "member_id")
+    sizes = looked.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
     specs = options.filter(F.col("selector").isNotNull()).select(*KEY, "selector").distinct()
     inside = F.when(F.col("scope_pattern").isNotNull(), F.array("parent_id")).otherwise(F.col("anc"))
     hits = match_on_pages(nodes, specs).select(*KEY, "selector", "node_id", "attrs", F.explode(inside).alias("member_id"))
     inner = (
-        hits.join(sample, [*KEY, "member_id"])
+        hits.join(looked, [*KEY, "member_id"])
         .groupBy(*KEY, "selector", "member_id")
         .agg(F.min_by("attrs", "node_id").alias("attrs"))
     )
     own = nodes.select("page_id", F.col("node_id").alias("member_id"), "attrs")
     found = options.filter(F.col("selector").isNotNull()).join(inner, [*KEY, "selector"])
-    found = found.unionByName(options.filter(F.col("selector").isNull()).join(sample, KEY).join(own, ["page_id", "member_id"]))
+    found = found.unionByName(options.filter(F.col("selector").isNull()).join(looked, KEY).join(own, ["page_id", "member_id"]))
     value = F.nullif(F.try_element_at(F.col("attrs"), F.col("attr")), F.lit(""))
     score = F.when(F.rlike("attr", F.lit(fixed.ID_ATTR_NAME)), 2).otherwise(0) + F.when(F.col("selector").isNull(), 1).otherwise(0)
     judged = (
@@ -560,12 +557,12 @@ def infer_id_attribute(nodes: DataFrame, cards: DataFrame, members: DataFrame) -
 
 
 def card_attributes(nodes: DataFrame, cards: DataFrame) -> DataFrame:
-    """(page_id, target_id, ord, selectors, attr, value): attributes of the first 150 elements of a card."""
-    listed = _card_nodes(nodes, cards, ATTRIBUTE_NODES).select(
+    """(page_id, target_id, ord, selectors, attr, value): attributes of the elements of a card."""
+    listed = _card_nodes(nodes, cards).select(
         *KEY, "node_id", "selector", F.posexplode(F.map_entries("attrs")).alias("pos", "a")
     )
     kept = listed.filter(
-        ~F.rlike(F.col("a.key"), F.lit(fixed.CARD_ATTR_SKIP)) & (F.col("a.value") != "") & (F.length("a.value") <= 300)
+        ~F.rlike(F.col("a.key"), F.lit(fixed.CARD_ATTR_SKIP)) & (F.col("a.value") != "")
     )
     return kept.select(
         *KEY,

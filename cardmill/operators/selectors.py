@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardmill.functions.elements import control_disabled
 from cardmill.operators.dom import ATOM, SEGMENT
-from cardmill.session import local_table, small_rows
+from cardmill.session import materialize
 
 _NAME = r"(?:[\w-]|[^\x00-\x7F]|\\[0-9a-fA-F]{1,6}\s?|\\[^0-9a-fA-F\n])+"
 _TOKEN = re.compile(
@@ -51,8 +51,8 @@ def compile_selector(selector: str | None) -> dict | None:
     if xpath:
         steps = re.findall(r"/([\w-]+)\[(\d+)\]", xpath.group(1))
         chain = "".join(_element(tag.lower(), [f":{n}{ATOM}"]) for tag, n in steps)
-        return {"tag": steps[-1][0].lower(), "pattern": rf"\A{chain}\z", "scope_pattern": None, "text": None}
-    chain, tag, tests, text, scoped, at = "", None, [], None, False, 0
+        return {"tag": steps[-1][0].lower(), "pattern": rf"\A{chain}\z", "scope_pattern": None, "text": None, "attrs": []}
+    chain, tag, tests, text, scoped, at, attrs = "", None, [], None, False, 0, []
     fresh = True  # no simple selector seen since the last combinator
     while at < len(selector):
         m = _TOKEN.match(selector, at)
@@ -81,7 +81,8 @@ def compile_selector(selector: str | None) -> dict | None:
         elif m["id"]:
             tests.append(re.escape("#" + _unescape(m["id"])) + ATOM)
         elif m["attr"]:
-            name = re.escape("[" + _unescape(m["attr"]).lower() + "=")
+            attrs.append(_unescape(m["attr"]).lower())
+            name = re.escape(f"[{attrs[-1]}=")
             value = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), None)
             tests.append(name if value is None else name + re.escape(_unescape(value) + "]") + ATOM)
         elif m["nth"]:
@@ -97,14 +98,16 @@ def compile_selector(selector: str | None) -> dict | None:
         "pattern": rf"{chain}\z",
         "scope_pattern": rf"\A{chain}\z" if scoped else None,
         "text": text,
+        "attrs": attrs,
     }
 
 
-COMPILED = {"tag": "spec_tag", "pattern": "pattern", "scope_pattern": "scope_pattern", "text": "spec_text"}
+COMPILED = {"tag": "spec_tag", "pattern": "pattern", "scope_pattern": "scope_pattern", "text": "spec_text", "attrs": "spec_attrs"}
 
 
 def compiled_schema(specs: DataFrame) -> T.StructType:
-    return T.StructType([*specs.schema.fields, *[T.StructField(c, T.StringType()) for c in COMPILED.values()]])
+    kinds = {c: T.ArrayType(T.StringType()) if c == "spec_attrs" else T.StringType() for c in COMPILED.values()}
+    return T.StructType([*specs.schema.fields, *[T.StructField(c, kind) for c, kind in kinds.items()]])
 
 
 def compile_rows(rows: Iterable[dict]) -> Iterator[dict]:
@@ -116,7 +119,7 @@ def compile_rows(rows: Iterable[dict]) -> Iterator[dict]:
 
 
 def compile_selectors(specs: DataFrame) -> DataFrame:
-    """Add spec_tag, pattern, scope_pattern and spec_text for ``selector``; invalid selectors are dropped."""
+    """Add spec_tag, pattern, scope_pattern, spec_text and spec_attrs for ``selector``; invalid selectors are dropped."""
     schema = compiled_schema(specs)
     arrow = to_arrow_schema(schema)
 
@@ -129,45 +132,48 @@ def compile_selectors(specs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Specs:
-    """Compiled selectors of all sites, and what a plan may know about them in advance."""
+    """Compiled selectors of all sites, and the names that occur in them."""
 
     table: DataFrame
-    kinds: set[str] | None = None  # values of ``kind`` that occur, None when unknown
-    attrs: set[str] | None = None  # attribute names the selectors mention, None when unknown
-    tags: set[str] | None = None  # tags of the elements they can match, None when unknown or any
+    kinds: set[str] = field(default_factory=set)  # values of ``kind``
+    attrs: set[str] = field(default_factory=set)  # attribute names
+    tags: set[str] = field(default_factory=set)  # tags of the elements they can match, '*' for any
+    has_text: bool = False  # whether some ask for an element's text
 
     @staticmethod
     def of(specs: DataFrame) -> Specs:
-        """Compile selectors; a small table is evaluated here, a large one stays distributed."""
-        found = small_rows(specs)
-        if found is None:
-            return Specs(compile_selectors(specs))
-        rows = list(compile_rows(r.asDict() for r in found))
-        names = {name.lower() for r in rows for name in re.findall(r"\[\s*([\w-]+)", r["selector"])}
-        kinds = {r.get("kind") for r in rows} if "kind" in specs.columns else None
-        tags = {r["spec_tag"] for r in rows}
-        table = local_table(specs.sparkSession, rows, compiled_schema(specs))
-        return Specs(table, kinds, names, None if "*" in tags else tags)
+        """Compile the selectors once, into the work folder; of its size Spark knows whether to broadcast it.
+
+        Only the distinct names come to the driver, however many selectors there are.
+        """
+        table = materialize(compile_selectors(specs))
+        kinds = F.collect_set("kind") if "kind" in specs.columns else F.array().cast("array<string>")
+        names = table.agg(
+            kinds.alias("kinds"),
+            F.array_distinct(F.flatten(F.collect_set("spec_attrs"))).alias("attrs"),
+            F.collect_set("spec_tag").alias("tags"),
+            F.coalesce(F.max(F.col("spec_text").isNotNull()), F.lit(False)).alias("has_text"),
+        ).first()
+        return Specs(table, set(names.kinds), set(names.attrs), set(names.tags), names.has_text)
 
     def may_have(self, kind: str) -> bool:
-        return self.kinds is None or kind in self.kinds
+        return kind in self.kinds
 
 
 def needed(*specs: Specs) -> dict[str, set[str] | None]:
-    """What ``flatten_dom`` must emit for these selectors: ``path_attrs`` and ``tags``, None for all."""
-
-    def union(sets: list[set[str] | None]) -> set[str] | None:
-        return None if any(s is None for s in sets) else set().union(*sets)
-
-    return {"path_attrs": union([s.attrs for s in specs]), "tags": union([s.tags for s in specs])}
+    """What ``flatten_dom`` must emit for these selectors: ``path_attrs``, and ``tags`` (None for all)."""
+    tags = set().union(*[s.tags for s in specs])
+    return {"path_attrs": set().union(*[s.attrs for s in specs]), "tags": None if "*" in tags else tags}
 
 
 def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",)) -> DataFrame:
     """Every (element, selector) match: the node columns plus those of the compiled ``specs``.
 
-    The specs of all sites are a small broadcast table, so that matching is one pass over the elements
-    without a shuffle. If they are too many for that, Spark shuffles both sides by site.
+    A small table of specs is broadcast by Spark, so that matching is one pass over the elements without a shuffle; a
+    large one is joined by site. Elements need their ``text`` when a selector asks for it.
     """
+    if specs.has_text and "text" not in nodes.columns:
+        raise ValueError("a selector asks for :text-is, so the elements need their text")
     same_tag = (F.col("spec_tag") == F.col("tag")) | (F.col("spec_tag") == "*")
     hit = F.rlike("path", F.col("pattern"))
     if "text" in nodes.columns:
@@ -175,7 +181,7 @@ def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",
         hit = hit & (F.col("spec_text").isNull() | (own == F.col("spec_text")))
     # the order counts: most pairs fail on the tag, before any pattern is compiled
     joined = nodes.join(specs.table, list(on)).filter(F.when(same_tag, hit).otherwise(False))
-    return joined.drop("spec_tag", "pattern", "spec_text")
+    return joined.drop("spec_tag", "pattern", "spec_text", "spec_attrs")
 
 
 def first_candidates(
@@ -209,13 +215,16 @@ def next_control(nodes: DataFrame, specs: Specs) -> DataFrame:
     return first.filter("_first.usable").select("page_id", F.col("_first.node_id").alias("node_id"))
 
 
-def selector_report(nodes: DataFrame, pages: DataFrame, specs: Specs, max_selectors: int = 4) -> DataFrame:
-    """Why a control was not found: per page, what each of the first selectors matches, as one text.
+def selector_report(
+    nodes: DataFrame, pages: DataFrame, specs: Specs, max_selectors: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """Why a control was not found: per page, what each selector matches, as one text.
 
-    ``pages`` has the (page_id, slug, page_no) to report on, also those without any match.
+    ``max_selectors`` and ``max_chars`` shorten a report for display to the first selectors and characters of each; by
+    default nothing is cut. ``pages`` has the (page_id, slug, page_no) to report on, also those without any match.
     """
     on = ["slug", "page_no"]
-    few = replace(specs, table=specs.table.filter(F.col("rank") < max_selectors))
+    few = replace(specs, table=specs.table.filter(F.col("rank") < max_selectors)) if max_selectors else specs
     stats = (
         match_selectors(nodes, few, on)
         .groupBy("page_id", "rank")
@@ -230,7 +239,7 @@ def selector_report(nodes: DataFrame, pages: DataFrame, specs: Specs, max_select
     rows = asked.join(stats, ["page_id", "rank"], "left")
     n = F.coalesce("n", F.lit(0))
     detail = F.concat(
-        F.substring("selector", 1, 80),
+        F.substring("selector", 1, max_chars) if max_chars else F.col("selector"),
         F.lit(" → "),
         n.cast("string"),
         F.when(n == 1, " match").otherwise(" matches"),

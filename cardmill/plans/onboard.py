@@ -14,6 +14,7 @@ from cardmill.operators.infer import (
     infer_fields,
     prepare_nodes,
 )
+from cardmill.operators.jobs import harvest_first_seen
 from cardmill.plans.scrape import extract_pages
 from cardmill.session import materialize
 from cardmill.sources.sites import SITE_SCHEMA, with_defaults
@@ -23,7 +24,8 @@ def learn_sites(pages: DataFrame, targets: DataFrame | None = None, details: Dat
     """One config per site, learned from its listing page (page_id, url, html, slug, name).
 
     ``targets`` (page_id, target_id, node_id) says which element is a job title; without it each repeated
-    link position is tried and the largest group of cards wins. ``details`` (page_id, detail_url) gives
+    link position is tried and the largest group of cards wins. Of several pages of a site the one with the
+    largest group is learned from, of equal ones the one with the smallest page_id. ``details`` (page_id, detail_url) gives
     the address that opened for a card, from which a link template is made when cards have no link.
     """
     nodes = prepare_nodes(pages)
@@ -31,6 +33,9 @@ def learn_sites(pages: DataFrame, targets: DataFrame | None = None, details: Dat
     cards, members = infer_cards(nodes, targets)
     best = cards.groupBy("page_id").agg(F.max(F.struct("count", -F.col("target_id"))).alias("b"))
     best = best.select("page_id", (-F.col("b.col2")).alias("target_id"))
+    sized = cards.join(best, KEY).join(pages.select("page_id", "slug"), "page_id")
+    best = sized.groupBy("slug").agg(F.max(F.struct("count", -F.col("page_id"), "target_id")).alias("b"))
+    best = materialize(best.select((-F.col("b.col2")).alias("page_id"), "b.target_id"))
     cards = materialize(cards.join(best, KEY))
     members = members.join(best, KEY)
     fields = infer_fields(nodes, cards, members)
@@ -66,6 +71,9 @@ def _link_templates(learned: DataFrame, attributes: DataFrame, details: DataFram
 
 
 def verify_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """The configs with ``onboarded_job_count`` set to the rows they read from the pages."""
-    counts = extract_pages(pages, sites).groupBy("slug").agg(F.count("*").cast("int").alias("_n"))
+    """The configs with ``onboarded_job_count`` set to the different rows that a run of them reads from the pages."""
+    rows = extract_pages(pages, sites)
+    number = pages.select("page_id", "page_no") if "page_no" in pages.columns else pages.select("page_id", F.lit(1).alias("page_no"))
+    seen = harvest_first_seen(rows.join(number, "page_id"))
+    counts = seen.groupBy("slug").agg(F.count("*").cast("int").alias("_n"))
     return sites.join(counts, "slug", "left").withColumn("onboarded_job_count", F.coalesce("_n", F.lit(0))).drop("_n")

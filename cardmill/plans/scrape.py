@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardmill import fixed
 from cardmill.functions.text import block_reason
 from cardmill.operators.dom import flatten_dom
-from cardmill.operators.extract import CARD_NODE_COLUMNS, extract_cards, extraction_specs
+from cardmill.operators.extract import CARD_NODE_COLUMNS, extract_cards, extraction_specs, listing_frame
 from cardmill.operators.health import site_run_status
 from cardmill.operators.jobs import (
     deduplicate,
@@ -21,7 +21,7 @@ from cardmill.operators.jobs import (
     within_cutoff,
 )
 from cardmill.operators.selectors import control_specs, has_next, needed, next_control
-from cardmill.session import SITE_MAX_ROWS, bounded, materialize
+from cardmill.session import materialize
 
 JOB_ORDER = ["slug", "page_no", "pos"]
 
@@ -37,12 +37,20 @@ class Run:
 
 def extract_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """Raw job rows of pages (page_id, url, html, slug), reading only the elements that selectors can match."""
-    sites = bounded(sites, SITE_MAX_ROWS)
     specs = extraction_specs(sites)
     nodes = flatten_dom(pages, CARD_NODE_COLUMNS, carry=["page_id", "url", "slug"], **needed(specs))
     return extract_cards(nodes, sites, specs)
 
 
+def listing_frames(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """The frame of each view that holds the list; pages without frames as they are. Only keys are compared."""
+    if not {"view_id", "frame_no", "frame_url"} <= set(pages.columns):
+        return pages
+    frames = pages.select("page_id", "slug", "view_id", "frame_no", "frame_url")
+    frames = frames.join(sites.select("slug", "frame_url_contains"), "slug")
+    return pages.join(listing_frame(frames, F.col("frame_url_contains")).select("page_id"), "page_id", "left_semi")
+
+
 def rank(raw: DataFrame, order: list[str] = JOB_ORDER, min_score: int | None = fixed.MIN_SCORE) -> DataFrame:
     """Normalized rows without duplicates, scored, filtered and sorted."""
     return rank_jobs(deduplicate(normalize_jobs(raw), order), order, min_score)
@@ -52,9 +60,12 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
     """Run the sites over their fetched pages (page_id, slug, page_no, url, html, status).
 
     Blocked sites are left out, pages after a run's end are not counted, and rows seen twice in a run
-    are kept once.
+    are kept once. Where pages come as the frames of a view (view_id, frame_no, frame_url), the frame
+    that the site's marker names is read. A page that could not be read to its end gives the run the
+    status 'error', with the rows found so far.
     """
-    sites = bounded(sites, SITE_MAX_ROWS)
+    sites = materialize(sites)
+    pages = listing_frames(pages, sites)
     reason = block_reason(F.col("html"), F.col("status"))
     visits = pages.select("page_id", "slug", "page_no", reason.alias("block_reason")).join(
         sites.select("slug", "name", "pagination"), "slug"
@@ -66,7 +77,7 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
     nodes = materialize(
         flatten_dom(
             open_pages,
-            [*CARD_NODE_COLUMNS, "classes"],
+            [*CARD_NODE_COLUMNS, "classes", "error"],
             carry=["page_id", "url", "slug", "page_no"],
             **needed(controls, fields),
         )
@@ -83,9 +94,10 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
     )
     names = sites.select("slug", F.col("name").alias("company"))
     raw = within_cutoff(first_seen, cutoff).drop("company").join(names, "slug")
-    read = visits.join(cutoff.select("slug", "pages"), "slug").filter("page_no <= pages")
+    errors = nodes.filter("error is not null").groupBy("page_id").agg(F.min("error").alias("error"))
+    read = visits.join(cutoff.select("slug", "pages"), "slug").filter("page_no <= pages").join(errors, "page_id", "left")
     runs = site_run_status(
-        read.select(F.lit(run_id).alias("run_id"), "slug", "name", "page_no", "block_reason", F.lit(None).cast("string").alias("error")),
+        read.select(F.lit(run_id).alias("run_id"), "slug", "name", "page_no", "block_reason", "error"),
         raw.select(F.lit(run_id).alias("run_id"), "slug"),
     )
     return Run(raw=normalize_jobs(raw), ranked=rank(raw), runs=runs)

@@ -1,4 +1,4 @@
-"""Session helpers: recommended settings, shared work folder and size-checked broadcasts."""
+"""Session helpers: recommended settings, and tables in the shared work folder."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_MAX_ROWS = 50_000  # of a few hundred bytes each
-SITE_MAX_ROWS = 5_000  # site configs, of a few kilobytes each
-SCAN_PARTITION_BYTES = 128 * 1024 * 1024  # spark.sql.files.maxPartitionBytes
 
 
 def local_session(app: str = "cardmill", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,14 +48,15 @@ def _local_folder(app_id: str) -> str:
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that runs on one machine and names no such folder gets a temporary one.
+    Folders lie below the application's id, so that a cluster can clear them when the application has ended. Only a session
+    that runs on one machine and names no such folder gets a temporary one.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = _local_folder(spark.sparkContext.applicationId)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -72,41 +68,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small table over all cores before an expensive step, as a single small file is one task.
-
-    The size comes from the plan's own estimate, so nothing is run to find it. A table that fills a scan
-    partition per core, or whose size is unknown, is returned as it is, without a shuffle. The rows are
-    dealt out without a key, as Spark merges the partitions of a small keyed shuffle again.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if size < cores * SCAN_PARTITION_BYTES else df
-
-
-def small_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list | None:
-    """The rows of a small table, None when there are more than ``max_rows``."""
-    rows = df.take(max_rows + 1)
-    return rows if len(rows) <= max_rows else None
-
-
-def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Evaluate a small table once, with a broadcast hint; a larger one is returned as it is.
-
-    The size is proven by reading at most ``max_rows + 1`` rows. A larger side stays distributed and
-    unhinted, so that Spark shuffles it and splits skewed partitions.
-    """
-    if getattr(df, "_is_bounded", False):
-        return df
-    rows = small_rows(df, max_rows)
-    return df if rows is None else local_table(df.sparkSession, rows, df.schema)
-
-
-def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
-    """A broadcast table from already read rows."""
-    table = F.broadcast(spark.createDataFrame(rows, schema, verifySchema=False).coalesce(1))
-    table._is_bounded = True
-    return table

@@ -51,19 +51,21 @@ def capture_body_plan(responses: DataFrame, mode: str = "all") -> DataFrame:
 
 
 def visited_url_templates(
-    responses: DataFrame, visit: str = "visit_id", order: str = "ts", bucket: Column | None = None
+    responses: DataFrame, visit: str = "visit_id", order: str = "ts", bucket: Column | None = None, tie: str = "url"
 ) -> DataFrame:
     """Add ``url_template``: the page pattern between consecutive listing URLs of a visit.
 
+    Responses of one time follow each other by ``tie``.
+
     The previous URL is found in two levels, within time buckets (hours by default) and across them, so
     that a visit with very many responses spreads over many tasks.
     """
     responses = responses.withColumn("_bucket", F.floor(F.col(order) / 3600) if bucket is None else bucket)
     across = Window.partitionBy(visit).orderBy("_bucket")
-    within = Window.partitionBy(visit, "_bucket").orderBy(order)
+    within = Window.partitionBy(visit, "_bucket").orderBy(order, tie)
     carried = (
         responses.groupBy(visit, "_bucket")
-        .agg(F.max_by("url", order).alias("_last"))
+        .agg(F.max_by("url", F.struct(order, tie)).alias("_last"))
         .select(visit, "_bucket", F.lag("_last").over(across).alias("_carried"))
     )
     before = F.when(F.row_number().over(within) == 1, F.col("_carried")).otherwise(F.lag("url").over(within))

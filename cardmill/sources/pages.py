@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.session import SITE_MAX_ROWS, bounded
-
-PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -15,12 +12,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def pages_of_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pages of the configured companies, with their site's name, paging rules and frame marker."""
-    rules = sites.select("slug", "name", "pagination", "frame_url_contains")
-    return pages.join(bounded(rules, SITE_MAX_ROWS), "slug")
-
-
 def single_site(pages: DataFrame, slug: str, page_no: int = 1) -> DataFrame:
     """Pages that all belong to one site run."""
     return pages.withColumns({"slug": F.lit(slug), "page_no": F.lit(page_no)})

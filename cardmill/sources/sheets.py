@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardmill import fixed
+from cardmill.session import materialize
 
 
-def sheet_cell(c: Column, dtype: T.DataType) -> Column:
-    """Cell text: lists joined, maps and structs as text, control characters dropped, long text cut.
+def sheet_cell(c: Column, dtype: T.DataType, max_chars: int | None = None) -> Column:
+    """Cell text: lists joined, maps and structs as text, control characters dropped, cut only to a given length.
 
     Numbers and booleans stay as they are.
     """
@@ -23,12 +24,14 @@ def sheet_cell(c: Column, dtype: T.DataType) -> Column:
     elif not isinstance(dtype, T.StringType):
         return c
     text = F.regexp_replace(F.coalesce(c, F.lit("")), fixed.SHEET_CONTROL_CHARS, "")
-    return F.substring(text, 1, fixed.SHEET_CELL_CHARS)
+    return F.substring(text, 1, max_chars) if max_chars else text
 
 
-def export_projection(jobs: DataFrame) -> DataFrame:
+def export_projection(jobs: DataFrame, max_chars: int | None = None) -> DataFrame:
     """The known columns that occur in at least one row, labelled, in fixed order; others are dropped.
 
+    ``max_chars`` is for programs that read no longer cells; by default nothing is cut.
+
     Which columns occur is found with one aggregate over the rows. If none occurs, the first three
     columns are written empty.
     """
@@ -40,7 +43,7 @@ def export_projection(jobs: DataFrame) -> DataFrame:
     if not present:
         return jobs.select(*[F.lit("").alias(label) for label in list(fixed.SHEET_COLUMNS.values())[:3]])
     return jobs.select(
-        *[sheet_cell(F.col(c), jobs.schema[c].dataType).alias(fixed.SHEET_COLUMNS[c]) for c in present]
+        *[sheet_cell(F.col(c), jobs.schema[c].dataType, max_chars).alias(fixed.SHEET_COLUMNS[c]) for c in present]
     )
 
 
@@ -52,8 +55,8 @@ def write_run(jobs: DataFrame, path: str, run_id: str, stage: str) -> str:
 
 
 def write_job_sheet(jobs: DataFrame, path: str) -> None:
-    """Write the labelled sheet as CSV."""
-    export_projection(jobs).write.mode("overwrite").option("header", True).option("escape", '"').option(
+    """Write the labelled sheet as CSV. The rows are computed once, into the work folder."""
+    export_projection(materialize(jobs)).write.mode("overwrite").option("header", True).option("escape", '"').option(
         "emptyValue", ""
     ).csv(path)
 

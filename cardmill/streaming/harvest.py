@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardmill.operators.jobs import harvest_first_seen
 from cardmill.plans.scrape import extract_pages
-from cardmill.session import SITE_MAX_ROWS, bounded
+from cardmill.session import materialize
 
 
 def first_seen_within(rows: DataFrame, keys: Sequence[str], event_time: str, delay: str = "1 day") -> DataFrame:
@@ -42,21 +42,25 @@ def append_first_seen(
 
 
 def harvest_stream(
-    source: DataFrame, table: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame] | None = None, **options
+    source: DataFrame, table: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame] | None = None,
+    trigger: dict | None = None, **options
 ) -> StreamingQuery:
-    """Run a stream of pages (or of extracted rows, without ``extract``) into a first-seen table."""
+    """Run a stream of pages (or of extracted rows, without ``extract``) into a first-seen table.
+
+    ``trigger`` are the arguments of the writer's trigger; by default all that is there is read once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_first_seen(extract(batch) if extract else batch, batch_id, table, **options)
 
     return (
-        source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def page_extractor(sites: DataFrame, page_no: str = "page_no") -> Callable[[DataFrame], DataFrame]:
     """Extraction step for ``harvest_stream``: pages with slug and page_no to rows."""
-    sites = bounded(sites, SITE_MAX_ROWS)
+    sites = materialize(sites)
 
     def extract(batch: DataFrame) -> DataFrame:
         rows = extract_pages(batch, sites)

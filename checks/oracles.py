@@ -123,8 +123,8 @@ ORACLES = {
         SELECT conv_id, turn, CAST(trim(text) <> '' AND length(text) <= 120 AND NOT contains(text, chr(10)) AS INTEGER) AS plausible
         FROM conversations""",
     "block_reason": """
-        SELECT page_id, CASE WHEN contains(lower(substr(html, 1, 20000)), 'cheap-pills') THEN 'challenge page (cheap-pills)'
-                             WHEN contains(lower(substr(html, 1, 20000)), 'spam-farm') THEN 'challenge page (spam-farm)'
+        SELECT page_id, CASE WHEN contains(lower(html), 'cheap-pills') THEN 'challenge page (cheap-pills)'
+                             WHEN contains(lower(html), 'spam-farm') THEN 'challenge page (spam-farm)'
                              WHEN page_id % 7 = 0 THEN 'HTTP 403' END AS reason
         FROM pages""",
     "fill_template": """
@@ -279,7 +279,7 @@ ORACLES = {
         SELECT 'https://h.example.com/' || user_id AS view_id, event_id AS frame_no, 'https://h.example.com/' || event_type || '?u=' || user_id AS frame_url
         FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, event_id) = 1""",
     "export_projection": r"""
-        SELECT substr(regexp_replace('A' || text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), 1, 32000) AS "Title",
+        SELECT regexp_replace('A' || text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS "Title",
                lang || ', ' || source AS "Department", n_chars AS "Score", CAST(doc_id AS VARCHAR) AS "Job ID"
         FROM documents""",
     "job_sheet_round_trip": """
@@ -360,6 +360,16 @@ ORACLES = {
         SELECT 's' || (c_custkey // 10) AS slug, CAST(count(*) AS INTEGER) AS onboarded_job_count FROM customer GROUP BY 1""",
     "stream_pages": f"SELECT DISTINCT 'feed' AS slug, apply_url AS job_key FROM ({CARDS})",
     "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
+    "control_disabled": """
+        SELECT s_suppkey, CASE WHEN s_suppkey % 8 IN (0, 1, 3, 4, 6) THEN 1 ELSE 0 END AS disabled FROM supplier
+    """,
+    "hidden_cards": """
+        SELECT c_custkey // 20 AS page_id, c_name AS title FROM customer WHERE c_custkey % 7 > 2
+    """,
+    "infer_field": """
+        SELECT DISTINCT c_custkey // 10 AS page_id, 'department' AS field, ':scope > div > span:nth-of-type(2)' AS selectors FROM customer
+        QUALIFY count(*) OVER (PARTITION BY c_custkey // 10) > 1
+    """,
 }
 ORACLES["stream_harvest"] = ORACLES["harvest_first_seen"]
 ORACLES["stream_health"] = ORACLES["health_history"]

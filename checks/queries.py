@@ -53,7 +53,10 @@ def site_table(spark: SparkSession, *docs: dict) -> DataFrame:
 
 
 def feed_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.single_site(pages.read_pages(spark, f"{sf}/pages.parquet"), "feed")
+    """The pages as one site. The sample tables are one file of one row group each, so they are dealt out to all cores here;
+    the library never shuffles pages for that."""
+    found = pages.read_pages(spark, f"{sf}/pages.parquet").repartition(spark.sparkContext.defaultParallelism)
+    return pages.single_site(found, "feed")
 
 
 def null_text() -> Column:
@@ -703,6 +706,42 @@ def verify_sites(spark, sf):
     return onboard.verify_sites(fetched, onboard.learn_sites(fetched)).select("slug", "onboarded_job_count")
 
 
+def control_disabled(spark, sf):
+    """Controls of suppliers, switched off in each of the ways that count."""
+    key = F.col("s_suppkey") % 8
+    classes = F.split(F.when(key == 0, "step is-disabled").when(key == 1, "disabled").when(key == 2, "undisabledly").otherwise("step"), " ")
+    attrs = (
+        F.when(key == 3, F.create_map(F.lit("disabled"), F.lit(""))).when(key == 4, F.create_map(F.lit("aria-disabled"), F.lit("true")))
+        .when(key == 5, F.create_map(F.lit("aria-disabled"), F.lit("false"))).when(key == 6, F.create_map(F.lit("style"), F.lit("Pointer-Events : none")))
+        .otherwise(F.create_map(F.lit("rel"), F.lit("next")))
+    )
+    return table(spark, sf, "supplier").select("s_suppkey", elements.control_disabled(classes, attrs).cast("int").alias("disabled"))
+
+
+def hidden_cards(spark, sf):
+    """Listing pages on which cards are hidden by an attribute, a style of their own or a rule of the page."""
+    ship_package(spark)
+    how = F.expr("CASE k % 7 WHEN 0 THEN ' hidden' WHEN 1 THEN ' style=\"display: none\"' WHEN 2 THEN ' class=\"off\"' ELSE '' END")
+    card = F.concat(F.lit("<li"), how, F.lit("><a href='/c/"), "k", F.lit("'>"), "c_name", F.lit("</a></li>"))
+    rows = table(spark, sf, "customer").withColumn("k", F.col("c_custkey"))
+    listed = rows.groupBy(F.floor(F.col("k") / 20).alias("page_id")).agg(F.array_join(F.collect_list(card), "").alias("cards"))
+    site = {"name": "C", "slug": "c", "start_url": "https://c.test/", "dom": {"card": {"candidates": ["ul > li"]}, "fields": {"title": {"selectors": ["a"]}}}}
+    html = F.concat(F.lit("<html><head><style>.off{display:none}</style></head><body><ul>"), "cards", F.lit("</ul></body></html>"))
+    fetched = listed.select("page_id", F.lit("https://c.test/").alias("url"), html.alias("html"), F.lit("c").alias("slug"), F.lit(1).alias("page_no"))
+    return scrape.extract_pages(fetched, site_table(spark, site)).select("page_id", "title")
+
+
+def infer_field(spark, sf):
+    """The field spec that follows from one chosen element of a card: the second text of the first card of each page."""
+    ship_package(spark)
+    nodes = infer.prepare_nodes(customer_pages(spark, sf))
+    targets = nodes.filter("tag = 'a'").groupBy("page_id").agg(F.min("node_id").alias("node_id")).withColumn("target_id", F.lit(0))
+    _, members = infer.infer_cards(nodes, targets)
+    picks = nodes.filter("tag = 'span' and nth_of_type = 2").groupBy("page_id").agg(F.min("node_id").alias("node_id"))
+    found = infer.infer_field(nodes, members, picks.select("page_id", F.lit(0).alias("target_id"), F.lit("department").alias("field"), "node_id"))
+    return found.select("page_id", "field", F.array_join("selectors", " | ").alias("selectors"))
+
+
 # --- streams ------------------------------------------------------------------------------------
 def stream_harvest(spark, sf):
     """Rows arriving in several batches, kept once each."""
@@ -760,7 +799,7 @@ FUNCTIONS = [
     capture_body_plan, read_capture_index, visited_url_templates, listing_frame, export_projection,
     job_sheet_round_trip, write_run, flatten_dom, visible_text, match_selectors, extract_cards, count_cards,
     next_control, selector_report, classify_pagination, text_category, scrape_pages, site_run,
-    element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites,
+    element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites, control_disabled, hidden_cards, infer_field,
     stream_harvest, stream_pages, stream_first_seen, stream_health,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardmill.plans.rate import rate_sheet
-from cardmill.session import bounded, small_rows, spread, work_dir
+from cardmill.session import work_dir
 from cardmill.sources import capture, sheets, sites
 from cardmill.streaming.harvest import append_first_seen
 
@@ -95,7 +95,8 @@ def test_sheet_round_trip(spark, tmp_path):
     assert (rows[1].title, rows[1].apply_url, rows[1].department) == ('two\n"lines", q', None, None)
     assert sheets.export_projection(df.select("custom")).columns == ["Company", "Title", "Location"]
     long = spark.createDataFrame([("x" * 40000,)], "title string")
-    assert len(sheets.export_projection(long).first().Title) == 32000
+    assert len(sheets.export_projection(long).first().Title) == 40000
+    assert len(sheets.export_projection(long, max_chars=32000).first().Title) == 32000
     assert sheets.sheet_key("My  Own-Label!") == "my_own_label"
 
 
@@ -117,20 +118,6 @@ def test_append_first_seen_repeats_safely(spark, tmp_path):
     assert got == [("a", "u", 1, 1), ("a", "v", 2, 2), ("b", "u", 1, 1)]
 
 
-def test_small_tables_are_size_checked(spark):
-    df = spark.range(20)
-    assert small_rows(df, 19) is None and len(small_rows(df, 20)) == 20
-    plan = lambda t: spark.range(9).join(t, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(bounded(df, 20)) and "broadcast" not in plan(bounded(df, 19))
-
-
-def test_spread_is_for_small_inputs_and_runs_nothing(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/small")
-    assert spread(spark.read.parquet(f"{tmp_path}/small")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(0, 1 << 40, 1, 3)
-    assert spread(large) is large
-
-
 class FakeSession:
     """Only what ``work_dir`` asks of a session."""
 
@@ -141,6 +128,6 @@ class FakeSession:
 
 def test_work_dir_comes_from_the_session():
     assert work_dir(FakeSession("spark://x", "hdfs://shared/")).startswith("hdfs://shared/")
-    assert Path(work_dir(FakeSession("local[2]", None))).parent.is_dir()
+    assert Path(work_dir(FakeSession("local[2]", None))).parent.parent.is_dir()
     with pytest.raises(ValueError):
         work_dir(FakeSession("spark://x", None))

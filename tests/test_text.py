@@ -49,7 +49,7 @@ def test_plausible_query(evaluate):
 def test_block_reason(spark):
     rows = [
         ("<title>Just a moment...</title>", 200, "challenge page (just a moment...)"),
-        ("x" * 20000 + "px-captcha", 200, None),
+        ("x" * 300_000 + "px-captcha", 200, "challenge page (px-captcha)"),
         ("fine", 429, "HTTP 429"),
         ("px-captcha and cf-chl", 200, "challenge page (cf-chl)"),
         (None, 503, "HTTP 503"),
