@@ -5,7 +5,7 @@
 2. Tokens are ordered by how common their hash bucket is in the corpus (a sketch of fixed size), then by hash. Sets with a
    similarity of t share a token among the first n - ceil(t n) + 1 in this order, their prefix, so only prefixes are
    indexed. Any fixed order is exact; this one puts common lines and passages last.
-3. Similar documents are partitioned into groups: each one is compared with the leaders that share most of its prefix; a
+3. Similar documents are partitioned into groups: each one is compared with the leader that shares most of its prefix; the
    leader of a token is the document with that token whose prefix is shared most. Verified links make up the groups.
 4. The matrix holds, for every group, the union of its members' prefix tokens, and the range of their sizes. A document of
    another group is a query: its overlap with the union bounds the overlap with any member. Only groups that reach what
@@ -20,21 +20,19 @@ their links are the id's links. A null doc_id gets no component. Extra columns a
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import U64, frame, list_rows, mix, per_chunk, run_hashes, word_hashes, word_spans
 from cardmill.llm.components import components
-from cardmill.llm.tables import materialize
+from cardmill.llm.tables import join_ids, materialize
 
 SKETCH_BITS = 18  # of a count per bucket of token hashes, 2 MB broadcast whatever the corpus
 TOKEN_SHIFT = 16  # prefix tokens keep 48 bits: they only find candidates
-LEADERS = 2  # that each document is compared with when groups are formed; groups may be smaller with fewer, results equal
-BROADCAST_IDS = 1_000_000  # document ids, 8 MB; more are joined by shuffle
+HOT_TOKENS = 20_000  # occurrences in a bucket, beside twice the mean, beyond which its tokens are not counted one by one
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -55,8 +53,8 @@ def needed(n: Column, threshold: int) -> Column:
     return F.ceil(n * threshold / 100)
 
 
-def sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """How often tokens of each hash bucket occur in the corpus."""
+def sketch(docs: DataFrame, width: int) -> np.ndarray:
+    """How often tokens of each hash bucket occur in the corpus (doc, text)."""
     size = 1 << SKETCH_BITS
 
     def run(batches):
@@ -70,12 +68,12 @@ def sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
             total[:] += np.bincount((runs[whole] >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
             return ()
 
-        for _ in per_chunk(add, text)(batches):
+        for _ in per_chunk(add, "text")(batches):
             pass
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"]
     return out
@@ -88,40 +86,43 @@ def set_keys(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return k1, k2
 
 
-def keyed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(doc, n, k1, k2): size and key of every document's set."""
+def keyed(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, n, k1, k2): size and key of every document's (doc, text) set."""
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def function(rows, data, offsets):
         found = sets(data, offsets, width)
         yield frame(schema, rows.column(0), np.array([len(s) for s in found], np.int64), *set_keys(found))
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(
-        per_chunk(function, "text"), "doc long, n long, k1 long, k2 long"
-    )
+    return docs.mapInArrow(per_chunk(function, "text"), "doc long, n long, k1 long, k2 long")
 
 
-def prefixes(docs: DataFrame, key: str, text: str, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
-    """(doc, n, token) for the prefix tokens of one document of each class."""
+def prefixes(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
+    """(doc, token, hot) for the prefix tokens of documents (doc, text). A token that is not hot occurs in a bounded number
+    of places, as its whole bucket does."""
+    limit = HOT_TOKENS + 2 * int(counts.mean())
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("token", pa.int64()), ("hot", pa.bool_())])
 
     def function(rows, data, offsets):
-        found = sets(data, offsets, width)
-        heads = []
-        for s in found:
+        heads, often = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for s in sets(data, offsets, width):
             n = len(s)
-            order = np.argsort(shared.value[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-            heads.append((s[order[: n + 1 + (-n * threshold // 100)]] >> U64(TOKEN_SHIFT)).view(np.int64) if n else s.view(np.int64))
-        first = np.concatenate(([0], np.cumsum([len(h) for h in heads])))
-        yield frame(schema, rows.column(0), np.array([len(s) for s in found], np.int64), *set_keys(found), list_rows(np.concatenate(heads), first))
-
-    classes = (
-        docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-        .mapInArrow(per_chunk(function, "text"), "doc long, n long, k1 long, k2 long, prefix array<long>")
-        .where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc", "n", "prefix")).alias("c")).select("c.*")
-    )
-    return classes.select("doc", "n", F.explode("prefix").alias("token"))
+            count = shared.value[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+            order = np.argsort(count, kind="stable")[: n + 1 + (-n * threshold // 100) if n else 0]
+            heads.append(s[order] >> U64(TOKEN_SHIFT))
+            often.append(count[order])
+        size = np.array([len(h) for h in heads[1:]], np.int64)
+        yield frame(schema, np.repeat(rows.column(0).to_numpy(), size), np.concatenate(heads).view(np.int64), np.concatenate(often) > limit)
+
+    return docs.mapInArrow(per_chunk(function, "text"), "doc long, token long, hot boolean")
+
+
+def shared_tokens(docs: DataFrame, width: int, threshold: int, counts: np.ndarray) -> DataFrame:
+    """(doc, token): the prefix tokens that more than one prefix has. Hot tokens are taken to be among them."""
+    tokens = prefixes(docs, width, threshold, counts)
+    cold = tokens.where("not hot").select("doc", "token").withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    return cold.select("doc", "token").union(tokens.where("hot").select("doc", "token")).distinct()
 
 
 def least_overlap(n: Column, m: Column, threshold: int) -> Column:
@@ -150,8 +151,8 @@ def verified(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def whole_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(doc, tokens): the whole sets of the wanted documents."""
+def whole_sets(docs: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
+    """(doc, tokens): the whole sets of the documents in pairs (a, b)."""
     schema = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def function(rows, data, offsets):
@@ -159,64 +160,73 @@ def whole_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFra
         first = np.concatenate(([0], np.cumsum([len(s) for s in found])))
         yield frame(schema, rows.column(0), list_rows(np.concatenate(found).view(np.int64), first))
 
-    few = wanted.count() <= BROADCAST_IDS
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").mapInArrow(per_chunk(function, "text"), "doc long, tokens array<long>").dropDuplicates(["doc"])
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    return join_ids(docs, wanted, ["doc"], "left_semi").mapInArrow(per_chunk(function, "text"), "doc long, tokens array<long>")
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 75) -> DataFrame:
-    """Links (a, b) between documents with different sets that connect all documents which a chain of similar ones connects."""
-    tokens = materialize(prefixes(docs, key, text, width, threshold, sketch(docs, text, width)))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    tokens = materialize(tokens.join(common, "token", "left_semi"))
-    # shared: how many of a document's prefix tokens another prefix has
-    shared = tokens.groupBy("doc", "n").agg(F.count("*").alias("shared"))
-    # the least that any partner can demand, from the smallest or the largest similar size
+def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
+    """Links (a, b) between documents (doc, text) with different sets: enough of them to connect all that chains of similar
+    documents connect. ``sized`` are their sizes and keys."""
+    # written, so that both sides of the join are shuffles whose hot classes Spark can split
+    classes = materialize(sized.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
+    copies = sized.join(classes, ["k1", "k2"]).groupBy("doc").agg(F.max(F.col("doc") == F.col("rep")).alias("stands"))
+    alone = join_ids(docs, copies.where("not stands").select("doc"), ["doc"], "left_anti")
+    tokens = materialize(shared_tokens(alone, width, threshold, sketch(docs, width)))
+    # shared: how many of a document's prefix tokens another prefix has; it must be what the nearest size demands
+    sizes = sized.where("n > 0").select("doc", "n").distinct()
     low, high = needed(F.col("n"), threshold), F.floor(F.col("n") * 100 / threshold)
+    shared = tokens.groupBy("doc").agg(F.count("*").alias("shared")).join(sizes, "doc")
     shared = materialize(shared.where(F.col("shared") >= least_demand(F.col("n"), low, high, threshold)))
-    tokens = materialize(tokens.join(shared, ["doc", "n"]))
-    whole = materialize(whole_sets(docs, key, text, width, shared.select("doc")))
+    tokens = materialize(tokens.join(shared, "doc"))
 
     # groups: verified links with the leaders of most tokens
-    leaders = tokens.groupBy("token").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("doc"))).alias("x")).select("token", (-F.col("x.col2")).alias("leader"))
-    votes = tokens.join(leaders, "token").where("doc != leader").groupBy("doc", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "leader")), asc=False), 1, LEADERS).alias("x"))
-    stars = best.select(F.col("doc").alias("a"), F.explode("x.leader").alias("b"))
-    first = materialize(verified(stars, whole, threshold))
+    leaders = tokens.groupBy("token").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("doc"), F.col("n"))).alias("x"))
+    leaders = leaders.select("token", (-F.col("x.col2")).alias("leader"), F.col("x.n").alias("m"))
+    votes = tokens.join(leaders, "token").where("doc != leader").groupBy("doc", "n", "leader", "m").agg(F.count("*").alias("votes"))
+    votes = votes.where(similar_sizes(F.col("n"), F.col("m"), threshold) & (F.col("votes") >= least_overlap(F.col("n"), F.col("m"), threshold)))
+    stars = materialize(votes.groupBy("doc").agg(F.max(F.struct("votes", "leader")).alias("x")).select(F.col("doc").alias("a"), F.col("x.leader").alias("b")))
+    first = materialize(verified(stars, whole_sets(docs, width, stars), threshold))
     grouped = components(first).withColumnRenamed("node", "doc").withColumnRenamed("component", "grp")
     members = materialize(tokens.join(grouped, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")))
 
     # the token-group matrix, and queries from groups with larger names
-    matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("shared").alias("top"))
+    matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("shared").alias("top"), F.count("*").alias("held"))
     q, g = members.alias("q"), matrix.alias("g")
     near = F.greatest(F.col("g.least"), needed(F.col("q.n"), threshold))
     far = F.least(F.col("g.most"), F.floor(F.col("q.n") * 100 / threshold))
     demand = least_demand(F.col("q.n"), near, far, threshold)
     met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.grp") > F.col("g.grp")) & (near <= far) & (demand <= F.least("q.shared", "g.top")))
-    opened = (
-        met.select(F.col("q.doc").alias("doc"), F.col("q.n").alias("n"), F.col("g.grp").alias("grp"), "least", "most", demand.alias("demand"))
-        .groupBy("doc", "grp").agg(F.count("*").alias("overlap"), F.min("demand").alias("demand")).where("overlap >= demand").select("doc", "grp")
-    )
+    opened = met.select(F.col("q.doc").alias("doc"), F.col("g.grp").alias("grp"), demand.alias("demand"))
+    opened = opened.groupBy("doc", "grp").agg(F.count("*").alias("overlap"), F.min("demand").alias("demand")).where("overlap >= demand").drop("overlap")
     opened = materialize(opened)
-    # members of opened groups that share enough with the query themselves
-    query = members.drop("grp").join(opened, "doc").select("token", "grp", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    member = members.select("token", "grp", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+    # a similar member has at least the demanded number of the tokens that a query shares with its group, so it has one of any
+    # but that number, and one more, of them: those that fewest members have
+    asked = members.drop("grp").join(opened, "doc").join(matrix.select("token", "grp", "held"), ["token", "grp"])
+    both = Window.partitionBy("doc", "grp")
+    asked = asked.withColumns({"rank": F.row_number().over(both.orderBy("held", "token")), "all": F.count("*").over(both)})
+    asked = asked.where(F.col("rank") <= F.col("all") - F.greatest(F.col("demand"), F.lit(1)) + 1)
+    query = asked.select("token", "grp", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
+    member = members.join(opened.select("grp").distinct(), "grp", "left_semi").select("token", "grp", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     demand = least_overlap(F.col("na"), F.col("nb"), threshold)
-    pairs = (
-        query.join(member, ["token", "grp"]).where(similar_sizes(F.col("na"), F.col("nb"), threshold) & (demand <= F.least("sa", "sb")))
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= demand).select("a", "b")
-    )
-    return first.union(materialize(verified(pairs, whole, threshold)))
+    close = similar_sizes(F.col("na"), F.col("nb"), threshold) & (demand <= F.least("sa", "sb"))
+    pairs = query.join(member, ["token", "grp"]).where(close).select("a", "b", demand.alias("demand")).distinct()
+    heads = tokens.groupBy("doc").agg(F.collect_set("token").alias("head"))
+    pairs = pairs.join(heads.withColumnsRenamed({"doc": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"doc": "b", "head": "y"}), "b")
+    pairs = pairs.where(F.size(F.array_intersect("x", "y")) >= F.col("demand")).select("a", "b").distinct()
+    pairs = materialize(pairs)
+    return first.union(verified(pairs, whole_sets(docs, width, pairs), threshold))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    found = components(links(docs, key, text, width, threshold))
-    sized = keyed(docs, key, text, width)
+    plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    sized = materialize(keyed(plain, width))
+    named = sized.where("doc is not null")
+    found = components(links(plain.where("doc is not null"), named, width, threshold))
     # a class that has a document in a component is in it as a whole: its smallest document stands for it
-    classes = materialize(sized.where("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    return sized.join(named, ["k1", "k2"], "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
+    classes = named.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("rep"))
+    classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    classes = materialize(classes.select("k1", "k2", F.coalesce("component", "rep").alias("component")))
+    return sized.join(classes, ["k1", "k2"], "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component_id"),
     )
