@@ -16,7 +16,7 @@ def contract(links: DataFrame, larger: bool) -> DataFrame:
     met = both.join(least, "u")
     # larger: v > u joins m; else: v joins m, and so does u itself
     out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if larger else met.select("v", "m").union(least).toDF("a", "b")
-    return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,5 +32,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        links = materialize(contract(contract(links, True), False))
+        links = materialize(contract(contract(links, True), False).distinct())
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
