@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.functions.elements import classify_pagination, page_number_template
+from cardmill.functions.text import is_plausible_query
+from cardmill.functions.urls import page_url_template, query_url_template
 from cardmill.operators.frontier import id_url_template
 from cardmill.operators.infer import (
     KEY,
@@ -12,6 +15,7 @@ from cardmill.operators.infer import (
     default_targets,
     infer_cards,
     infer_fields,
+    path_selectors,
     prepare_nodes,
 )
 from cardmill.operators.jobs import harvest_first_seen
@@ -20,13 +24,54 @@ from cardmill.session import materialize
 from cardmill.sources.sites import SITE_SCHEMA, with_defaults
 
 
-def learn_sites(pages: DataFrame, targets: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
+def learn_paging(nodes: DataFrame, pages: DataFrame, controls: DataFrame) -> DataFrame:
+    """(page_id, pagination): how the used control of each page is found again, what it does and which urls it leads to.
+
+    ``controls`` has page_id, node_id and after_url, the address after its use. The exact path comes first, as the other
+    selectors may also hit controls beside it.
+    """
+    used = controls.join(nodes.select("page_id", "node_id", "parent_id", "tag", "text", "attrs", "sig"), ["page_id", "node_id"])
+    parents = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("sig").alias("parent_sig"))
+    roots = nodes.filter(F.col("parent_id").isNull()).groupBy("page_id").agg(F.min(F.struct("node_id", "sig")).alias("root"))
+    pairs = used.join(roots, "page_id").select("page_id", F.col("root.node_id").alias("card_id"), F.col("node_id").alias("leaf_id"))
+    paths = path_selectors(nodes, pairs).select("page_id", F.col("leaf_id").alias("node_id"), "path_key")
+    found = used.join(parents, ["page_id", "parent_id"]).join(roots, "page_id").join(paths, ["page_id", "node_id"])
+    found = found.join(pages.select("page_id", "url"), "page_id")
+    template = page_number_template(F.col("text"), F.col("sig"))
+    exact = F.concat("root.sig", F.expr("substring(path_key, 7)"))  # from the page's root instead of ':scope'
+    candidates = F.array_distinct(F.array(exact, F.concat("parent_sig", F.lit(" > "), "sig"), F.col("sig")))
+    return found.select(
+        "page_id",
+        F.struct(
+            classify_pagination(F.col("text"), F.col("attrs"), template).alias("type"),
+            F.struct(candidates.alias("candidates")).alias("control"),
+            template.alias("page_number_template"),
+            page_url_template(F.col("url"), F.col("after_url")).alias("url_template"),
+        ).alias("pagination"),
+    )
+
+
+def learn_searches(searches: DataFrame) -> DataFrame:
+    """(page_id, search): the saved query and the url of its results, from (page_id, query, results_url)."""
+    usable = searches.filter(is_plausible_query(F.col("query")))
+    results = query_url_template(F.col("results_url"), F.col("query"))
+    return usable.select("page_id", F.struct("query", results.alias("results_url")).alias("search"))
+
+
+def learn_sites(
+    pages: DataFrame,
+    targets: DataFrame | None = None,
+    details: DataFrame | None = None,
+    controls: DataFrame | None = None,
+    searches: DataFrame | None = None,
+) -> DataFrame:
     """One config per site, learned from its listing page (page_id, url, html, slug, name).
 
     ``targets`` (page_id, target_id, node_id) says which element is a job title; without it each repeated
     link position is tried and the largest group of cards wins. Of several pages of a site the one with the
     largest group is learned from, of equal ones the one with the smallest page_id. ``details`` (page_id, detail_url) gives
     the address that opened for a card, from which a link template is made when cards have no link.
+    ``controls`` and ``searches`` (see ``learn_paging`` and ``learn_searches``) give paging and search.
     """
     nodes = prepare_nodes(pages)
     targets = materialize(default_targets(nodes) if targets is None else targets)
@@ -45,7 +90,15 @@ def learn_sites(pages: DataFrame, targets: DataFrame | None = None, details: Dat
         F.struct(F.col("candidates")).alias("card"), F.col("fields"), F.col("template").alias("apply_url_template")
     )
     rows = pages.select("page_id", "slug", "name", F.col("url").alias("start_url")).join(learned, "page_id")
-    rows = rows.select(F.to_json(F.struct("slug", "name", "start_url", dom.alias("dom"))).alias("doc"))
+    parts = ["slug", "name", "start_url", "dom"]
+    rows = rows.withColumn("dom", dom)
+    if controls is not None:
+        rows = rows.join(learn_paging(nodes, pages, controls), "page_id", "left")
+        parts.append("pagination")
+    if searches is not None:
+        rows = rows.join(learn_searches(searches), "page_id", "left")
+        parts.append("search")
+    rows = rows.select(F.to_json(F.struct(*parts)).alias("doc"))
     return materialize(with_defaults(rows.select(F.from_json("doc", SITE_SCHEMA).alias("s")).select("s.*")))
 
 

@@ -78,26 +78,27 @@ def with_defaults(sites: DataFrame) -> DataFrame:
     )
 
 
-def scan_site_configs(spark: SparkSession, path: str) -> DataFrame:
+def scan_site_configs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """All documents of a folder with their file ``stem`` and, for unusable ones, a ``reject_reason``.
 
-    The schema version is not compared; only a document that does not fit is rejected.
+    A file is one document; with ``lines`` (as ``write_site_configs`` writes them) it has a document on each line, whose
+    slug stands for the stem. The schema version is not compared; only a document that does not fit is rejected.
     """
     raw = (
         spark.read.schema(SITE_SCHEMA + ", _corrupt STRING")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("pathGlobFilter", "*.json")
         .json(path)
-        .withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+        .withColumn("stem", F.col("slug") if lines else F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
     )
     return raw.withColumn("reject_reason", _reject_reason())
 
 
-def read_site_configs(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> DataFrame:
+def read_site_configs(spark: SparkSession, path: str, names: Iterable[str] | None = None, lines: bool = False) -> DataFrame:
     """Valid site configs in file-name order with defaults filled; unusable documents are left out."""
-    found = filter_sites(scan_site_configs(spark, path), names)
+    found = filter_sites(scan_site_configs(spark, path, lines), names)
     return with_defaults(found.filter(F.col("reject_reason").isNull()).drop("_corrupt", "reject_reason")).orderBy("stem")
 
 
@@ -128,3 +129,8 @@ def sites_to_json(sites: DataFrame) -> DataFrame:
     """(slug, document): configs as JSON with absent options left out."""
     fields = [c for c in sites.columns if c != "stem"]
     return sites.select("slug", F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("document"))
+
+
+def write_site_configs(sites: DataFrame, path: str) -> None:
+    """Write configs as a new folder of JSON lines, absent options left out; read back with ``lines``."""
+    sites.drop("stem").write.option("ignoreNullFields", True).json(path)

@@ -360,6 +360,11 @@ ORACLES = {
         SELECT 's' || (c_custkey // 10) AS slug, CAST(count(*) AS INTEGER) AS onboarded_job_count FROM customer GROUP BY 1""",
     "stream_pages": f"SELECT DISTINCT 'feed' AS slug, apply_url AS job_key FROM ({CARDS})",
     "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
+    "learn_and_run": """
+        WITH p AS (SELECT c_custkey // 10 AS page, count(*) AS n FROM customer GROUP BY 1)
+        SELECT 's' || (page // 2) AS slug, 'ok' AS status, sum(n)::INT AS n_jobs, count(*)::INT AS pages FROM p
+        GROUP BY page // 2 HAVING count(*) FILTER (page % 2 = 0 AND n > 1) = 1
+    """,
     "control_disabled": """
         SELECT s_suppkey, CASE WHEN s_suppkey % 8 IN (0, 1, 3, 4, 6) THEN 1 ELSE 0 END AS disabled FROM supplier
     """,

@@ -688,6 +688,25 @@ def learn_sites(spark, sf):
     return rows.select("slug", "title", "location", "department", "posted", "job_id", "apply_url")
 
 
+def learn_and_run(spark, sf):
+    """Learn sites with their paging from first pages, write and read the configs, and run them over all pages."""
+    ship_package(spark)
+    fetched = customer_pages(spark, sf).withColumns({"page_no": (F.col("page_id") % 2 + 1).cast("int"), "slug": F.concat(F.lit("s"), F.floor(F.col("page_id") / 2))})
+    address = F.concat(F.lit("https://"), "slug", F.lit(".example.com/jobs"))
+    onward = F.when(F.col("page_no") == 1, "<a class='onward' href='?page=2'>Further</a>").otherwise("<a class='onward disabled'>Further</a>")
+    fetched = fetched.withColumns({
+        "name": F.col("slug"), "status": F.lit(200), "url": F.when(F.col("page_no") == 1, address).otherwise(F.concat(address, F.lit("?page=2"))),
+        "html": F.replace(F.col("html"), F.lit("</ul>"), F.concat(F.lit("</ul><p>"), onward, F.lit("</p>"))),
+    })
+    one = fetched.filter("page_no = 1")
+    used = infer.prepare_nodes(one).filter("text = 'Further' and tag = 'a'")
+    used = used.join(one.select("page_id", F.concat("url", F.lit("?page=2")).alias("after_url")), "page_id").select("page_id", "node_id", "after_url")
+    folder = work_dir(spark)
+    sites.write_site_configs(onboard.learn_sites(one, controls=used), folder)
+    run = scrape.scrape(fetched, sites.read_site_configs(spark, folder, lines=True), "r1")
+    return run.runs.select("slug", "status", "n_jobs", "pages")
+
+
 def learn_link_templates(spark, sf):
     """Cards without links: the address of one opened card gives the link of all."""
     ship_package(spark)
@@ -799,7 +818,7 @@ FUNCTIONS = [
     capture_body_plan, read_capture_index, visited_url_templates, listing_frame, export_projection,
     job_sheet_round_trip, write_run, flatten_dom, visible_text, match_selectors, extract_cards, count_cards,
     next_control, selector_report, classify_pagination, text_category, scrape_pages, site_run,
-    element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites, control_disabled, hidden_cards, infer_field,
+    element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites, control_disabled, hidden_cards, infer_field, learn_and_run,
     stream_harvest, stream_pages, stream_first_seen, stream_health,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}

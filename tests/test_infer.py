@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from cardmill.functions import elements
 from cardmill.operators import infer
 from cardmill.plans import onboard
-from cardmill.plans.scrape import extract_pages
+from cardmill.plans.scrape import extract_pages, scrape
+from cardmill.sources.sites import read_site_configs, write_site_configs
 from pages_html import BERTHS, ICONS, NO_LINKS, ROLES, TABLE, listing
 
 
@@ -100,6 +101,27 @@ def test_learned_sites_read_their_pages(spark, pages, targets):
     assert checked == {"s1": 6, "s2": 3, "s3": 4, "s4": 10}
 
 
+def test_learned_paging_and_search_run(spark, tmp_path):
+    """A site learned from its first page and the use of a control reads both pages of its listing."""
+    fetched = spark.createDataFrame(
+        [(k, "s", "Site", f"https://l.com/list{'?page=2' if k == 2 else ''}", k, listing(k, 2, total=17), 200) for k in (1, 2)],
+        "page_id long, slug string, name string, url string, page_no int, html string, status int")
+    one = fetched.filter("page_no = 1")
+    nodes = infer.prepare_nodes(one)
+    used = nodes.filter("text = 'Further'").select("page_id", "node_id", F.lit("https://l.com/list?page=2").alias("after_url"))
+    searches = spark.createDataFrame([(1, "tide engineer", "https://l.com/list?q=Tide+Engineer")], "page_id long, query string, results_url string")
+    learned = onboard.learn_sites(one, controls=used, searches=searches)
+    write_site_configs(learned, f"{tmp_path}/sites")
+    sites = read_site_configs(spark, f"{tmp_path}/sites", lines=True)
+    site = sites.first()
+    assert (site.pagination.type, site.pagination.url_template) == ("next", "https://l.com/list?page={page}")
+    assert site.search.results_url == "https://l.com/list?q={query}"
+    run = scrape(fetched, sites, "r")
+    assert sorted(r.title for r in run.raw.collect()) == sorted(f"Tide Engineer {k}" for k in range(17))
+    assert [(r.status, r.n_jobs, r.pages) for r in run.runs.collect()] == [("ok", 17, 2)]
+    assert onboard.verify_sites(fetched, sites).first().onboarded_job_count == 17
+
+
 def test_shared_signature_drops_what_few_siblings_have(spark):
     items = "".join(f'<li class="item {"featured" if i == 1 else ""}" data-kind="job">{i}</li>' for i in range(5))
     html = f"<ul>{items}</ul><ol><li class='solo'>x</li><li class='other'>y</li></ol>"
