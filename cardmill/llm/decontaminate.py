@@ -152,8 +152,11 @@ def share(runs: np.ndarray, there: np.ndarray) -> float:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", question: str = "text", answer: str | None = None,
-               threshold: float = 0.5, overlap: float = 0.7, max_items: int = 1_000_000) -> DataFrame:
-    """The documents with ``leaks``: the verified items of each, with the best score and overlaps of its passages."""
+               threshold: float = 0.5, overlap: float = 0.5, answer_overlap: float = 0.25, max_items: int = 1_000_000) -> DataFrame:
+    """The documents with ``leaks``: the verified items of each, with the best score and overlaps of its passages.
+
+    ``threshold`` is the share of an item's score for itself, ``overlap`` and ``answer_overlap`` the shares of the runs of words
+    of its question and its answer that a passage must hold: copies with some words changed count as well."""
     docs = replace_columns(docs, "leaks")
     rows = checked_rows(benchmark.select(item, question, *([answer] if answer else [])), max_items, "benchmark items")
     items = [make_item(None if r[0] is None else int(r[0]), r[1], (r[2] or "") if answer else None) for r in rows]
@@ -164,11 +167,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
     for number, part in enumerate([indexes[a : a + per_pass] for a in range(0, len(indexes), per_pass)] or [[]]):
-        docs = docs.mapInArrow(per_chunk(scan(docs.sparkSession.sparkContext.broadcast(part), names, kind, half, threshold, overlap, number > 0), text), f"{schema}, leaks {LEAKS}")
+        docs = docs.mapInArrow(per_chunk(scan(docs.sparkSession.sparkContext.broadcast(part), names, kind, half, threshold, (overlap, answer_overlap), number > 0), text), f"{schema}, leaks {LEAKS}")
     return docs
 
 
-def scan(shared, names: list[str], kind: pa.DataType, half: int, threshold: float, overlap: float, more: bool):
+def scan(shared, names: list[str], kind: pa.DataType, half: int, threshold: float, overlaps: tuple[float, float], more: bool):
     def function(rows, data, offsets):
         leaks = rows.column(len(names)).to_pylist() if more else [[] for _ in range(rows.num_rows)]
         words, first = words_of(data, offsets)
@@ -189,7 +192,7 @@ def scan(shared, names: list[str], kind: pa.DataType, half: int, threshold: floa
                     entry = index.items[i]
                     there = run_hashes(words[begin : min(begin + 2 * half, int(first[r + 1]))], min(RUN, len(entry.words)))
                     q, a = share(entry.question, there), share(entry.answer, there)
-                    if q >= overlap and a >= overlap:
+                    if q >= overlaps[0] and a >= overlaps[1]:
                         best[r, int(i)] = max(best.get((r, int(i)), (0.0, 0.0, 0.0)), (float(score), q, a))
                 for (r, i), (score, q, a) in sorted(best.items()):
                     leaks[r].append({"item_id": index.items[i].item_id, "score": score, "question_overlap": q, "answer_overlap": a})

@@ -135,6 +135,12 @@ def test_decontamination(spark, no_docs):
     got = {r.doc_id: {x.item_id for x in r.leaks} for r in decontaminate.find_leaks(docs, bench).collect()}
     want = {i: set() for i in range(len(texts))} | {30 + k: {k} for k in range(40)} | {70: {3, 7, None}}
     assert got == want
+    # a copy with every ninth word changed is a leak, half an item is none
+    words = items[5][1].split() if len(items[5][1].split()) > 30 else items[6][1].split() + items[5][1].split()
+    long = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [prose(rng, 80, 300) + " " + " ".join("new" if k % 9 == 4 else w for k, w in enumerate(words)) + " " + prose(rng, 30, 300), prose(rng, 50, 300) + " " + " ".join(words[: len(words) // 3])]
+    edited = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), long).orderBy("doc_id").collect()
+    assert [len(r.leaks) for r in edited] == [1, 0]
     assert decontaminate.find_leaks(no_docs, bench).collect() == []
     assert all(not r.leaks for r in decontaminate.find_leaks(docs, bench.where("false")).collect())
 
