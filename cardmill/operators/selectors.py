@@ -174,13 +174,16 @@ def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",
     """
     if specs.has_text and "text" not in nodes.columns:
         raise ValueError("a selector asks for :text-is, so the elements need their text")
-    same_tag = (F.col("spec_tag") == F.col("tag")) | (F.col("spec_tag") == "*")
     hit = F.rlike("path", F.col("pattern"))
     if "text" in nodes.columns:
         own = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
         hit = hit & (F.col("spec_text").isNull() | (own == F.col("spec_text")))
-    # the order counts: most pairs fail on the tag, before any pattern is compiled
-    joined = nodes.join(specs.table, list(on)).filter(F.when(same_tag, hit).otherwise(False))
+    if "*" in specs.tags:
+        # the order counts: most pairs fail on the tag, before any pattern is compiled
+        same_tag = F.col("spec_tag").isin(F.col("tag"), F.lit("*"))
+        joined = nodes.join(specs.table, list(on)).filter(F.when(same_tag, hit).otherwise(False))
+    else:
+        joined = nodes.join(specs.table.withColumn("tag", F.col("spec_tag")), [*on, "tag"]).filter(hit)
     return joined.drop("spec_tag", "pattern", "spec_text", "spec_attrs")
 
 

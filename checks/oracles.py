@@ -365,6 +365,18 @@ ORACLES = {
         SELECT 's' || (page // 2) AS slug, 'ok' AS status, sum(n)::INT AS n_jobs, count(*)::INT AS pages FROM p
         GROUP BY page // 2 HAVING count(*) FILTER (page % 2 = 0 AND n > 1) = 1
     """,
+    "control_kinds": """
+        SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 'page_number' WHEN s_suppkey % 3 = 1 THEN 'load_more' ELSE 'next' END AS kind FROM supplier
+    """,
+    "shared_names": """
+        WITH l AS (SELECT c_custkey // 50 AS page_id, c_custkey % 10 < 8 AS plain, c_custkey % 5 = 0 AS chief,
+                          count(*) OVER (PARTITION BY c_custkey // 50) - 1 AS others FROM customer),
+             s AS (SELECT *, count(*) FILTER (plain) OVER (PARTITION BY page_id) - 1 >= others * 0.6 AS most,
+                          count(*) FILTER (chief) OVER (PARTITION BY page_id) - 1 >= others * 0.6 AS all_chief FROM l)
+        SELECT page_id, 'li.item' || CASE WHEN chief AND (all_chief OR others < 2) THEN '.chief' ELSE '' END
+                        || CASE WHEN plain AND (most OR others < 2) THEN '.plain' ELSE '' END AS shared_sig, count(*) AS n
+        FROM s GROUP BY ALL
+    """,
     "control_disabled": """
         SELECT s_suppkey, CASE WHEN s_suppkey % 8 IN (0, 1, 3, 4, 6) THEN 1 ELSE 0 END AS disabled FROM supplier
     """,

@@ -725,6 +725,27 @@ def verify_sites(spark, sf):
     return onboard.verify_sites(fetched, onboard.learn_sites(fetched)).select("slug", "onboarded_job_count")
 
 
+def control_kinds(spark, sf):
+    """Controls of suppliers that turn the page by number, add rows or lead on."""
+    key = F.col("s_suppkey")
+    shown = F.when(key % 3 == 0, key.cast("string")).when(key % 3 == 1, "Load  more").otherwise("Further")
+    template = F.when(key % 2 == 0, 'a:text-is("{page}")')
+    kind = elements.classify_pagination(shown, F.create_map(F.lit("rel"), F.lit("x")), template)
+    return table(spark, sf, "supplier").select("s_suppkey", kind.alias("kind"))
+
+
+def shared_names(spark, sf):
+    """Lists of customers in which a name that few items have is no part of the shared signature, but one of most is."""
+    ship_package(spark)
+    k = F.col("c_custkey")
+    item = F.concat(
+        F.lit("<li class='item"), F.when(k % 5 == 0, " chief").otherwise(""), F.when(k % 10 < 8, " plain").otherwise(""), F.lit("'>"), "c_name", F.lit("</li>"))
+    listed = table(spark, sf, "customer").groupBy(F.floor(k / 50).alias("page_id")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    nodes = infer.prepare_nodes(listed.select("page_id", F.concat(F.lit("<ul>"), "items", F.lit("</ul>")).alias("html")))
+    found = infer.shared_signatures(nodes).filter("shared_sig like 'li%'")
+    return found.groupBy("page_id", "shared_sig").agg(F.count("*").alias("n"))
+
+
 def control_disabled(spark, sf):
     """Controls of suppliers, switched off in each of the ways that count."""
     key = F.col("s_suppkey") % 8
@@ -818,7 +839,7 @@ FUNCTIONS = [
     capture_body_plan, read_capture_index, visited_url_templates, listing_frame, export_projection,
     job_sheet_round_trip, write_run, flatten_dom, visible_text, match_selectors, extract_cards, count_cards,
     next_control, selector_report, classify_pagination, text_category, scrape_pages, site_run,
-    element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites, control_disabled, hidden_cards, infer_field, learn_and_run,
+    element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites, control_kinds, shared_names, control_disabled, hidden_cards, infer_field, learn_and_run,
     stream_harvest, stream_pages, stream_first_seen, stream_health,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}

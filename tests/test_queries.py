@@ -9,8 +9,6 @@ from checks.oracles import ORACLES
 from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-# checked at a larger scale by checks.compare; the operators have fixture tests of their own
-SLOW = {"infer_configs", "learn_sites", "learn_link_templates", "verify_sites", "site_run"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
@@ -20,7 +18,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SF).toPandas()
     if name in ORACLES:
