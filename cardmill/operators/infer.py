@@ -9,8 +9,6 @@ elements of a card and all levels; ``sample`` limits them to the first cards whe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
