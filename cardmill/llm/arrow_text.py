@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20  # texts handled at once; a longer text is a chunk of its own
-BLOCK_WORDS = 1 << 18  # words hashed at once
+CHUNK_BYTES = 1 << 19  # texts handled at once; a longer text is a chunk of its own
+BLOCK_WORDS = 1 << 16  # words hashed at once
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -114,5 +114,6 @@ def per_chunk(function: Callable, text: str) -> Callable:
     def run(batches):
         for rows, data, offsets in chunks(batches, text):
             yield from function(rows, data, offsets)
+        pa.default_memory_pool().release_unused()  # the worker may wait for long
 
     return run

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cardmill.llm.arrow_text import per_chunk, run_hashes, word_hashes, word_spans
-from cardmill.llm.tables import checked_rows, replace_columns
+from cardmill.llm.tables import bounded_batches, checked_rows, replace_columns
 
 GAP = np.ones(256, bool)
 GAP[48:58] = GAP[65:91] = GAP[97:123] = GAP[128:] = False
@@ -157,7 +157,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
     ``threshold`` is the share of an item's score for itself, ``overlap`` and ``answer_overlap`` the shares of the runs of words
     of its question and its answer that a passage must hold: copies with some words changed count as well."""
-    docs = replace_columns(docs, "leaks")
+    docs = replace_columns(bounded_batches(docs), "leaks")
     rows = checked_rows(benchmark.select(item, question, *([answer] if answer else [])), max_items, "benchmark items")
     items = [make_item(None if r[0] is None else int(r[0]), r[1], (r[2] or "") if answer else None) for r in rows]
     half = max([HALF, *(len(i.words) for i in items)])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import U64, frame, list_rows, mix, per_chunk, run_hashes, word_hashes, word_spans
 from cardmill.llm.components import components
-from cardmill.llm.tables import join_ids, materialize
+from cardmill.llm.tables import bounded_batches, join_ids, materialize
 
 SKETCH_BITS = 18  # of a count per bucket of token hashes, 2 MB broadcast whatever the corpus
 TOKEN_SHIFT = 16  # prefix tokens keep 48 bits: they only find candidates
@@ -219,7 +219,7 @@ def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    plain = bounded_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     sized = materialize(keyed(plain, width))
     named = sized.where("doc is not null")
     found = components(links(plain.where("doc is not null"), named, width, threshold))

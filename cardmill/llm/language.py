@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import chunks
-from cardmill.llm.tables import checked_rows, replace_columns
+from cardmill.llm.tables import bounded_batches, checked_rows, replace_columns
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 256  # the matrix then has 32 MB; more languages are an error
-BLOCK = 1 << 18  # characters hashed and scored at once
+BLOCK = 1 << 16  # characters hashed and scored at once
 RATE_STEPS = 1 << 30
 
 
@@ -83,7 +83,7 @@ def count_features(index: dict[str, int], text: str, lang: str):
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 40_000, smoothing: float = 0.5) -> Model:
     """Fit on rows with a text and a language: all of them, or about ``max_rows`` of them, spread evenly over the languages
     and chosen by a hash of the key. Rare languages keep all their rows."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    rows = bounded_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")
     )
     counts = {r.l: r["count"] for r in checked_rows(rows.groupBy("l").count(), MAX_LANGUAGES, "languages to learn")}
@@ -126,7 +126,7 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The table with ``lang_pred`` and ``score``. One pass, no shuffle."""
-    docs = replace_columns(docs, "lang_pred", "score")
+    docs = replace_columns(bounded_batches(docs), "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

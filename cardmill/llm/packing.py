@@ -26,18 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import frame, per_chunk, spread_rows, word_hashes, word_spans
-from cardmill.llm.tables import materialize
+from cardmill.llm.tables import bounded_batches, materialize
 
 BLOCK_PIECES = 20_000
 SEARCH_STEPS = 20_000  # fillings tried in a block's search
 FILLINGS = 8  # tried for one sequence
-CACHED_WORDS = 1_000_000  # of a worker; beyond that it starts anew
+CACHED_WORDS = 300_000  # of a worker; beyond that it starts anew
 AGAIN, FULL = 1 << 60, 1 << 61  # where the numbers of repacked and of full sequences begin
 LOOSE = 0.97  # sequences filled less are packed once more
 
 
 @cache
 def tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -105,7 +108,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(whole)), pa.int32()), pa.array(whole.view(np.int32)))
         yield frame(schema, pa.array(rows.column(0)).take(pa.array(row)), piece.astype(np.int32), start, length, crc, lists)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         per_chunk(function, "text"), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
     )
 

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import U64, frame, list_rows, mix, per_chunk, run_hashes, word_hashes, word_spans
 from cardmill.llm.fm_index import FMIndex
-from cardmill.llm.tables import BROADCAST_IDS, join_ids, materialize, replace_columns
+from cardmill.llm.tables import BROADCAST_IDS, bounded_batches, join_ids, materialize, replace_columns
 
 ANCHOR_WORDS = 8
-SHARD_WORDS = 500_000  # of a shard's segments, on average
+SHARD_WORDS = 250_000  # of a shard's segments, on average
 HOT_SEGMENTS = 5_000  # of one anchor in one shard, 500,000 words
 
 
@@ -172,7 +172,7 @@ def repeated_ranges(docs: DataFrame, window: int = 50, hot_segments: int = HOT_S
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """The documents without the words that go (and the blanks behind them), with ``n_words`` before and ``n_removed``."""
-    docs = replace_columns(docs, "n_words", "n_removed")
+    docs = replace_columns(bounded_batches(docs), "n_words", "n_removed")
     fingerprint = F.xxhash64(text)
     plain = docs.select(F.col(key).cast("long").alias("doc"), fingerprint.alias("fp"), F.col(text).alias("text"))
     gone = repeated_ranges(plain, window, hot_segments).groupBy("doc", "fp").agg(F.collect_set(F.struct("begin", "end")).alias("cut"))

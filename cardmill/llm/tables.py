@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from cardmill.session import materialize
 
-BROADCAST_IDS = 1_000_000  # rows of one or two numbers, 16 MB
+BROADCAST_IDS = 250_000  # rows of one or two numbers, about 25 MB as a hash table
 
-__all__ = ["checked_rows", "crc_fold", "join_ids", "materialize", "replace_columns", "table"]
+BATCH_BYTES = 8 << 20  # of texts on their way to a Python worker
+
+__all__ = ["bounded_batches", "checked_rows", "crc_fold", "join_ids", "materialize", "replace_columns", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The table, after its session's Arrow batches are held to a size in bytes, as a batch of 10,000 texts has none."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     """The table without the columns that an operator is about to add: an operator's own columns win over clashing ones."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])

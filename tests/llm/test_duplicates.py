@@ -84,6 +84,20 @@ def test_substrings(rows, docs, window, hot):
     assert all((r.doc_id, r.text) in whole for r in got if not r.n_removed)
 
 
+def test_many_ids_are_joined_by_shuffle(rows, docs, monkeypatch):
+    """Beyond the bound of broadcast ids the results are the same."""
+    from cardmill.llm import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", 0)
+    got = substrings.deduplicate(docs).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, tuple(WORD.findall(r.text or ""))) for r in got) == cut(rows, 50)
+    few = docs.where("doc_id < 30")
+    sets = [(r.doc_id, shingles(r.text)) for r in few.collect()]
+    links = [(a, b) for (a, s), (b, t) in combinations(sets, 2) if s and t and 100 * len(s & t) >= 75 * len(s | t)]
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(few).collect()} == classes(links, {i for i, _ in sets})
+
+
 def test_substrings_of_nothing(no_docs):
     assert substrings.deduplicate(no_docs).collect() == []
 
