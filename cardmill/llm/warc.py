@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardmill.llm.tables import materialize
+
 VERSION = "WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"  # of all records written here, as pages carry no time
 PAGES_PER_FILE = 5_000
@@ -67,7 +69,8 @@ def write_archive(pages: DataFrame, path: str, pages_per_file: int = PAGES_PER_F
     """Pages (page_id, url, html) as WARC files in a new folder. One shuffle, by payload."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    keepers = rows.groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    # written, so that the join can broadcast a small one and split hot payloads of a large one
+    keepers = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("keeper")))
     # a revisit needs no payload, but its size and digest are those of the whole one
     met = rows.join(keepers, "digest").select("page_id", "url", "html", "keeper", F.col("page_id").eqNullSafe(F.col("keeper")).alias("is_response"))
 
