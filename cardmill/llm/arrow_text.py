@@ -108,11 +108,11 @@ def list_rows(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
 
 
-def per_chunk(function: Callable, text: str) -> Callable:
+def per_chunk(function: Callable, text: str, max_bytes: int = CHUNK_BYTES) -> Callable:
     """An Arrow function that calls ``function(rows, data, offsets)`` on parts of bounded size and passes on what it yields."""
 
     def run(batches):
-        for rows, data, offsets in chunks(batches, text):
+        for rows, data, offsets in chunks(batches, text, max_bytes):
             yield from function(rows, data, offsets)
         pa.default_memory_pool().release_unused()  # the worker may wait for long
 

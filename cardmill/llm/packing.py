@@ -31,8 +31,9 @@ from cardmill.llm.tables import bounded_batches, materialize
 BLOCK_PIECES = 20_000
 SEARCH_STEPS = 20_000  # fillings tried in a block's search
 FILLINGS = 8  # tried for one sequence
-CACHED_WORDS = 300_000  # of a worker; beyond that it starts anew
+CACHED_WORDS = 600_000  # of a worker; beyond that it starts anew
 AGAIN, FULL = 1 << 60, 1 << 61  # where the numbers of repacked and of full sequences begin
+CHUNK = 2 << 20  # bytes of text at once: words repeat, so larger parts have fewer different ones
 LOOSE = 0.97  # sequences filled less are packed once more
 
 
@@ -54,7 +55,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[int, int] = {}  # the slot of a word's hash
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,19 +64,18 @@ class WordIds:
         hashes, at, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        new = ~np.isin(hashes, self.known, assume_unique=True)
+        slots = np.array([self.known.get(h, -1) for h in hashes.tolist()], np.int64)
+        new = slots < 0
         if new.any():
             words = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in at[new]]
             ids = [e.ids for e in tokenizer(self.path).encode_batch(words, add_special_tokens=False)]
             size = np.array([len(x) for x in ids], np.int64)
-            slot = np.concatenate((self.slot, len(self.size) + np.arange(len(size))))
-            known = np.concatenate((self.known, hashes[new]))
+            slots[new] = len(self.size) + np.arange(len(size))
+            self.known.update(zip(hashes[new].tolist(), slots[new].tolist(), strict=True))
             self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.ids = np.concatenate((self.ids, np.array([i for x in ids for i in x], np.uint32)))
-            order = np.argsort(known)
-            self.known, self.slot = known[order], slot[order]
-        slot = self.slot[np.searchsorted(self.known, hashes)][inverse]
+        slot = slots[inverse]
         size = self.size[slot]
         edge = np.concatenate(([0], np.cumsum(size)))
         return self.ids[np.repeat(self.begin[slot] - edge[:-1], size) + np.arange(edge[-1])], edge[first]
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         yield frame(schema, pa.array(rows.column(0)).take(pa.array(row)), piece.astype(np.int32), start, length, crc, lists)
 
     return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        per_chunk(function, "text"), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+        per_chunk(function, "text", CHUNK), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
     )
 
 
