@@ -2,11 +2,13 @@
 
 Documents are tokenized in batches: each different word once per worker, as no token crosses white space. A document's ids
 end with one more id; only longer documents are cut. Pieces are dealt evenly, without a key, to blocks of bounded size,
-each packed by bin completion: best-fit decreasing gives the first solution, and unless that meets the lower bound, a branch
-and bound search completes one sequence after another around the largest piece left. It tries undominated fillings only (no
-piece left over could replace a smaller one in them), the fullest first, gives up a branch as soon as the blanks so far
-exceed what a better solution may have, and keeps the best solution found within a number of steps. What stands in each
-block's emptiest sequences is then packed once more across blocks.
+each packed by bin completion: best-fit decreasing gives the first solution. While a block has more sequences than its lower
+bound, the pieces of its loosest ones, and of some others among them, go to a branch and bound search in groups that have a
+sequence's worth of blanks and are small enough to reach complete solutions; full sequences stay. The search completes one
+sequence after another around the largest piece left. It tries undominated fillings only (no piece left over could replace a
+smaller one in them), the fullest first, and gives up a branch as soon as the blanks so far exceed what a better solution may
+have. A step is a filling tried; the best solution found within a number of steps stays. What stands in each block's emptiest
+sequences is then packed once more across blocks.
 
 Defined results: a null or empty text is the single closing id. Rows that repeat a document are packed each. Columns of the
 input other than the key and the text are left out, as a row is a piece.
@@ -15,8 +17,9 @@ input other than the key and the text are left out, as a row is a piece.
 from __future__ import annotations
 
 import math
+import random
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import cache
 
 import numpy as np
@@ -31,6 +34,8 @@ from cardmill.llm.tables import bounded_batches, materialize
 BLOCK_PIECES = 20_000
 SEARCH_STEPS = 20_000  # fillings tried in a block's search
 FILLINGS = 8  # tried for one sequence
+GROUP_PIECES = 120  # of a search at least, if its sequences have more blanks than one sequence before
+GROUP_STEPS = 1_000  # of a search; more if its pieces could need more for a first complete solution
 CACHED_WORDS = 600_000  # of a worker; beyond that it starts anew
 AGAIN, FULL = 1 << 60, 1 << 61  # where the numbers of repacked and of full sequences begin
 CHUNK = 2 << 20  # bytes of text at once: words repeat, so larger parts have fewer different ones
@@ -132,42 +137,42 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def fillings(lengths: list[int], left: list[int], room: int) -> list[list[int]]:
     """Undominated ways to fill the room with pieces of ``left`` (numbers, longest first), the fullest first."""
     found: list[tuple[int, list[int]]] = []
+    rising = [-lengths[i] for i in left]
 
     def add(chosen: list[int], room: int, at: int) -> None:
         # the first that fits, and only pieces of other lengths after it
-        last, tried = 0, 0
-        fits = False
-        for k in range(at, len(left)):
-            length = lengths[left[k]]
-            if length > room or length == last:
-                continue
-            fits, last, tried = True, length, tried + 1
-            add([*chosen, left[k]], room - length, k + 1)
-            if len(found) >= 4 * FILLINGS or tried >= 3 or found and found[-1][0] == 0:
-                return
-        if not fits:
+        tried = 0
+        k = bisect_left(rising, -room, at)
+        if k == len(left):
             found.append((room, chosen))
+        while k < len(left):
+            tried += 1
+            add([*chosen, left[k]], room + rising[k], k + 1)
+            if len(found) >= 4 * FILLINGS or tried >= 3 or found[-1][0] == 0:
+                return
+            k = bisect_right(rising, rising[k], k)
+
+    def dominated(chosen: list[int], rest: int) -> bool:
+        # some piece left out is longer than one chosen and fits in its place
+        taken = set(chosen)
+        return rest > 0 and any(
+            left[k] not in taken for c in chosen for k in range(bisect_left(rising, -lengths[c] - rest), bisect_left(rising, -lengths[c]))
+        )
 
     add([], room, 0)
     found.sort(key=lambda f: f[0])
-    return [
-        chosen for rest, chosen in found[:FILLINGS]
-        # dominated: some piece left out is longer than one chosen and fits in its place
-        if not any(lengths[c] < lengths[x] <= lengths[c] + rest for c in chosen for x in left if x not in chosen)
-    ]
+    return [chosen for rest, chosen in found[:FILLINGS] if not dominated(chosen, rest)]
 
 
-def bin_completion(lengths: list[int], capacity: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
-    """Pieces (lengths that do not rise) in few bins: the optimum, or the best found within ``steps`` fillings."""
-    best = best_fit(lengths, capacity)
+def search(lengths: list[int], capacity: int, best: list[list[int]], steps: int) -> tuple[list[list[int]], int, bool]:
+    """Bins that are fewer than ``best`` if the branches lead to such within ``steps`` fillings, else ``best``; the steps
+    taken, and whether the search came to its end or the lower bound."""
     total = sum(lengths)
     least = math.ceil(total / capacity)
-    if len(best) == least or steps <= 0:
-        return best
-    left_steps = steps
+    taken_steps = 0
     # each level: the bins so far, what is left, the blanks so far, and the fillings still to try
     stack = [([], list(range(len(lengths))), 0, None)]
-    while stack and left_steps > 0 and len(best) > least:
+    while stack and taken_steps < steps and len(best) > least:
         bins, left, blanks, options = stack.pop()
         if not left:
             if len(bins) < len(best):
@@ -175,9 +180,9 @@ def bin_completion(lengths: list[int], capacity: int, steps: int = SEARCH_STEPS)
             continue
         if options is None:
             options = fillings(lengths, left[1:], capacity - lengths[left[0]])
-            left_steps -= max(1, len(options)) * max(1, len(left) // 50)
         if not options:
             continue
+        taken_steps += 1
         chosen, rest = options[0], options[1:]
         stack.append((bins, left, blanks, rest))
         filled = [left[0], *chosen]
@@ -186,7 +191,51 @@ def bin_completion(lengths: list[int], capacity: int, steps: int = SEARCH_STEPS)
             continue
         taken = set(filled)
         stack.append(([*bins, filled], [i for i in left if i not in taken], now, None))
-    return best
+    return best, taken_steps, len(best) == least or not stack
+
+
+def bin_completion(lengths: list[int], capacity: int, steps: int = SEARCH_STEPS, told: dict[str, int] | None = None) -> list[list[int]]:
+    """Pieces (lengths that do not rise) in few bins: the best found within ``steps`` fillings. ``told`` counts the searches,
+    those that came to their end, and those that saved bins."""
+    best = best_fit(lengths, capacity)
+    least = math.ceil(sum(lengths) / capacity)
+    rng = random.Random(0)
+    room = lambda b: capacity - sum(lengths[i] for i in b)
+    loose = sorted(((room(b), b) for b in best), key=lambda x: -x[0])
+    tries = 0
+    while len(loose) > least and steps > 0:
+        # the loosest bins, and from the second try on others between them
+        blanks, size, group = 0, 0, []
+        skip = 0.0 if not tries else rng.random()
+        for k, (rest, b) in enumerate(loose):
+            if not rest or size + len(b) > max(GROUP_PIECES, steps) or blanks >= capacity and size + len(b) > GROUP_PIECES:
+                break
+            if rng.random() >= skip:
+                group.append(k)
+                blanks, size = blanks + rest, size + len(b)
+        if blanks < capacity:  # no bin can be saved among these
+            if not tries:
+                break
+            tries += 1
+            steps -= 1 + len(loose) // 100
+            continue
+        numbers = sorted(i for k in group for i in loose[k][1])
+        old = [loose[k][1] for k in group]
+        at = {i: n for n, i in enumerate(numbers)}
+        found, used, ended = search([lengths[i] for i in numbers], capacity, [[at[i] for i in b] for b in old], min(steps, max(GROUP_STEPS, size)))
+        steps -= max(1, used)
+        if told is not None:
+            for name, count in (("searches", 1), ("ended", ended), ("saved", len(found) < len(old))):
+                told[name] = told.get(name, 0) + int(count)
+        tries += 1
+        if len(found) < len(old):
+            new = [[numbers[n] for n in b] for b in found]
+            gone = set(group)
+            loose = sorted([x for k, x in enumerate(loose) if k not in gone] + [(room(b), b) for b in new], key=lambda x: -x[0])
+            tries = 0
+        elif ended and len(group) == len(loose):
+            break  # all bins were in it
+    return [b for _, b in loose]
 
 
 def packed(rows: DataFrame, capacity: int, steps: int) -> DataFrame:

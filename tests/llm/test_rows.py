@@ -221,3 +221,16 @@ def test_bin_completion():
     better += len(packing.best_fit(hard, 100)) - len(packing.bin_completion(hard, 100))
     assert better >= 0
     assert json.dumps(packing.best_fit([], 10)) == "[]"
+
+
+def test_bin_completion_of_whole_blocks():
+    """Where best fit misses the lower bound in a full block, the search saves sequences, and most searches come to their end."""
+    for low, high in ((820, 2048), (1025, 2048), (600, 1850), (400, 2900)):
+        rng = random.Random(low)
+        lengths = sorted((rng.randrange(low, high) for _ in range(packing.BLOCK_PIECES)), reverse=True)
+        told = {}
+        bins = packing.bin_completion(lengths, 4096, told=told)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+        assert len(bins) < len(packing.best_fit(lengths, 4096))
+        assert told["saved"] >= 1 and told["ended"] > told["searches"] / 2
