@@ -1,9 +1,13 @@
 """Licence scan by sentence rules: a text's sentences become identifiers, and ordered rules match runs of identifiers.
 
-A sentence ends at a line end or at a stop followed by a blank. It is normalised (A-Z to a-z, every run of other characters
-than a-z and 0-9 one blank) and looked up among the known licence sentences. The sequence of identifiers, with one gap sign
-for any run of unknown sentences, is matched against the rules from left to right; where several rules match, the first in
-order wins. Only DataFrame functions; no shuffle.
+A sentence ends at a stop followed by a blank or a line end, and at a blank line; a line of marks only, as in comments, is
+blank. It is normalised (A-Z to a-z, every run of other characters than a-z and 0-9 one blank), and the known licence sentences
+are looked for in it: one that begins where a line or the sentence does and ends where a line or the sentence does, over as many
+lines as it is wrapped to, the longest first. Any other line is unknown. The sequence of identifiers, with one gap sign for any
+run of unknown lines, is matched against the rules from left to right; where several rules match, the first in order wins. Only
+DataFrame functions; no shuffle.
+
+The SQL knows the short sentences on one line only, and gives the same wherever texts hold no other licence sentence.
 
 Defined results: a null or empty text, or one without known sentences, has no licences. A known sentence that no rule takes
 counts in ``n_sentences`` only. Rows are scanned one by one. Input columns of the same names as the result's are replaced.
@@ -11,6 +15,8 @@ counts in ``n_sentences`` only. Rows are scanned one by one. Input columns of th
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,26 +54,70 @@ RULES = [
     ("B0B1B2", "BSD-2-Clause"), ("B0--B1--B2", "BSD-2-Clause"), ("B0", "BSD-2-Clause"),
     ("P0", "LicenseRef-all-rights-reserved"),
 ]
+# fixed values: whole sentences of the standard texts, normalised, with their identifiers in order
+GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+FREE = "this program is free software"
+CHANGE = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+LATER = "or at your option any later version"
+USEFUL = "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+BINARY_FORMS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+HOLDER = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+APACHE = "licensed under the apache license version 2 0 the license"
+EXCEPT = "you may not use this file except in compliance with the license"
+WHOLE_SENTENCES = {
+    GRANT: "M1", f"{GRANT} {NOTICE}": "M1", NOTICE: "M3", AS_IS: "M2",
+    # with the line that wrapped texts end at, where what follows differs
+    f"{FREE} {CHANGE} 3 of the license {LATER}": "G2", f"{FREE} {CHANGE} 3 of the license": "G2",
+    f"{FREE} {CHANGE} 2 of the license {LATER}": "G4", f"{FREE} {CHANGE} 2 of the license": "G4",
+    f"{FREE} you can redistribute it and or modify it under the terms of the gnu general public license": "G1G2",
+    f"{USEFUL}": "G3",
+    BINARY_FORMS: "B0", f"{BINARY_FORMS} 1": "B0", SOURCE: "B1", f"{BINARY_FORMS} {SOURCE}": "B0B1", BINARY: "B2", HOLDER: "B3",
+    f"{SOURCE} {BINARY}": "B1B2", f"{BINARY_FORMS} {SOURCE} {BINARY}": "B0B1B2",
+    f"{APACHE} {EXCEPT}": "A1A2", "you may obtain a copy of the license at http www apache org licenses license 2 0": "A3",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "A3",
+}
+# fixed values: rules before the others; the list's numbers stand as unknown sentences between its items
+WHOLE_RULES = [
+    *(("".join(x), "BSD-3-Clause") for x in product(["B0"], ["--", ""], ["B1"], ["--", ""], ["B2"], ["--", ""], ["B3"])),
+    *(("".join(x), "BSD-2-Clause") for x in product(["B0"], ["--", ""], ["B1"], ["--", ""], ["B2"])),
+    ("M1--M3--M2", "MIT"), ("M1M3M2", "MIT"), ("M1--M3M2", "MIT"), ("M1M3--M2", "MIT"), ("G4G3", "GPL-2.0"), ("G4", "GPL-2.0"),
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDED = ("identifiers", "matches", "n_sentences", "n_matches", "licenses")
 
 
+def known_lines(text: Column) -> Column:
+    """The known sentences and the other lines of a text, in order and normalised."""
+    plain = F.translate(F.translate(text, "\x01", " "), UPPER, LOWER)
+    plain = F.regexp_replace(plain, r"[.!?](?:[ \t]+|(?=\r?\n))", "\x01")
+    plain = F.regexp_replace(plain, "[^a-z0-9\n\x01]+", " ")
+    plain = F.regexp_replace(plain, " ?([\n\x01]) ?", "$1")
+    plain = F.trim(F.regexp_replace(plain, "\n*\x01[\n\x01]*|\n\n+", "\x01"))
+    # the holder that a text names
+    plain = F.regexp_replace(plain, r"(?<![^\n\x01])neither[ \n]the[ \n]name[ \n]of(?:[ \n][a-z0-9]+){1,12}?[ \n]nor[ \n]the[ \n]names", "neither the name of the copyright holder nor the names")
+    sentences = "|".join(s.replace(" ", "[ \n]") for s in sorted(SENTENCES | WHOLE_SENTENCES, key=len, reverse=True))
+    return F.regexp_extract_all(plain, F.lit(f"(?<![^\n\x01])(?:{sentences})(?![^\n\x01])|[^\n\x01]+"), F.lit(0))
+
+
 def identifier(sentence: Column) -> Column:
-    """The identifier of a raw sentence, or the gap sign."""
-    plain = F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.when(plain == "", "").otherwise(F.coalesce(known[plain], F.lit("--")))
+    """The identifiers of a normalised sentence, or the gap sign."""
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | WHOLE_SENTENCES).items() for x in pair])
+    return F.coalesce(known[F.translate(sentence, "\n", " ")], F.lit("--"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with identifiers, rule matches in order, their number and the distinct licences."""
     docs = replace_columns(docs, *ADDED)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    sentences = F.split(F.regexp_replace(body, r"([.!?])[ \t]+", "$1\n"), r"\r?\n")
-    row = F.array_join(F.transform(sentences, identifier), "")
+    row = F.array_join(F.transform(known_lines(body), identifier), "")
     found = docs.withColumn("identifiers", F.regexp_replace(row, "(--)+", "--"))
-    rules = F.create_map(*[F.lit(x) for pair in RULES for x in pair])
-    found = found.withColumn("matches", F.regexp_extract_all("identifiers", F.lit("|".join(f"({r})" for r, _ in RULES)), F.lit(0)))
+    ordered = WHOLE_RULES + RULES
+    rules = F.create_map(*[F.lit(x) for pair in dict(ordered).items() for x in pair])
+    found = found.withColumn("matches", F.regexp_extract_all("identifiers", F.lit("|".join(f"({r})" for r, _ in ordered)), F.lit(0)))
     found = found.withColumn("matches", F.transform("matches", lambda m: rules[m]))
     return found.withColumns({
         "n_sentences": F.length(F.regexp_replace("identifiers", "--", "")) / 2,

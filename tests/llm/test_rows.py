@@ -102,6 +102,76 @@ def test_licenses(spark, no_docs):
     assert {r for r, _ in licenses.RULES if set(re.findall("..", r)) - {"--"} <= set(licenses.SENTENCES.values())} == {r for r, _ in licenses.RULES}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD + """
+3. Neither the name of Some One Inc nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_standard_licenses(spark):
+    """Standard texts as they are wrapped, in comments, with other line ends, a paragraph a line and all on one line."""
+    whole = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD_3, "BSD-3-Clause"), (BSD.replace("1.", "*").replace("2.", "*"), "BSD-2-Clause"), (GPL, "GPL-3.0"), (GPL.replace("version 3", "version 2"), "GPL-2.0"), (APACHE, "Apache-2.0")]
+    forms = [
+        lambda t: t, lambda t: "".join(f"# {x}\n" for x in t.splitlines()), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint x;",
+        lambda t: t.replace("\n", "\r\n"), lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")), lambda t: "\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+        lambda t: "Before.  " + " ".join(t[max(0, t.find("\n\n")) :].split() if t.startswith(("MIT", "Copyright")) and t is not MIT else t[t.find("Permission") :].split() if t is MIT else t.split()) + " After it.",
+    ]
+    texts = [(k, form(text)) for k, (text, form) in enumerate((t, f) for t, _ in whole for f in forms)]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [name for _, name in whole for _ in forms]
+    other = ["This program is free\n\nsoftware", "Released under.\nthe MIT License", "we are not released\nunder the MIT License", "Released under the MIT License\nof old", "\x01Released under the\n// MIT License\x01"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == ["", "", "", "MIT", "MIT"]
+
+
 def test_url_filter(spark):
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     cases = [
