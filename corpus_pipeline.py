@@ -25,16 +25,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id; of equal rows one. Documents without
-    an id are in no group and stay."""
-    found = materialize(jaccard.near_duplicates(docs, width=5, threshold=75))
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    kept = join_ids(docs, gone, ["doc_id"], "left_anti")
-    twice = materialize(found.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
-    if not twice.take(1):
-        return kept
-    once = join_ids(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return join_ids(kept, twice, ["doc_id"], "left_anti").unionByName(once)
+    """One row of each group of near duplicates stays, that with the smallest doc_id; rows are judged one by one, whatever
+    ids they repeat, and of equal ids the text with the smallest hash stays. Rows without an id are in no group and stay."""
+    # a written key for every row; a null id has none
+    named = F.col("doc_id").isNotNull()
+    rows = materialize(docs.withColumn("__row", F.when(named, F.monotonically_increasing_id())))
+    found = jaccard.near_duplicates(rows, key="__row", width=5, threshold=75)
+    found = materialize(found.where("doc_id is not null").select(F.col("doc_id").alias("__row"), "component_id"))
+    # only rows in groups of two and more are compared
+    several = materialize(found.groupBy("component_id").count().where("count > 1").select("component_id"))
+    members = materialize(join_ids(found, several, ["component_id"], "left_semi"))
+    ids = join_ids(rows, members.select("__row"), ["__row"], "left_semi").select("__row", F.struct("doc_id", F.xxhash64("text"), "__row").alias("place"))
+    members = materialize(members.join(ids, "__row"))
+    firsts = members.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.__row").alias("__row"))
+    gone = members.select("__row").join(firsts, "__row", "left_anti")
+    return join_ids(rows, gone, ["__row"], "left_anti").drop("__row")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,24 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    """One row of every group stays, also where ids repeat with other texts."""
+    rng = random.Random(5)
+    x, y, z, u, v, w = (prose(rng, 60) for _ in range(6))
+    near = z + " more"
+    cases = [
+        ([(3, y), (5, y), (5, x), (7, x)], [(3, y), (5, x)]),  # no group loses all its rows
+        ([(1, y), *((5, t) for t in (x, y, u, v, w))], [(1, y), *((5, t) for t in (x, u, v, w))]),  # a hot id keeps its other texts
+        ([(4, z), (4, near), (4, z), (4, x)], None),  # near copies under one id
+        ([(None, x), (None, x), (2, x)], [(None, x), (None, x), (2, x)]),
+    ]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for rows, want in cases:
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+        if want is None:
+            assert len(got) == 2 and (4, x) in got and set(got) <= {(4, z), (4, near), (4, x)}
+        else:
+            assert order(got) == order(want)
