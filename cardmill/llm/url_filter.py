@@ -18,12 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import byte_column, chunks
-from cardmill.llm.tables import checked_rows, replace_columns
+from cardmill.llm.tables import replace_columns
 
 BUCKETS = 1 << 16
 ORDERS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RATE_STEPS = 1 << 30
 
 
 def host_of(url: Column) -> Column:
@@ -86,14 +85,15 @@ def fit(urls: list[str], labels: np.ndarray, rounds: int = 200, rate: float = 0.
 
 
 def train(labelled: DataFrame, max_rows: int = 4_000) -> Model:
-    """Fit on (key, url, block): all rows, or about ``max_rows`` of them, half of either kind, chosen by a hash of the key."""
-    counts = {r.block: r["count"] for r in labelled.groupBy("block").count().collect() if r.block is not None}
-    if len(counts) < 2:
-        return Model(np.zeros(BUCKETS), -10.0)
-    rate = F.create_map(*[F.lit(x) for b, n in counts.items() for x in (b, int(RATE_STEPS * min(1.0, max_rows / 2 / n)))])
-    chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(RATE_STEPS)) < rate[F.col("block")]).select("key", "url", "block")
-    rows = sorted(checked_rows(chosen, 2 * max_rows, "labelled urls"), key=lambda r: (str(r.key), r.url))
-    return fit([r.url for r in rows], np.array([float(r.block) for r in rows]))
+    """Fit on (key, url, block): all different rows, or ``max_rows`` of them, half of either kind, those with the smallest
+    hashes of key and url."""
+    rows = []
+    for block in (False, True):
+        kind = labelled.where(F.col("block") == block).select("key", "url", "block").distinct()
+        kind = kind.withColumn("place", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "url"))
+        rows += kind.orderBy("place", "key", "url").limit(max_rows // 2).collect()
+    rows.sort(key=lambda r: (str(r.key), r.url or ""))
+    return fit([r.url or "" for r in rows], np.array([float(r.block) for r in rows]))
 
 
 def judge(pages: DataFrame, rules: dict[str, str], model: Model, url: str = "url") -> DataFrame:

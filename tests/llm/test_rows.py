@@ -193,6 +193,20 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), rules, model).collect() == []
 
 
+def test_url_training_with_null_and_hot_keys(spark):
+    """Rows that share a key, or have none, are chosen one by one, and never more than the bound."""
+    rows = [(None, f"bad{k}.shop/buy/{k}", True) for k in range(500)] + [(7, f"good{k}.edu/paper/{k}", False) for k in range(500)]
+    rows += [(7, "good0.edu/paper/0", False)] * 300 + [(None, None, True), (8, "x", None)]
+    taken = []
+    fit = url_filter.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(url_filter, "fit", lambda urls, labels: taken.append((urls, labels)) or fit(urls, labels))
+        model = url_filter.train(spark.createDataFrame(rows, "key long, url string, block boolean"), max_rows=100)
+    urls, labels = taken[0]
+    assert len(set(urls)) == len(urls) == 100 and labels.sum() == 50
+    assert (model.probability(pa.array(["bad999.shop/buy/7", "good999.edu/paper/7"])) >= 0.5).tolist() == [True, False]
+
+
 def test_decontamination(spark, no_docs):
     rng = random.Random(5)
     items = [(k, prose(rng, rng.randrange(9, 60), 300)) for k in range(40)] + [(None, "tiny test item of nine words in all here"), (90, None), (91, ""), (92, "!!")]
