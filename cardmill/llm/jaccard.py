@@ -217,12 +217,24 @@ def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75
     return first.union(verified(pairs, whole_sets(docs, width, pairs), threshold))
 
 
+def links_of_ids(sized: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that a repeated id is in, each named by its smallest document."""
+    classes = materialize(sized.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
+    held = sized.join(classes, ["k1", "k2"]).select("doc", "rep")
+    ids = held.groupBy("doc").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("doc", "least")
+    ids = materialize(ids)
+    if not ids.take(1):
+        return ids.toDF("a", "b")
+    held = materialize(join_ids(held, ids.select("doc"), ["doc"], "left_semi").distinct())
+    return held.join(ids, "doc").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     plain = bounded_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     sized = materialize(keyed(plain, width))
     named = sized.where("doc is not null")
-    found = components(links(plain.where("doc is not null"), named, width, threshold))
+    found = components(links(plain.where("doc is not null"), named, width, threshold).union(links_of_ids(named)))
     # a class that has a document in a component is in it as a whole: its smallest document stands for it
     classes = named.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("rep"))
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

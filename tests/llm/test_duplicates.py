@@ -42,6 +42,18 @@ def test_jaccard_join(rows, docs):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == want
 
 
+def test_links_through_a_repeated_id(spark):
+    """An id that is in classes of others, and the smallest of none, links them."""
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(30))
+    cases = [[(2, 0), (5, 0), (3, 1), (5, 1)], [(2, 0), (5, 0), (3, 1), (5, 1), (1, 2), (6, 2), (6, 1), (7, 3), (9, 3), (8, 4)], [(k, k) for k in range(20, 40)] + [(50, k) for k in range(20, 40)]]
+    for rows in cases:
+        rows = [(i, text(k)) for i, k in rows]
+        sets = [(i, shingles(t)) for i, t in rows]
+        want = classes([(a, b) for (a, s), (b, t) in combinations(sets, 2) if 100 * len(s & t) >= 75 * len(s | t)], {i for i, _ in sets})
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
 def test_jaccard_join_of_nothing(no_docs):
     assert jaccard.near_duplicates(no_docs).collect() == []
 
