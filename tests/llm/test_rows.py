@@ -84,8 +84,10 @@ def test_quality(spark, no_docs):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit(1))
     got = quality.clean(docs).orderBy("doc_id").collect()
     assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got] == [plain_quality(t) for t in texts]
-    kept = [i for i, r in enumerate(got) if r.kept]
-    assert kept == [3, 6, 11, 14]
+    # of text 13 the menu goes, which is less than half of its word characters
+    assert [r.kept for r in got] == [not r.base_failed and 100 * r.kept_chars >= 50 * r.word_chars for r in got]
+    assert [i for i, r in enumerate(got) if r.kept] == [3, 6, 11, 13, 14]
+    assert got[13].kept_text == good and got[13].kept_chars < got[13].word_chars
     assert got[3].kept_text == good and got[6].kept_text == good
     assert quality.clean(no_docs).collect() == []
 
