@@ -121,7 +121,7 @@ DEPARTMENT_WORDS = (
     r"|success|business|analytics|hardware|devops|sre|mobile|quality|qa|program|communications|g&a)\b"
 )
 ID_ATTR_SKIP = r"^(class|style|href|src|srcset|alt|title|aria-.*)$"
-ID_ATTR_VALUE = r"^[A-Za-z0-9_.:-]{2,80}$"
+ID_ATTR_VALUE = r"^[\w.:-]{2,80}$"
 ID_ATTR_NAME = r"(?i)id|req|job|posting"
 CARD_ATTR_SKIP = r"^(class|style|src|srcset)$"
 
