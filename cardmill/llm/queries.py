@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import decontaminate, jaccard, language, licenses, packing, quality, sharding, substrings, url_filter, warc
+from cardmill.llm import decontaminate, jaccard, language, licenses, packing, phrases, quality, sharding, substrings, url_filter, warc
 from cardmill.llm.tables import crc_fold, table
 from cardmill.session import work_dir
 
@@ -79,6 +79,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
@@ -90,8 +94,10 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op7_quality_rules": quality.oracle(),
+    "op11_collocations": phrases.oracle(),
 }
