@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardmill.llm import bit_slices, decontaminate, jaccard, language, licenses, packing, phrases, quality, sharding, substrings, url_filter, warc
+from cardmill.llm import bit_slices, decontaminate, jaccard, language, licenses, packing, phrases, prefix_trie, quality, sharding, substrings, url_filter, warc
 from cardmill.llm.tables import crc_fold, table
 from cardmill.session import work_dir
 
@@ -83,6 +83,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_slices.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -99,11 +103,13 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
     "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_top_vectors": op13_top_vectors,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op7_quality_rules": quality.oracle(),
     "op11_collocations": phrases.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
     "op13_top_vectors": bit_slices.oracle(),
 }
