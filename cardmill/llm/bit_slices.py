@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from cardmill.llm.tables import bounded_batches, materialize
 
 U64 = np.uint64
-LEAST_BLOCKS = 16
+LEAST_BLOCKS = 8  # of rows
+LEAST_PARTS = 2  # of queries
 BLOCK_ROWS = 1 << 17
 CELL_PAIRS = 1 << 33  # of queries and rows
 QUERY_ROWS = 1024  # queries in one row of the table of queries
@@ -78,21 +79,23 @@ def signed_digits(weights: np.ndarray) -> list[np.ndarray]:
 
 
 def carry_save(rows: np.ndarray) -> tuple[np.ndarray | None, list[np.ndarray]]:
-    """Bitmaps (query, k, word) of one weight, added up: one bitmap of that weight, and the carries of the next."""
+    """Bitmaps (k, query, word) of one weight, added up in place: one bitmap of that weight, and the carries of the next."""
     carries = []
-    while rows.shape[1] > 1:
-        k = rows.shape[1] // 3
+    while len(rows) > 1:
+        k = len(rows) // 3
         if k:
-            a, b, c = rows[:, : 3 * k : 3], rows[:, 1 : 3 * k : 3], rows[:, 2 : 3 * k : 3]
-            odd = a ^ b
-            carries.append((a & b) | (odd & c))
-            odd ^= c
-            rows = np.concatenate((odd, rows[:, 3 * k :]), axis=1) if rows.shape[1] % 3 else odd
+            a, b, c, rest = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k], rows[3 * k :]
+            carry = a & b
+            a ^= b
+            carry |= np.bitwise_and(a, c, out=b)
+            a ^= c
+            rows[k : k + len(rest)] = rest
+            rows = rows[: k + len(rest)]
         else:
-            a, b = rows[:, :1], rows[:, 1:]
-            carries.append(a & b)
-            rows = a ^ b
-    return (rows[:, 0] if rows.shape[1] else None), carries
+            carry = rows[:1] & rows[1:]
+            rows = rows[:1] ^ rows[1:]
+        carries.append(carry)
+    return (rows[0] if len(rows) else None), carries
 
 
 def add_slices(slices: np.ndarray, bits: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -112,9 +115,13 @@ def add_slices(slices: np.ndarray, bits: np.ndarray, weights: np.ndarray) -> np.
     while p <= place.max(initial=-1) or carries:
         a, z = np.searchsorted(place, (p, p + 1))
         count = np.bincount(query[a:z], minlength=len(weights))
-        at = np.full((len(weights), int(count.max(initial=0))), len(slices) - 1)
-        at[query[a:z], np.arange(z - a) - np.repeat(np.cumsum(count) - count, count)] = row[a:z]
-        total, carries = carry_save(np.concatenate([slices[at], *carries], axis=1))
+        at = np.full((int(count.max(initial=0)), len(weights)), len(slices) - 1)
+        at[np.arange(z - a) - np.repeat(np.cumsum(count) - count, count), query[a:z]] = row[a:z]
+        rows = np.empty((len(at) + sum(map(len, carries)), len(weights), slices.shape[1]), U64)
+        np.take(slices, at, axis=0, out=rows[: len(at)], mode="clip")
+        if carries:
+            np.concatenate(carries, out=rows[len(at) :])
+        total, carries = carry_save(rows)
         out.append(np.zeros((len(weights), slices.shape[1]), U64) if total is None else total)
         p += 1
     return np.stack(out) if out else np.zeros((0, len(weights), slices.shape[1]), U64)
@@ -212,7 +219,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     n, asking, width = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1)), F.max(F.size("v"))).first()
     width = width or 0
     blocks = max(LEAST_BLOCKS, math.ceil(n / BLOCK_ROWS))
-    parts = max(1, math.ceil(asking * n / blocks / CELL_PAIRS))
+    parts = max(LEAST_PARTS, math.ceil(asking * n / blocks / CELL_PAIRS))
     index = materialize(sliced(rows, width, blocks, every))
     last = index.agg(F.max("block")).first()[0] or 0
     side = index.where("maps is not null").select("block", "ids", "least", "bits", "maps", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"))

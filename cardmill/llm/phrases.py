@@ -67,7 +67,8 @@ def reach(joined: np.ndarray) -> np.ndarray:
     on = joined.copy()
     for k in range(1, DEPTH):
         length += on
-        on[:-k] &= joined[k:] if k < len(joined) else False
+        if k < len(joined):
+            on[:-k] &= joined[k:]
         on[-k:] = False
     return length
 
@@ -83,7 +84,7 @@ def columns_of(hashes: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
     out = []
     for k in range(DEPTH):
         column = np.zeros(len(hashes), U64)
-        column[: len(hashes) - k] = hashes[k:]
+        column[: max(0, len(hashes) - k)] = hashes[k:]
         column[length <= k] = 0
         out.append(column)
     return out
