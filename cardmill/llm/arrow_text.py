@@ -6,6 +6,7 @@ sequences get one hash with a probability of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,12 +109,20 @@ def list_rows(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system: its worker may wait for long, beside the next stage's workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library
+    if trim:
+        trim(0)
+
+
 def per_chunk(function: Callable, text: str, max_bytes: int = CHUNK_BYTES) -> Callable:
     """An Arrow function that calls ``function(rows, data, offsets)`` on parts of bounded size and passes on what it yields."""
 
     def run(batches):
         for rows, data, offsets in chunks(batches, text, max_bytes):
             yield from function(rows, data, offsets)
-        pa.default_memory_pool().release_unused()  # the worker may wait for long
+        release_memory()
 
     return run

@@ -5,10 +5,11 @@ end with one more id; only longer documents are cut. Pieces are dealt evenly, wi
 each packed by bin completion: best-fit decreasing gives the first solution. While a block has more sequences than its lower
 bound, the pieces of its loosest ones, and of some others among them, go to a branch and bound search in groups that have a
 sequence's worth of blanks and are small enough to reach complete solutions; full sequences stay. The search completes one
-sequence after another around the largest piece left. It tries undominated fillings only (no piece left over could replace a
-smaller one in them), the fullest first, and gives up a branch as soon as the blanks so far exceed what a better solution may
-have. A step is a filling tried; the best solution found within a number of steps stays. What stands in each block's emptiest
-sequences is then packed once more across blocks.
+sequence after another around the largest piece left. It tries every undominated filling (no piece left over fits or could
+replace a smaller one in it), made as they are asked for, the fullest of each few first, and gives up a branch as soon as the
+blanks so far exceed what a better solution may have. A step is a filling, or a part of one, that was tried; the best solution
+found within ``steps`` stays, and no group of pieces is searched twice. With ``steps=None`` each block is searched to its end
+and has as few sequences as there can be. What stands in each block's emptiest sequences is then packed once more across blocks.
 
 Defined results: a null or empty text is the single closing id. Rows that repeat a document are packed each. Columns of the
 input other than the key and the text are left out, as a row is a piece.
@@ -19,8 +20,9 @@ from __future__ import annotations
 import math
 import random
 import zlib
-from bisect import bisect_left, bisect_right, insort
-from functools import cache
+from bisect import bisect_right, insort
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardmill.llm.arrow_text import frame, per_chunk, spread_rows, word_hashes, word_spans
+from cardmill.llm.arrow_text import chunks, frame, release_memory, spread_rows, word_hashes, word_spans
 from cardmill.llm.tables import bounded_batches, materialize
 
 BLOCK_PIECES = 20_000
-SEARCH_STEPS = 20_000  # fillings tried in a block's search
-FILLINGS = 8  # tried for one sequence
+SEARCH_STEPS = 200_000  # of a block's searches; None searches it to the end
+FILLINGS = 32  # put in order at a time
 GROUP_PIECES = 120  # of a search at least, if its sequences have more blanks than one sequence before
-GROUP_STEPS = 1_000  # of a search; more if its pieces could need more for a first complete solution
-CACHED_WORDS = 600_000  # of a worker; beyond that it starts anew
+GROUP_STEPS = 4_000  # of a search; more if its pieces could need more for a first complete solution
+CACHED_WORDS = 600_000  # of a task, about 90 MB; beyond that it starts anew
+TOGETHER = 4_000  # words given to the tokenizer at once
 AGAIN, FULL = 1 << 60, 1 << 61  # where the numbers of repacked and of full sequences begin
 CHUNK = 2 << 20  # bytes of text at once: words repeat, so larger parts have fewer different ones
 LOOSE = 0.97  # sequences filled less are packed once more
 
 
-@cache
 def tokenizer(path: str):
     import os
 
@@ -53,15 +55,46 @@ def tokenizer(path: str):
 
 
 class WordIds:
-    """The ids of words, each different word tokenized once."""
+    """The ids of words, each different word tokenized once; it belongs to one task, as do its tokenizer and its memory."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.tokenizer = tokenizer(path)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}  # the slot of a word's hash
-        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.size, self.begin, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.used = 0  # of ids
+
+    def tokenize(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has. Words go to the tokenizer as lines of one text, as no token crosses a line."""
+        ids, sizes = [], []
+        for a in range(0, len(starts), TOGETHER):
+            first, size = starts[a : a + TOGETHER], (ends - starts)[a : a + TOGETHER]
+            edge = np.cumsum(size + 1)
+            lines = np.full(edge[-1], 10, np.uint8)
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            lines[at + np.repeat(edge - size - 1, size)] = data[at + np.repeat(first, size)]
+            found = self.tokenizer.encode(lines.tobytes().decode("utf-8", "replace"), add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            characters = np.cumsum((lines & 0xC0) != 0x80)[edge - 1]  # up to the end of every line
+            begin = np.array([s for s, _ in found.offsets], np.int64)
+            sizes.append(np.bincount(np.searchsorted(characters, begin, "right"), minlength=len(first)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, hashes: list[int], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of new words."""
+        ids, size = self.tokenize(data, starts, ends)
+        slots = len(self.known) + np.arange(len(hashes))
+        while len(self.size) < slots[-1] + 1:
+            self.size, self.begin = np.resize(self.size, 2 * len(self.size)), np.resize(self.begin, 2 * len(self.begin))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.size[slots], self.begin[slots] = size, self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(hashes, slots.tolist(), strict=True))
+        return slots
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin."""
@@ -72,31 +105,19 @@ class WordIds:
         slots = np.array([self.known.get(h, -1) for h in hashes.tolist()], np.int64)
         new = slots < 0
         if new.any():
-            words = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in at[new]]
-            ids = [e.ids for e in tokenizer(self.path).encode_batch(words, add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
-            slots[new] = len(self.size) + np.arange(len(size))
-            self.known.update(zip(hashes[new].tolist(), slots[new].tolist(), strict=True))
-            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.ids = np.concatenate((self.ids, np.array([i for x in ids for i in x], np.uint32)))
+            slots[new] = self.learn(hashes[new].tolist(), data, starts[at[new]], ends[at[new]])
         slot = slots[inverse]
         size = self.size[slot]
         edge = np.concatenate(([0], np.cumsum(size)))
         return self.ids[np.repeat(self.begin[slot] - edge[:-1], size) + np.arange(edge[-1])], edge[first]
 
 
-@cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every document's pieces."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
-    def function(rows, data, offsets):
-        ids, first = word_ids(path).texts(data, offsets)
+    def cut(rows, data, offsets, words):
+        ids, first = words.texts(data, offsets)
         # the closing id after each text's
         n = len(first) - 1
         whole = np.full(len(ids) + n, end_id, np.uint32)
@@ -111,10 +132,17 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         begin = first[row] + start
         crc = np.array([zlib.crc32(whole[a : a + k].astype("<u4").tobytes()) for a, k in zip(begin, length, strict=True)], np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(whole)), pa.int32()), pa.array(whole.view(np.int32)))
-        yield frame(schema, pa.array(rows.column(0)).take(pa.array(row)), piece.astype(np.int32), start, length, crc, lists)
+        return frame(schema, pa.array(rows.column(0)).take(pa.array(row)), piece.astype(np.int32), start, length, crc, lists)
+
+    def run(batches):
+        words = WordIds(path)
+        for rows, data, offsets in chunks(batches, "text", CHUNK):
+            yield cut(rows, data, offsets, words)
+        del words
+        release_memory()
 
     return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        per_chunk(function, "text", CHUNK), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+        run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
     )
 
 
@@ -134,111 +162,192 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(lengths: list[int], left: list[int], room: int) -> list[list[int]]:
-    """Undominated ways to fill the room with pieces of ``left`` (numbers, longest first), the fullest first."""
-    found: list[tuple[int, list[int]]] = []
-    rising = [-lengths[i] for i in left]
-
-    def add(chosen: list[int], room: int, at: int) -> None:
-        # the first that fits, and only pieces of other lengths after it
-        tried = 0
-        k = bisect_left(rising, -room, at)
-        if k == len(left):
-            found.append((room, chosen))
-        while k < len(left):
-            tried += 1
-            add([*chosen, left[k]], room + rising[k], k + 1)
-            if len(found) >= 4 * FILLINGS or tried >= 3 or found[-1][0] == 0:
-                return
-            k = bisect_right(rising, rising[k], k)
-
-    def dominated(chosen: list[int], rest: int) -> bool:
-        # some piece left out is longer than one chosen and fits in its place
-        taken = set(chosen)
-        return rest > 0 and any(
-            left[k] not in taken for c in chosen for k in range(bisect_left(rising, -lengths[c] - rest), bisect_left(rising, -lengths[c]))
-        )
-
-    add([], room, 0)
-    found.sort(key=lambda f: f[0])
-    return [chosen for rest, chosen in found[:FILLINGS] if not dominated(chosen, rest)]
-
-
-def search(lengths: list[int], capacity: int, best: list[list[int]], steps: int) -> tuple[list[list[int]], int, bool]:
-    """Bins that are fewer than ``best`` if the branches lead to such within ``steps`` fillings, else ``best``; the steps
-    taken, and whether the search came to its end or the lower bound."""
-    total = sum(lengths)
-    least = math.ceil(total / capacity)
-    taken_steps = 0
-    # each level: the bins so far, what is left, the blanks so far, and the fillings still to try
-    stack = [([], list(range(len(lengths))), 0, None)]
-    while stack and taken_steps < steps and len(best) > least:
-        bins, left, blanks, options = stack.pop()
-        if not left:
-            if len(bins) < len(best):
-                best = bins
-            continue
-        if options is None:
-            options = fillings(lengths, left[1:], capacity - lengths[left[0]])
-        if not options:
-            continue
-        taken_steps += 1
-        chosen, rest = options[0], options[1:]
-        stack.append((bins, left, blanks, rest))
-        filled = [left[0], *chosen]
-        now = blanks + capacity - sum(lengths[i] for i in filled)
-        if now > (len(best) - 1) * capacity - total:  # no better than what there is
-            continue
-        taken = set(filled)
-        stack.append(([*bins, filled], [i for i in left if i not in taken], now, None))
-    return best, taken_steps, len(best) == least or not stack
+class Steps:
+    """A number of steps to take, or None for as many as it needs."""
+
+    def __init__(self, left: int | None):
+        self.left, self.taken = left, 0
+
+    def take(self, n: int = 1) -> bool:
+        """Whether there was such a number left."""
+        self.taken += n
+        if self.left is None:
+            return True
+        self.left -= n
+        return self.left >= 0
+
 
+class OutOfSteps(Exception):
+    pass
 
-def bin_completion(lengths: list[int], capacity: int, steps: int = SEARCH_STEPS, told: dict[str, int] | None = None) -> list[list[int]]:
-    """Pieces (lengths that do not rise) in few bins: the best found within ``steps`` fillings. ``told`` counts the searches,
-    those that came to their end, and those that saved bins."""
+
+def fillings(sizes: list[int], have: list[int], room: int, steps: Steps) -> Iterator[list[int]]:
+    """Every undominated way to fill the room, as numbers of pieces of each size (sizes fall): no piece left out fits in what
+    stays empty, and none could replace a smaller chosen one. Larger pieces are tried first."""
+    below = [0] * (len(sizes) + 1)  # all pieces of a size and smaller ones
+    for k in range(len(sizes) - 1, -1, -1):
+        below[k] = below[k + 1] + sizes[k] * have[k]
+    chosen = [0] * len(sizes)
+
+    def fill(k: int, room: int, out: int) -> Iterator[list[int]]:
+        # out: the smallest piece left out so far, which must not fit at the end
+        if not steps.take():
+            raise OutOfSteps
+        if room - below[k] >= out:
+            return
+        while k < len(sizes) and (not have[k] or sizes[k] > room):
+            if have[k]:
+                out = sizes[k]
+            k += 1
+        if k == len(sizes):
+            rest = room
+            left = [x for x, n, c in zip(sizes, have, chosen, strict=True) if n > c]
+            if not any(c and any(x < y <= x + rest for y in left) for x, c in zip(sizes, chosen, strict=True)):
+                yield list(chosen)
+            return
+        most = min(have[k], room // sizes[k])
+        for n in range(most, -1, -1):
+            chosen[k] = n
+            yield from fill(k + 1, room - n * sizes[k], out if n == have[k] else sizes[k])
+        chosen[k] = 0
+
+    yield from fill(0, room, room + 1)
+
+
+def fullest_first(options: Iterator[list[int]], sizes: list[int], ahead: int) -> Iterator[list[int]]:
+    """The same fillings, of every ``ahead`` the fullest first."""
+    while some := list(islice(options, ahead)):
+        yield from sorted(some, key=lambda f: -sum(n * x for n, x in zip(f, sizes, strict=True)))
+
+
+def search(lengths: list[int], capacity: int, best: list[list[int]], steps: Steps, ahead: int = FILLINGS) -> tuple[list[list[int]], bool]:
+    """Bins of piece numbers, fewer than ``best`` if there are such and the steps lead to them, else ``best``; and whether
+    the search came to its end: it then has tried every undominated filling, or reached the lower bound."""
+    total = sum(lengths)
+    least = math.ceil(total / capacity)
+    sizes = sorted(set(lengths), reverse=True)
+    at = {x: k for k, x in enumerate(sizes)}
+    have = [0] * len(sizes)
+    for x in lengths:
+        have[at[x]] += 1
+    found: list[list[int]] | None = None
+    count, allowed = len(best), (len(best) - 1) * capacity - total  # blanks that a better solution may have
+    bins: list[list[int]] = []
+    blanks = [0]
+
+    def options() -> Iterator[list[int]]:
+        # the largest piece left, and what may stand beside it
+        k = next(k for k, n in enumerate(have) if n)
+        have[k] -= 1
+        beside = list(have)
+        have[k] += 1
+        for f in fullest_first(fillings(sizes, beside, capacity - sizes[k], steps), sizes, ahead):
+            f[k] += 1
+            yield f
+
+    def change(f: list[int], sign: int) -> None:
+        for k, n in enumerate(f):
+            have[k] += sign * n
+
+    ended = count <= least
+    stack = [options()] if not ended else []
+    try:
+        while stack:
+            f = next(stack[-1], None)
+            if f is None:
+                stack.pop()
+                if bins:
+                    change(bins.pop(), 1)
+                    blanks.pop()
+                continue
+            if not steps.take():
+                raise OutOfSteps
+            now = blanks[-1] + capacity - sum(n * x for n, x in zip(f, sizes, strict=True))
+            if now > allowed:
+                continue
+            change(f, -1)
+            bins.append(f)
+            blanks.append(now)
+            if any(have):
+                stack.append(options())
+                continue
+            found, count = [list(b) for b in bins], len(bins)
+            allowed = (count - 1) * capacity - total
+            if count == least:
+                break
+            change(bins.pop(), 1)
+            blanks.pop()
+        ended = True
+    except OutOfSteps:
+        pass
+    if found is None:
+        return best, ended
+    numbers: dict[int, list[int]] = {}
+    for i in reversed(range(len(lengths))):
+        numbers.setdefault(lengths[i], []).append(i)
+    return [[numbers[x].pop() for n, x in zip(b, sizes, strict=True) for _ in range(n)] for b in found], ended
+
+
+def bin_completion(lengths: list[int], capacity: int, steps: int | None = SEARCH_STEPS, told: dict[str, int] | None = None, group_pieces: int = GROUP_PIECES) -> list[list[int]]:
+    """Pieces (lengths that do not rise) in few bins: the best found within ``steps``. Without a number of steps all bins are
+    searched at once, to the end: the result has as few bins as there can be. ``told`` counts the searches, those that came
+    to their end, and those that saved bins."""
     best = best_fit(lengths, capacity)
     least = math.ceil(sum(lengths) / capacity)
+
+    def tried(ended: bool, saved: bool) -> None:
+        if told is not None:
+            for name, count in (("searches", 1), ("ended", ended), ("saved", saved)):
+                told[name] = told.get(name, 0) + int(count)
+
+    if steps is None:
+        if len(best) > least:
+            found, ended = search(lengths, capacity, best, Steps(None))
+            tried(ended, len(found) < len(best))
+            best = found
+        return best
     rng = random.Random(0)
     room = lambda b: capacity - sum(lengths[i] for i in b)
-    loose = sorted(((room(b), b) for b in best), key=lambda x: -x[0])
-    tries = 0
-    while len(loose) > least and steps > 0:
+    bins = sorted(((room(b), sorted(b)) for b in best), key=lambda x: (-x[0], x[1]))
+    failed: set[tuple[int, ...]] = set()
+    left, tries = Steps(steps), 0
+    while len(bins) > least and left.left > 0:
         # the loosest bins, and from the second try on others between them
         blanks, size, group = 0, 0, []
         skip = 0.0 if not tries else rng.random()
-        for k, (rest, b) in enumerate(loose):
-            if not rest or size + len(b) > max(GROUP_PIECES, steps) or blanks >= capacity and size + len(b) > GROUP_PIECES:
+        for k, (rest, b) in enumerate(bins):
+            if size + len(b) > group_pieces and blanks >= capacity:
                 break
             if rng.random() >= skip:
                 group.append(k)
                 blanks, size = blanks + rest, size + len(b)
-        if blanks < capacity:  # no bin can be saved among these
-            if not tries:
+        numbers = sorted(i for k in group for i in bins[k][1])
+        if blanks < capacity or tuple(numbers) in failed:  # no bin can be saved among these, or was
+            if not tries and blanks < capacity:
                 break
             tries += 1
-            steps -= 1 + len(loose) // 100
+            left.take(1 + len(bins) // 100)
             continue
-        numbers = sorted(i for k in group for i in loose[k][1])
-        old = [loose[k][1] for k in group]
         at = {i: n for n, i in enumerate(numbers)}
-        found, used, ended = search([lengths[i] for i in numbers], capacity, [[at[i] for i in b] for b in old], min(steps, max(GROUP_STEPS, size)))
-        steps -= max(1, used)
-        if told is not None:
-            for name, count in (("searches", 1), ("ended", ended), ("saved", len(found) < len(old))):
-                told[name] = told.get(name, 0) + int(count)
+        mine = Steps(min(left.left, max(GROUP_STEPS, 10 * size)))
+        found, ended = search([lengths[i] for i in numbers], capacity, [[at[i] for i in bins[k][1]] for k in group], mine)
+        left.take(max(1, mine.taken))
+        saved = len(found) < len(group)
+        tried(ended, saved)
         tries += 1
-        if len(found) < len(old):
-            new = [[numbers[n] for n in b] for b in found]
+        if saved:
             gone = set(group)
-            loose = sorted([x for k, x in enumerate(loose) if k not in gone] + [(room(b), b) for b in new], key=lambda x: -x[0])
+            new = [sorted(numbers[n] for n in b) for b in found]
+            bins = sorted([x for k, x in enumerate(bins) if k not in gone] + [(room(b), b) for b in new], key=lambda x: (-x[0], x[1]))
             tries = 0
-        elif ended and len(group) == len(loose):
-            break  # all bins were in it
-    return [b for _, b in loose]
+        else:
+            failed.add(tuple(numbers))
+            if ended and len(group) == len(bins):
+                break  # all bins were in it: there is nothing better
+    return [b for _, b in bins]
 
 
-def packed(rows: DataFrame, capacity: int, steps: int) -> DataFrame:
+def packed(rows: DataFrame, capacity: int, steps: int | None) -> DataFrame:
     """The rows with sequence_id, offset and how full the sequence is; each task packs the rows it gets."""
     names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -260,11 +369,12 @@ def packed(rows: DataFrame, capacity: int, steps: int) -> DataFrame:
         sequence += TaskContext.get().partitionId() << 32
         out = part.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("used", pa.array(used))
         yield from out.to_batches(max_chunksize=10_000)
+        release_memory()
 
     return rows.mapInArrow(run, f"{schema}, sequence_id long, offset long, used long")
 
 
-def pack(found: DataFrame, capacity: int = 4096, steps: int = SEARCH_STEPS) -> DataFrame:
+def pack(found: DataFrame, capacity: int = 4096, steps: int | None = SEARCH_STEPS) -> DataFrame:
     """Pieces (with a column ``length``) with ``sequence_id`` and ``offset``."""
     found = materialize(found)
     full = found.where(F.col("length") >= capacity).withColumn("sequence_id", F.lit(FULL) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

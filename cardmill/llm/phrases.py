@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardmill.llm.arrow_text import LOWER, STEP, U64, mix, per_chunk, spread_rows, word_hashes, word_spans
+from cardmill.llm.arrow_text import LOWER, STEP, U64, mix, per_chunk, release_memory, spread_rows, word_hashes, word_spans
 from cardmill.llm.tables import bounded_batches, materialize
 
 DEPTH = 4  # words of the longest phrase
@@ -322,7 +322,7 @@ def counted(parts: DataFrame, least: int, shards: int) -> DataFrame:
                 yield pa.record_batch(
                     [pa.array(columns[0][at].view(np.int64)), pa.array(np.full(len(at), depth - 1, np.int32)), lists, pa.array(counts.astype(np.int64)), pa.array(np.full(len(at), partial))],
                     schema=schema)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     found = materialize(parts.repartition(shards, "shard").mapInArrow(run, "language long, depth int, words array<long>, f long, partial boolean"))
     keys = ["language", "depth", "words"]
