@@ -35,9 +35,9 @@ from cardmill.llm.tables import bounded_batches, materialize
 
 BLOCK_PIECES = 20_000
 SEARCH_STEPS = 300_000  # of a block's searches; None searches it to the end
-FILLINGS = 32  # put in order at a time
-GROUP_PIECES = 120  # of a search at least, if its sequences have more blanks than one sequence before
-GROUP_STEPS = 4_000  # of a search, or 4 or 16 times as many after searches that saved nothing
+FILLINGS = 4  # put in order at a time
+GROUP_PIECES = 60  # of a search at least, twice as many every other time, if its sequences have more blanks than one sequence before
+GROUP_STEPS = 4_000  # of a search; more if its pieces could need more for a first complete solution
 CACHED_WORDS = 600_000  # of a task, about 90 MB; beyond that it starts anew
 TOGETHER = 4_000  # words given to the tokenizer at once
 AGAIN, FULL = 1 << 60, 1 << 61  # where the numbers of repacked and of full sequences begin
@@ -316,7 +316,7 @@ def bin_completion(lengths: list[int], capacity: int, steps: int | None = SEARCH
         blanks, size, group = 0, 0, []
         skip = 0.0 if not tries else rng.random()
         for k, (rest, b) in enumerate(bins):
-            if size + len(b) > group_pieces and blanks >= capacity:
+            if size + len(b) > group_pieces * (1 + tries % 2) and blanks >= capacity:
                 break
             if rng.random() >= skip:
                 group.append(k)
@@ -329,7 +329,7 @@ def bin_completion(lengths: list[int], capacity: int, steps: int | None = SEARCH
             left.take(1 + len(bins) // 100)
             continue
         at = {i: n for n, i in enumerate(numbers)}
-        mine = Steps(min(left.left, max(GROUP_STEPS, 10 * size) << 2 * (tries % 3)))
+        mine = Steps(min(left.left, max(GROUP_STEPS, 10 * size)))
         found, ended = search([lengths[i] for i in numbers], capacity, [[at[i] for i in bins[k][1]] for k in group], mine)
         left.take(max(1, mine.taken))
         saved = len(found) < len(group)
