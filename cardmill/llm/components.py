@@ -12,7 +12,8 @@ def contract(links: DataFrame, larger: bool) -> DataFrame:
     """Every node passes its smallest neighbour on to its larger (or its other smaller) neighbours."""
     both = links.union(links.select("b", "a")) if larger else links
     both = both.toDF("u", "v")  # without ``larger``: u > v
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join has no aggregate on its key below it and Spark can split a node with very many neighbours
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     met = both.join(least, "u")
     # larger: v > u joins m; else: v joins m, and so does u itself
     out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if larger else met.select("v", "m").union(least).toDF("a", "b")

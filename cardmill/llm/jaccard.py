@@ -6,12 +6,15 @@
    similarity of t share a token among the first n - ceil(t n) + 1 in this order, their prefix, so only prefixes are
    indexed. Any fixed order is exact; this one puts common lines and passages last.
 3. Similar documents are partitioned into groups: each one is compared with the leader that shares most of its prefix; the
-   leader of a token is the document with that token whose prefix is shared most. Verified links make up the groups.
+   leader of a token is the document with that token whose prefix is shared most. Verified links make up the groups. That
+   is done in a few rounds, the later ones with leaders of other groups, so a document is in few pairs however large its
+   family is.
 4. The matrix holds, for every group, the union of its members' prefix tokens, and the range of their sizes. A document of
    another group is a query: its overlap with the union bounds the overlap with any member. Only groups that reach what
    the sizes demand are opened, and only members that reach it themselves are compared, by their whole sets.
 
-Pairs within a group are never enumerated, and a group is one row per token however many copies it has.
+Pairs within a group are never enumerated, and a group is one row per token however many copies it has. Of the pairs of two
+groups one is verified first, the others only if that leaves the groups apart.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and stands for itself; a text
 with fewer words than a shingle has one token, the whole sequence. Rows that repeat a doc_id are documents with one id:
@@ -32,6 +35,7 @@ from cardmill.llm.tables import bounded_batches, join_ids, materialize
 
 SKETCH_BITS = 18  # of a count per bucket of token hashes, 2 MB broadcast whatever the corpus
 TOKEN_SHIFT = 16  # prefix tokens keep 48 bits: they only find candidates
+ROUNDS = 3  # of links with leaders; what they leave is found by the matrix
 HOT_TOKENS = 20_000  # occurrences in a bucket, beside twice the mean, beyond which its tokens are not counted one by one
 
 
@@ -141,18 +145,18 @@ def similar_sizes(n: Column, m: Column, threshold: int) -> Column:
     return (n * 100 >= m * threshold) & (m * 100 >= n * threshold)
 
 
-def verified(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, whole: DataFrame, threshold: int, *carried: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     meet, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     return (
         pairs.join(whole.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
         .join(whole.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-        .where(meet * 100 >= (both - meet) * threshold).select("a", "b")
+        .where(meet * 100 >= (both - meet) * threshold).select("a", "b", *carried)
     )
 
 
-def whole_sets(docs: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
-    """(doc, tokens): the whole sets of the documents in pairs (a, b)."""
+def whole_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(doc, tokens): the whole sets of the documents wanted."""
     schema = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def function(rows, data, offsets):
@@ -160,7 +164,6 @@ def whole_sets(docs: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
         first = np.concatenate(([0], np.cumsum([len(s) for s in found])))
         yield frame(schema, rows.column(0), list_rows(np.concatenate(found).view(np.int64), first))
 
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     return join_ids(docs, wanted, ["doc"], "left_semi").mapInArrow(per_chunk(function, "text"), "doc long, tokens array<long>")
 
 
@@ -179,18 +182,20 @@ def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75
     shared = materialize(shared.where(F.col("shared") >= least_demand(F.col("n"), low, high, threshold)))
     tokens = materialize(tokens.join(shared, "doc"))
 
-    # groups: verified links with the leaders of most tokens
-    leaders = tokens.groupBy("token").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("doc"), F.col("n"))).alias("x"))
-    leaders = leaders.select("token", (-F.col("x.col2")).alias("leader"), F.col("x.n").alias("m"))
-    votes = tokens.join(leaders, "token").where("doc != leader").groupBy("doc", "n", "leader", "m").agg(F.count("*").alias("votes"))
-    votes = votes.where(similar_sizes(F.col("n"), F.col("m"), threshold) & (F.col("votes") >= least_overlap(F.col("n"), F.col("m"), threshold)))
-    stars = materialize(votes.groupBy("doc").agg(F.max(F.struct("votes", "leader")).alias("x")).select(F.col("doc").alias("a"), F.col("x.leader").alias("b")))
-    first = materialize(verified(stars, whole_sets(docs, width, stars), threshold))
-    grouped = components(first).withColumnRenamed("node", "doc").withColumnRenamed("component", "grp")
-    members = materialize(tokens.join(grouped, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")))
+    whole = materialize(whole_sets(docs, width, shared.select("doc")))
+    # groups grow in rounds: each document is compared with one leader of another group, and verified links join the groups
+    members = tokens.withColumn("grp", F.col("doc"))
+    found, tried = None, None
+    for _ in range(ROUNDS):
+        stars = materialize(star_links(members, tried, threshold))
+        new = materialize(verified(stars, whole, threshold))
+        if not new.take(1):
+            break
+        found, tried = (new, stars) if found is None else (found.union(new), tried.union(stars))
+        members = materialize(regrouped(members, new))
 
     # the token-group matrix, and queries from groups with larger names
-    matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("shared").alias("top"), F.count("*").alias("held"))
+    matrix = materialize(members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("shared").alias("top"), F.count("*").alias("held")))
     q, g = members.alias("q"), matrix.alias("g")
     near = F.greatest(F.col("g.least"), needed(F.col("q.n"), threshold))
     far = F.least(F.col("g.most"), F.floor(F.col("q.n") * 100 / threshold))
@@ -201,20 +206,56 @@ def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75
     opened = materialize(opened)
     # a similar member has at least the demanded number of the tokens that a query shares with its group, so it has one of any
     # but that number, and one more, of them: those that fewest members have
-    asked = members.drop("grp").join(opened, "doc").join(matrix.select("token", "grp", "held"), ["token", "grp"])
+    asked = members.withColumnRenamed("grp", "own").join(opened, "doc").join(matrix.select("token", "grp", "held"), ["token", "grp"])
     both = Window.partitionBy("doc", "grp")
     asked = asked.withColumns({"rank": F.row_number().over(both.orderBy("held", "token")), "all": F.count("*").over(both)})
     asked = asked.where(F.col("rank") <= F.col("all") - F.greatest(F.col("demand"), F.lit(1)) + 1)
-    query = asked.select("token", "grp", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
+    query = asked.select("token", "grp", "own", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     member = members.join(opened.select("grp").distinct(), "grp", "left_semi").select("token", "grp", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     demand = least_overlap(F.col("na"), F.col("nb"), threshold)
     close = similar_sizes(F.col("na"), F.col("nb"), threshold) & (demand <= F.least("sa", "sb"))
-    pairs = query.join(member, ["token", "grp"]).where(close).select("a", "b", demand.alias("demand")).distinct()
-    heads = tokens.groupBy("doc").agg(F.collect_set("token").alias("head"))
+    pairs = query.join(member, ["token", "grp"]).where(close).select("a", "b", "own", "grp", demand.alias("demand")).distinct()
+    heads = materialize(tokens.groupBy("doc").agg(F.collect_set("token").alias("head")))
     pairs = pairs.join(heads.withColumnsRenamed({"doc": "a", "head": "x"}), "a").join(heads.withColumnsRenamed({"doc": "b", "head": "y"}), "b")
-    pairs = pairs.where(F.size(F.array_intersect("x", "y")) >= F.col("demand")).select("a", "b").distinct()
-    pairs = materialize(pairs)
-    return first.union(verified(pairs, whole_sets(docs, width, pairs), threshold))
+    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("x", "y"))).where(F.col("overlap") >= F.col("demand"))
+    pairs = materialize(pairs.select("a", "b", "own", "grp", "overlap").distinct())
+    # first one pair of any two groups, then the pairs of groups that are still apart
+    best = pairs.groupBy("own", "grp").agg(F.max(F.struct("overlap", "a", "b")).alias("x")).select("x.a", "x.b", "own", "grp")
+    sure = materialize(verified(best, whole, threshold, "own", "grp"))
+    found = sure.select("a", "b") if found is None else found.union(sure.select("a", "b"))
+    rest = pairs.select("a", "b", "own", "grp")
+    if sure.take(1):
+        joined = materialize(components(sure.select(F.col("own").alias("a"), F.col("grp").alias("b"))))
+        for side in ("own", "grp"):
+            rest = rest.join(joined.withColumnsRenamed({"node": side, "component": f"{side}_now"}), side, "left")
+        rest = rest.where(~F.coalesce("own_now", "own").eqNullSafe(F.coalesce("grp_now", "grp")))
+    return found.union(verified(rest.select("a", "b"), whole, threshold))
+
+
+def star_links(members: DataFrame, tried: DataFrame | None, threshold: int) -> DataFrame:
+    """(a, b): for every document that leader of another group which shares most of its prefix, if it shares enough. The
+    leaders of a token are the documents with that token whose prefix is shared most, in two groups."""
+    lead = members.groupBy("token", "grp").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("doc"), F.col("n"))).alias("x"))
+    first = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("x"), "grp"))
+    lead = lead.withColumn("place", first).where("place <= 2")
+    leader = F.struct("grp", (-F.col("x.col2")).alias("doc"), F.col("x.n").alias("n"))
+    # written, so that the join has no aggregate on its key below it and Spark can split a hot token
+    lead = materialize(lead.groupBy("token").agg(F.max(F.when(F.col("place") == 1, leader)).alias("l1"), F.max(F.when(F.col("place") == 2, leader)).alias("l2")))
+    other = F.when(F.col("grp") != F.col("l1.grp"), F.col("l1")).otherwise(F.col("l2"))
+    votes = members.join(lead, "token").select("doc", "n", other.alias("l")).where("l is not null")
+    votes = votes.groupBy("doc", "n", F.col("l.doc").alias("leader"), F.col("l.n").alias("m")).agg(F.count("*").alias("votes"))
+    votes = votes.where(similar_sizes(F.col("n"), F.col("m"), threshold) & (F.col("votes") >= least_overlap(F.col("n"), F.col("m"), threshold)))
+    if tried is not None:
+        votes = votes.join(tried.toDF("doc", "leader"), ["doc", "leader"], "left_anti")
+    return votes.groupBy("doc").agg(F.max(F.struct("votes", "leader")).alias("x")).select(F.col("doc").alias("a"), F.col("x.leader").alias("b"))
+
+
+def regrouped(members: DataFrame, new: DataFrame) -> DataFrame:
+    """The members with the groups that new links (a, b) between documents join."""
+    home = members.select("doc", "grp").distinct()
+    ends = new.join(home.toDF("a", "u"), "a").join(home.toDF("b", "v"), "b").select("u", "v")
+    names = materialize(components(ends.toDF("a", "b"))).toDF("grp", "now")
+    return members.join(names, "grp", "left").withColumn("grp", F.coalesce("now", "grp")).drop("now")
 
 
 def links_of_ids(sized: DataFrame) -> DataFrame:

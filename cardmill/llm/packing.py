@@ -34,7 +34,7 @@ from cardmill.llm.arrow_text import chunks, frame, release_memory, spread_rows,
 from cardmill.llm.tables import bounded_batches, materialize
 
 BLOCK_PIECES = 20_000
-SEARCH_STEPS = 300_000  # of a block's searches; None searches it to the end
+SEARCH_STEPS = 100_000  # of a block's searches; None searches it to the end
 FILLINGS = 4  # put in order at a time
 GROUP_PIECES = 60  # of a search at least, twice as many every other time, if its sequences have more blanks than one sequence before
 GROUP_STEPS = 4_000  # of a search; more if its pieces could need more for a first complete solution
@@ -200,9 +200,8 @@ def fillings(sizes: list[int], have: list[int], room: int, steps: Steps) -> Iter
                 out = sizes[k]
             k += 1
         if k == len(sizes):
-            rest = room
-            left = [x for x, n, c in zip(sizes, have, chosen, strict=True) if n > c]
-            if not any(c and any(x < y <= x + rest for y in left) for x, c in zip(sizes, chosen, strict=True)):
+            left = [x for x, n, c in zip(sizes, have, chosen, strict=True) if n > c] if room else []
+            if not any(c and any(x < y <= x + room for y in left) for x, c in zip(sizes, chosen, strict=True)):
                 yield list(chosen)
             return
         most = min(have[k], room // sizes[k])
@@ -230,23 +229,22 @@ def search(lengths: list[int], capacity: int, best: list[list[int]], steps: Step
     have = [0] * len(sizes)
     for x in lengths:
         have[at[x]] += 1
-    found: list[list[int]] | None = None
+    found: list[list[tuple[int, int]]] | None = None
     count, allowed = len(best), (len(best) - 1) * capacity - total  # blanks that a better solution may have
-    bins: list[list[int]] = []
+    bins: list[list[tuple[int, int]]] = []
     blanks = [0]
 
-    def options() -> Iterator[list[int]]:
-        # the largest piece left, and what may stand beside it
-        k = next(k for k, n in enumerate(have) if n)
-        have[k] -= 1
-        beside = list(have)
-        have[k] += 1
-        for f in fullest_first(fillings(sizes, beside, capacity - sizes[k], steps), sizes, ahead):
-            f[k] += 1
-            yield f
-
-    def change(f: list[int], sign: int) -> None:
-        for k, n in enumerate(f):
+    def options() -> Iterator[list[tuple[int, int]]]:
+        # the largest piece left, and what may stand beside it: numbers of pieces by size
+        mine = [k for k, n in enumerate(have) if n]
+        beside, some = [have[k] for k in mine], [sizes[k] for k in mine]
+        beside[0] -= 1
+        for f in fullest_first(fillings(some, beside, capacity - some[0], steps), some, ahead):
+            f[0] += 1
+            yield [(k, n) for k, n in zip(mine, f, strict=True) if n]
+
+    def change(f: list[tuple[int, int]], sign: int) -> None:
+        for k, n in f:
             have[k] += sign * n
 
     ended = count <= least
@@ -262,7 +260,7 @@ def search(lengths: list[int], capacity: int, best: list[list[int]], steps: Step
                 continue
             if not steps.take():
                 raise OutOfSteps
-            now = blanks[-1] + capacity - sum(n * x for n, x in zip(f, sizes, strict=True))
+            now = blanks[-1] + capacity - sum(n * sizes[k] for k, n in f)
             if now > allowed:
                 continue
             change(f, -1)
@@ -271,7 +269,7 @@ def search(lengths: list[int], capacity: int, best: list[list[int]], steps: Step
             if any(have):
                 stack.append(options())
                 continue
-            found, count = [list(b) for b in bins], len(bins)
+            found, count = list(bins), len(bins)
             allowed = (count - 1) * capacity - total
             if count == least:
                 break
@@ -285,7 +283,7 @@ def search(lengths: list[int], capacity: int, best: list[list[int]], steps: Step
     numbers: dict[int, list[int]] = {}
     for i in reversed(range(len(lengths))):
         numbers.setdefault(lengths[i], []).append(i)
-    return [[numbers[x].pop() for n, x in zip(b, sizes, strict=True) for _ in range(n)] for b in found], ended
+    return [[numbers[sizes[k]].pop() for k, n in b for _ in range(n)] for b in found], ended
 
 
 def bin_completion(lengths: list[int], capacity: int, steps: int | None = SEARCH_STEPS, told: dict[str, int] | None = None, group_pieces: int = GROUP_PIECES) -> list[list[int]]:

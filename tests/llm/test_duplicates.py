@@ -1,5 +1,6 @@
 """Near duplicates, passages and components against plain versions."""
 
+import random
 import re
 from itertools import combinations
 
@@ -138,3 +139,34 @@ def test_components(spark):
     nodes = {n for pair in links for n in pair}
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted(classes(links, nodes).items())
+
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_pairs_of_a_family_grow_in_proportion(spark, monkeypatch, n):
+    """Near copies of one text, most of them similar to each other: a few verified pairs a document, and one component."""
+    rng = random.Random(n)
+    base = [f"q{rng.randrange(400)}" for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, plain = [], jaccard.verified
+
+    def counting(some, *rest):
+        pairs.append(some.count())
+        return plain(some, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counting)
+    got = jaccard.near_duplicates(docs).collect()
+    assert sum(pairs) <= 5 * n
+    sets = [shingles(t) for t in texts]
+    apart = [r.doc_id for r in got if r.component_id != 0]
+    for d in apart:
+        same = {r.doc_id for r in got if r.component_id == next(x.component_id for x in got if x.doc_id == d)}
+        for e in range(n):
+            linked = 100 * len(sets[d] & sets[e]) >= 75 * len(sets[d] | sets[e])
+            assert not linked or e in same
+    assert len(apart) < n / 2
