@@ -2,11 +2,12 @@
 
 A text is lower-cased; every character that is no letter becomes a blank. Its features are all n-grams of 1 to 3
 characters that hold a letter, each hashed to one of 32,768 buckets. Training counts buckets by language on Spark; the
-matrix of log probabilities (languages x buckets, of bounded size) is broadcast, and texts are scored in numpy, whole,
-in blocks of characters.
+matrix of log probabilities (languages x buckets) is broadcast, and texts are scored in numpy, whole, in blocks of characters.
+A matrix holds at most 256 languages; more languages are further matrices, each in a pass of its own, with the same result.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Without any training row every text is
-``und``. Equal scores go to the language that sorts first. Columns ``lang_pred`` and ``score`` of the input are replaced.
+``und``. Equal scores go to the language that sorts first. Rows that repeat a key and a text count once in training, and
+rows are chosen one by one, whatever keys they repeat. Columns ``lang_pred`` and ``score`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -16,27 +17,35 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import chunks
-from cardmill.llm.tables import bounded_batches, checked_rows, replace_columns
+from cardmill.llm.tables import bounded_batches, materialize, replace_columns
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 256  # the matrix then has 32 MB; more languages are an error
+MATRIX_LANGUAGES = 256  # of one matrix, which then has 64 MB
 BLOCK = 1 << 16  # characters hashed and scored at once
-RATE_STEPS = 1 << 30
 
 
 @dataclass(frozen=True)
-class Model:
+class Matrix:
     languages: tuple[str, ...]
     log_prior: np.ndarray
     log_probability: np.ndarray  # buckets x languages
 
 
+@dataclass(frozen=True)
+class Model:
+    parts: tuple[Matrix, ...]
+
+    @property
+    def languages(self) -> tuple[str, ...]:
+        return tuple(g for part in self.parts for g in part.languages)
+
+
 @cache
 def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
@@ -81,58 +90,82 @@ def count_features(index: dict[str, int], text: str, lang: str):
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 40_000, smoothing: float = 0.5) -> Model:
-    """Fit on rows with a text and a language: all of them, or about ``max_rows`` of them, spread evenly over the languages
-    and chosen by a hash of the key. Rare languages keep all their rows."""
+    """Fit on the different rows with a text and a language: all of them, or ``max_rows`` at most, evenly many of each
+    language, those with the smallest hashes of key and text. Rare languages keep all their rows."""
+    place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), text)
     rows = bounded_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")
+        place.alias("place"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")
     )
-    counts = {r.l: r["count"] for r in checked_rows(rows.groupBy("l").count(), MAX_LANGUAGES, "languages to learn")}
-    languages = tuple(sorted(counts))
-    if not languages:
-        return Model((), np.zeros(0), np.zeros((BUCKETS, 0)))
-    rate = F.create_map(*[F.lit(x) for g in languages for x in (g, int(RATE_STEPS * min(1.0, max_rows / len(languages) / counts[g])))])
-    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(RATE_STEPS)) < rate[F.col("l")])
-    cells = (
-        chosen.select("l", "t")
-        .mapInArrow(count_features({g: i for i, g in enumerate(languages)}, "t", "l"), "cell long, n long")
-        .groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    )
-    total = np.zeros(len(languages) * BUCKETS)
-    total[cells.cell.to_numpy(np.int64)] = cells.n
-    total = total.reshape(len(languages), BUCKETS) + smoothing
-    prior = np.array([counts[g] for g in languages], float)
-    return Model(languages, np.log(prior / prior.sum()), np.log(total / total.sum(axis=1, keepdims=True)).T.copy())
-
-
-def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of every text."""
+    # only hashes are put in order; a language's last place bounds its rows exactly
+    places = rows.groupBy("l", "place").agg(F.count("*").alias("n"))
+    kinds = materialize(places.groupBy("l").agg(F.sum("n").alias("n")))
+    n_languages = kinds.count()
+    if not n_languages:
+        return Model(())
+    quota = max(1, max_rows // n_languages)
+    order = Window.partitionBy("l").orderBy("place")
+    last = places.withColumn("k", F.row_number().over(order)).where(F.col("k") <= quota).groupBy("l").agg(F.max("place").alias("last"))
+    chosen = rows.join(materialize(last), "l").where(F.col("place") <= F.col("last")).dropDuplicates(["l", "place"]).select("l", "t")
+    counts = {r.l: r.n for r in kinds.collect()}
+    languages, whole = sorted(counts), sum(counts.values())
+    if len(languages) > MATRIX_LANGUAGES:  # read once for every matrix
+        chosen = materialize(chosen)
+    parts = []
+    for a in range(0, len(languages), MATRIX_LANGUAGES):
+        some = tuple(languages[a : a + MATRIX_LANGUAGES])
+        mine = chosen if len(some) == len(languages) else chosen.where(F.col("l").between(some[0], some[-1]))
+        cells = mine.mapInArrow(count_features({g: i for i, g in enumerate(some)}, "t", "l"), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        total = np.zeros(len(some) * BUCKETS)
+        total[cells.cell.to_numpy(np.int64)] = cells.n
+        total = total.reshape(len(some), BUCKETS) + smoothing
+        prior = np.array([counts[g] for g in some], float)
+        parts.append(Matrix(some, np.log(prior / whole), np.log(total / total.sum(axis=1, keepdims=True)).T.copy()))
+    return Model(tuple(parts))
+
+
+def score(part: Matrix, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best language of a matrix, its log probability, and the log of the sum over all its languages; none for a text
+    without a letter."""
     chars, first = code_points(texts)
     n = len(texts)
     known = np.zeros(n, bool)
-    total = np.zeros((n, len(model.languages)))
-    if model.languages:
-        for row, bucket in features(chars, first):
-            if len(row):
-                begin = np.flatnonzero(np.diff(row, prepend=-1))
-                total[row[begin]] += np.add.reduceat(model.log_probability[bucket], begin, axis=0)
-                known[row[begin]] = True
-    if not known.any():
-        return [UNKNOWN] * n, np.zeros(n)
-    total += model.log_prior
+    total = np.zeros((n, len(part.languages)))
+    for row, bucket in features(chars, first):
+        if len(row):
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            total[row[begin]] += np.add.reduceat(part.log_probability[bucket], begin, axis=0)
+            known[row[begin]] = True
+    total += part.log_prior
     best = total.argmax(axis=1)
-    posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    return [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, posterior, 0.0)
+    top = total[np.arange(n), best]
+    whole = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
+    names = np.array(part.languages, object)[best]
+    return np.where(known, names, None), np.where(known, top, -np.inf), np.where(known, whole, -np.inf)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The table with ``lang_pred`` and ``score``. One pass, no shuffle."""
-    docs = replace_columns(bounded_batches(docs), "lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The table with ``lang_pred`` and ``score``. One pass for each matrix, no shuffle."""
+    docs = replace_columns(bounded_batches(docs), "lang_pred", "score", "__best", "__top", "__whole")
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    found = docs.withColumns({"__best": F.lit(None).cast("string"), "__top": F.lit(float("-inf")), "__whole": F.lit(float("-inf"))})
+    for part in model.parts:
+        found = found.mapInArrow(judged_by(docs.sparkSession.sparkContext.broadcast(part), text), f"{plain}, __best string, __top double, __whole double")
+    posterior = F.when(F.col("__best").isNull(), 0.0).otherwise(F.exp(F.col("__top") - F.col("__whole")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*columns, F.coalesce("__best", F.lit(UNKNOWN)).alias("lang_pred"), posterior.alias("score"))
+
+
+def judged_by(shared, text: str):
+    """Rows with the best language so far, of earlier matrices and this one."""
 
     def run(batches):
-        for part, _, _ in chunks(batches, text):
-            langs, scores = score(shared.value, part.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+        for rows, _, _ in chunks(batches, text):
+            *columns, best, top, whole = rows.columns
+            new, new_top, new_whole = score(shared.value, rows.column(rows.schema.get_field_index(text)).to_pylist())
+            top, whole = top.to_numpy(zero_copy_only=False), whole.to_numpy(zero_copy_only=False)
+            better = new_top > top  # of equal ones the earlier
+            best = np.where(better, new, best.to_numpy(zero_copy_only=False))
+            out = [pa.array(best, pa.string()), pa.array(np.maximum(top, new_top)), pa.array(np.logaddexp(whole, new_whole))]
+            yield pa.RecordBatch.from_arrays([*columns, *out], names=rows.schema.names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return run

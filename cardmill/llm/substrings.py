@@ -172,21 +172,21 @@ def repeated_ranges(docs: DataFrame, window: int = 50, hot_segments: int = HOT_S
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """The documents without the words that go (and the blanks behind them), with ``n_words`` before and ``n_removed``."""
-    docs = replace_columns(bounded_batches(docs), "n_words", "n_removed")
+    docs = replace_columns(bounded_batches(docs), "n_words", "n_removed", "__doc", "__fp", "__cut")
     fingerprint = F.xxhash64(text)
     plain = docs.select(F.col(key).cast("long").alias("doc"), fingerprint.alias("fp"), F.col(text).alias("text"))
     gone = repeated_ranges(plain, window, hot_segments).groupBy("doc", "fp").agg(F.collect_set(F.struct("begin", "end")).alias("cut"))
     gone = materialize(gone)
     named = docs.withColumns({"__doc": F.col(key).cast("long"), "__fp": fingerprint})
-    by_id = gone.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), "cut")
+    by_id = gone.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), F.col("cut").alias("__cut"))
     if gone.count() <= BROADCAST_IDS:  # only documents that lose words are shuffled
-        ids = F.broadcast(by_id.drop("cut"))
+        ids = F.broadcast(by_id.drop("__cut"))
         changed = named.join(ids, ["__doc", "__fp"], "left_semi").join(by_id, ["__doc", "__fp"])
-        same = named.join(ids, ["__doc", "__fp"], "left_anti").withColumn("cut", F.lit(None).cast(by_id.schema["cut"].dataType))
+        same = named.join(ids, ["__doc", "__fp"], "left_anti").withColumn("__cut", F.lit(None).cast(by_id.schema["__cut"].dataType))
         named = changed.unionByName(same)
     else:
         named = named.join(by_id, ["__doc", "__fp"], "left")
-    named = named.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("cut").alias("__cut"))
+    named = named.select(*[F.col(f"`{c}`") for c in docs.columns], "__cut")
     names, at = docs.columns, docs.columns.index(text)
 
     def function(rows, data, offsets):

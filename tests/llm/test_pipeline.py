@@ -22,9 +22,11 @@ def plain(rows, items):
     from tokenizers import Tokenizer
 
     rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    sets = [(r[0], shingles(r[1])) for r in rows if r[0] is not None]
-    named = classes([(a, b) for (a, s), (b, t) in combinations(sets, 2) if 100 * len(s & t) >= 75 * len(s | t)], {i for i, _ in sets})
-    rows = [r for r in rows if r[0] is None] + sorted({(r[0], r[1]) for r in rows if r[0] is not None and named[r[0]] == r[0]})
+    # by row: of every group the smallest id, rows without one last
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [(k, shingles(r[1])) for k, r in enumerate(rows)]
+    named = classes([(a, b) for (a, s), (b, t) in combinations(sets, 2) if 100 * len(s & t) >= 75 * len(s | t)], range(len(rows)))
+    rows = [r for k, r in enumerate(rows) if named[k] == k]
     kept = [(i, words) for i, n, gone, words in cut(rows, 50) if words]
     normal = lambda words: " " + " ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", " ".join(words).lower())) + " "
     kept = [(i, words) for i, words in kept if not any(normal([t]) in normal(words) for _, t in items)]
@@ -61,6 +63,22 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert found.dtypes == docs.dtypes, name
 
 
+def test_pipeline_without_labels(spark, tmp_path):
+    """Without any language to learn, documents with letters go on."""
+    rows = [(r[0], r[1], None, r[3], r[4]) for r in corpus(6)] + [(970, "12 34", None, "s", 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((r[0] or -1, r[1]) for r in rows if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Columns with the names that operators use inside."""
+    pq.write_table(pa.table({"item_id": [1], "text": ["some item of a test that no text holds at all"]}), f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(corpus(4)[:20], DOCS).selectExpr("*", "1 AS cut", "2 AS score", "'a' AS words", "3 AS component_id", "4 AS n", "5 AS lang_pred")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert {"cut", "words", "n"} <= set(stage(spark, docs, str(tmp_path)).columns), name
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), f"{tmp_path}/benchmark.parquet")
@@ -76,7 +94,8 @@ def test_near_duplicates_are_dropped_by_row(spark):
         ([(3, y), (5, y), (5, x), (7, x)], [(3, y), (5, x)]),  # no group loses all its rows
         ([(1, y), *((5, t) for t in (x, y, u, v, w))], [(1, y), *((5, t) for t in (x, u, v, w))]),  # a hot id keeps its other texts
         ([(4, z), (4, near), (4, z), (4, x)], None),  # near copies under one id
-        ([(None, x), (None, x), (2, x)], [(None, x), (None, x), (2, x)]),
+        ([(None, x), (None, x), (2, x)], [(2, x)]),  # rows without an id are rows like others, and come last
+        ([(None, y), (None, y), (None, z)], [(None, y), (None, z)]),
     ]
     order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     for rows, want in cases:

@@ -4,6 +4,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -59,9 +60,56 @@ def test_language(spark, no_docs):
     nothing = language.train(no_docs)
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(no_docs, model).collect() == []
-    with pytest.raises(ValueError):
-        many = spark.range(300).select("id", F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))
-        language.train(many, key="id")
+
+
+def plain_bayes(labelled, texts):
+    """Naive Bayes from its formula: add-half smoothing over all buckets, priors from all labelled rows."""
+    def grams(text):
+        chars, first = language.code_points([text])
+        return [int(b) for _, bucket in language.features(chars, first) for b in bucket]
+
+    langs = sorted({g for _, g in labelled})
+    counts = {g: Counter(b for t, h in labelled if h == g for b in grams(t)) for g in langs}
+    prior = {g: np.log(sum(h == g for _, h in labelled) / len(labelled)) for g in langs}
+    out = []
+    for t in texts:
+        found = grams(t or "")
+        total = {g: prior[g] + sum(np.log((counts[g][b] + 0.5) / (sum(counts[g].values()) + 0.5 * language.BUCKETS)) for b in found) for g in langs}
+        best = max(langs, key=lambda g: total[g])
+        out.append((best, 1 / sum(np.exp(total[g] - total[best]) for g in langs)) if found else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("together", [256, 2])
+def test_language_against_plain_bayes(spark, monkeypatch, together):
+    """The same posteriors as from the formula, with the languages in one matrix and in several."""
+    monkeypatch.setattr(language, "MATRIX_LANGUAGES", together)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["el", "la", "der", "the", "of", g * 2]) for _ in range(rng.randrange(1, 9))), g) for i, g in enumerate(rng.choice("abcde") for _ in range(60))]
+    texts = ["el la aa", "the of ee ee", "zz", "", None, "12", "dd der"]
+    model = language.train(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string"))
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    want = plain_bayes([(t, g) for _, t, g in [*rows, rows[0]][: len(rows)]], texts)
+    assert [r.lang_pred for r in got] == [w for w, _ in want]
+    assert np.allclose([r.score for r in got], [p for _, p in want], atol=0.01)
+
+
+def test_language_sample_is_bounded_by_row(spark, monkeypatch):
+    """A key that very many rows have counts row by row, and many languages are learned."""
+    seen = []
+    plain = language.count_features
+    monkeypatch.setattr(language, "count_features", lambda index, text, lang: seen.append(len(index)) or plain(index, text, lang))
+    many = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b"), F.col("id").cast("string")).alias("text"), F.lit("xx").alias("lang"))
+    chosen = []
+    real = type(many).dropDuplicates
+    monkeypatch.setattr(type(many), "dropDuplicates", lambda df, *a: chosen.append(real(df, *a)) or chosen[-1])
+    language.train(many, max_rows=100)
+    assert chosen[0].count() == 100
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.col("id").cast("string").alias("lang"))
+    model = language.train(labels)
+    assert len(model.languages) == 300 and seen[1:] == [256, 44]
+    got = language.identify(labels, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 250
 
 
 def plain_quality(text):
