@@ -21,21 +21,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told go on; those that are null, empty or without a letter are rejected."""
     model = language.train(docs.where(crc_fold(F.col("doc_id")) != HELD_OUT))
     found = language.identify(docs, model)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+    # without any labelled document nothing is learned, and only the letters can tell
+    told = F.col("lang_pred") != language.UNKNOWN if model.languages else F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
+    return found.where(told).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays, that with the smallest doc_id; rows are judged one by one, whatever
-    ids they repeat, and of equal ids the text with the smallest hash stays. Rows without an id are in no group and stay."""
-    # a written key for every row; a null id has none
-    named = F.col("doc_id").isNotNull()
-    rows = materialize(docs.withColumn("__row", F.when(named, F.monotonically_increasing_id())))
+    ids they repeat, and of equal ids the text with the smallest hash stays. Rows without an id come after all others."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
     found = jaccard.near_duplicates(rows, key="__row", width=5, threshold=75)
-    found = materialize(found.where("doc_id is not null").select(F.col("doc_id").alias("__row"), "component_id"))
+    found = materialize(found.select(F.col("doc_id").alias("__row"), "component_id"))
     # only rows in groups of two and more are compared
     several = materialize(found.groupBy("component_id").count().where("count > 1").select("component_id"))
     members = materialize(join_ids(found, several, ["component_id"], "left_semi"))
-    ids = join_ids(rows, members.select("__row"), ["__row"], "left_semi").select("__row", F.struct("doc_id", F.xxhash64("text"), "__row").alias("place"))
+    ids = join_ids(rows, members.select("__row"), ["__row"], "left_semi").select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("place"))
     members = materialize(members.join(ids, "__row"))
     firsts = members.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.__row").alias("__row"))
     gone = members.select("__row").join(firsts, "__row", "left_anti")
