@@ -4,12 +4,13 @@ Writing: of records with equal payloads the one with the largest page id is a re
 page's three records share the identifier of its response or revisit through WARC-Concurrent-To. Files are gzipped, of a
 bounded number of pages each, and written and read by Spark's own sinks and sources, so any store will do.
 
-Reading: files are cut at version lines by the text source and put together again by Content-Length, one record at a time,
-so that payloads may hold such lines. Captures are the records that share a concurrent-to identifier, one nested row each.
+Reading: files of WARC 1.0 and 1.1 are cut at version lines by the text source and put together again by Content-Length, one
+record at a time, so that payloads may hold such lines. Bytes that are no record, and a file that ends within one, are an
+error that names the file. Captures are the records that share a concurrent-to identifier, one nested row each.
 
 Defined results: a null page is an empty payload. Rows with equal payloads and the largest page id are all responses, and
 repeated rows are captures each. A null page id is smaller than any other and is read back as null. Control characters in
-a url are percent-encoded in headers. A capture without a response or revisit record has null there. Extra columns of the
+a url are percent-encoded in headers. A very long page is one record of one file. Page ids are whole numbers. A capture without a response or revisit record has null there. Extra columns of the
 pages are not archived.
 """
 
@@ -26,9 +27,12 @@ from pyspark.sql import functions as F
 
 from cardmill.llm.tables import materialize
 
-VERSION = "WARC/1.1\r\n"
+FAMILY = "WARC/1."  # every record begins with it, and a version that is read
+VERSIONS = (b"0\r\n", b"1\r\n")
+VERSION = "WARC/1.1\r\n"  # of records written here
 DATE = "2024-01-01T00:00:00Z"  # of all records written here, as pages carry no time
 PAGES_PER_FILE = 5_000
+FILE_BYTES = 128 << 20  # of payloads of a file, on the average
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_type string, record_id string, concurrent_to string, target_uri string, refers_to string, payload_digest string, fields map<string,string>, payload_bytes long, payload binary"
 
@@ -70,7 +74,10 @@ def write_archive(pages: DataFrame, path: str, pages_per_file: int = PAGES_PER_F
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     # written, so that the join can broadcast a small one and split hot payloads of a large one
-    keepers = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("keeper")))
+    keepers = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"), F.max(F.octet_length("html")).cast("long").alias("bytes")))
+    n, size = keepers.agg(F.sum("n"), F.sum(F.coalesce("bytes", F.lit(0)))).first()  # the payload of a revisit is not written
+    pages_per_file = max(1, min(pages_per_file, FILE_BYTES * (n or 0) // max(1, size or 0)))
+    keepers = keepers.select("digest", "keeper")
     # a revisit needs no payload, but its size and digest are those of the whole one
     met = rows.join(keepers, "digest").select("page_id", "url", "html", "keeper", F.col("page_id").eqNullSafe(F.col("keeper")).alias("is_response"))
 
@@ -116,19 +123,30 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                       for n in ("record_type", "record_id", "concurrent_to", "target_uri", "refers_to", "payload_digest", "fields", "payload_bytes", "payload")])
 
     def run(batches):
-        pending: list[bytes] = []  # pieces of a record whose payload holds version lines
+        pending, place = [], None  # pieces of a record whose payload holds version lines, and its file
+
+        def cut_off() -> ValueError:
+            return ValueError(f"no whole WARC record at the end of {place}: {FAMILY.encode().join(pending)[:80]!r}")
+
         for batch in batches:
             out, held = [], 0
-            for piece in batch.column(0).cast(pa.binary()).to_pylist():
+            for piece, file in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != place:
+                    if pending:
+                        raise cut_off()
+                    place = file
                 if not pending and not piece.strip():
                     continue
+                if not pending and not piece.startswith(VERSIONS):
+                    raise ValueError(f"no WARC record in {file}: {piece[:80]!r}")
                 pending.append(piece)
-                whole = VERSION.encode().join(pending)
-                head, _, rest = whole.partition(b"\r\n\r\n")
+                head, ended, rest = FAMILY.encode().join(pending)[3:].partition(b"\r\n\r\n")
                 headers = parse(head)
                 length = int(headers.get("content-length", 0))
-                if len(rest) < length:
+                if not ended or len(rest) < length:
                     continue
+                if rest[length:].strip():
+                    raise ValueError(f"bytes after a WARC record in {file}: {rest[length:][:80]!r}")
                 pending = []
                 out.append(parsed(headers, rest[:length], with_payload))
                 held += length if with_payload else 0
@@ -137,8 +155,11 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                     out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, kind)
+        if pending:
+            raise cut_off()
 
-    return spark.read.option("lineSep", VERSION).text(path).mapInArrow(run, RECORD)
+    lines = spark.read.option("lineSep", FAMILY).text(path).select("value", "_metadata.file_path")
+    return lines.mapInArrow(run, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -156,7 +177,8 @@ def captures(records: DataFrame) -> DataFrame:
 def page_captures(found: DataFrame) -> DataFrame:
     """The captures of ``write_archive`` by page: what was archived, and for a revisit the page it refers to."""
     fields = F.map_from_entries(F.get("metadata", F.lit(0))["fields"])
+    size = F.coalesce("capture.payload_bytes", fields["payload-length"].cast("long"))  # a revisit holds no payload to measure
     return found.select(
-        fields["page-id"].cast("long").alias("page_id"), fields["payload-length"].cast("long").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
+        fields["page-id"].cast("long").alias("page_id"), size.alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.record_type").alias("record_type"), F.regexp_extract("capture.refers_to", r"^<urn:capture:([0-9-]+):", 1).try_cast("long").alias("refers_to"), "capture_id", "capture", "requests",
     )

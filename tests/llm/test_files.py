@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from cardmill.llm import sharding, warc
@@ -81,3 +82,34 @@ def test_captures_of_other_archives(spark, tmp_path):
     assert set(got) == {"<i>", "<r1>", "<r2>"}
     assert got["<r1>"].capture is None and len(got["<r1>"].requests) == 1
     assert len(got["<r2>"].metadata) == 2 and bytes(got["<r2>"].capture.payload) == b"a: b"
+
+
+def archive_of(version, *blocks):
+    """Records of one version with these blocks, and a header that holds a version line's beginning."""
+    out = b""
+    for k, block in enumerate(blocks):
+        out += f"WARC/{version}\r\nWARC-Type: resource\r\nWARC-Record-ID: <r{k}>\r\nSoftware: WARC/1.x\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    return out
+
+
+def test_both_versions_are_read(spark, tmp_path):
+    blocks = [b"one", b"", b"WARC/1.0\r\n\r\nWARC/1.1\r\n", b"\r\n\r\n", b"\xff\xfe five"]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(archive_of("1.0", *blocks)))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(archive_of(v, b)) for v, b in (("1.1", b"x"), ("1.0", b"y"))))  # a member for each record
+    got = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.payload) for r in got) == sorted([*blocks, b"x", b"y"])
+    assert all(r.payload_bytes == len(r.payload) for r in got)
+
+
+@pytest.mark.parametrize("content,message", [
+    (archive_of("1.1", b"whole", b"cut off here")[:-12], "no whole WARC record"),
+    (archive_of("1.0", b"whole")[:40], "no whole WARC record"),
+    (b"no archive at all", "no WARC record"),
+    (archive_of("1.1", b"whole") + b"more bytes", "bytes after a WARC record"),
+    (b"WARC/2.0\r\n" + archive_of("1.1", b"whole"), "no WARC record"),
+])
+def test_bytes_that_are_no_record(spark, tmp_path, content, message):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(content))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(archive_of("1.1", b"good")))
+    with pytest.raises(Exception, match=message):
+        warc.read_records(spark, str(tmp_path)).collect()
