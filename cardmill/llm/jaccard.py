@@ -155,8 +155,8 @@ def verified(pairs: DataFrame, whole: DataFrame, threshold: int, *carried: str)
     )
 
 
-def whole_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(doc, tokens): the whole sets of the documents wanted."""
+def whole_sets(docs: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
+    """(doc, tokens): the whole sets of the documents in pairs (a, b)."""
     schema = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def function(rows, data, offsets):
@@ -164,6 +164,7 @@ def whole_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         first = np.concatenate(([0], np.cumsum([len(s) for s in found])))
         yield frame(schema, rows.column(0), list_rows(np.concatenate(found).view(np.int64), first))
 
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     return join_ids(docs, wanted, ["doc"], "left_semi").mapInArrow(per_chunk(function, "text"), "doc long, tokens array<long>")
 
 
@@ -182,13 +183,13 @@ def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75
     shared = materialize(shared.where(F.col("shared") >= least_demand(F.col("n"), low, high, threshold)))
     tokens = materialize(tokens.join(shared, "doc"))
 
-    whole = materialize(whole_sets(docs, width, shared.select("doc")))
+    similar = lambda pairs, *carried: verified(pairs, whole_sets(docs, width, pairs), threshold, *carried)
     # groups grow in rounds: each document is compared with one leader of another group, and verified links join the groups
     members = tokens.withColumn("grp", F.col("doc"))
     found, tried = None, None
     for _ in range(ROUNDS):
         stars = materialize(star_links(members, tried, threshold))
-        new = materialize(verified(stars, whole, threshold))
+        new = materialize(similar(stars))
         if not new.take(1):
             break
         found, tried = (new, stars) if found is None else (found.union(new), tried.union(stars))
@@ -220,8 +221,8 @@ def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75
     pairs = pairs.withColumn("overlap", F.size(F.array_intersect("x", "y"))).where(F.col("overlap") >= F.col("demand"))
     pairs = materialize(pairs.select("a", "b", "own", "grp", "overlap").distinct())
     # first one pair of any two groups, then the pairs of groups that are still apart
-    best = pairs.groupBy("own", "grp").agg(F.max(F.struct("overlap", "a", "b")).alias("x")).select("x.a", "x.b", "own", "grp")
-    sure = materialize(verified(best, whole, threshold, "own", "grp"))
+    best = materialize(pairs.groupBy("own", "grp").agg(F.max(F.struct("overlap", "a", "b")).alias("x")).select("x.a", "x.b", "own", "grp"))
+    sure = materialize(similar(best, "own", "grp"))
     found = sure.select("a", "b") if found is None else found.union(sure.select("a", "b"))
     rest = pairs.select("a", "b", "own", "grp")
     if sure.take(1):
@@ -229,7 +230,7 @@ def links(docs: DataFrame, sized: DataFrame, width: int = 5, threshold: int = 75
         for side in ("own", "grp"):
             rest = rest.join(joined.withColumnsRenamed({"node": side, "component": f"{side}_now"}), side, "left")
         rest = rest.where(~F.coalesce("own_now", "own").eqNullSafe(F.coalesce("grp_now", "grp")))
-    return found.union(verified(rest.select("a", "b"), whole, threshold))
+    return found.union(similar(materialize(rest.select("a", "b").distinct())))
 
 
 def star_links(members: DataFrame, tried: DataFrame | None, threshold: int) -> DataFrame:
