@@ -4,9 +4,9 @@ Tokenizing HTML is the one step that needs Python. It runs in ``mapInArrow``, wi
 emits only the columns asked for, since Spark cannot prune the output of a Python step. Write the
 result to Parquet when several jobs read it.
 
-Each row carries ``path``, the element and its ancestors as one string, so that a selector is a
-regular expression on a single row and needs no join. ``anc`` holds the ancestor ids, so that
-"inside a card" is an equi-join on (page_id, node_id).
+Each row carries the element's own ``atoms`` (id, classes, attributes, place among its kind) and those of its
+parent, and the range of ids that its subtree has. So the output grows with the page, however deep it is:
+a step of a selector is a test of one row, and "inside a card" is a test of ranges (see ``inside``).
 
 There is no layout offline. An element counts as hidden when it or an ancestor has the ``hidden``
 attribute, an inline ``display:none`` or ``visibility:hidden``, a class that a ``<style>`` of the page
@@ -23,15 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = "\x01"  # starts each element in a path
-ATOM = "\x02"  # ends the tag and each atom of an element in a path
-
 NODE_COLUMNS = {
     "node_id": "int",
     "parent_id": "int",
     "depth": "int",
     "subtree_end": "int",
-    "anc": "array<int>",
+    "grand_id": "int",
     "tag": "string",
     "id": "string",
     "classes": "array<string>",
@@ -39,7 +36,12 @@ NODE_COLUMNS = {
     "own_text": "string",
     "text": "string",
     "nth_of_type": "int",
-    "path": "string",
+    "atoms": "array<string>",
+    "parent_tag": "string",
+    "parent_atoms": "array<string>",
+    "parent_classes": "array<string>",
+    "parent_attrs": "map<string,string>",
+    "n_leaves": "int",
     "visible": "boolean",
     "icon_id": "int",
     "prominence": "double",
@@ -54,15 +56,15 @@ _ARROW = {
     "double": pa.float64(),
     "string": pa.string(),
     "boolean": pa.bool_(),
-    "array<int>": pa.list_(pa.int32()),
     "array<string>": pa.list_(pa.string()),
     "map<string,string>": pa.map_(pa.string(), pa.string()),
 }
 OUTPUT_ROWS = 20_000
-OUTPUT_CHARS = 16 << 20  # of texts and paths in one batch
+OUTPUT_CHARS = 16 << 20  # of texts in one batch
 
 # HTML tag groups.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+NEVER_LEAF = set("script style noscript template svg".split())
 NEVER_DRAWN = set("head title script style noscript template meta link base".split())
 BLOCK = set(
     "address article aside blockquote body details div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr"
@@ -101,12 +103,13 @@ BREAKS = re.compile(r"[ \t]*\n[ \t\n]*")
 class _Walker(HTMLParser):
     """Collects the elements of one page; text runs are shared and addressed by range."""
 
-    def __init__(self, path_attrs: set[str] | None):
+    def __init__(self, atom_attrs: set[str] | None):
         super().__init__(convert_charrefs=True)
         self.error = None
-        self.path_attrs = path_attrs
+        self.atom_attrs = atom_attrs
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.tally: dict[str, int] = {}  # open elements of each tag
         self.runs: list[tuple[str, bool, int, bool]] = []  # text, is a break, icon id, drawn
         self.hidden_classes: set[str] = set()
         self.base_href = None
@@ -119,11 +122,11 @@ class _Walker(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         """The '/' of '<div/>' means nothing but inside drawings and formulas."""
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and any(n["tag"] in ("svg", "math") for n in self.open):
+        if tag not in VOID and (self.tally.get("svg") or self.tally.get("math")):
             self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n["tag"] == tag for n in self.open):
+        if tag in ("html", "body") and self.tally.get(tag):
             return
         if tag in CLOSES_P:
             self._close({"p"}, {"button", "td", "th", "caption", "object"})
@@ -136,7 +139,7 @@ class _Walker(HTMLParser):
             self.handle_starttag("tr", [])
         named = {}
         for name, value in attrs:
-            named.setdefault(name, (value or "").replace(SEGMENT, "�").replace(ATOM, "�"))
+            named.setdefault(name, value or "")
         parent = self.open[-1] if self.open else None
         classes = list(dict.fromkeys(named.get("class", "").split()))
         node_id = len(self.nodes)
@@ -162,13 +165,14 @@ class _Walker(HTMLParser):
             "parent_id": parent["node_id"] if parent else None,
             "depth": parent["depth"] + 1 if parent else 0,
             "subtree_end": node_id,
+            "grand_id": parent["parent_id"] if parent else None,
             "parent": parent,
             "tag": tag,
             "id": named.get("id"),
             "classes": classes,
             "attrs": list(named.items()),
             "nth_of_type": nth,
-            "segment": self._segment(tag, named, classes, nth),
+            "atoms": self._atoms(named, classes, nth),
             "visible": not hidden and (parent is None or parent["visible"]),
             "icon_id": node_id if is_icon else parent["icon_id"] if parent else None,
             "prominence": TEXT_SIZES.get(tag) or (parent["prominence"] if parent else TEXT_SIZE),
@@ -177,29 +181,29 @@ class _Walker(HTMLParser):
             "inner_link": None,
             "kinds": {},
             "own": [],
+            "n_leaves": 0,
             "first_run": len(self.runs),
+            "is_link": is_link,
+            "is_icon": is_icon,
             "has_icon": False,
         }
-        if is_link or is_icon:
-            for above in self.open:
-                if is_link and above["inner_link"] is None:
-                    above["inner_link"] = named["href"]
-                above["has_icon"] = above["has_icon"] or is_icon
         if tag == "base" and self.base_href is None:
             self.base_href = named.get("href")
         self.nodes.append(node)
         self.open.append(node)
+        self.tally[tag] = self.tally.get(tag, 0) + 1
         self._break(node)
         if tag in VOID:
             self._end(self.open.pop())
 
-    def _segment(self, tag, named, classes, nth):
+    def _atoms(self, named, classes, nth):
+        """What simple selectors test: ``#id``, ``.class``, ``[attr]``, ``[attr=value]`` and ``:place``."""
         atoms = [f"#{named['id']}"] if named.get("id") else []
         atoms += [f".{c}" for c in classes]
         for name, value in named.items():
-            if self.path_attrs is None or name in self.path_attrs:
-                atoms.append(f"[{name}={value}]")
-        return SEGMENT + tag + ATOM + "".join(a + ATOM for a in [*atoms, f":{nth}"])
+            if self.atom_attrs is None or name in self.atom_attrs:
+                atoms += [f"[{name}]", f"[{name}={value}]"]
+        return [*atoms, f":{nth}"]
 
     def _break(self, node):
         tag = node["tag"]
@@ -208,13 +212,27 @@ class _Walker(HTMLParser):
             self.runs.append((mark, True, -1, node["visible"]))
 
     def _end(self, node):
+        """An element is closed: what it has inside is told to its parent."""
         node["subtree_end"] = len(self.nodes) - 1
         if node["tag"] in BLOCK:
             self._break(node)
         node["last_run"] = len(self.runs)
+        self.tally[node["tag"]] -= 1
+        if node["visible"] and node["tag"] not in NEVER_LEAF and any(t.strip() for t in node["own"]):
+            node["n_leaves"] += 1
+        if node["is_icon"]:
+            node["n_leaves"] = 0  # what an icon draws is no text
+        parent = node["parent"]
+        if parent is not None:
+            parent["n_leaves"] += node["n_leaves"]
+            parent["has_icon"] |= node["has_icon"] or node["is_icon"]
+            if parent["inner_link"] is None:
+                parent["inner_link"] = node["link"] if node["is_link"] else node["inner_link"]
 
     def _close(self, tags, stops):
         """Pop up to and including the outermost open element in ``tags`` above the nearest stop."""
+        if not any(self.tally.get(t) for t in tags):
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at]["tag"] in stops:
                 break
@@ -226,6 +244,8 @@ class _Walker(HTMLParser):
             self._end(self.open.pop())
 
     def handle_endtag(self, tag):
+        if not self.tally.get(tag):
+            return None
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at]["tag"] == tag:
                 return self._pop_to(at)
@@ -261,9 +281,9 @@ class _Walker(HTMLParser):
 
 
 def _flatten(
-    html: str, path_attrs: set[str] | None, columns: Sequence[str], tags: set[str] | None = None
+    html: str, atom_attrs: set[str] | None, columns: Sequence[str], tags: set[str] | None = None
 ) -> Iterator[list]:
-    walker = _Walker(path_attrs)
+    walker = _Walker(atom_attrs)
     try:
         walker.feed(html)
         walker.finish()
@@ -273,36 +293,33 @@ def _flatten(
     for node in walker.nodes:
         if tags is not None and node["tag"] not in tags:
             continue
-        # made for one element at a time, as the lines of deep pages are long
-        line, at = [], node
-        while at is not None and ("path" in columns or "anc" in columns):
-            line.append(at)
-            at = at["parent"]
-        node = node | {"error": walker.error, "anc": [n["node_id"] for n in line[:0:-1]], "path": "".join(n["segment"] for n in reversed(line))}
+        above = node["parent"] or {}
+        node = node | {
+            "error": walker.error, "base_href": walker.base_href,
+            "parent_tag": above.get("tag"), "parent_atoms": above.get("atoms"), "parent_classes": above.get("classes"), "parent_attrs": above.get("attrs"),
+        }
         if "text" in columns:
             node["text"] = walker.text(node)
         if "own_text" in columns:
             node["own_text"] = " ".join("".join(node["own"]).split())
-        node["base_href"] = walker.base_href
         yield [node[c] for c in columns]
 
 
 def flatten_dom(
     pages: DataFrame,
     columns: Sequence[str] | None = None,
-    path_attrs: Iterable[str] | None = None,
+    atom_attrs: Iterable[str] | None = None,
     carry: Sequence[str] = ("page_id",),
     tags: Iterable[str] | None = None,
 ) -> DataFrame:
     """One row per element of every page: the ``carry`` columns of the page and the wanted node columns.
 
-    ``path_attrs`` limits the attributes kept in ``path`` to those the selectors name; by default all
-    are kept. ``tags`` limits the rows to elements of these tags; their paths and ancestor ids still tell
-    about the others. What the parser can't go on with ends the page there: its elements have the reason
+    ``atom_attrs`` limits the attributes among the ``atoms`` to those the selectors name; by default all
+    are kept. ``tags`` limits the rows to elements of these tags. What the parser can't go on with ends the page there: its elements have the reason
     in ``error``.
     """
     columns = list(columns or NODE_COLUMNS)
-    wanted = None if path_attrs is None else set(path_attrs)
+    wanted = None if atom_attrs is None else set(atom_attrs)
     emitted = None if tags is None else set(tags)
     source = pages.select(*carry, "html")
     carried = [f for f in source.schema.fields if f.name != "html"]
@@ -314,8 +331,7 @@ def flatten_dom(
     def parse(batches):
         for batch in batches:
             rows, owners, chars = [], [], 0
-            texts = [i for i, c in enumerate(columns) if c in ("path", "text", "own_text")]
-            lists = [i for i, c in enumerate(columns) if c == "anc"]
+            texts = [i for i, c in enumerate(columns) if c in ("text", "own_text")]
 
             def flush():
                 taken = batch.select([f.name for f in carried]).take(pa.array(owners, pa.int32()))
@@ -330,7 +346,7 @@ def flatten_dom(
                 for row in _flatten(html.as_py() or "", wanted, columns, emitted):
                     rows.append(row)
                     owners.append(at)
-                    chars += sum(len(row[i]) for i in texts) + sum(8 * len(row[i]) for i in lists)
+                    chars += sum(len(row[i]) for i in texts)
                     if len(rows) >= OUTPUT_ROWS or chars >= OUTPUT_CHARS:
                         yield flush()
                         rows, owners, chars = [], [], 0

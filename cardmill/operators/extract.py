@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from cardmill import fixed
 from cardmill.functions.urls import absolute_url, fill_template
-from cardmill.operators.selectors import Specs, first_candidates, match_selectors
+from cardmill.operators.inside import inside
+from cardmill.operators.selectors import MATCH_COLUMNS, Specs, first_candidates, in_scope, match_selectors
 from cardmill.session import materialize
 
 # Node columns that extraction reads.
-CARD_NODE_COLUMNS = [
-    "node_id", "anc", "tag", "attrs", "text", "path", "visible", "link", "inner_link", "base_href",
-]
+CARD_NODE_COLUMNS = [*MATCH_COLUMNS, "attrs", "text", "visible", "link", "inner_link", "base_href"]
 
 
 def card_specs(sites: DataFrame) -> DataFrame:
@@ -94,30 +93,26 @@ def extract_cards(nodes: DataFrame, sites: DataFrame, specs: Specs | None = None
     value = F.when(F.col("kind") != "card", read_value(F.col("attr")))
     matches = materialize(
         match_selectors(nodes, specs).select(
-            "page_id", "slug", "url", "base_href", "kind", "field", "attr", "rank", "node_id", "anc", "visible",
+            "page_id", "slug", "url", "base_href", "kind", "field", "attr", "rank", "node_id", "subtree_end", "depth", "visible",
             value.alias("value"),
-            "scope_pattern",
-            F.length("path").alias("cut"),
-            F.when(F.col("scope_pattern").isNotNull(), F.col("path")).alias("path"),
+            "scoped", "scope_near", "tops",
         )
     )
     cards = first_candidates(matches.filter("kind = 'card'")).filter("visible")
-    card_keys = cards.select("page_id", F.col("node_id").alias("card_id"), F.col("cut").alias("card_cut"))
+    card_keys = cards.select(
+        "page_id", F.col("node_id").alias("card_id"), F.col("subtree_end").alias("card_end"), F.col("depth").alias("card_depth")
+    )
     found = ["page_id", "card_id", "slug", "field", "attr", "rank", "at", "value", "url", "base_href"]
 
-    in_scope = F.col("scope_pattern").isNull() | F.rlike(F.expr("substring(path, card_cut + 1)"), F.col("scope_pattern"))
     hits = (
-        matches.filter("kind = 'inner'")
-        .withColumn("card_id", F.explode("anc"))
-        .join(card_keys, ["page_id", "card_id"])
-        .filter(in_scope)
+        inside(card_keys, matches.filter("kind = 'inner'"), "node_id", "card_id", "card_end")
+        .filter(in_scope(F.col("card_id"), F.col("card_depth")))
         .withColumn("at", F.col("node_id"))
         .select(*found)
     )
     if specs.may_have("closest"):
-        lines = F.explode(F.array_append("anc", F.col("node_id")))
-        card_lines = cards.select("page_id", F.col("node_id").alias("card_id"), lines.alias("node_id"))
-        above = matches.filter("kind = 'closest' and scope_pattern is null").join(card_lines, ["page_id", "node_id"])
+        around = matches.filter("kind = 'closest' and not scoped")
+        above = inside(around, card_keys.select("page_id", "card_id"), "card_id", "node_id", "subtree_end", own=True)
         hits = hits.unionByName(above.withColumn("at", -F.col("node_id")).select(*found))
     if specs.may_have("self"):
         itself = matches.filter("kind = 'self'").join(cards.select("page_id", "node_id", "rank"), ["page_id", "node_id", "rank"])

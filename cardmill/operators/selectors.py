@@ -1,8 +1,13 @@
-"""CSS selectors as data: compile them to path patterns and match them against element rows.
+"""CSS selectors as data: steps of tags and atoms, matched against element rows.
 
 Supported: tag, ``*``, ``.class``, ``#id``, ``[attr]``, ``[attr="v"]``, ``:nth-of-type(n)``, a final
 ``:text-is("…")``, a leading ``:scope``, the descendant and ``>`` combinators, CSS escapes, and absolute
 ``xpath=/html[1]/…`` chains. Anything else counts as an invalid selector and is skipped.
+
+A step fits an element that has its tag and all its atoms. Elements and steps meet by tag (steps without one by an atom), so
+an element is compared with few steps. A selector of one step, or of a child of a parent, is decided on the element's row,
+which knows its parent's atoms. Longer chains keep the candidates of every step, and one pass over them in document order
+finds the chains.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardmill.functions.elements import control_disabled
-from cardmill.operators.dom import ATOM, SEGMENT
 from cardmill.session import materialize
 
+# Node columns that matching reads.
+MATCH_COLUMNS = ["node_id", "parent_id", "subtree_end", "depth", "tag", "atoms", "parent_tag", "parent_atoms"]
+
 _NAME = r"(?:[\w-]|[^\x00-\x7F]|\\[0-9a-fA-F]{1,6}\s?|\\[^0-9a-fA-F\n])+"
 _TOKEN = re.compile(
     rf"(?P<gap>\s*>\s*|\s+)|(?P<scope>:scope)|(?P<tag>\*|{_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>{_NAME})"
@@ -29,7 +36,6 @@ _TOKEN = re.compile(
     r"|:nth-of-type\(\s*(?P<nth>\d+)\s*\)|:text-is\(\"(?P<text>(?:[^\"\\]|\\.)*)\"\)"
 )
 _XPATH = re.compile(r"^xpath=((?:/[\w-]+\[\d+\])+)$")
-_REST = f"[^{SEGMENT}]*"
 
 
 def _unescape(name: str) -> str:
@@ -37,22 +43,21 @@ def _unescape(name: str) -> str:
     return re.sub(r"\\(.)", r"\1", name)
 
 
-def _element(tag: str | None, tests: Sequence[str]) -> str:
-    """Pattern for one element of a path: its tag and a look-ahead for each atom."""
-    aheads = "".join(f"(?={_REST}{ATOM}{t})" for t in tests)
-    return f"{SEGMENT}{aheads}{re.escape(tag) if tag else f'[^{SEGMENT}{ATOM}]*'}{ATOM}{_REST}"
+def _compiled(steps: list[dict], scoped: bool, rooted: bool, text: str | None, attrs: list[str]) -> dict:
+    deep = len(steps) > 2 or any(not s["near"] for s in steps[1:]) or (rooted and len(steps) > 1)
+    return {"steps": steps, "deep": deep, "scoped": scoped, "rooted": rooted, "text": text, "attrs": attrs}
 
 
 @lru_cache(maxsize=100_000)
 def compile_selector(selector: str | None) -> dict | None:
-    """Path pattern of a selector; ``scope_pattern`` tests the path below the card; None when invalid."""
+    """The steps of a selector, from the outermost: their tags and atoms, and whether each is a child of the one before
+    (the first: of the scope or the page). None when invalid."""
     selector = (selector or "").strip()
     xpath = _XPATH.match(selector)
     if xpath:
         steps = re.findall(r"/([\w-]+)\[(\d+)\]", xpath.group(1))
-        chain = "".join(_element(tag.lower(), [f":{n}{ATOM}"]) for tag, n in steps)
-        return {"tag": steps[-1][0].lower(), "pattern": rf"\A{chain}\z", "scope_pattern": None, "text": None, "attrs": []}
-    chain, tag, tests, text, scoped, at, attrs = "", None, [], None, False, 0, []
+        return _compiled([{"near": True, "tag": tag.lower(), "atoms": [f":{int(n)}"]} for tag, n in steps], False, True, None, [])
+    steps, near, tag, atoms, text, scoped, at, attrs = [], None, None, [], None, False, 0, []
     fresh = True  # no simple selector seen since the last combinator
     while at < len(selector):
         m = _TOKEN.match(selector, at)
@@ -60,12 +65,11 @@ def compile_selector(selector: str | None) -> dict | None:
             return None
         kind, at = m.lastgroup, m.end()
         if m["gap"] is not None:
-            if fresh and not (scoped and not chain):
+            if fresh and not (scoped and not steps and near is None):
                 return None
             if not fresh:
-                chain += _element(tag, tests)
-            chain += r"[\s\S]*" if ">" not in m["gap"] else ""
-            tag, tests, fresh = None, [], True
+                steps.append({"near": scoped if near is None else near, "tag": tag, "atoms": atoms})
+            near, tag, atoms, fresh = ">" in m["gap"], None, [], True
             continue
         if m["scope"]:
             if at != len(":scope"):
@@ -77,37 +81,34 @@ def compile_selector(selector: str | None) -> dict | None:
                 return None
             tag = None if m["tag"] == "*" else _unescape(m["tag"]).lower()
         elif m["cls"]:
-            tests.append(re.escape("." + _unescape(m["cls"])) + ATOM)
+            atoms.append("." + _unescape(m["cls"]))
         elif m["id"]:
-            tests.append(re.escape("#" + _unescape(m["id"])) + ATOM)
+            atoms.append("#" + _unescape(m["id"]))
         elif m["attr"]:
             attrs.append(_unescape(m["attr"]).lower())
-            name = re.escape(f"[{attrs[-1]}=")
             value = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), None)
-            tests.append(name if value is None else name + re.escape(_unescape(value) + "]") + ATOM)
+            atoms.append(f"[{attrs[-1]}]" if value is None else f"[{attrs[-1]}={_unescape(value)}]")
         elif m["nth"]:
-            tests.append(f":{int(m['nth'])}{ATOM}")
+            atoms.append(f":{int(m['nth'])}")
         elif kind == "text":
             text = _unescape(m["text"])
         fresh = False
     if fresh:
         return None
-    chain += _element(tag, tests)
-    return {
-        "tag": tag or "*",
-        "pattern": rf"{chain}\z",
-        "scope_pattern": rf"\A{chain}\z" if scoped else None,
-        "text": text,
-        "attrs": attrs,
-    }
+    steps.append({"near": scoped if near is None else near, "tag": tag, "atoms": atoms})
+    return _compiled(steps, scoped, False, text, attrs)
 
 
-COMPILED = {"tag": "spec_tag", "pattern": "pattern", "scope_pattern": "scope_pattern", "text": "spec_text", "attrs": "spec_attrs"}
+STEPS = "array<struct<near:boolean,tag:string,atoms:array<string>>>"
+COMPILED = {
+    "steps": ("steps", STEPS), "deep": ("deep", "boolean"), "scoped": ("scoped", "boolean"), "rooted": ("rooted", "boolean"),
+    "text": ("spec_text", "string"), "attrs": ("spec_attrs", "array<string>"),
+}
 
 
 def compiled_schema(specs: DataFrame) -> T.StructType:
-    kinds = {c: T.ArrayType(T.StringType()) if c == "spec_attrs" else T.StringType() for c in COMPILED.values()}
-    return T.StructType([*specs.schema.fields, *[T.StructField(c, kind) for c, kind in kinds.items()]])
+    added = T._parse_datatype_string(", ".join(f"{name} {kind}" for name, kind in COMPILED.values()))
+    return T.StructType([*specs.schema.fields, *added.fields])
 
 
 def compile_rows(rows: Iterable[dict]) -> Iterator[dict]:
@@ -115,11 +116,11 @@ def compile_rows(rows: Iterable[dict]) -> Iterator[dict]:
     for row in rows:
         compiled = compile_selector(row["selector"])
         if compiled:
-            yield row | {COMPILED[k]: v for k, v in compiled.items()}
+            yield row | {COMPILED[k][0]: v for k, v in compiled.items()}
 
 
 def compile_selectors(specs: DataFrame) -> DataFrame:
-    """Add spec_tag, pattern, scope_pattern, spec_text and spec_attrs for ``selector``; invalid selectors are dropped."""
+    """Add steps, deep, scoped, rooted, spec_text and spec_attrs for ``selector``; invalid selectors are dropped."""
     schema = compiled_schema(specs)
     arrow = to_arrow_schema(schema)
 
@@ -137,8 +138,9 @@ class Specs:
     table: DataFrame
     kinds: set[str] = field(default_factory=set)  # values of ``kind``
     attrs: set[str] = field(default_factory=set)  # attribute names
-    tags: set[str] = field(default_factory=set)  # tags of the elements they can match, '*' for any
+    tags: set[str] = field(default_factory=set)  # tags of the elements that matching looks at, '*' for any
     has_text: bool = False  # whether some ask for an element's text
+    deep: bool = False  # whether some are chains of more than a parent and a child
 
     @staticmethod
     def of(specs: DataFrame) -> Specs:
@@ -148,43 +150,120 @@ class Specs:
         """
         table = materialize(compile_selectors(specs))
         kinds = F.collect_set("kind") if "kind" in specs.columns else F.array().cast("array<string>")
+        looked = F.transform(F.when(F.col("deep"), F.col("steps")).otherwise(F.slice("steps", -1, 1)), lambda s: F.coalesce(s.tag, F.lit("*")))
         names = table.agg(
             kinds.alias("kinds"),
             F.array_distinct(F.flatten(F.collect_set("spec_attrs"))).alias("attrs"),
-            F.collect_set("spec_tag").alias("tags"),
+            F.array_distinct(F.flatten(F.collect_set(looked))).alias("tags"),
             F.coalesce(F.max(F.col("spec_text").isNotNull()), F.lit(False)).alias("has_text"),
+            F.coalesce(F.max("deep"), F.lit(False)).alias("deep"),
         ).first()
-        return Specs(table, set(names.kinds), set(names.attrs), set(names.tags), names.has_text)
+        return Specs(table, set(names.kinds), set(names.attrs), set(names.tags), names.has_text, names.deep)
 
     def may_have(self, kind: str) -> bool:
         return kind in self.kinds
 
 
 def needed(*specs: Specs) -> dict[str, set[str] | None]:
-    """What ``flatten_dom`` must emit for these selectors: ``path_attrs``, and ``tags`` (None for all)."""
+    """What ``flatten_dom`` must emit for these selectors: ``atom_attrs``, and ``tags`` (None for all)."""
     tags = set().union(*[s.tags for s in specs])
-    return {"path_attrs": set().union(*[s.attrs for s in specs]), "tags": None if "*" in tags else tags}
+    return {"atom_attrs": set().union(*[s.attrs for s in specs]), "tags": None if "*" in tags else tags}
+
+
+def _fits(step: Column, tag: Column, atoms: Column) -> Column:
+    """Whether an element has the tag and all atoms of a step."""
+    return (step.tag.isNull() | (step.tag == tag)) & (F.size(F.array_except(step.atoms, F.coalesce(atoms, F.array().cast("array<string>")))) == 0)
 
 
 def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",)) -> DataFrame:
-    """Every (element, selector) match: the node columns plus those of the compiled ``specs``.
+    """Every (element, selector) match: the node columns plus those of ``specs``, ``scoped`` and ``tops``, the elements (id,
+    depth) that the first step may stand for.
 
     A small table of specs is broadcast by Spark, so that matching is one pass over the elements without a shuffle; a
     large one is joined by site. Elements need their ``text`` when a selector asks for it.
     """
     if specs.has_text and "text" not in nodes.columns:
         raise ValueError("a selector asks for :text-is, so the elements need their text")
-    hit = F.rlike("path", F.col("pattern"))
-    if "text" in nodes.columns:
-        own = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-        hit = hit & (F.col("spec_text").isNull() | (own == F.col("spec_text")))
+    table = specs.table
+    n = F.size("steps")
+    steps = table.select(*table.columns, F.posexplode("steps").alias("step_no", "step"))
+    steps = steps.where(F.col("deep") | (F.col("step_no") == n - 1))
+    # a step without a tag is looked up by an atom, one without either by a star
+    steps = steps.withColumn("__key", F.coalesce("step.tag", F.get("step.atoms", F.lit(0)), F.lit("*")))
     if "*" in specs.tags:
-        # the order counts: most pairs fail on the tag, before any pattern is compiled
-        same_tag = F.col("spec_tag").isin(F.col("tag"), F.lit("*"))
-        joined = nodes.join(specs.table, list(on)).filter(F.when(same_tag, hit).otherwise(False))
+        nodes = nodes.withColumn("__key", F.explode(F.array_union(F.array(F.col("tag"), F.lit("*")), "atoms")))
     else:
-        joined = nodes.join(specs.table.withColumn("tag", F.col("spec_tag")), [*on, "tag"]).filter(hit)
-    return joined.drop("spec_tag", "pattern", "spec_text", "spec_attrs")
+        nodes = nodes.withColumn("__key", F.col("tag"))
+    last = F.col("step_no") == n - 1
+    before = F.get("steps", F.col("step_no") - 1)
+    hit = _fits(F.col("step"), F.col("tag"), F.col("atoms"))
+    hit &= (F.col("step_no") == 0) | ~F.col("step.near") | _fits(before, F.col("parent_tag"), F.col("parent_atoms"))
+    hit &= ~F.col("rooted") | (F.col("step_no") > 0) | F.col("parent_id").isNull()
+    if "text" in nodes.columns:
+        shown = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+        hit &= ~last | F.col("spec_text").isNull() | (shown == F.col("spec_text"))
+    found = nodes.join(steps, [*on, "__key"]).where(hit)
+    top = F.when(n == 1, F.struct(F.col("node_id").alias("id"), F.col("depth").alias("depth"))).otherwise(
+        F.struct(F.col("parent_id").alias("id"), (F.col("depth") - 1).alias("depth")))
+    near = F.get("steps", F.lit(0)).near
+    told = ["__key", "steps", "step", "step_no", "spec_text", "spec_attrs", "deep", "rooted"]
+    if "depth" not in nodes.columns:
+        return found.drop(*told)
+    found = found.withColumns({"scope_near": near, "tops": F.array(top)})
+    if not specs.deep:
+        return found.drop(*told)
+    found = materialize(found.withColumn("n_steps", n).withColumn("near", F.col("step.near")).drop("__key", "steps", "step", "spec_text", "spec_attrs"))
+    chains = chain_matches(found.where("deep").select("page_id", "selector", "node_id", "step_no", "n_steps", "near", "parent_id", "subtree_end", "depth", "scoped", "scope_near"))
+    rest = found.where("not deep")
+    deep = found.where("deep and step_no = n_steps - 1").drop("tops").join(chains, ["page_id", "selector", "node_id"])
+    return rest.unionByName(deep).drop("step_no", "n_steps", "near", "deep", "rooted")
+
+
+def chain_matches(candidates: DataFrame) -> DataFrame:
+    """(page_id, selector, node_id, tops): elements that end a chain of steps, from the elements that fit each step alone.
+
+    Candidates are taken in document order; of each step only the open elements that a chain has reached are held. Only scoped
+    selectors have ``tops``: the innermost one, or all where the first step must be a child of the scope.
+    """
+    page = candidates.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {page}, selector string, node_id int, tops array<struct<id:int,depth:int>>"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        group, open_ = None, []
+        for batch in batches:
+            out = []
+            for page_id, selector, node, step, n, near, parent, end, depth, scoped, scope_near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (page_id, selector) != group:
+                    group, open_ = (page_id, selector), [[] for _ in range(n)]
+                reached, tops = True, {(node, depth)} if scoped else set()
+                if step:
+                    above = open_[step - 1]
+                    while above and above[-1][1] < node:
+                        above.pop()
+                    # the innermost holder, which is not the element itself
+                    k = len(above) - 1 if above and above[-1][0] != node else len(above) - 2
+                    reached = k >= 0 and (not near or above[k][0] == parent)
+                    if reached and scoped:
+                        tops = above[k][2] if near else set().union(*(a[2] for a in above[: k + 1])) if scope_near else max((a[2] for a in above[: k + 1]), key=max)
+                if reached and step == n - 1:
+                    out.append({"page_id": page_id, "selector": selector, "node_id": node, "tops": [{"id": i, "depth": d} for i, d in sorted(tops)]})
+                elif reached:
+                    mine = open_[step]
+                    while mine and mine[-1][1] < node:
+                        mine.pop()
+                    mine.append((node, end, tops))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    once = candidates.dropDuplicates(["page_id", "selector", "node_id", "step_no"])
+    ordered = once.repartition("page_id", "selector").sortWithinPartitions("page_id", "selector", "node_id", "step_no")
+    return ordered.mapInArrow(run, schema)
+
+
+def in_scope(card: Column, card_depth: Column) -> Column:
+    """Whether a match lies as its selector's ``:scope`` wants it: its first step inside the card, or a child of it."""
+    return ~F.col("scoped") | F.exists("tops", lambda t: (t.id > card) & (~F.col("scope_near") | (t.depth == card_depth + 1)))
 
 
 def first_candidates(

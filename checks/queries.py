@@ -561,7 +561,7 @@ def page_nodes(spark, sf, columns, attrs=()):
 
 
 def match_selectors(spark, sf):
-    nodes = page_nodes(spark, sf, ["node_id", "tag", "path", "text"], ["href"])
+    nodes = page_nodes(spark, sf, [*selectors.MATCH_COLUMNS, "text"], ["href"])
     wanted = ["nav > ul > li", "nav li:nth-of-type(2) > a", "div.ad", "article b", "a[href]", "div > a", '[href="/The"]',
               'a:text-is("The")']
     specs = spark.createDataFrame([("feed", i, s) for i, s in enumerate(wanted)], "slug string, rank int, selector string")
@@ -577,18 +577,18 @@ def extract_cards(spark, sf):
 
 
 def count_cards(spark, sf):
-    nodes = page_nodes(spark, sf, ["node_id", "tag", "path"])
+    nodes = page_nodes(spark, sf, selectors.MATCH_COLUMNS)
     return extract.count_cards(nodes, site_table(spark, FEED_SITE), feed_pages(spark, sf))
 
 
 def next_control(spark, sf):
-    nodes = page_nodes(spark, sf, ["node_id", "tag", "path", "visible", "classes", "attrs"])
+    nodes = page_nodes(spark, sf, [*selectors.MATCH_COLUMNS, "visible", "classes", "attrs"])
     specs = selectors.control_specs(site_table(spark, FEED_SITE))
     return selectors.next_control(nodes, specs).select("page_id")
 
 
 def selector_report(spark, sf):
-    nodes = page_nodes(spark, sf, ["node_id", "tag", "path", "visible", "classes", "attrs"])
+    nodes = page_nodes(spark, sf, [*selectors.MATCH_COLUMNS, "visible", "classes", "attrs"])
     specs = selectors.control_specs(site_table(spark, FEED_SITE))
     return selectors.selector_report(nodes, feed_pages(spark, sf).drop("html"), specs)
 

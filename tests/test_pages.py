@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cardmill.operators.dom import flatten_dom, visible_text
 from cardmill.operators.extract import count_cards, extract_cards, listing_frame
-from cardmill.operators.selectors import Specs, compile_selectors, control_specs, match_selectors, needed, next_control, selector_report
+from cardmill.operators.selectors import MATCH_COLUMNS, Specs, compile_selectors, control_specs, match_selectors, needed, next_control, selector_report
 from cardmill.plans.rate import rate_ranked
 from cardmill.plans.scrape import extract_pages, scrape
 from cardmill.sources.sites import SITE_SCHEMA, with_defaults
@@ -22,9 +22,9 @@ def sites_of(spark, *docs):
     return with_defaults(df.select(F.from_json("d", SITE_SCHEMA).alias("s")).select("s.*"))
 
 
-def nodes_of(spark, html, path_attrs=None):
+def nodes_of(spark, html, atom_attrs=None):
     carry = ["page_id", "url", "slug", "page_no"]
-    return flatten_dom(page_table(spark, html), path_attrs=path_attrs, carry=carry)
+    return flatten_dom(page_table(spark, html), atom_attrs=atom_attrs, carry=carry)
 
 
 def tags(spark, html):
@@ -52,10 +52,20 @@ def test_bad_pages_go_on(spark):
     assert tags(spark, "<p>a<![CDATA[x]]><i>y</i><![") == [("p", 0), ("i", 1)]
 
 
-def test_deep_pages_in_bounded_batches(spark):
-    """Lines of deep pages are made one at a time and sent in batches of bounded size."""
-    rows = flatten_dom(page_table(spark, "<font>" * 3000), ["depth", "path"]).selectExpr("max(depth) d", "max(length(path)) n", "count(*) c").first()
-    assert (rows.d, rows.c) == (2999, 3000) and rows.n > 3000 * 5
+def test_deep_pages_give_output_in_proportion(spark):
+    """An element of a deep page is no larger than one of a flat page, and selectors match on both."""
+    size = {}
+    for n in (200, 20_000):
+        page = page_table(spark, "<font class=a>" * n + "<b class=leaf>x")
+        nodes = flatten_dom(page, [*MATCH_COLUMNS, "n_leaves", "grand_id"], carry=["page_id", "slug"]).cache()
+        row = nodes.agg(F.max("depth").alias("d"), F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+        assert (row.d, row.n) == (n, n + 1)
+        size[n] = row["size"] / n
+        specs = Specs.of(spark.createDataFrame([("ferry", k, s) for k, s in enumerate(["font > b.leaf", "font font > b", ".a .a", "b b"])], "slug string, rank int, selector string"))
+        found = match_selectors(nodes, specs).groupBy("rank").count().collect()
+        assert {r["rank"]: r["count"] for r in found} == {0: 1, 1: 1, 2: n - 1}
+        nodes.unpersist()
+    assert size[20_000] < 1.5 * size[200]
 
 
 def test_matches_do_not_depend_on_how_many_selectors_there_are(spark):
@@ -65,7 +75,7 @@ def test_matches_do_not_depend_on_how_many_selectors_there_are(spark):
     found = []
     for selectors in (asked, asked + more):
         specs = Specs.of(spark.createDataFrame([("ferry", i, s) for i, s in enumerate(selectors)], "slug string, rank int, selector string"))
-        nodes = flatten_dom(page_table(spark, html), ["node_id", "tag", "path"], carry=["page_id", "slug"], **needed(specs))
+        nodes = flatten_dom(page_table(spark, html), MATCH_COLUMNS, carry=["page_id", "slug"], **needed(specs))
         found.append(sorted((r["rank"], r.node_id) for r in match_selectors(nodes, specs).collect()))
     assert found[0] == found[1] == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)]
 
@@ -73,7 +83,7 @@ def test_matches_do_not_depend_on_how_many_selectors_there_are(spark):
 def test_text_selectors_need_the_text(spark):
     specs = Specs.of(spark.createDataFrame([("ferry", 0, 'a:text-is("2")')], "slug string, rank int, selector string"))
     with pytest.raises(ValueError):
-        match_selectors(flatten_dom(page_table(spark, "<a>1</a><a>2</a>"), ["node_id", "tag", "path"], carry=["slug"]), specs)
+        match_selectors(flatten_dom(page_table(spark, "<a>1</a><a>2</a>"), MATCH_COLUMNS, carry=["slug"]), specs)
 
 
 def test_node_columns(spark):
@@ -81,7 +91,10 @@ def test_node_columns(spark):
     rows = {r.node_id: r for r in nodes_of(spark, html).collect()}
     div, p1, p2, a = rows[2], rows[3], rows[4], rows[5]
     assert (div.tag, div.id, div.classes, div.attrs["data-x"]) == ("div", "main", ["a", "b"], "1")
-    assert (div.parent_id, div.anc, div.subtree_end, div.nth_of_type) == (1, [0, 1], 5, 1)
+    assert (div.parent_id, div.grand_id, div.subtree_end, div.nth_of_type) == (1, 0, 5, 1)
+    assert div.atoms == ["#main", ".a", ".b", "[id]", "[id=main]", "[class]", "[class=a b a]", "[data-x]", "[data-x=1]", ":1"]
+    assert (p1.parent_tag, p1.parent_atoms, p1.parent_classes) == ("div", div.atoms, ["a", "b"])
+    assert (div.n_leaves, p2.n_leaves, rows[0].parent_tag) == (1, 0, None)  # hidden text is no leaf
     assert (p1.own_text, p2.own_text, p2.nth_of_type, p2.visible, a.visible) == ("one", "two", 2, False, False)
     assert (div.text, p2.text, a.link, div.inner_link, div.link) == ("one", "two go", "/x", "/x", None)
 
