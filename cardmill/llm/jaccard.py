@@ -35,7 +35,7 @@ from cardmill.llm.tables import bounded_batches, join_ids, materialize
 
 SKETCH_BITS = 18  # of a count per bucket of token hashes, 2 MB broadcast whatever the corpus
 TOKEN_SHIFT = 16  # prefix tokens keep 48 bits: they only find candidates
-ROUNDS = 3  # of links with leaders; what they leave is found by the matrix
+ROUNDS = 2  # of links with leaders; what they leave is found by the matrix
 HOT_TOKENS = 20_000  # occurrences in a bucket, beside twice the mean, beyond which its tokens are not counted one by one
 
 

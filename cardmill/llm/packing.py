@@ -38,7 +38,7 @@ SEARCH_STEPS = 100_000  # of a block's searches; None searches it to the end
 FILLINGS = 4  # put in order at a time
 GROUP_PIECES = 60  # of a search at least, twice as many every other time, if its sequences have more blanks than one sequence before
 GROUP_STEPS = 4_000  # of a search; more if its pieces could need more for a first complete solution
-CACHED_WORDS = 600_000  # of a task, about 90 MB; beyond that it starts anew
+CACHED_WORDS = 600_000  # of a task, about 30 MB; beyond that it starts anew
 TOGETHER = 4_000  # words given to the tokenizer at once
 AGAIN, FULL = 1 << 60, 1 << 61  # where the numbers of repacked and of full sequences begin
 CHUNK = 2 << 20  # bytes of text at once: words repeat, so larger parts have fewer different ones
@@ -62,7 +62,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}  # the slot of a word's hash
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of words in order, and their slots
         self.size, self.begin, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.used = 0  # of ids
 
@@ -82,7 +82,7 @@ class WordIds:
             sizes.append(np.bincount(np.searchsorted(characters, begin, "right"), minlength=len(first)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def learn(self, hashes: list[int], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Slots of new words."""
         ids, size = self.tokenize(data, starts, ends)
         slots = len(self.known) + np.arange(len(hashes))
@@ -93,7 +93,8 @@ class WordIds:
         self.size[slots], self.begin[slots] = size, self.used + np.cumsum(size) - size
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(hashes, slots.tolist(), strict=True))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.slots = np.insert(self.known, at, hashes), np.insert(self.slots, at, slots)
         return slots
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +103,12 @@ class WordIds:
         hashes, at, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        slots = np.array([self.known.get(h, -1) for h in hashes.tolist()], np.int64)
-        new = slots < 0
+        place = np.searchsorted(self.known, hashes)
+        new = np.append(self.known, np.uint64(0))[place] != hashes
+        new[place == len(self.known)] = True
+        slots = np.append(self.slots, np.int32(0))[place].astype(np.int64)
         if new.any():
-            slots[new] = self.learn(hashes[new].tolist(), data, starts[at[new]], ends[at[new]])
+            slots[new] = self.learn(hashes[new], data, starts[at[new]], ends[at[new]])
         slot = slots[inverse]
         size = self.size[slot]
         edge = np.concatenate(([0], np.cumsum(size)))
