@@ -15,6 +15,7 @@ hides with a plain ``.class {display:none}`` rule, or a tag that is never drawn.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
@@ -42,6 +43,7 @@ NODE_COLUMNS = {
     "parent_classes": "array<string>",
     "parent_attrs": "map<string,string>",
     "n_leaves": "int",
+    "shape": "long",
     "visible": "boolean",
     "icon_id": "int",
     "prominence": "double",
@@ -53,6 +55,7 @@ NODE_COLUMNS = {
 }
 _ARROW = {
     "int": pa.int32(),
+    "long": pa.int64(),
     "double": pa.float64(),
     "string": pa.string(),
     "boolean": pa.bool_(),
@@ -103,8 +106,9 @@ BREAKS = re.compile(r"[ \t]*\n[ \t\n]*")
 class _Walker(HTMLParser):
     """Collects the elements of one page; text runs are shared and addressed by range."""
 
-    def __init__(self, atom_attrs: set[str] | None):
+    def __init__(self, atom_attrs: set[str] | None, shapes: bool):
         super().__init__(convert_charrefs=True)
+        self.shapes = shapes  # whether to tell the shape of the line from the root to each element
         self.error = None
         self.atom_attrs = atom_attrs
         self.nodes: list[dict] = []
@@ -189,6 +193,9 @@ class _Walker(HTMLParser):
         }
         if tag == "base" and self.base_href is None:
             self.base_href = named.get("href")
+        if self.shapes:
+            line = f"{parent['shape'] if parent else ''}\x01{tag}\x02{node['id'] or ''}\x02" + "\x02".join(classes)
+            node["shape"] = int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
         self.nodes.append(node)
         self.open.append(node)
         self.tally[tag] = self.tally.get(tag, 0) + 1
@@ -283,7 +290,7 @@ class _Walker(HTMLParser):
 def _flatten(
     html: str, atom_attrs: set[str] | None, columns: Sequence[str], tags: set[str] | None = None
 ) -> Iterator[list]:
-    walker = _Walker(atom_attrs)
+    walker = _Walker(atom_attrs, "shape" in columns)
     try:
         walker.feed(html)
         walker.finish()

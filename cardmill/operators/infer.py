@@ -1,9 +1,9 @@
 """Learning a site config from repeated structure: cards, their fields and the selectors that find them.
 
 Input is the prepared element table of the pages and a table of targets, one element per row that lies in
-a card (a job title, as a rule). Elements are pre-order numbered, so "inside" is an equi-join on an
-exploded ancestor list, never a range join. Most joins are on (page_id, node id); selectors meet elements on
-(page_id, tag), which for one huge page relies on AQE's split of skewed partitions. Shares are taken over all cards, all
+a card (a job title, as a rule). Elements are numbered in document order, so "inside" is a range of ids (see ``inside``), and
+no table grows with the depth of a page but where a path itself is asked for. Learned selectors are steps from the start, and
+are matched as those of configs are, without being written and compiled in between. Shares are taken over all cards, all
 elements of a card and all levels; ``sample`` limits them to the first cards where a caller wants that.
 """
 
@@ -22,12 +22,15 @@ from cardmill.functions.elements import (
     stable_attrs,
     stable_classes,
 )
-from cardmill.operators.dom import flatten_dom, visible_text
-from cardmill.operators.selectors import compile_selectors
+from cardmill.operators.dom import NEVER_LEAF, flatten_dom, visible_text
+from cardmill.operators.inside import inside
+from cardmill.operators.selectors import Specs, in_scope, match_selectors
 from cardmill.session import materialize
 
-NEVER_LEAF = ["script", "style", "noscript", "template", "svg"]
-
+NODE_COLUMNS = [
+    "node_id", "parent_id", "grand_id", "depth", "subtree_end", "tag", "classes", "attrs", "own_text", "text", "nth_of_type", "parent_tag",
+    "parent_classes", "parent_attrs", "n_leaves", "visible", "icon_id", "link_id", "inner_link", "prominence", "shape",
+]
 KEY = ["page_id", "target_id"]
 FIELD_SPEC = "struct<selectors: array<string>, attr: string, closest: boolean>"
 
@@ -40,43 +43,82 @@ def _attr_part(attrs: Column) -> Column:
     return F.array_join(F.slice(attrs, 1, 3), "")
 
 
+def _dotted(classes: Column) -> Column:
+    return F.transform(classes, lambda c: F.concat(F.lit("."), c))
+
+
+def _first_names(classes: Column, attrs: Column) -> Column:
+    """The names that a signature tells: of stable classes and attributes the first three each."""
+    return F.concat(F.slice(_dotted(classes), 1, 3), F.slice(attrs, 1, 3))
+
+
 def prepare_nodes(pages: DataFrame) -> DataFrame:
-    """Element table with signatures, written to the work folder because every step below reads it."""
-    nodes = flatten_dom(pages)
-    classes, attrs = stable_classes(F.col("classes")), F.transform(stable_attrs(F.col("attrs")), css_attr)
+    """Element table with signatures, written to the work folder because every step below reads it.
+
+    ``atoms`` are the stable names of an element and its place among its kind, ``names`` those that its signature ``sig``
+    tells; the parent's are carried along.
+    """
+    nodes = flatten_dom(pages, NODE_COLUMNS)
+    classes = lambda c: stable_classes(F.coalesce(c, F.array().cast("array<string>")))
+    attrs = lambda a: F.transform(stable_attrs(F.coalesce(a, F.create_map().cast("map<string,string>"))), css_attr)
+    nodes = nodes.withColumns({
+        "sclasses": classes(F.col("classes")), "sattrs": attrs(F.col("attrs")),
+        "pclasses": classes(F.col("parent_classes")), "pattrs": attrs(F.col("parent_attrs")),
+    })
+    place = F.array(F.concat(F.lit(":"), F.col("nth_of_type").cast("string")))
     return materialize(
         nodes.select(
-            "page_id", "node_id", "parent_id", "depth", "subtree_end", "anc", "tag", "attrs", "nth_of_type", "path",
-            "visible", "icon_id", "link_id", "prominence",
-            classes.alias("sclasses"),
-            attrs.alias("sattrs"),
+            "page_id", "node_id", "parent_id", "grand_id", "depth", "subtree_end", "tag", "attrs", "nth_of_type", "parent_tag",
+            "n_leaves", "shape", "visible", "icon_id", "link_id", "prominence", "sclasses", "sattrs",
             visible_text(F.col("text")).alias("text"),
             (F.col("own_text") != "").alias("own"),
             (F.col("link_id").isNotNull() | F.col("inner_link").isNotNull()).alias("has_link"),
-            ((F.col("own_text") != "") & F.col("visible") & ~F.col("tag").isin(NEVER_LEAF)).alias("leaf"),
-        ).withColumn("sig", F.concat("tag", _class_part(F.col("sclasses")), _attr_part(F.col("sattrs"))))
+            ((F.col("own_text") != "") & F.col("visible") & ~F.col("tag").isin(*NEVER_LEAF)).alias("leaf"),
+            F.concat(_dotted(F.col("sclasses")), "sattrs", place).alias("atoms"),
+            F.concat(_dotted(F.col("pclasses")), "pattrs").alias("parent_atoms"),
+            _first_names(F.col("sclasses"), F.col("sattrs")).alias("names"),
+            _first_names(F.col("pclasses"), F.col("pattrs")).alias("parent_names"),
+            F.concat("tag", _class_part(F.col("sclasses")), _attr_part(F.col("sattrs"))).alias("sig"),
+            F.concat("parent_tag", _class_part(F.col("pclasses")), _attr_part(F.col("pattrs"))).alias("parent_sig"),
+        )
     )
 
 
-def _renamed(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
-    return df.select("page_id", *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+def ranges(nodes: DataFrame, *columns: str) -> DataFrame:
+    """Elements as ranges of ids: (page_id, out_id, out_end and ``columns``)."""
+    return nodes.select("page_id", F.col("node_id").alias("out_id"), F.col("subtree_end").alias("out_end"), *columns)
+
+
+def text_leaves(nodes: DataFrame, outer: DataFrame, start: str, end: str, *columns: str) -> DataFrame:
+    """The rows of ``outer`` (ranges of ids) with each element in them that draws text of its own; icon text does not count."""
+    leaves = nodes.filter("leaf").select("page_id", "node_id", "icon_id", *columns)
+    found = inside(outer, leaves, "node_id", start, end, own=True)
+    return found.filter(F.col("icon_id").isNull() | (F.col("icon_id") < F.col(start))).drop("icon_id")
 
 
-def _lines(nodes: DataFrame, *columns: str, own: bool = True) -> DataFrame:
-    """One row per element and ancestor ``in_id`` (itself included when ``own``)."""
-    line = F.array_append("anc", F.col("node_id")) if own else F.col("anc")
-    return nodes.select("page_id", "node_id", *columns, F.explode(line).alias("in_id"))
+# --- selectors as steps ---------------------------------------------------------------------------
+def step(near: bool, tag: Column, atoms: Column) -> Column:
+    return F.struct(F.lit(near).alias("near"), tag.alias("tag"), atoms.alias("atoms"))
 
 
-def text_leaves(nodes: DataFrame, *columns: str) -> DataFrame:
-    """Elements with drawn text of their own, per enclosing element ``in_id``; icon text does not count."""
-    leaves = _lines(nodes.filter("leaf"), "icon_id", *columns)
-    return leaves.filter(F.col("icon_id").isNull() | (F.col("icon_id") < F.col("in_id"))).drop("icon_id")
+def relative_steps(child: Column, tag: Column, names: Column, parent_tag: Column, parent_names: Column) -> Column:
+    """The steps of ``relative_selector``: a child of the card itself, or of an element like its own parent."""
+    return F.when(child, F.array(step(True, tag, names))).otherwise(F.array(step(False, parent_tag, parent_names), step(True, tag, names)))
+
+
+def match_on_pages(nodes: DataFrame, specs: DataFrame, deep: bool = False) -> DataFrame:
+    """Elements matched by selectors that belong to one page each (``specs``: page_id, selector, steps, …; ``scoped`` where
+    they start at a card). ``deep``: some are chains of more than a parent and a child."""
+    if "scoped" not in specs.columns:
+        specs = specs.withColumn("scoped", F.lit(False))
+    chain = (F.size("steps") > 2) | F.exists(F.slice("steps", 2, 1), lambda s: ~s.near)
+    table = specs.withColumns({"deep": chain if deep else F.lit(False), "rooted": F.lit(False), "spec_text": F.lit(None).cast("string"), "spec_attrs": F.array().cast("array<string>")})
+    return match_selectors(nodes, Specs(table, deep=deep), on=("page_id",))
 
 
 # --- signatures ---------------------------------------------------------------------------------
 def shared_signatures(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(page_id, node_id, shared_sig): signature with only what 60 % of the same-tag siblings share.
+    """(page_id, node_id, shared_sig, shared_names): signature with only what 60 % of the same-tag siblings share.
 
     With fewer than two other siblings everything is kept. ``wanted`` (page_id, node_id) limits the work.
     """
@@ -103,12 +145,15 @@ def shared_signatures(nodes: DataFrame, wanted: DataFrame | None = None) -> Data
     return (
         mine.join(totals, group, "left")
         .join(shared, group, "left")
-        .select("page_id", "node_id", F.concat("tag", _class_part(classes), _attr_part(attrs)).alias("shared_sig"))
+        .select(
+            "page_id", "node_id", F.concat("tag", _class_part(classes), _attr_part(attrs)).alias("shared_sig"),
+            F.concat(F.slice(_dotted(classes), 1, 3), attrs).alias("shared_names"),
+        )
     )
 
 
 def path_steps(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, node_id, step): signature, with ':nth-of-type(n)' only where a sibling matches it too.
+    """(page_id, node_id, step, tag, atoms): signature, with ':nth-of-type(n)' only where a sibling matches it too.
 
     Siblings are compared by their distinct sets of stable names, and only those that have the rarest
     name of a signature are looked at, so a long list of equal items costs one comparison.
@@ -118,7 +163,7 @@ def path_steps(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     dotted = F.transform("sclasses", lambda c: F.concat(F.lit("."), c))
     every = F.array_sort(F.array_distinct(F.concat(dotted, "sattrs")))
     named = F.array_sort(F.array_distinct(F.concat(F.slice(dotted, 1, 3), F.slice("sattrs", 1, 3))))
-    mine = mine.select(*group, "node_id", "nth_of_type", "sig", named.alias("names"))
+    mine = mine.select(*group, "node_id", "nth_of_type", "sig", F.col("names").alias("told"), named.alias("names"))
     sets = (
         nodes.join(mine.select(*group).distinct(), group, "left_semi")
         .groupBy(*group, every.alias("all_names"))
@@ -145,28 +190,24 @@ def path_steps(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     alike = plain.unionByName(settled).unionByName(compared)
     step = F.when(F.col("alike") > 1, F.concat("sig", F.lit(":nth-of-type("), "nth_of_type", F.lit(")"))).otherwise(F.col("sig"))
-    return mine.join(alike, [*group, "names"]).select("page_id", "node_id", step.alias("step"))
+    place = F.concat(F.lit(":"), F.col("nth_of_type").cast("string"))
+    atoms = F.when(F.col("alike") > 1, F.array_append("told", place)).otherwise(F.col("told"))
+    return mine.join(alike, [*group, "names"]).select("page_id", "node_id", step.alias("step"), "tag", atoms.alias("atoms"))
 
 
 def path_selectors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(…pair columns, path_key): exact path from ``card_id`` down to ``leaf_id``; ':self' for the card itself."""
+    """(…pair columns, path_key, path_steps): exact path from ``card_id`` down to ``leaf_id``; ':self' for the card itself."""
     pairs = pairs.select("page_id", "card_id", "leaf_id").distinct()
-    own = _renamed(nodes, "", "node_id", "anc").withColumnRenamed("node_id", "leaf_id")
-    below = F.filter(F.array_append("anc", F.col("leaf_id")), lambda i: i > F.col("card_id"))
-    lines = pairs.join(own, ["page_id", "leaf_id"]).select(
-        "page_id", "card_id", "leaf_id", F.explode_outer(below).alias("node_id")
-    )
-    steps = path_steps(nodes, lines.filter(F.col("node_id").isNotNull()))
-    parts = F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("node_id", "step"))))
-    joined = F.array_join(F.transform(parts, lambda p: p.step), " > ")
-    return (
-        lines.join(steps, ["page_id", "node_id"], "left")
-        .groupBy("page_id", "card_id", "leaf_id")
-        .agg(joined.alias("steps"))
-        .select(
-            "page_id", "card_id", "leaf_id",
-            F.when(F.col("steps") == "", ":self").otherwise(F.concat(F.lit(":scope > "), "steps")).alias("path_key"),
-        )
+    lines = inside(ranges(nodes), pairs, "leaf_id", "out_id", "out_end", own=True).filter("out_id > card_id")
+    lines = lines.select("page_id", "card_id", "leaf_id", F.col("out_id").alias("node_id"))
+    steps = path_steps(nodes, lines)
+    parts = F.array_sort(F.collect_list(F.struct("node_id", "step", "tag", "atoms")))
+    found = lines.join(steps, ["page_id", "node_id"]).groupBy("page_id", "card_id", "leaf_id").agg(parts.alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: p.step), " > ")
+    return pairs.join(found, ["page_id", "card_id", "leaf_id"], "left").select(
+        "page_id", "card_id", "leaf_id",
+        F.when(F.col("parts").isNull(), ":self").otherwise(F.concat(F.lit(":scope > "), joined)).alias("path_key"),
+        F.transform("parts", lambda p: step(True, p.tag, p.atoms)).alias("path_steps"),
     )
 
 
@@ -175,55 +216,41 @@ def relative_selector(el_parent: Column, card: Column, sig: Column, parent_sig:
     return F.when(el_parent == card, F.concat(F.lit(":scope > "), sig)).otherwise(F.concat(parent_sig, F.lit(" > "), sig))
 
 
-def match_on_pages(nodes: DataFrame, specs: DataFrame) -> DataFrame:
-    """Elements matched by selectors that belong to one page each (``specs``: page_id, selector, …)."""
-    texts = specs.select("selector").distinct()
-    compiled = specs.join(compile_selectors(texts).drop("spec_text"), "selector")
-    on = (nodes["page_id"] == compiled["page_id"]) & (nodes["tag"] == compiled["spec_tag"])
-    return nodes.join(compiled, on).drop(compiled["page_id"]).filter(F.rlike("path", F.col("pattern"))).drop("pattern", "spec_tag")
-
-
 # --- cards --------------------------------------------------------------------------------------
 def default_targets(nodes: DataFrame) -> DataFrame:
-    """One target per repeated group of a page: the first link with text of each distinct link position."""
+    """One target per repeated group of a page: the first link with text of each distinct link position.
+
+    Positions are alike when the links and all elements around them have the same tags, ids and classes, which ``shape`` tells.
+    """
     links = nodes.filter((F.col("link_id") == F.col("node_id")) & F.col("visible") & (F.col("text") != ""))
-    position = F.regexp_replace("path", "\x02:[0-9]+\x02", "\x02")
-    shape = F.regexp_replace(position, r"\x02\[[^\x01\x02]*", "")
-    return links.groupBy("page_id", shape.alias("shape")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("n")).filter(
+    return links.groupBy("page_id", "shape").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n")).filter(
         "n > 1"
     ).select("page_id", F.col("node_id").alias("target_id"), "node_id")
 
 
 def _levels(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Ancestor levels of each target that could be a card, with the selector of their group."""
-    lines = targets.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"]).select(
-        *KEY, F.explode(F.array_append("anc", F.col("node_id"))).alias("node_id")
-    )
-    readable = nodes.filter((F.col("text") != "") & ~F.col("tag").isin("html", "body"))
-    el = (
-        lines.join(readable.select("page_id", "node_id"), ["page_id", "node_id"])
-        .groupBy(*KEY)
-        .agg(F.max("node_id").alias("el_id"))
-    )
-    el = el.join(_renamed(nodes, "el_", "node_id", "anc", "sig", "parent_id").withColumnRenamed("el_node_id", "el_id"), ["page_id", "el_id"])
-    el = el.join(
-        _renamed(nodes, "el_parent_", "node_id", "sig").withColumnRenamed("el_parent_node_id", "el_parent_id"),
-        ["page_id", "el_parent_id"],
-    )
-    upwards = F.reverse(F.array_append("el_anc", F.col("el_id")))
-    climbed = el.select("*", F.posexplode(upwards).alias("lvl", "node_id")).drop("el_anc")
-    levels = climbed.join(
-        nodes.filter(~F.col("tag").isin("html", "body")).select("page_id", "node_id", "parent_id"), ["page_id", "node_id"]
-    )
-    shared = shared_signatures(nodes, levels)
-    parent = _renamed(nodes, "parent_", "node_id", "sig", "parent_id").withColumnRenamed("parent_node_id", "parent_id")
-    kind = F.when(F.col("lvl") == 0, "none").when(F.col("lvl") == 1, "scope").otherwise("chain")
-    return levels.join(shared, ["page_id", "node_id"]).join(parent, ["page_id", "parent_id"]).select(
-        *KEY, "lvl", "el_id", "el_sig", "el_parent_sig",
-        F.col("node_id").alias("card_id"),
-        F.col("parent_parent_id").alias("grand_id"),
+    around = ranges(
+        nodes, "parent_id", "grand_id", "depth", "tag", "sig", "parent_sig", "names", "parent_tag", "parent_names", (F.col("text") != "").alias("reads")
+    ).filter(~F.col("tag").isin("html", "body"))
+    lines = inside(around, targets.select(*KEY, "node_id"), "node_id", "out_id", "out_end", own=True)
+    # the innermost element around the target that has text
+    el = lines.filter("reads").groupBy(*KEY).agg(F.max(F.struct(
+        F.col("out_id").alias("el_id"), F.col("out_end").alias("el_end"), F.col("depth").alias("el_depth"), F.col("sig").alias("el_sig"), F.col("parent_sig").alias("el_parent_sig"),
+        F.col("tag").alias("el_tag"), F.col("names").alias("el_names"), F.col("parent_tag").alias("el_parent_tag"), F.col("parent_names").alias("el_parent_names"),
+    )).alias("el")).select(*KEY, "el.*").filter("el_parent_tag is not null")
+    lvl = F.col("el_depth") - F.col("depth")
+    levels = lines.drop("node_id", "reads").filter("parent_id is not null").join(el, KEY).filter("out_id <= el_id")
+    levels = levels.withColumnsRenamed({"out_id": "card_id", "out_end": "card_end"})
+    shared = shared_signatures(nodes, levels.withColumnRenamed("card_id", "node_id")).withColumnRenamed("node_id", "card_id")
+    kind = F.when(lvl == 0, "none").when(lvl == 1, "scope").otherwise("chain")
+    return levels.join(shared, ["page_id", "card_id"]).select(
+        *KEY, lvl.alias("lvl"), "el_id", "el_end", "el_sig", "el_parent_sig", "el_tag", "el_names", "el_parent_tag", "el_parent_names",
+        "card_id", "card_end", "grand_id",
         F.col("shared_sig").alias("loose"),
+        F.array(step(False, F.col("tag"), F.col("shared_names"))).alias("loose_steps"),
         F.concat("parent_sig", F.lit(" > "), "shared_sig").alias("selector"),
+        F.array(step(False, F.col("parent_tag"), F.col("parent_names")), step(True, F.col("tag"), F.col("shared_names"))).alias("steps"),
         kind.alias("rs_kind"),
     )
 
@@ -232,13 +259,13 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     """(cards, members): the repeated card around each target, and all cards of its group.
 
     ``cards`` has page_id, target_id, el_id, card_id, count, candidates. ``members`` has page_id,
-    target_id, member_id and idx, the position in the group. Targets without a card are absent.
+    target_id, member_id, member_end and idx, the position in the group. Targets without a card are absent.
     """
     levels = materialize(_levels(nodes, targets))
     at = [*KEY, "lvl"]
-    specs = levels.select(*at, "card_id", "rs_kind", "selector")
+    specs = levels.select(*at, "card_id", "rs_kind", "selector", "steps")
     found = match_on_pages(nodes, specs).filter("visible").select(
-        *at, "card_id", "rs_kind", F.col("node_id").alias("member_id"), "subtree_end", "has_link"
+        *at, "card_id", "rs_kind", F.col("node_id").alias("member_id"), F.col("subtree_end").alias("member_end"), "has_link", F.col("n_leaves").alias("leaves")
     )
     groups = (
         found.groupBy(*at)
@@ -247,23 +274,23 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
         .select(*at, "n")
     )
     follows = F.lead("member_id").over(Window.partitionBy(*at).orderBy("member_id"))
-    members = found.join(groups, at).withColumn("nests", F.coalesce(follows <= F.col("subtree_end"), F.lit(False)))
+    members = found.join(groups, at).withColumn("nests", F.coalesce(follows <= F.col("member_end"), F.lit(False)))
     members = materialize(members)
 
-    # how often the target's own selector hits in each member, and how many text leaves it has
-    chain = F.concat("el_parent_sig", F.lit(" > "), "el_sig")
+    # how often the target's own selector hits in each member
     own = levels.filter("rs_kind <> 'none'").select(
-        *KEY, "rs_kind", F.when(F.col("rs_kind") == "scope", F.col("el_sig")).otherwise(chain).alias("selector")
+        *KEY, "rs_kind",
+        F.when(F.col("rs_kind") == "scope", F.col("el_sig")).otherwise(F.concat("el_parent_sig", F.lit(" > "), "el_sig")).alias("selector"),
+        F.when(F.col("rs_kind") == "scope", F.array(step(False, F.col("el_tag"), F.col("el_names")))).otherwise(
+            F.array(step(False, F.col("el_parent_tag"), F.col("el_parent_names")), step(True, F.col("el_tag"), F.col("el_names")))).alias("steps"),
     ).distinct()
-    inside = F.when(F.col("rs_kind") == "scope", F.array("parent_id")).otherwise(F.col("anc"))
-    hits = match_on_pages(nodes, own).select(*KEY, "rs_kind", F.explode(inside).alias("member_id"))
-    hits = members.join(hits, [*KEY, "rs_kind", "member_id"]).select(*at, "member_id", F.lit(1).alias("k"), F.lit(0).alias("leaves"))
-    leaves = text_leaves(nodes).withColumnRenamed("in_id", "member_id").drop("node_id")
-    leaves = members.join(leaves, ["page_id", "member_id"]).select(*at, "member_id", F.lit(0).alias("k"), F.lit(1).alias("leaves"))
-    base = members.select(*at, "member_id", F.when(F.col("rs_kind") == "none", 1).otherwise(0).alias("k"), F.lit(0).alias("leaves"))
-    counts = (
-        base.unionByName(hits).unionByName(leaves).groupBy(*at, "member_id").agg(F.sum("k").alias("k"), F.sum("leaves").alias("leaves"))
-    )
+    hits = match_on_pages(nodes, own).select(*KEY, "rs_kind", "node_id", "parent_id")
+    keys = members.select(*at, "rs_kind", "member_id", "member_end")
+    chained = inside(keys.filter("rs_kind = 'chain'").drop("rs_kind"), hits.filter("rs_kind = 'chain'").drop("rs_kind", "parent_id"), "node_id", "member_id", "member_end", on=KEY)
+    children = keys.filter("rs_kind = 'scope'").join(hits.filter("rs_kind = 'scope'").select(*KEY, F.col("parent_id").alias("member_id")), [*KEY, "member_id"])
+    base = members.select(*at, "member_id", F.when(F.col("rs_kind") == "none", 1).otherwise(0).alias("k"))
+    one = [*at, "member_id", F.lit(1).alias("k")]
+    counts = base.unionByName(chained.select(*one)).unionByName(children.select(*one)).groupBy(*at, "member_id").agg(F.sum("k").alias("k"))
     told = members.join(counts, [*at, "member_id"])
     picked = told.filter("member_id = card_id").select(
         *at, F.col("k").alias("k0"), F.col("leaves").alias("leaves0"), F.col("has_link").alias("link0")
@@ -287,12 +314,13 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     chosen = materialize(best.join(levels, at))
     order = Window.partitionBy(*KEY).orderBy("member_id")
     group = materialize(
-        members.join(chosen.select(*at), at).select(*KEY, "member_id", "card_id", F.row_number().over(order).alias("idx"))
+        members.join(chosen.select(*at), at).select(*KEY, "member_id", "member_end", F.row_number().over(order).alias("idx"))
     )
 
     sizes = group.groupBy(*KEY).agg(F.count("*").cast("int").alias("count"))
-    loose = match_on_pages(nodes, chosen.select(*KEY, F.col("loose").alias("selector"))).groupBy(*KEY).agg(F.count("*").alias("loose_n"))
-    grand = _renamed(nodes, "grand_", "node_id", "sig").withColumnRenamed("grand_node_id", "grand_id")
+    loose = match_on_pages(nodes, chosen.select(*KEY, F.col("loose").alias("selector"), F.col("loose_steps").alias("steps")))
+    loose = loose.groupBy(*KEY).agg(F.count("*").alias("loose_n"))
+    grand = nodes.select("page_id", F.col("node_id").alias("grand_id"), F.col("sig").alias("grand_sig"))
     candidates = F.array_compact(
         F.array(
             F.col("selector"),
@@ -304,9 +332,9 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
         chosen.join(sizes, KEY)
         .join(loose, KEY, "left")
         .join(grand, ["page_id", "grand_id"], "left")
-        .select(*KEY, "el_id", "card_id", "count", candidates.alias("candidates"))
+        .select(*KEY, "el_id", "el_end", "card_id", "card_end", "count", candidates.alias("candidates"))
     )
-    return materialize(cards), group.select(*KEY, "member_id", "idx")
+    return materialize(cards), group
 
 
 def first_cards(members: DataFrame, sample: int | None) -> DataFrame:
@@ -322,20 +350,26 @@ def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame, sam
     selector must also hit, with text if needed, in 60 % of the cards; the exact path need not.
     Each must select exactly the wanted element in the picked card.
     """
-    el = _renamed(nodes, "el_", "node_id", "sig", "parent_id").withColumnRenamed("el_node_id", "el_id")
-    parent = _renamed(nodes, "parent_", "node_id", "sig").withColumnRenamed("parent_node_id", "el_parent_id")
+    el = nodes.select(
+        "page_id", F.col("node_id").alias("el_id"), "parent_id", "tag", "sig", "names", "parent_tag", "parent_sig", "parent_names"
+    ).filter("parent_id is not null")
     paths = path_selectors(nodes, wanted.withColumnRenamed("el_id", "leaf_id")).withColumnRenamed("leaf_id", "el_id")
+    child = F.col("parent_id") == F.col("card_id")
+    option = lambda selector, steps, scoped: F.struct(selector.alias("selector"), steps.alias("steps"), scoped.alias("scoped"))
     options = F.array(
-        F.col("el_sig"),
-        relative_selector(F.col("el_parent_id"), F.col("card_id"), F.col("el_sig"), F.col("parent_sig")),
-        F.col("path_key"),
+        option(F.col("sig"), F.array(step(False, F.col("tag"), F.col("names"))), F.lit(False)),
+        option(
+            relative_selector(F.col("parent_id"), F.col("card_id"), F.col("sig"), F.col("parent_sig")),
+            relative_steps(child, F.col("tag"), F.col("names"), F.col("parent_tag"), F.col("parent_names")), child,
+        ),
+        option(F.col("path_key"), F.col("path_steps"), F.lit(True)),
     )
     of = [*KEY, "field"]
     specs = materialize(
         wanted.join(el, ["page_id", "el_id"])
-        .join(parent, ["page_id", "el_parent_id"])
         .join(paths, ["page_id", "card_id", "el_id"])
-        .select(*of, "card_id", "el_id", "need_text", F.posexplode(options).alias("rank", "selector"))
+        .select(*of, "card_id", "el_id", "need_text", F.posexplode(options).alias("rank", "option"))
+        .select(*of, "card_id", "el_id", "need_text", "rank", "option.*")
     )
     cards = first_cards(members, sample).select(*KEY, "member_id", F.lit(True).alias("sampled"))
     sizes = cards.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
@@ -343,18 +377,14 @@ def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame, sam
         wanted.select(*KEY, F.col("card_id").alias("member_id"), F.lit(False).alias("sampled")).distinct()
     )
     looked = looked.groupBy(*KEY, "member_id").agg(F.max("sampled").alias("sampled"))
-    cut = nodes.select("page_id", F.col("node_id").alias("member_id"), F.length("path").alias("cut"))
-    looked = looked.join(cut, ["page_id", "member_id"])
-    hits = match_on_pages(nodes, specs).select(
-        *of, "card_id", "el_id", "need_text", "rank", "selector", "node_id", "scope_pattern",
-        F.when(F.col("scope_pattern").isNotNull(), F.col("path")).alias("path"),
-        (F.col("text") != "").alias("has_text"),
-        F.explode("anc").alias("member_id"),
-    )
-    in_scope = F.col("scope_pattern").isNull() | F.rlike(F.expr("substring(path, cut + 1)"), F.col("scope_pattern"))
+    bounds = nodes.select("page_id", F.col("node_id").alias("member_id"), F.col("subtree_end").alias("member_end"), F.col("depth").alias("member_depth"))
+    looked = looked.join(bounds, ["page_id", "member_id"])
+    hits = match_on_pages(nodes, specs, deep=True).select(
+        *of, "card_id", "el_id", "need_text", "rank", "selector", "node_id", "scoped", "scope_near", "tops", (F.col("text") != "").alias("has_text")
+    )
     first = (
-        hits.join(looked, [*KEY, "member_id"])
-        .filter(in_scope)
+        inside(looked, hits, "node_id", "member_id", "member_end", on=KEY)
+        .filter(in_scope(F.col("member_id"), F.col("member_depth")))
         .groupBy(*of, "rank", "selector", "card_id", "el_id", "need_text", "member_id", "sampled")
         .agg(F.min(F.struct("node_id", "has_text")).alias("hit"))
     )
@@ -405,8 +435,7 @@ def infer_title_link(nodes: DataFrame, cards: DataFrame) -> DataFrame:
     one around the title ('inner', 'self' or, around the whole card, 'closest'), else the card's first
     real link.
     """
-    leaves = text_leaves(nodes, "prominence").withColumnRenamed("in_id", "el_id")
-    within = cards.select(*KEY, "el_id").join(leaves, ["page_id", "el_id"])
+    within = text_leaves(nodes, cards.select(*KEY, "el_id", "el_end"), "el_id", "el_end", "prominence")
     texts = within.groupBy(*KEY).agg(
         F.count("*").alias("n_leaves"), F.min(F.struct(-F.col("prominence"), "node_id")).node_id.alias("big_id")
     )
@@ -414,23 +443,21 @@ def infer_title_link(nodes: DataFrame, cards: DataFrame) -> DataFrame:
     n = F.coalesce("n_leaves", F.lit(0))
     inner = (F.col("el_id") == F.col("card_id")) | (n > 1) | (~F.col("own") & (n == 1))
     titles = cards.join(texts, KEY, "left").join(own, ["page_id", "el_id"]).select(
-        *KEY, "card_id", F.when(inner, F.coalesce("big_id", "el_id")).otherwise(F.col("el_id")).alias("title_id")
+        *KEY, "card_id", "card_end", F.when(inner, F.coalesce("big_id", "el_id")).otherwise(F.col("el_id")).alias("title_id")
     )
     around = nodes.select("page_id", F.col("node_id").alias("title_id"), F.col("link_id").alias("around_id"))
-    ends = nodes.select("page_id", F.col("node_id").alias("card_id"), F.col("subtree_end").alias("card_end"))
     real = nodes.filter(F.col("link_id") == F.col("node_id")).filter(
         ~F.rlike(F.try_element_at("attrs", F.lit("href")), F.lit("(?i)^(#|javascript:)"))
     )
-    first = cards.select(*KEY, "card_id").join(
-        _lines(real, own=False).withColumnRenamed("in_id", "card_id"), ["page_id", "card_id"]
-    ).groupBy(*KEY).agg(F.min("node_id").alias("first_id"))
+    first = inside(cards.select(*KEY, "card_id", "card_end"), real.select("page_id", "node_id"), "node_id", "card_id", "card_end")
+    first = first.groupBy(*KEY).agg(F.min("node_id").alias("first_id"))
     kind = (
         F.when(F.col("around_id") == F.col("card_id"), "self")
         .when(F.col("around_id").between(F.col("card_id"), F.col("card_end")), "inner")
         .when(F.col("around_id").isNotNull(), "closest")
         .when(F.col("first_id").isNotNull(), "inner")
     )
-    joined = titles.join(around, ["page_id", "title_id"]).join(ends, ["page_id", "card_id"]).join(first, KEY, "left")
+    joined = titles.join(around, ["page_id", "title_id"]).join(first, KEY, "left")
     return joined.select(*KEY, "card_id", "title_id", F.coalesce("around_id", "first_id").alias("link_id"), kind.alias("link_kind"))
 
 
@@ -440,12 +467,11 @@ def infer_text_fields(nodes: DataFrame, members: DataFrame, titles: DataFrame, s
     Texts at the same path are compared over the cards. A position counts when the picked card and half
     of the cards have it. Each position is used once; the later one wins a tie.
     """
-    looked = first_cards(members, sample).select(*KEY, F.col("member_id").alias("card_id"), "idx")
+    looked = first_cards(members, sample).select(*KEY, F.col("member_id").alias("card_id"), F.col("member_end").alias("card_end"), "idx")
     sizes = looked.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
-    leaves = looked.join(text_leaves(nodes).withColumnRenamed("in_id", "card_id"), ["page_id", "card_id"])
-    leaves = materialize(promoted_leaves(nodes, leaves))
+    leaves = materialize(promoted_leaves(nodes, text_leaves(nodes, looked, "card_id", "card_end").drop("card_end")))
     title_pairs = titles.select("page_id", "card_id", F.col("title_id").alias("leaf_id"))
-    keys = materialize(path_selectors(nodes, leaves.select("page_id", "card_id", "leaf_id").unionByName(title_pairs)))
+    keys = materialize(path_selectors(nodes, leaves.select("page_id", "card_id", "leaf_id").unionByName(title_pairs)).drop("path_steps"))
     title_keys = titles.join(
         keys.withColumnsRenamed({"leaf_id": "title_id", "path_key": "title_key"}), ["page_id", "card_id", "title_id"]
     ).select(*KEY, F.col("card_id").alias("picked_id"), "title_id", "title_key")
@@ -502,15 +528,18 @@ def infer_text_fields(nodes: DataFrame, members: DataFrame, titles: DataFrame, s
 
 
 def _card_nodes(nodes: DataFrame, cards: DataFrame) -> DataFrame:
-    """The elements of each picked card, with their relative selector (null for the card)."""
-    inside = _lines(nodes, "attrs", "sig", "parent_id").withColumnRenamed("in_id", "card_id")
-    near = cards.select(*KEY, "card_id").join(inside, ["page_id", "card_id"])
-    parent = _renamed(nodes, "parent_", "node_id", "sig").withColumnRenamed("parent_node_id", "parent_id")
-    sel = F.when(
-        F.col("node_id") != F.col("card_id"),
-        relative_selector(F.col("parent_id"), F.col("card_id"), F.col("sig"), F.col("parent_sig")),
+    """The elements of each picked card, with their relative selector and its steps (null for the card)."""
+    near = inside(
+        cards.select(*KEY, "card_id", "card_end"),
+        nodes.select("page_id", "node_id", "attrs", "parent_id", "tag", "sig", "names", "parent_tag", "parent_sig", "parent_names"),
+        "node_id", "card_id", "card_end", own=True,
     )
-    return near.join(parent, ["page_id", "parent_id"], "left").withColumn("selector", sel)
+    below, child = F.col("node_id") != F.col("card_id"), F.col("parent_id") == F.col("card_id")
+    return near.withColumns({
+        "selector": F.when(below, relative_selector(F.col("parent_id"), F.col("card_id"), F.col("sig"), F.col("parent_sig"))),
+        "steps": F.when(below, relative_steps(child, F.col("tag"), F.col("names"), F.col("parent_tag"), F.col("parent_names"))),
+        "scoped": child,
+    })
 
 
 def infer_id_attribute(nodes: DataFrame, cards: DataFrame, members: DataFrame, sample: int | None = None) -> DataFrame:
@@ -520,27 +549,30 @@ def infer_id_attribute(nodes: DataFrame, cards: DataFrame, members: DataFrame, s
     place on the card itself count for an attribute; the first best wins.
     """
     listed = _card_nodes(nodes, cards).select(
-        *KEY, "card_id", "node_id", "selector", F.posexplode(F.map_entries("attrs")).alias("pos", "a")
+        *KEY, "card_id", "node_id", "selector", "steps", "scoped", F.posexplode(F.map_entries("attrs")).alias("pos", "a")
     )
     usable = (
         ~F.rlike(F.col("a.key"), F.lit(fixed.ID_ATTR_SKIP))
         & F.rlike(F.col("a.value"), F.lit(fixed.ID_ATTR_VALUE))
         & F.rlike(F.col("a.value"), F.lit(r"\d"))
     )
-    options = materialize(listed.filter(usable).select(*KEY, "card_id", "node_id", "selector", "pos", F.col("a.key").alias("attr")))
-    looked = first_cards(members, sample).select(*KEY, "member_id")
+    options = materialize(
+        listed.filter(usable).select(*KEY, "card_id", "node_id", "selector", "steps", "scoped", "pos", F.col("a.key").alias("attr"))
+    )
+    looked = first_cards(members, sample).select(*KEY, "member_id", "member_end")
     sizes = looked.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
-    specs = options.filter(F.col("selector").isNotNull()).select(*KEY, "selector").distinct()
-    inside = F.when(F.col("scope_pattern").isNotNull(), F.array("parent_id")).otherwise(F.col("anc"))
-    hits = match_on_pages(nodes, specs).select(*KEY, "selector", "node_id", "attrs", F.explode(inside).alias("member_id"))
+    specs = options.filter(F.col("selector").isNotNull()).select(*KEY, "selector", "steps", "scoped").distinct()
+    hits = match_on_pages(nodes, specs).select(*KEY, "selector", "scoped", "node_id", "parent_id", "attrs")
+    options = options.drop("steps", "scoped")
     inner = (
-        hits.join(looked, [*KEY, "member_id"])
+        inside(looked, hits, "node_id", "member_id", "member_end", on=KEY)
+        .filter(~F.col("scoped") | (F.col("parent_id") == F.col("member_id")))
         .groupBy(*KEY, "selector", "member_id")
         .agg(F.min_by("attrs", "node_id").alias("attrs"))
     )
     own = nodes.select("page_id", F.col("node_id").alias("member_id"), "attrs")
     found = options.filter(F.col("selector").isNotNull()).join(inner, [*KEY, "selector"])
-    found = found.unionByName(options.filter(F.col("selector").isNull()).join(looked, KEY).join(own, ["page_id", "member_id"]))
+    found = found.unionByName(options.filter(F.col("selector").isNull()).join(looked.drop("member_end"), KEY).join(own, ["page_id", "member_id"]))
     value = F.nullif(F.try_element_at(F.col("attrs"), F.col("attr")), F.lit(""))
     score = F.when(F.rlike("attr", F.lit(fixed.ID_ATTR_NAME)), 2).otherwise(0) + F.when(F.col("selector").isNull(), 1).otherwise(0)
     judged = (
@@ -606,22 +638,19 @@ def infer_field(nodes: DataFrame, members: DataFrame, picks: DataFrame) -> DataF
     card is absent; the card itself gives an empty list.
     """
     of = [*KEY, "field"]
-    lines = picks.join(nodes.select("page_id", "node_id", "anc", "icon_id"), ["page_id", "node_id"])
-    owner = lines.select(*of, "node_id", "icon_id", F.explode(F.array_append("anc", F.col("node_id"))).alias("member_id"))
-    owner = owner.join(members.select(*KEY, "member_id"), [*KEY, "member_id"]).groupBy(*of, "node_id", "icon_id").agg(
-        F.min("member_id").alias("card_id")
-    )
+    picked = picks.select(*of, "node_id").join(nodes.select("page_id", "node_id", "icon_id"), ["page_id", "node_id"])
+    owner = inside(members.select(*KEY, "member_id", "member_end"), picked, "node_id", "member_id", "member_end", on=KEY, own=True)
+    owner = owner.groupBy(*of, "node_id", "icon_id").agg(F.min("member_id").alias("card_id"))
     icon = nodes.select("page_id", F.col("node_id").alias("icon_id"), F.col("parent_id").alias("icon_parent"))
     is_icon = F.col("icon_id") >= F.col("card_id")
     start = owner.join(icon, ["page_id", "icon_id"], "left").select(
         *of, "card_id", F.when(is_icon, F.col("icon_parent")).otherwise(F.col("node_id")).alias("start_id")
     )
-    inner = start.join(text_leaves(nodes).withColumnRenamed("in_id", "start_id"), ["page_id", "start_id"]).groupBy(*of).agg(
-        F.count("*").alias("n"), F.min("node_id").alias("only_id")
-    )
-    own = nodes.select("page_id", F.col("node_id").alias("start_id"), "own")
+    own = nodes.select("page_id", F.col("node_id").alias("start_id"), "own", F.col("subtree_end").alias("start_end"))
+    start = start.join(own, ["page_id", "start_id"])
+    inner = text_leaves(nodes, start, "start_id", "start_end").groupBy(*of).agg(F.count("*").alias("n"), F.min("node_id").alias("only_id"))
     leaf = F.when(~F.col("own") & (F.col("n") == 1), F.col("only_id")).otherwise(F.col("start_id"))
-    leaves = start.join(own, ["page_id", "start_id"]).join(inner, of, "left").select(*of, "card_id", leaf.alias("node_id"))
+    leaves = start.join(inner, of, "left").select(*of, "card_id", leaf.alias("node_id"))
     final = materialize(promoted_leaves(nodes, leaves).select(*of, "card_id", F.col("leaf_id").alias("el_id"), F.lit(True).alias("need_text")))
     selectors = field_selectors(nodes, members, final.filter("el_id <> card_id"))
     return selectors.unionByName(
