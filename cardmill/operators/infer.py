@@ -53,7 +53,7 @@ def _first_names(classes: Column, attrs: Column) -> Column:
 
 
 def prepare_nodes(pages: DataFrame) -> DataFrame:
-    """Element table with signatures, written to the work folder because every step below reads it.
+    """Element table with signatures, written to the work folder, in buckets of pages, because every step below reads it.
 
     ``atoms`` are the stable names of an element and its place among its kind, ``names`` those that its signature ``sig``
     tells; the parent's are carried along.
@@ -66,7 +66,7 @@ def prepare_nodes(pages: DataFrame) -> DataFrame:
         "pclasses": classes(F.col("parent_classes")), "pattrs": attrs(F.col("parent_attrs")),
     })
     place = F.array(F.concat(F.lit(":"), F.col("nth_of_type").cast("string")))
-    return materialize(
+    prepared = (
         nodes.select(
             "page_id", "node_id", "parent_id", "grand_id", "depth", "subtree_end", "tag", "attrs", "nth_of_type", "parent_tag",
             "n_leaves", "shape", "visible", "icon_id", "link_id", "prominence", "sclasses", "sattrs",
@@ -82,6 +82,7 @@ def prepare_nodes(pages: DataFrame) -> DataFrame:
             F.concat("parent_tag", _class_part(F.col("pclasses")), _attr_part(F.col("pattrs"))).alias("parent_sig"),
         )
     )
+    return materialize(prepared, by="page_id")
 
 
 def ranges(nodes: DataFrame, *columns: str) -> DataFrame:
@@ -195,12 +196,15 @@ def path_steps(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return mine.join(alike, [*group, "names"]).select("page_id", "node_id", step.alias("step"), "tag", atoms.alias("atoms"))
 
 
-def path_selectors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(…pair columns, path_key, path_steps): exact path from ``card_id`` down to ``leaf_id``; ':self' for the card itself."""
+def path_selectors(nodes: DataFrame, pairs: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """(…pair columns, path_key, path_steps): exact path from ``card_id`` down to ``leaf_id``; ':self' for the card itself.
+
+    ``steps`` are the ``path_steps`` of all elements in between, where they are known.
+    """
     pairs = pairs.select("page_id", "card_id", "leaf_id").distinct()
     lines = inside(ranges(nodes), pairs, "leaf_id", "out_id", "out_end", own=True).filter("out_id > card_id")
     lines = lines.select("page_id", "card_id", "leaf_id", F.col("out_id").alias("node_id"))
-    steps = path_steps(nodes, lines)
+    steps = path_steps(nodes, lines) if steps is None else steps
     parts = F.array_sort(F.collect_list(F.struct("node_id", "step", "tag", "atoms")))
     found = lines.join(steps, ["page_id", "node_id"]).groupBy("page_id", "card_id", "leaf_id").agg(parts.alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p.step), " > ")
@@ -261,7 +265,7 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     ``cards`` has page_id, target_id, el_id, card_id, count, candidates. ``members`` has page_id,
     target_id, member_id, member_end and idx, the position in the group. Targets without a card are absent.
     """
-    levels = materialize(_levels(nodes, targets))
+    levels = materialize(_levels(nodes, targets), by="page_id")
     at = [*KEY, "lvl"]
     specs = levels.select(*at, "card_id", "rs_kind", "selector", "steps")
     found = match_on_pages(nodes, specs).filter("visible").select(
@@ -275,7 +279,7 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     )
     follows = F.lead("member_id").over(Window.partitionBy(*at).orderBy("member_id"))
     members = found.join(groups, at).withColumn("nests", F.coalesce(follows <= F.col("member_end"), F.lit(False)))
-    members = materialize(members)
+    members = materialize(members, by="page_id")
 
     # how often the target's own selector hits in each member
     own = levels.filter("rs_kind <> 'none'").select(
@@ -343,7 +347,9 @@ def first_cards(members: DataFrame, sample: int | None) -> DataFrame:
 
 
 # --- fields -------------------------------------------------------------------------------------
-def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame, sample: int | None = None) -> DataFrame:
+def field_selectors(
+    nodes: DataFrame, members: DataFrame, wanted: DataFrame, sample: int | None = None, steps: DataFrame | None = None
+) -> DataFrame:
     """(page_id, target_id, field, selectors): selectors that find an element in its card and its group.
 
     ``wanted`` has page_id, target_id, field, card_id, el_id, need_text. The signature and the relative
@@ -353,7 +359,7 @@ def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame, sam
     el = nodes.select(
         "page_id", F.col("node_id").alias("el_id"), "parent_id", "tag", "sig", "names", "parent_tag", "parent_sig", "parent_names"
     ).filter("parent_id is not null")
-    paths = path_selectors(nodes, wanted.withColumnRenamed("el_id", "leaf_id")).withColumnRenamed("leaf_id", "el_id")
+    paths = path_selectors(nodes, wanted.withColumnRenamed("el_id", "leaf_id"), steps).withColumnRenamed("leaf_id", "el_id")
     child = F.col("parent_id") == F.col("card_id")
     option = lambda selector, steps, scoped: F.struct(selector.alias("selector"), steps.alias("steps"), scoped.alias("scoped"))
     options = F.array(
@@ -365,12 +371,13 @@ def field_selectors(nodes: DataFrame, members: DataFrame, wanted: DataFrame, sam
         option(F.col("path_key"), F.col("path_steps"), F.lit(True)),
     )
     of = [*KEY, "field"]
-    specs = materialize(
+    specs = (
         wanted.join(el, ["page_id", "el_id"])
         .join(paths, ["page_id", "card_id", "el_id"])
         .select(*of, "card_id", "el_id", "need_text", F.posexplode(options).alias("rank", "option"))
         .select(*of, "card_id", "el_id", "need_text", "rank", "option.*")
     )
+    specs = materialize(specs, by="page_id")
     cards = first_cards(members, sample).select(*KEY, "member_id", F.lit(True).alias("sampled"))
     sizes = cards.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
     looked = cards.unionByName(
@@ -461,7 +468,9 @@ def infer_title_link(nodes: DataFrame, cards: DataFrame) -> DataFrame:
     return joined.select(*KEY, "card_id", "title_id", F.coalesce("around_id", "first_id").alias("link_id"), kind.alias("link_kind"))
 
 
-def infer_text_fields(nodes: DataFrame, members: DataFrame, titles: DataFrame, sample: int | None = None) -> DataFrame:
+def infer_text_fields(
+    nodes: DataFrame, members: DataFrame, titles: DataFrame, sample: int | None = None, steps: DataFrame | None = None
+) -> DataFrame:
     """(page_id, target_id, field, el_id): which text position holds location, posted and department.
 
     Texts at the same path are compared over the cards. A position counts when the picked card and half
@@ -469,9 +478,10 @@ def infer_text_fields(nodes: DataFrame, members: DataFrame, titles: DataFrame, s
     """
     looked = first_cards(members, sample).select(*KEY, F.col("member_id").alias("card_id"), F.col("member_end").alias("card_end"), "idx")
     sizes = looked.groupBy(*KEY).agg(F.count("*").alias("sample_size"))
-    leaves = materialize(promoted_leaves(nodes, text_leaves(nodes, looked, "card_id", "card_end").drop("card_end")))
+    leaves = materialize(promoted_leaves(nodes, text_leaves(nodes, looked, "card_id", "card_end").drop("card_end")), by="page_id")
     title_pairs = titles.select("page_id", "card_id", F.col("title_id").alias("leaf_id"))
-    keys = materialize(path_selectors(nodes, leaves.select("page_id", "card_id", "leaf_id").unionByName(title_pairs)).drop("path_steps"))
+    keys = path_selectors(nodes, leaves.select("page_id", "card_id", "leaf_id").unionByName(title_pairs), steps)
+    keys = materialize(keys.drop("path_steps"), by="page_id")
     title_keys = titles.join(
         keys.withColumnsRenamed({"leaf_id": "title_id", "path_key": "title_key"}), ["page_id", "card_id", "title_id"]
     ).select(*KEY, F.col("card_id").alias("picked_id"), "title_id", "title_key")
@@ -606,7 +616,10 @@ def card_attributes(nodes: DataFrame, cards: DataFrame) -> DataFrame:
 def infer_fields(nodes: DataFrame, cards: DataFrame, members: DataFrame) -> DataFrame:
     """(page_id, target_id, fields): all field specs of each inferred card, keyed by field name."""
     titles = materialize(infer_title_link(nodes, cards))
-    texts = infer_text_fields(nodes, members, titles)
+    # what paths inside cards are made of, once for all that ask for paths
+    within = inside(members.select(*KEY, "member_id", "member_end"), nodes.select("page_id", "node_id"), "node_id", "member_id", "member_end")
+    steps = materialize(path_steps(nodes, within), by="page_id")
+    texts = infer_text_fields(nodes, members, titles, steps=steps)
     el = titles.select(*KEY, "card_id", F.lit("title").alias("field"), F.col("title_id").alias("el_id"), F.lit(True).alias("need_text"))
     links = titles.filter("link_kind = 'inner'").select(
         *KEY, "card_id", F.lit("apply_url").alias("field"), F.col("link_id").alias("el_id"), F.lit(False).alias("need_text")
@@ -618,7 +631,7 @@ def infer_fields(nodes: DataFrame, cards: DataFrame, members: DataFrame) -> Data
     ).cast(FIELD_SPEC).alias("spec")
     none = F.array().cast("array<string>")
     attr = F.when(F.col("field") == "apply_url", "href")
-    found = field_selectors(nodes, members, wanted.filter("el_id <> card_id")).select(*KEY, "field", spec(F.col("selectors"), attr, False))
+    found = field_selectors(nodes, members, wanted.filter("el_id <> card_id"), steps=steps).select(*KEY, "field", spec(F.col("selectors"), attr, False))
     direct = wanted.filter("el_id = card_id").select(*KEY, "field", spec(none, attr, False))
     url = F.lit("apply_url").alias("field")
     own_link = titles.filter("link_kind = 'self'").select(*KEY, url, spec(none, F.lit("href"), False))

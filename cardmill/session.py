@@ -20,6 +20,8 @@ def local_session(app: str = "cardmill", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # tables bucketed by page meet on page and element without an exchange
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -59,12 +61,20 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table to the shared work folder and read it back.
 
     Used where several branches of a plan read the result of a Python step, so that the step runs once
-    and a lost executor costs a file read instead of a parse.
+    and a lost executor costs a file read instead of a parse. With ``by`` it is written in as many buckets of that column as
+    a shuffle has partitions, so that joins of such tables on it (and, where ``spark.sql.requireAllClusterKeysForCoPartition``
+    is off, on it and more columns) need no exchange. The table's name is dropped at once, its files stay.
     """
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"cardmill_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
