@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import queue
+import threading
+import time
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -11,16 +15,54 @@ from pyspark.sql import types as T
 
 from cardmill import fixed
 from cardmill.functions.verdicts import build_prompt, parse_verdict, verdict_error
-from cardmill.operators.jobs import ai_rank
+from cardmill.operators.jobs import ai_rank, numbered
+from cardmill.session import materialize
 
 Scorer = Callable[[list[str]], Sequence[str | None]]
 _REPLY = T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def _ask(scorer: Scorer):
+Answer = tuple[str | None, str | None]  # a reply, or why there is none
+
+
+def in_flight(scorer: Scorer, prompts: list[str], at_once: int, timeout: float | None) -> list[Answer]:
+    """The answers of a scorer that is asked for one prompt at a time, ``at_once`` of them in flight. A prompt that fails, or
+    takes longer than ``timeout`` seconds, fails alone; the late reply is not waited for."""
+    done: queue.Queue[tuple[int, Answer]] = queue.Queue()
+
+    def ask(i: int) -> None:
+        try:
+            (reply,) = scorer([prompts[i]])
+            done.put((i, (reply, None)))
+        except Exception as e:
+            done.put((i, (None, str(e))))
+
+    out: list[Answer | None] = [None] * len(prompts)
+    running: dict[int, float] = {}  # prompts in flight, and until when
+    following = 0
+    while following < len(prompts) or running:
+        while following < len(prompts) and len(running) < at_once:
+            running[following] = time.monotonic() + timeout if timeout else math.inf
+            threading.Thread(target=ask, args=(following,), daemon=True).start()
+            following += 1
+        first = min(running.values())
+        try:
+            i, answer = done.get(timeout=None if first == math.inf else max(0.0, first - time.monotonic()))
+            if running.pop(i, None) is not None:
+                out[i] = answer
+        except queue.Empty:
+            for i in [i for i, until in running.items() if until <= time.monotonic()]:
+                del running[i]
+                out[i] = (None, f"no reply within {timeout:g} s")
+    return out
+
+
+def _ask(scorer: Scorer, at_once: int | None, timeout: float | None):
     """A column function that sends the non-null prompts of a batch to the scorer; if that fails, one prompt at a time."""
 
-    def answers(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    def answers(prompts: list[str]) -> list[Answer]:
+        if at_once or timeout:
+            return in_flight(scorer, prompts, at_once or 1, timeout)
         try:
             replies = list(scorer(prompts))
             if len(replies) != len(prompts):
@@ -41,10 +83,10 @@ def _ask(scorer: Scorer):
 
 
 def first_rows(jobs: DataFrame, limit: int, order: Sequence[str | Column], key: str) -> DataFrame:
-    """Flag the rows with the keys of the first ``limit`` rows in ``_chosen``; a top-k over the rows, not a global sort.
-
-    ``limit`` is the number of model calls, so the first rows' keys fit in one task."""
-    chosen = jobs.orderBy(*order, key).limit(limit).select(key).distinct().withColumn("_chosen", F.lit(True))
+    """Flag the rows with the keys of the first ``limit`` rows in ``_chosen``. Rows are numbered in ranges, so that no task
+    holds the first ones however many they are."""
+    chosen = numbered(jobs.withColumn("_key", F.col(key)), [*order, "_key"], "_place").where(F.col("_place") < limit)
+    chosen = materialize(chosen.select(F.col("_key").alias(key)).distinct()).withColumn("_chosen", F.lit(True))
     return jobs.join(chosen, key, "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(False)))
 
 
@@ -56,12 +98,16 @@ def evaluate_jobs(
     key: str = "ord",
     partitions: int | None = None,
     profile: str = fixed.CANDIDATE_PROFILE,
+    at_once: int | None = None,
+    timeout: float | None = None,
 ) -> DataFrame:
     """Add ai_fit, ai_score and ai_reason, best rows first.
 
     Only the first ``limit`` rows in ``order`` are rated, all rows are returned. A reply that is no
     verdict is asked for once more; a second failure gives fit 'Unknown' and score 0. Without a scorer
-    the rows come back as they are. ``partitions`` sets how many batches are rated at a time.
+    the rows come back as they are. ``partitions`` sets how many batches are rated at a time. By
+    default a batch of prompts is one call of the scorer; with ``at_once`` or ``timeout`` (seconds) every prompt is a call, so
+    many of them in flight in a task, and one that is too late is a failure of that prompt only.
     """
     if scorer is None:
         return jobs
@@ -70,7 +116,7 @@ def evaluate_jobs(
         flagged = flagged.repartition(partitions, key)
     names = ("title", "company", "location", "department")
     columns = [F.col(c) if c in jobs.columns else F.lit(None).cast("string") for c in names]
-    ask = _ask(scorer)
+    ask = _ask(scorer, at_once, timeout)
     tried = (
         flagged.withColumn("_prompt", F.when(F.col("_chosen"), build_prompt(*columns, profile=profile)))
         .withColumn("_one", ask("_prompt"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cardmill import fixed
 from cardmill.functions.text import clean_text
 from cardmill.functions.urls import canonical_url
+from cardmill.session import materialize
 
 ONE_LINE = ("title", "posted", "employment_type", "job_id")
 MANY_LINES = ("company", "location", "department")
@@ -138,11 +139,36 @@ def preview(jobs: DataFrame, n: int = 8, site: str = "company", order: Sequence[
     return normalize_jobs(first)
 
 
-def union_results(first: DataFrame, *more: DataFrame) -> DataFrame:
-    """All rows of several company results; columns missing on one side become null."""
-    for df in more:
-        first = first.unionByName(df, allowMissingColumns=True)
-    return first
+def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """Add each row's position (from 0) in a global order, without a single task: rows are sorted in ranges, and a range's
+    rows are counted from where the ranges before it end. Equal rows get positions of their own."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialize(ranged)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = ranged.withColumn("_part", part).join(counts, "_part").withColumn(name, F.col("_before") + place)
+    return found.drop("_at", "_part", "_before")
+
+
+def union_results(first: DataFrame, *more: DataFrame, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """All rows of several company results; columns missing on one side become null.
+
+    With ``order``, the order of rows within a result, a column ``ord`` numbers all rows: results in the order given, each
+    after the one before it.
+    """
+    if order is None:
+        for df in more:
+            first = first.unionByName(df, allowMissingColumns=True)
+        return first
+    out, offset = None, 0
+    for df in (first, *more):
+        rows = materialize(numbered(df.drop("ord") if "ord" not in order else df, order, "_ord"))
+        mine = rows.drop("ord").withColumn("ord", F.col("_ord") + F.lit(offset)).drop("_ord")
+        offset += rows.count()
+        out = mine if out is None else out.unionByName(mine, allowMissingColumns=True)
+    return out
 
 
 # --- scoring ------------------------------------------------------------------------------------

@@ -18,24 +18,62 @@ def first_seen_within(rows: DataFrame, keys: Sequence[str], event_time: str, del
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def folder(spark: SparkSession, path: str):
+    """A folder and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def has_batches(spark: SparkSession, table: str) -> bool:
     """Whether a table written batch by batch exists yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    fs, path = folder(spark, table)
+    return fs.exists(path)
+
+
+def batches_of(spark: SparkSession, table: str) -> dict[int, str]:
+    """The folders of a table's batches, by number."""
+    fs, path = folder(spark, table)
+    if not fs.exists(path):
+        return {}
+    found = (f.getPath() for f in fs.listStatus(path) if f.isDirectory())
+    return {int(p.getName().partition("=")[2]): p.toString() for p in found if p.getName().startswith("batch_id=")}
+
+
+def remove_batches(spark: SparkSession, table: str, before: int) -> None:
+    """Delete the batches of a table before a number."""
+    fs, _ = folder(spark, table)
+    for number, path in batches_of(spark, table).items():
+        if number < before:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def append_first_seen(
-    rows: DataFrame, batch_id: int, table: str, site: Sequence[str] = ("slug",), order: Sequence[str] = ("page_no", "pos")
+    rows: DataFrame, batch_id: int, table: str, site: Sequence[str] = ("slug",), order: Sequence[str] = ("page_no", "pos"),
+    remember: int | None = None,
 ) -> None:
     """Append the rows whose key is new, as one batch of the table.
 
     A batch overwrites its own folder and looks only at earlier batches, so a repeated batch gives the
     same table. Rows meet stored ones on (site, key), of which only the keys are read.
+
+    With ``remember`` the keys that a batch has seen, new or not, are kept for so many batches in a log beside the table (at
+    ``<table>-keys``), and a batch reads that log only: what it reads and keeps does not grow with the stream. A key that was
+    in none of these batches counts as new again. Without it all keys of the table count, for ever.
     """
     spark = rows.sparkSession
+    key = [*site, "job_key"]
     fresh = harvest_first_seen(rows, site, order)
+    log = f"{table}-keys"
+    if remember is not None:
+        fresh = materialize(fresh)
+        fresh.select(*key).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        paths = [path for number, path in batches_of(spark, log).items() if batch_id - remember <= number < batch_id]
+        if paths:
+            fresh = fresh.join(spark.read.parquet(*paths).select(*key).distinct(), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        remove_batches(spark, log, batch_id - remember)  # a batch may be repeated, those before it not
+        return
     if batch_id > 0 and has_batches(spark, table):
-        key = [*site, "job_key"]
         known = spark.read.parquet(table).filter(F.col("batch_id") < batch_id).select(*key)
         fresh = fresh.join(known, key, "left_anti")
     fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")

@@ -166,3 +166,68 @@ def test_one_failing_prompt_fails_alone(spark):
 def test_ai_rank(spark):
     df = spark.createDataFrame([(1, None, 9), (2, 3, 1), (3, 3, None), (4, 0, 10), (5, 3, 1)], "ord int, ai_score int, score int")
     assert [r.ord for r in jobs.ai_rank(df).collect()] == [2, 5, 3, 4, 1]
+
+
+def test_numbered_positions(spark):
+    """Positions over many ranges equal those of a sort, ties and nulls included."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice([None, *range(40)])) for k in range(700)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(5)
+    got = {r.id: r.p for r in jobs.numbered(df, [F.col("v").desc(), "id"], "p").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [got[i] for i, _ in want] == list(range(700))
+
+
+def test_union_keeps_the_order_of_results(spark):
+    first = spark.createDataFrame([(k, "a", k % 3) for k in range(50)], "k int, company string, x int").repartition(3)
+    second = spark.createDataFrame([(k, "b", "y") for k in range(20)], "k int, company string, y string").repartition(2)
+    got = jobs.union_results(first, second, first.limit(0), order=["k"]).orderBy("ord").collect()
+    assert [(r.ord, r.company, r.k) for r in got] == [(k, "a", k) for k in range(50)] + [(50 + k, "b", k) for k in range(20)]
+    assert jobs.union_results(first, second).count() == 70
+
+
+def test_limit_marks_the_first_rows(spark):
+    df = spark.range(5000).select(F.col("id").alias("ord"), (F.col("id") * 7919 % 5000).alias("v")).repartition(6)
+    flagged = ev.first_rows(df, 1234, ["v"], "ord")
+    assert flagged.count() == 5000
+    assert sorted(r.v for r in flagged.filter("_chosen").collect()) == list(range(1234))
+
+
+def test_a_slow_prompt_fails_alone():
+    import threading
+    import time
+
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def scorer(prompts):
+        (prompt,) = prompts
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(3 if prompt == "slow" else 0.05)
+        with lock:
+            now[0] -= 1
+        if prompt == "bad":
+            raise RuntimeError("no")
+        return [prompt.upper()]
+
+    start = time.monotonic()
+    got = ev.in_flight(scorer, ["a", "slow", "b", "bad", "c", "d"], 2, 0.6)
+    assert time.monotonic() - start < 2 and most[0] <= 3  # two in flight, and the one that was given up
+    assert got == [("A", None), (None, "no reply within 0.6 s"), ("B", None), (None, "no"), ("C", None), ("D", None)]
+    assert ev.in_flight(scorer, [], 2, 1.0) == [] and ev.in_flight(scorer, ["x"], 4, None) == [("X", None)]
+
+
+def test_rated_with_prompts_in_flight(spark):
+    def scorer(prompts):
+        import time
+
+        (prompt,) = prompts
+        if "Title: late" in prompt:
+            time.sleep(5)
+        return ['{"fit": "Yes", "score": 2, "reason": "r"}']
+
+    got = {r.title: (r.ai_fit, r.ai_reason) for r in rated(spark, scorer, at_once=3, timeout=0.5).collect()}
+    assert got["good"] == ("Yes", "r") and got["late"] == ("Unknown", "evaluation failed: no reply within 0.5 s")

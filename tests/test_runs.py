@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -85,3 +86,26 @@ def test_streamed_health_equals_batch_and_repeats_safely(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/history").collect()
     assert {(r.slug, str(r.run_at)): (r.health, r["count"]) for r in got} == by_hand(seen)
     assert len(got) == len(seen)
+
+
+def test_health_batches_touch_their_sites_only(spark, tmp_path):
+    """A batch writes the buckets of its sites, two versions of a bucket stay, and old sites are forgotten when asked."""
+    import datetime
+
+    day = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k)
+    make = lambda *rows: spark.createDataFrame(
+        [(s, s, day(d), n, "ok", 10) for s, d, n in rows], "slug string, name string, run_at timestamp, n_jobs int, status string, onboarded_job_count int")
+    versions = lambda: {p.parent.name: sorted(x.name for x in p.parent.iterdir()) for p in Path(f"{tmp_path}/state").glob("bucket=*/batch_id=*")}
+    update_health(make(("a", 0, 10), ("b", 0, 10)), 0, str(tmp_path))
+    assert len(versions()) == 2
+    for k in range(1, 6):
+        update_health(make(("a", k, 10 + k)), k, str(tmp_path))
+    both = sorted(versions().values())
+    assert both == [["batch_id=0"], ["batch_id=4", "batch_id=5"]]
+    update_health(make(("a", 5, 1)), 5, str(tmp_path))  # repeated with other rows: judged against batch 4
+    last = spark.read.parquet(f"{tmp_path}/history").filter("batch_id = 5").first()
+    assert (last.baseline, last.health) == (14, "degraded")
+    update_health(make(("b", 400, 3)), 6, str(tmp_path), buckets=1, expire="30 days")
+    update_health(make(("a", 401, 5)), 7, str(tmp_path), buckets=1, expire="30 days")
+    kept = spark.read.parquet(f"{tmp_path}/state").filter("batch_id = 7").collect()
+    assert {r.slug for r in kept} == {"a", "b"}

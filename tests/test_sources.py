@@ -131,3 +131,19 @@ def test_work_dir_comes_from_the_session():
     assert Path(work_dir(FakeSession("local[2]", None))).parent.parent.is_dir()
     with pytest.raises(ValueError):
         work_dir(FakeSession("spark://x", None))
+
+
+def test_remembered_keys_bound_what_a_batch_reads(spark, tmp_path):
+    """With a memory of three batches the log of keys stays as large, and a key comes back after as many without it."""
+    table = f"{tmp_path}/rows"
+    make = lambda *urls: spark.createDataFrame([("a", 1, k, u) for k, u in enumerate(urls)], "slug string, page_no int, pos int, apply_url string")
+    size = []
+    for batch_id in range(8):
+        rows = make("often", "once" if batch_id in (0, 6) else f"u{batch_id}", f"v{batch_id}")
+        for _ in range(2):  # a batch that is repeated gives the same table
+            append_first_seen(rows, batch_id, table, remember=3)
+        size.append(sum(p.stat().st_size for p in Path(f"{table}-keys").rglob("*.parquet")))
+    got = sorted((r.batch_id, r.job_key) for r in spark.read.parquet(table).collect())
+    want = [(0, "often"), (0, "once"), (6, "once")] + [(k, f"u{k}") for k in range(8) if k not in (0, 6)] + [(k, f"v{k}") for k in range(8)]
+    assert got == sorted(want)
+    assert max(size[4:]) <= 1.2 * size[3]
