@@ -115,9 +115,12 @@ class WordIds:
         return self.ids[np.repeat(self.begin[slot] - edge[:-1], size) + np.arange(edge[-1])], edge[first]
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids) of every document's pieces."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids) of every document's pieces; ``ids`` only where they are wanted, as Spark
+    can't leave out what Python has made."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    if with_ids:
+        schema = schema.append(pa.field("ids", pa.list_(pa.int32())))
 
     def cut(rows, data, offsets, words):
         ids, first = words.texts(data, offsets)
@@ -134,8 +137,10 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         length = np.minimum(capacity, size[row] - start)
         begin = first[row] + start
         crc = np.array([zlib.crc32(whole[a : a + k].astype("<u4").tobytes()) for a, k in zip(begin, length, strict=True)], np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(whole)), pa.int32()), pa.array(whole.view(np.int32)))
-        return frame(schema, pa.array(rows.column(0)).take(pa.array(row)), piece.astype(np.int32), start, length, crc, lists)
+        columns = [pa.array(rows.column(0)).take(pa.array(row)), piece.astype(np.int32), start, length, crc]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(whole)), pa.int32()), pa.array(whole.view(np.int32))))
+        return frame(schema, *columns)
 
     def run(batches):
         words = WordIds(path)
@@ -145,7 +150,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         release_memory()
 
     return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+        run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     )
 
 

@@ -22,11 +22,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
-    # the labelled table: urls that a rule decides, of which the model takes a bounded number
-    labelled = pages.select(F.col("page_id").alias("key"), F.concat(host, path).alias("url"), url_filter.fitting_rule(host, path, URL_RULES).alias("rule")).where("rule is not null")
-    blocks = F.col("rule").isin([r for r, action in URL_RULES.items() if action == "block"])
-    model = url_filter.train(labelled.select("key", "url", blocks.alias("block")))
+    model = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
@@ -61,7 +57,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1).drop("ids")
+    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False)
     return packing.pack(found, capacity=4096)
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardmill.llm.arrow_text import byte_column, chunks
@@ -96,6 +96,32 @@ def train(labelled: DataFrame, max_rows: int = 4_000) -> Model:
     return fit([r.url or "" for r in rows], np.array([float(r.block) for r in rows]))
 
 
+# fixed values: words of hosts and paths that are blocked, and of such that are allowed
+BLOCKED_WORDS = [
+    "casino", "poker", "jackpot", "betting", "slots", "roulette", "pills", "viagra", "cialis", "steroids", "porn", "xxx", "sexcam", "escort", "nude",
+    "torrent", "warez", "keygen", "cracked", "payday", "loans", "replica", "clickbait", "adserver",
+]
+ALLOWED_WORDS = [
+    "news", "docs", "library", "museum", "university", "school", "weather", "recipes", "garden", "history", "science", "travel", "music", "journal", "health",
+    "archive", "forum", "blog", "maps", "sports", "council", "theatre", "books", "photos",
+]
+# fixed values: ends of hosts and shapes of urls that both kinds have alike
+LABELLED_ENDS = ["com", "org", "de", "fr", "info"]
+LABELLED_SHAPES = ["{w}.{d}/", "{w}-online.{d}/{n}?page={k}", "www.my{w}.{d}/en/{n}", "host{n}.{d}/{w}/{k}", "the{w}site.{d}/fr/{n}?ref=x"]
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """A small labelled table (key, url, block) to train from: every word in every shape, in turn under every end, so that
+    neither the end nor the shape tells the label."""
+    rows = []
+    for block, words in ((True, BLOCKED_WORDS), (False, ALLOWED_WORDS)):
+        for i, word in enumerate(words):
+            for j, shape in enumerate(LABELLED_SHAPES):
+                url = shape.format(w=word, d=LABELLED_ENDS[(i + j) % len(LABELLED_ENDS)], n=(7 * i + 31 * j) % 97, k=(i + j) % 9)
+                rows.append((len(rows), url, block))
+    return spark.createDataFrame(rows, "key long, url string, block boolean")
+
+
 def judge(pages: DataFrame, rules: dict[str, str], model: Model, url: str = "url") -> DataFrame:
     """The pages with host, path, rule, verdict and the model's probability to block. One pass, no shuffle."""
     pages = replace_columns(pages, "host", "path", "rule", "verdict", "block_score")
