@@ -7,20 +7,22 @@ threshold: first over whole lists, then block by block, and only the items of bl
 the threshold are retrieved. A retrieved item counts as leaked if the passage holds enough of the runs of words of its
 question and of its answer.
 
-Passages have twice as many words as the longest item (and at least 128) and begin at every half of that, so an item that
-stands in a text stands whole in one passage. Words are runs of letters and digits (any byte over 127 counts as a letter),
+Items are grouped by length. Passages have twice as many words as the longest item that a group may hold (64 words, or twice
+that, or four times, and so on) and begin at every half of that, so an item that stands in a text stands whole in one passage,
+and how long the passages for an item are does not depend on the other items. Words are runs of letters and digits (any byte over 127 counts as a letter),
 with A-Z as a-z.
 
 Items are read to the driver: at most ``max_items``, else an error. Each pass over the documents carries an index of at most
 ``PASS_ITEMS`` items, and more items take more passes.
 
 Defined results: a null or empty text has no leaks. Items without words never leak. Repeated items each leak. A null item
-id stays null. An input column ``leaks`` is replaced; all others pass through.
+id stays null; item ids are whole numbers. Of passages with equal scores the one with the larger overlaps is told. An input column ``leaks`` is replaced; all others pass through.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ GAP[48:58] = GAP[65:91] = GAP[97:123] = GAP[128:] = False
 BLOCK = 16  # items
 SHARD_ITEMS = 1024  # items of one matrix of block maxima
 PASS_ITEMS = 8192  # items carried in one pass over the documents
-HALF = 64  # words from one passage to the next, at least
+HALF = 64  # words from one passage to the next, in the group of the shortest items
 RUN = 3  # words of the runs that verify an item
 CELLS = 1 << 22  # of the matrix of passages' block bounds held at once
 LEAKS = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
@@ -76,10 +78,10 @@ def make_item(item_id: int | None, question: str | None, answer: str | None) ->
 
 
 class Index:
-    """Weights of the terms of up to ``SHARD_ITEMS`` items, in blocks."""
+    """Weights of the terms of up to ``SHARD_ITEMS`` items of a group, in blocks; passages begin every ``half`` words."""
 
-    def __init__(self, items: list[Item], weights: list[tuple[np.ndarray, np.ndarray]]):
-        self.items = items
+    def __init__(self, items: list[Item], weights: list[tuple[np.ndarray, np.ndarray]], half: int):
+        self.items, self.half = items, half
         self.blocks = -(-len(items) // BLOCK)
         terms = np.concatenate([t for t, _ in weights])
         values = np.concatenate([w for _, w in weights])
@@ -132,7 +134,7 @@ class Index:
 
 
 def build(items: list[Item], k1: float = 1.2, b: float = 0.75) -> list[Index]:
-    """Indexes of all items; document frequencies and lengths are those of all items."""
+    """Indexes of all items by groups of length; document frequencies and lengths are those of all items."""
     items = [i for i in items if len(i.words)]
     if not items:
         return []
@@ -144,7 +146,20 @@ def build(items: list[Item], k1: float = 1.2, b: float = 0.75) -> list[Index]:
     for item, (t, tf) in zip(items, counted, strict=True):
         w = idf[np.searchsorted(terms, t)] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(item.words) / mean))
         weights.append((t, w / w.sum()))
-    return [Index(items[a : a + SHARD_ITEMS], weights[a : a + SHARD_ITEMS]) for a in range(0, len(items), SHARD_ITEMS)]
+    halves = np.array([half_of(len(i.words)) for i in items])
+    out = []
+    for half in np.unique(halves):
+        mine = np.flatnonzero(halves == half)
+        out += [Index([items[i] for i in some], [weights[i] for i in some], int(half)) for some in np.split(mine, range(SHARD_ITEMS, len(mine), SHARD_ITEMS))]
+    return out
+
+
+def half_of(n: int) -> int:
+    """Half the words of the passages for an item of ``n`` words: no fewer than it has."""
+    half = HALF
+    while half < n:
+        half *= 2
+    return half
 
 
 def share(runs: np.ndarray, there: np.ndarray) -> float:
@@ -160,42 +175,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     docs = replace_columns(bounded_batches(docs), "leaks")
     rows = checked_rows(benchmark.select(item, question, *([answer] if answer else [])), max_items, "benchmark items")
     items = [make_item(None if r[0] is None else int(r[0]), r[1], (r[2] or "") if answer else None) for r in rows]
-    half = max([HALF, *(len(i.words) for i in items)])
     indexes = build(items)
     per_pass = PASS_ITEMS // SHARD_ITEMS
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
     for number, part in enumerate([indexes[a : a + per_pass] for a in range(0, len(indexes), per_pass)] or [[]]):
-        docs = docs.mapInArrow(per_chunk(scan(docs.sparkSession.sparkContext.broadcast(part), names, kind, half, threshold, (overlap, answer_overlap), number > 0), text), f"{schema}, leaks {LEAKS}")
+        docs = docs.mapInArrow(per_chunk(scan(docs.sparkSession.sparkContext.broadcast(part), names, kind, threshold, (overlap, answer_overlap), number > 0), text), f"{schema}, leaks {LEAKS}")
     return docs
 
 
-def scan(shared, names: list[str], kind: pa.DataType, half: int, threshold: float, overlaps: tuple[float, float], more: bool):
+def scan(shared, names: list[str], kind: pa.DataType, threshold: float, overlaps: tuple[float, float], more: bool):
     def function(rows, data, offsets):
         leaks = rows.column(len(names)).to_pylist() if more else [[] for _ in range(rows.num_rows)]
         words, first = words_of(data, offsets)
         if len(words):
             row = np.searchsorted(first, np.arange(len(words)), "right") - 1
-            blocks = -(-np.diff(first) // half)
-            base = np.cumsum(blocks) - blocks  # the number of a text's first passage
-            second = base[row] + (np.arange(len(words)) - first[row]) // half
-            # a word is in the passage that begins with its half, and in the one before unless it is in the first half
-            both = (np.arange(len(words)) - first[row]) >= half
-            all_words, passages = np.concatenate((words, words[both])), np.concatenate((second, second[both] - 1))
-            owner = np.repeat(np.arange(rows.num_rows), blocks)
-            for index in shared.value:
-                best: dict[tuple[int, int], tuple] = {}
-                for p, i, score in zip(*index.retrieve(all_words, passages, threshold), strict=True):
-                    r = int(owner[p])
-                    begin = int(first[r] + (p - base[r]) * half)
-                    entry = index.items[i]
-                    there = run_hashes(words[begin : min(begin + 2 * half, int(first[r + 1]))], min(RUN, len(entry.words)))
-                    q, a = share(entry.question, there), share(entry.answer, there)
-                    if q >= overlaps[0] and a >= overlaps[1]:
-                        best[r, int(i)] = max(best.get((r, int(i)), (0.0, 0.0, 0.0)), (float(score), q, a))
-                for (r, i), (score, q, a) in sorted(best.items()):
-                    leaks[r].append({"item_id": index.items[i].item_id, "score": score, "question_overlap": q, "answer_overlap": a})
+            place = np.arange(len(words)) - first[row]
+            for half, group in groupby(shared.value, key=lambda index: index.half):
+                blocks = -(-np.diff(first) // half)
+                base = np.cumsum(blocks) - blocks  # the number of a text's first passage
+                second = base[row] + place // half
+                # a word is in the passage that begins with its half, and in the one before unless it is in the first half
+                both = place >= half
+                all_words, passages = np.concatenate((words, words[both])), np.concatenate((second, second[both] - 1))
+                owner = np.repeat(np.arange(rows.num_rows), blocks)
+                for index in group:
+                    best: dict[tuple[int, int], tuple] = {}
+                    for p, i, score in zip(*index.retrieve(all_words, passages, threshold), strict=True):
+                        r = int(owner[p])
+                        begin = int(first[r] + (p - base[r]) * half)
+                        entry = index.items[i]
+                        there = run_hashes(words[begin : min(begin + 2 * half, int(first[r + 1]))], min(RUN, len(entry.words)))
+                        q, a = share(entry.question, there), share(entry.answer, there)
+                        if q >= overlaps[0] and a >= overlaps[1]:
+                            best[r, int(i)] = max(best.get((r, int(i)), (0.0, 0.0, 0.0)), (float(score), q, a))
+                    for (r, i), (score, q, a) in sorted(best.items()):
+                        leaks[r].append({"item_id": index.items[i].item_id, "score": score, "question_overlap": q, "answer_overlap": a})
         yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), pa.array(leaks, kind)], names=[*names, "leaks"])
 
     return function

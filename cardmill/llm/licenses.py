@@ -7,10 +7,10 @@ lines as it is wrapped to, the longest first. Any other line is unknown. The seq
 run of unknown lines, is matched against the rules from left to right; where several rules match, the first in order wins. Only
 DataFrame functions; no shuffle.
 
-The SQL knows the short sentences on one line only, and gives the same wherever texts hold no other licence sentence.
+The SQL knows the same sentences on one line only, and gives the same wherever texts do not wrap licence sentences.
 
 Defined results: a null or empty text, or one without known sentences, has no licences. A known sentence that no rule takes
-counts in ``n_sentences`` only. Rows are scanned one by one. Input columns of the same names as the result's are replaced.
+counts in ``n_sentences`` only. Texts are scanned whole, however long. Rows are scanned one by one. Input columns of the same names as the result's are replaced.
 """
 
 from __future__ import annotations
@@ -80,11 +80,43 @@ WHOLE_SENTENCES = {
     f"{APACHE} {EXCEPT}": "A1A2", "you may obtain a copy of the license at http www apache org licenses license 2 0": "A3",
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "A3",
 }
+LIBRARY = "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version"
+AFFERO = "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"
+MOZILLA = "this source code form is subject to the terms of the mozilla public license v"
+OBTAIN = "if a copy of the mpl was not distributed with this file you can obtain one at"
+ISC = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+WAIVED = "has waived all copyright and related or neighboring rights to this work"
+# fixed values: one identifier for each licence that a line can name, and the ends of such lines by licence
+NAMED = {
+    "M0": ["mit"], "A0": ["apache 2 0"], "I0": ["isc"], "U0": ["unlicense"], "Z0": ["mpl 2 0"], "B5": ["bsd 2 clause"], "B6": ["bsd 3 clause"],
+    "G5": ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"], "G0": ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"],
+    "L1": ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"], "L3": ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"],
+    "V0": ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"], "O0": ["cc0 1 0"], "D0": ["cc by 4 0"], "C0": ["cc by nc 4 0"], "S0": ["cc by sa 4 0"], "N0": ["cc by nc sa 4 0"],
+}
+MORE_SENTENCES = {
+    **{f"spdx license identifier {name}": i for i, names in NAMED.items() for name in names},
+    **{f"{how} the {name} license": i for how in ("licensed under", "distributed under", "released under", "this software is licensed under", "this project is released under")
+       for i in ("M0", "A0", "I0", "Z0", "B5", "B6") for name in NAMED[i]},
+    **{f"licensed under {NAMED[i][0]}": i for i in ("A0", "O0", "S0", "N0")},
+    "licensed under the apache license 2 0": "A0", "licensed under the mozilla public license 2 0": "Z0", "licensed under the gnu general public license v3 0": "G0",
+    f"{LIBRARY} 2 1 of the license {LATER}": "L1", f"{LIBRARY} 2 1 of the license": "L1", f"{LIBRARY} 3 of the license {LATER}": "L3", f"{LIBRARY} 3 of the license": "L3",
+    USEFUL.replace("this program", "this library"): "L2",
+    f"{AFFERO} {LATER}": "V0", AFFERO: "V0",
+    MOZILLA: "Z0", f"{MOZILLA} 2 0": "Z0", f"{MOZILLA}2 0": "Z0", f"{OBTAIN} http mozilla org mpl 2 0": "Z1", f"{OBTAIN} https mozilla org mpl 2 0": "Z1",
+    ISC: "I0", "this is free and unencumbered software released into the public domain": "U0",
+    **{f"to the extent possible under law {who} {WAIVED}": "O0" for who in ("the author", "the authors", "the person who associated cc0 with this work")},
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "S0",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "N0",
+}
+WHOLE_SENTENCES |= MORE_SENTENCES
 # fixed values: rules before the others; the list's numbers stand as unknown sentences between its items
 WHOLE_RULES = [
     *(("".join(x), "BSD-3-Clause") for x in product(["B0"], ["--", ""], ["B1"], ["--", ""], ["B2"], ["--", ""], ["B3"])),
     *(("".join(x), "BSD-2-Clause") for x in product(["B0"], ["--", ""], ["B1"], ["--", ""], ["B2"])),
     ("M1--M3--M2", "MIT"), ("M1M3M2", "MIT"), ("M1--M3M2", "MIT"), ("M1M3--M2", "MIT"), ("G4G3", "GPL-2.0"), ("G4", "GPL-2.0"),
+    ("G5", "GPL-2.0"), ("L1L2", "LGPL-2.1"), ("L1", "LGPL-2.1"), ("L3L2", "LGPL-3.0"), ("L3", "LGPL-3.0"), ("V0G3", "AGPL-3.0"), ("V0", "AGPL-3.0"),
+    ("Z0--Z1", "MPL-2.0"), ("Z0Z1", "MPL-2.0"), ("Z0", "MPL-2.0"), ("I0", "ISC"), ("U0", "Unlicense"), ("O0", "CC0-1.0"), ("S0", "CC-BY-SA-4.0"), ("N0", "CC-BY-NC-SA-4.0"),
+    ("B5", "BSD-2-Clause"), ("B6", "BSD-3-Clause"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDED = ("identifiers", "matches", "n_sentences", "n_matches", "licenses")
@@ -128,9 +160,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def oracle(table: str = "documents") -> str:
     """The digest of the query in DuckDB SQL."""
-    known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
-    rules = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in RULES) + "}"
-    pattern = "|".join(f"({r})" for r, _ in RULES)
+    known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (SENTENCES | WHOLE_SENTENCES).items()) + "}"
+    rules = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in dict(WHOLE_RULES + RULES).items()) + "}"
+    pattern = "|".join(f"({r})" for r, _ in WHOLE_RULES + RULES)
     return f"""
 WITH a AS (
   SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(13) || chr(10), chr(10)), chr(10)) AS sentences FROM {table}

@@ -1,7 +1,7 @@
 """Line-first cleaning: lines that fail a rule are removed, then documents that lost too much text are rejected.
 
 A line fails if it has words but no sentence end and is short, if runs of marks follow more than a quarter of its words, if
-bars or arrows part it like a menu, or if it holds a boilerplate phrase. Before that a document has to pass base rules: enough words, and not too many of them in repeated
+bars or arrows part it like a menu, or if it is not long and holds a boilerplate phrase as words of its own. Before that a document has to pass base rules: enough words, and not too many of them in repeated
 three-word windows. Everything is built from DataFrame functions over the row's own arrays: nothing is shuffled, and the
 work on a text grows as n log n.
 
@@ -20,6 +20,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of a text's words
 MIN_KEPT = 50  # per cent of a text's word characters
 SHORT_LINE = 8  # words
+PHRASE_LINE = 15  # words of the longest line that goes for a phrase
 MENU_PARTS = 3
 GAP = r"[\x20\x09-\x0D]+"
 SENTENCE_END = r"[.!?:;…\"”»)]$"
@@ -30,6 +31,7 @@ BOILERPLATE = [
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "log in", "lorem ipsum",
     "privacy policy", "read more", "share this", "sign up", "skip to content", "subscribe to", "terms of use", "use of cookies",
 ]
+PHRASE = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?:$|[^\p{L}\p{N}])"
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "kept_text", "kept_chars", "kept")
 
 
@@ -57,7 +59,7 @@ def line_fails(line: Column) -> Column:
     unfinished = (n_words < SHORT_LINE) & ~line.rlike(SENTENCE_END)
     marked = F.size(F.regexp_extract_all(line, F.lit(MARKS), F.lit(0))) * 4 > n_words
     menu = F.length(line) - F.length(F.regexp_replace(line, MENU, "")) >= MENU_PARTS
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+    boilerplate = (n_words <= PHRASE_LINE) & F.lower(line).rlike(PHRASE)
     return unfinished | marked | menu | boilerplate
 
 
@@ -86,7 +88,6 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def oracle(table: str = "documents") -> str:
     """The same columns in DuckDB SQL."""
-    phrases = "|".join(BOILERPLATE)
     end, menu, gap = SENTENCE_END.replace("\\\"", '"'), MENU, GAP
     return f"""
 WITH a AS (
@@ -108,7 +109,7 @@ WITH a AS (
       (len(regexp_split_to_array(x, '{gap}')) < {SHORT_LINE} AND NOT regexp_matches(x, '{end}'))
       OR len(regexp_extract_all(x, '{MARKS}')) * 4 > len(regexp_split_to_array(x, '{gap}'))
       OR length(x) - length(regexp_replace(x, '{menu}', '', 'g')) >= {MENU_PARTS}
-      OR regexp_matches(lower(x), '{phrases}'))) AS good
+      OR (len(regexp_split_to_array(x, '{gap}')) <= {PHRASE_LINE} AND regexp_matches(lower(x), '{PHRASE}')))) AS good
   FROM b LEFT JOIN r USING (doc_id)
 ), d AS (
   SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEATED} AS base_failed,

@@ -140,6 +140,84 @@ def test_quality(spark, no_docs):
     assert quality.clean(no_docs).collect() == []
 
 
+def test_boilerplate_is_whole_words_of_short_lines(spark):
+    rng = random.Random(6)
+    good = "\n".join(prose(rng, 12) + "." for _ in range(8))
+    long, other = prose(rng, 400), prose(rng, 300)
+    texts = [f"{long} catalog in thread more design up {other}.", f"{good}\nThe catalog in our thread more or less ends a design up here.", f"{long} log in to read more, sign up. {other}.",
+             f"{good}\nPlease log in to see all of it.", f"{good}\nREAD MORE!\nA blog in blue.", f"{good}\nClick here: it goes."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.clean(docs).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [True] * 6
+    assert [r.kept_text for r in got] == [texts[0], texts[1], texts[2], good, good + "\nA blog in blue.", good]
+
+
+def test_url_model_on_urls_of_its_own(spark):
+    """Held-out accuracy where no rule fits: words in hosts and paths that are not in the table, in every end."""
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    bad = ["best-casino-games", "pokerstars-room", "cheappillsshop", "hotporntube", "fastpaydayloan", "warezdownloads", "livesexcams", "bettingtips"]
+    good = ["dailynewsroom", "bookslibrary", "citymuseum", "kidsschoolbus", "sciencejournals", "travelblogger", "gardenforum", "weathermaps"]
+    urls = [(f"{w}.{d}{path}", w in bad) for w in bad + good for d in url_filter.LABELLED_ENDS for path in ("/", "/a/77?page=3", "/fr/5")]
+    probability = model.probability(pa.array([u for u, _ in urls]))
+    assert np.mean((probability >= 0.5) == np.array([b for _, b in urls])) >= 0.95
+    # the end alone tells nothing
+    by_end = [model.probability(pa.array([f"qqq.{d}/1"]))[0] for d in url_filter.LABELLED_ENDS]
+    assert max(by_end) - min(by_end) < 0.35
+    # what the model computes is the formula over the n-grams' buckets
+    row, bucket = url_filter.features(pa.array([urls[0][0]]))
+    assert np.isclose(probability[0], 1 / (1 + np.exp(-(model.bias + sum(model.weights[b] for b in bucket)))))
+
+
+def test_long_items_do_not_change_the_passages_of_others(spark):
+    """An item whose words are spread over a text is no leak, whatever other items there are; items of any length leak."""
+    rng = random.Random(21)
+    short, long = prose(rng, 30, 5000, stem="s"), prose(rng, 3000, 5000, stem="l")
+    spread = "\n".join(f"{prose(rng, 150, 5000)} {' '.join(short.split()[k : k + 3])}" for k in range(0, 30, 3))
+    docs = spark.createDataFrame([(1, spread), (2, f"x {short} y"), (3, f"{prose(rng, 900)} {long} z"), (4, None)], "doc_id long, text string")
+    few = spark.createDataFrame([(1, short)], "item_id long, text string")
+    both = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    leaks = lambda items: {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find_leaks(docs, items).collect()}
+    assert leaks(few) == {1: [], 2: [1], 3: [], 4: []}
+    assert leaks(both) == {1: [], 2: [1], 3: [2], 4: []}
+
+
+LICENSE_TEXTS = {
+    "Licensed under the MIT license.": "MIT",
+    "// SPDX-License-Identifier: Apache-2.0\nint main;": "Apache-2.0",
+    "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+    "/* SPDX-License-Identifier: BSD-3-Clause */": "BSD-3-Clause",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n"
+    "\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "LGPL-2.1",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "AGPL-3.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.": "CC0-1.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "Distributed under the BSD 2-Clause License.": "BSD-2-Clause",
+    "He was licensed under the MIT license of his town.": "",
+}
+
+
+def test_more_licenses(spark):
+    docs = spark.createDataFrame(list(enumerate(LICENSE_TEXTS)), "doc_id long, text string")
+    got = licenses.scan(docs).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == list(LICENSE_TEXTS.values())
+
+
+def test_the_sql_knows_the_same_sentences(spark):
+    import duckdb
+
+    sentences = list(licenses.SENTENCES | licenses.WHOLE_SENTENCES)
+    texts = [". ".join(sentences[k : k + 3]) + "." for k in range(0, len(sentences), 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan(docs).select("doc_id", "identifiers", "n_matches", "licenses").orderBy("doc_id").collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(f"SELECT doc_id, identifiers, n_matches, licenses FROM ({licenses.oracle()}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in got] == want
+
+
 def test_licenses(spark, no_docs):
     texts = [None, "", "Some text. Licensed under the Apache License, Version 2.0.\nMore", "Released under the MIT License.  Released under the MIT license.",
              "LICENSED UNDER CC BY-NC 4.0\r\n", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.\nand so on. The software is provided \"as is\", without warranty of any kind, express or implied.",
