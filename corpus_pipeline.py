@@ -58,7 +58,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their sequence and their place in it."""
-    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=CAPACITY, end_id=1).drop("ids")
+    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=CAPACITY, end_id=1, with_ids=False)
     return packing.pack(found, capacity=CAPACITY)
 
 
