@@ -164,7 +164,7 @@ def union_results(first: DataFrame, *more: DataFrame, order: Sequence[str | Colu
         return first
     out, offset = None, 0
     for df in (first, *more):
-        rows = materialize(numbered(df.drop("ord") if "ord" not in order else df, order, "_ord"))
+        rows = materialize(numbered(df, order, "_ord"))
         mine = rows.drop("ord").withColumn("ord", F.col("_ord") + F.lit(offset)).drop("_ord")
         offset += rows.count()
         out = mine if out is None else out.unionByName(mine, allowMissingColumns=True)

@@ -192,6 +192,14 @@ ORACLES = {
                    ['Pune, India', 'Remote', 'Berlin', 'Remote - India'][c_nationkey % 4 + 1] AS location,
                    CAST([10, -3, 0, -8, 6][c_custkey % 5 + 1] + [3, 2, 0, 5][c_nationkey % 4 + 1] AS INTEGER) AS score
             FROM customer) WHERE score >= 5""",
+    "ranked_positions": """
+        SELECT ord, score, row_number() OVER (ORDER BY score DESC, ord) - 1 AS place FROM (
+        SELECT * FROM (
+            SELECT c_custkey AS ord,
+                   ['Software Engineer', 'Senior Back-end Developer', 'SRE', 'Sales Head', 'Intern, SWE'][c_custkey % 5 + 1] || ' ' || c_mktsegment AS title,
+                   ['Pune, India', 'Remote', 'Berlin', 'Remote - India'][c_nationkey % 4 + 1] AS location,
+                   CAST([10, -3, 0, -8, 6][c_custkey % 5 + 1] + [3, 2, 0, 5][c_nationkey % 4 + 1] AS INTEGER) AS score
+            FROM customer) WHERE score >= 5)""",
     "ranked_documents": rf"""
         WITH jobs AS (SELECT {JOB_COLUMNS} FROM ({DOCUMENT_JOBS})),
              keyed AS (SELECT *, CASE WHEN job_id IS NOT NULL THEN lower(company) || '|id|' || job_id
@@ -254,6 +262,11 @@ ORACLES = {
                CASE WHEN n <= 4000 THEN CASE WHEN company = 'error' THEN 'evaluation failed: no JSON object in reply' ELSE company END END AS ai_reason
         FROM (SELECT event_id AS ord, event_type AS company, CAST(user_id % 10 AS INTEGER) AS score,
                      row_number() OVER (ORDER BY event_id) AS n FROM events)""",
+    "rated_positions": """
+        SELECT ord, row_number() OVER (ORDER BY coalesce(ai_score, 0) DESC, score DESC, ord) - 1 AS place FROM (
+        SELECT event_id AS ord, CAST(CASE WHEN event_type IN ('click', 'view') THEN least(CAST(json_extract_string(props, '$.k') AS INTEGER), 10)
+               WHEN event_type = 'purchase' THEN 0 END AS INTEGER) AS ai_score, CAST(user_id % 10 AS INTEGER) AS score
+        FROM events)""",
     "ai_rank": """
         SELECT event_id AS ord, CAST(CASE WHEN event_type IN ('click', 'view') THEN least(CAST(json_extract_string(props, '$.k') AS INTEGER), 10)
                WHEN event_type = 'purchase' THEN 0 END AS INTEGER) AS ai_score, CAST(user_id % 10 AS INTEGER) AS score
@@ -286,11 +299,22 @@ ORACLES = {
         SELECT p_name || chr(10) || '"' || p_type || '",' AS title, CASE WHEN p_size > 10 THEN p_brand END AS location,
                CAST(p_partkey AS VARCHAR) AS job_id
         FROM part""",
-    "write_run": rf"""
-        WITH jobs AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 < 2 THEN 'u' || doc_id
-                                          ELSE lower(lang) || '|' || lower(text) || '|' || lower(source) END AS key FROM documents)
-        SELECT 'r1' AS run_id, 'jobs_raw' AS stage, count(*) AS n FROM jobs
-        UNION ALL SELECT 'r1', 'jobs_ranked', count(DISTINCT key) FROM jobs""",
+    "write_run": r"""
+        WITH jobs AS (SELECT doc_id AS ord, lang || ' Inc' AS company, CASE WHEN doc_id % 3 = 0 THEN 'Job ID: ' || doc_id END AS job_id,
+                             CASE WHEN doc_id % 4 < 2 THEN 'https://x.example.com/' || doc_id || '/?utm_source=a&k=1#f' END AS apply_url,
+                             CASE WHEN doc_id % 3 = 0 OR doc_id % 4 < 2 THEN 'u' || doc_id
+                                  ELSE lower(lang) || '|' || lower(text) || '|' || lower(source) END AS key FROM documents)
+        SELECT 'r1' AS run_id, 'jobs_raw' AS stage, ord, company, job_id, apply_url FROM jobs
+        UNION ALL (SELECT 'r1', 'jobs_ranked', ord, company, job_id, apply_url FROM jobs
+                   QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1)""",
+    "rate_sheet": """
+        SELECT CAST(c_custkey AS VARCHAR) AS job_id, title, CAST(c_nationkey % 10 AS VARCHAR) AS score, 'Maybe' AS ai_fit,
+               CAST(length(title) % 10 AS VARCHAR) AS ai_score, title AS ai_reason
+        FROM (SELECT *, c_mktsegment || ' ' || c_custkey AS title FROM customer)""",
+    "ordered_union": """
+        SELECT company, id, title, row_number() OVER (ORDER BY k, title DESC, id) - 1 AS ord FROM (
+            SELECT 1 AS k, 'supplier' AS company, CAST(s_suppkey AS BIGINT) AS id, s_name AS title FROM supplier
+            UNION ALL SELECT 2, 'customer', c_custkey, c_mktsegment FROM customer UNION ALL SELECT 3, 'nation', n_nationkey, n_name FROM nation)""",
     "flatten_dom": """
         SELECT page_id, tag, count(*) AS n
         FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY 1, 2""",
@@ -323,6 +347,23 @@ ORACLES = {
                CAST(regexp_matches(text, '{DATE_WORDS}') AS INTEGER) AS posted,
                CAST(regexp_matches(text, '{DEPARTMENT_WORDS}') AS INTEGER) AS department
         FROM documents""",
+    "site_run_states": f"""
+        WITH shut AS (SELECT slug FROM (SELECT regexp_extract(url, '://([^/]*)', 1) AS slug, min(page_id) AS first FROM pages GROUP BY 1) WHERE first % 3 = 0),
+             run AS (
+        WITH fetched AS (SELECT page_id, html, regexp_extract(url, '://([^/]*)', 1) AS slug,
+                                row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]*)', 1) ORDER BY page_id) AS page_no FROM pages),
+             seen AS (SELECT slug, page_no FROM ({CARDS}) JOIN fetched USING (page_id)
+                      QUALIFY row_number() OVER (PARTITION BY slug, apply_url ORDER BY page_no, card_no) = 1),
+             grid AS (SELECT f.slug, f.page_no, any_value(len(regexp_extract_all(f.html, '<li><a href='))) >= 6 AS more, count(s.slug) AS news
+                      FROM fetched f LEFT JOIN seen s ON s.slug = f.slug AND s.page_no = f.page_no GROUP BY 1, 2),
+             ends AS (SELECT slug, coalesce(min(page_no) FILTER ((page_no > 1 AND news = 0) OR page_no >= 5 OR NOT more), max(page_no)) AS pages
+                      FROM grid GROUP BY 1)
+        SELECT 'r1' AS run_id, slug, slug AS name, CASE WHEN sum(news) > 0 THEN 'ok' ELSE 'empty' END AS status,
+               CAST(sum(news) AS INTEGER) AS n_jobs, CAST(pages AS INTEGER) AS pages, CAST(NULL AS VARCHAR) AS error
+        FROM grid JOIN ends USING (slug) WHERE page_no <= pages GROUP BY slug, pages)
+        SELECT run_id, slug, name, CASE WHEN s.slug IS NULL THEN status ELSE 'blocked' END AS status, CASE WHEN s.slug IS NULL THEN n_jobs ELSE 0 END AS n_jobs,
+               CASE WHEN s.slug IS NULL THEN pages ELSE 0 END AS pages, CASE WHEN s.slug IS NOT NULL THEN 'HTTP 403' END AS error
+        FROM run LEFT JOIN shut s USING (slug)""",
     "site_run": f"""
         WITH fetched AS (SELECT page_id, html, regexp_extract(url, '://([^/]*)', 1) AS slug,
                                 row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]*)', 1) ORDER BY page_id) AS page_no FROM pages),

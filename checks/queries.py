@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cardmill.functions import elements, text, urls, verdicts
 from cardmill.operators import dom, evaluate, extract, frontier, health, infer, jobs, selectors
-from cardmill.plans import onboard, scrape
+from cardmill.plans import onboard, rate, scrape
 from cardmill.session import ship_package, work_dir
 from cardmill.sources import capture, pages, sheets, sites
 from cardmill.streaming import harvest
@@ -538,7 +538,41 @@ def write_run(spark, sf):
     path = work_dir(spark)
     sheets.write_run(raw, path, "r1", "jobs_raw")
     sheets.write_run(jobs.deduplicate(raw), path, "r1", "jobs_ranked")
-    return spark.read.parquet(path).groupBy("run_id", "stage").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("run_id", "stage", "ord", "company", "job_id", "apply_url")
+
+
+def rate_sheet(spark, sf):
+    """A sheet of customers, written, read, rated in the order of its scores and read back."""
+    ship_package(spark)
+
+    def scorer(prompts):
+        titles = [p.split("Title: ")[1].split("\n")[0] for p in prompts]
+        return [f'{{"fit": "Maybe", "score": {len(t) % 10}, "reason": "{t}"}}' for t in titles]
+
+    source, target = work_dir(spark), work_dir(spark)
+    listed = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("job_id"), F.concat_ws(" ", "c_mktsegment", "c_custkey").alias("title"), (F.col("c_nationkey") % 10).alias("score")
+    )
+    sheets.write_job_sheet(listed, source)
+    return rate.rate_sheet(spark, source, target, scorer).select("job_id", "title", "score", "ai_fit", "ai_score", "ai_reason")
+
+
+def ordered_union(spark, sf):
+    """Results of three sites, each in its own order, as one list."""
+    some = lambda name, key, text: table(spark, sf, name).select(F.lit(name).alias("company"), F.col(key).cast("long").alias("id"), F.col(text).alias("title"))
+    return jobs.union_results(some("supplier", "s_suppkey", "s_name"), some("customer", "c_custkey", "c_mktsegment"), some("nation", "n_nationkey", "n_name"), order=[F.col("title").desc(), "id"])
+
+
+def ranked_positions(spark, sf):
+    """The places of scored rows in their order."""
+    placed = rank_jobs(spark, sf).withColumn("_m", F.monotonically_increasing_id())
+    return jobs.numbered(placed, ["_m"], "place").select("ord", "score", "place")
+
+
+def rated_positions(spark, sf):
+    """The places of rated rows in their order."""
+    placed = ai_rank(spark, sf).withColumn("_m", F.monotonically_increasing_id())
+    return jobs.numbered(placed, ["_m"], "place").select("ord", "place")
 
 
 # --- pages --------------------------------------------------------------------------------------
@@ -626,6 +660,23 @@ def site_run(spark, sf):
     return run.runs
 
 
+def site_run_states(spark, sf):
+    """The same run, with pages as views of two frames of which the second holds the list, and sites whose first page is blocked."""
+    ship_package(spark)
+    fetched = pages.read_pages(spark, f"{sf}/pages.parquet").withColumn("slug", F.regexp_extract("url", "://([^/]*)", 1))
+    number = Window.partitionBy("slug").orderBy("page_id")
+    fetched = fetched.withColumn("page_no", F.row_number().over(number)).withColumn("status", F.when((F.col("page_no") == 1) & (F.col("page_id") % 3 == 0), 403).otherwise(200))
+    frames = fetched.withColumn("view_id", F.col("page_id")).withColumn("frame_no", F.explode(F.array(F.lit(0), F.lit(1))))
+    frames = frames.withColumns({
+        "page_id": F.col("page_id") * 2 + F.col("frame_no"), "frame_url": F.when(F.col("frame_no") == 1, "https://h/embedded-list").otherwise(F.col("url")),
+        "html": F.when(F.col("frame_no") == 1, F.col("html")).otherwise("<html><body><iframe></iframe></body></html>"),
+    })
+    parsed = F.from_json(F.lit(json.dumps(FEED_SITE | {"frame_url_contains": "embedded-list"})), sites.SITE_SCHEMA).alias("s")
+    hosts = fetched.select(F.col("slug").alias("host")).distinct().select("host", parsed).select("host", "s.*")
+    configs = sites.with_defaults(hosts.withColumns({"slug": F.col("host"), "name": F.col("host")}).drop("host"))
+    return scrape.scrape(frames, configs, "r1").runs
+
+
 # --- learning configs ---------------------------------------------------------------------------
 def element_signature(spark, sf):
     nodes = page_nodes(spark, sf, ["tag", "classes", "attrs"])
@@ -839,6 +890,7 @@ FUNCTIONS = [
     capture_body_plan, read_capture_index, visited_url_templates, listing_frame, export_projection,
     job_sheet_round_trip, write_run, flatten_dom, visible_text, match_selectors, extract_cards, count_cards,
     next_control, selector_report, classify_pagination, text_category, scrape_pages, site_run,
+    rate_sheet, ordered_union, ranked_positions, rated_positions, site_run_states,
     element_signature, shared_signatures, path_selectors, infer_configs, learn_sites, learn_link_templates, verify_sites, control_kinds, shared_names, control_disabled, hidden_cards, infer_field, learn_and_run,
     stream_harvest, stream_pages, stream_first_seen, stream_health,
 ]
