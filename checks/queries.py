@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardmill.functions import elements, text, urls, verdicts
-from cardmill.operators import dom, evaluate, extract, frontier, health, infer, jobs, selectors
+from cardmill.operators import dom, evaluate, extract, frontier, health, infer, jobs, selectors, weights
 from cardmill.plans import onboard, rate, scrape
 from cardmill.session import ship_package, work_dir
 from cardmill.sources import capture, pages, sheets, sites
@@ -275,6 +275,14 @@ def keyword_score(spark, sf):
     )
 
 
+def keyword_table(spark, sf):
+    """The same points, with the patterns as a table."""
+    ship_package(spark)
+    weighted = spark.createDataFrame(list(TEXT_WEIGHTS.items()), "pattern string, points int")
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return weights.keyword_points_of(rows, "text", weighted, "score").select("doc_id", F.col("score").cast("int").alias("score"))
+
+
 def rank_jobs(spark, sf):
     roles = F.array(*[F.lit(r) for r in ("Software Engineer", "Senior Back-end Developer", "SRE", "Sales Head", "Intern, SWE")])
     places = F.array(*[F.lit(p) for p in ("Pune, India", "Remote", "Berlin", "Remote - India")])
@@ -884,7 +892,7 @@ def stream_health(spark, sf):
 FUNCTIONS = [
     canonical_url, absolute_url, clean_text, slugify, is_plausible_query, block_reason, fill_template, search_url,
     query_url_template, page_url_template, id_url_template, read_site_configs, rejected_site_configs, filter_sites,
-    upsert_site_configs, page_frontier, site_listing, normalize_jobs, deduplicate, keyword_score, rank_jobs,
+    upsert_site_configs, page_frontier, site_listing, normalize_jobs, deduplicate, keyword_score, keyword_table, rank_jobs,
     ranked_documents, preview, union_results, harvest_first_seen, pagination_cutoff, new_listing_keys, health_history,
     health_snapshot, site_run_status, run_summary, parse_verdict, build_prompt, evaluate_jobs, ai_rank,
     capture_body_plan, read_capture_index, visited_url_templates, listing_frame, export_projection,

@@ -231,3 +231,36 @@ def test_rated_with_prompts_in_flight(spark):
 
     got = {r.title: (r.ai_fit, r.ai_reason) for r in rated(spark, scorer, at_once=3, timeout=0.5).collect()}
     assert got["good"] == ("Yes", "r") and got["late"] == ("Unknown", "evaluation failed: no reply within 0.5 s")
+
+
+def test_points_from_a_table_of_weights(spark, monkeypatch):
+    """The same points as pattern by pattern, for plain and other patterns, in one pass and in several."""
+    import random
+
+    from cardmill.operators import weights
+
+    rng = random.Random(3)
+    words = ["sr", "senior", "back-end", "back end", "R&D", "c", "it", "data", "ml ops", "k", "sde2", "node js", "a_b", "it's"]
+    patterns = {w: rng.randrange(-9, 9) for w in words} | {"lead|head of": 4, "dev(eloper)?s?": 3, r"front[- ]?end": -2, "c\\+\\+": 7, "über": 5}
+    glue = [" ", "-", "/", ", ", "é", "_", "", "́", "‍", "\n", "2", "."]
+    texts = [None, "", "SENIOR data", "K it", "İt", "IT", "ſr", "Über c++ c"]
+    for _ in range(300):
+        texts.append("".join(rng.choice([*words, "lead", "Head Of", "Developers", "front-end", "DEVS", "über"]) .swapcase() + rng.choice(glue) for _ in range(rng.randrange(1, 7))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("points", F.lit("clash"))
+    table = spark.createDataFrame([*patterns.items(), ("data", 1), (None, 5)], "pattern string, points int")
+    want = {r.id: r.p for r in rows.select("id", jobs.keyword_points(F.col("t"), patterns | {"data": patterns["data"] + 1}).alias("p")).collect()}
+    for together in (200_000, 4):
+        monkeypatch.setattr(weights, "PASS_PATTERNS", together)
+        got = {r.id: r.points for r in weights.keyword_points_of(rows, "t", table).collect()}
+        assert got == want
+    assert {r.points for r in weights.keyword_points_of(rows, "t", table.limit(0)).collect()} == {0}
+
+
+def test_ten_thousand_patterns_in_one_pass(spark):
+    from cardmill.operators import weights
+
+    table = spark.range(10_000).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("pattern"), (F.col("id") % 7).alias("points"))
+    rows = spark.range(2000).select("id", F.concat_ws(" ", F.concat(F.lit("Word"), F.col("id").cast("string")), F.concat(F.lit("word"), (F.col("id") * 5).cast("string")), F.lit("sword1 word")).alias("t"))
+    got = {r.id: r.points for r in weights.keyword_points_of(rows, "t", table).collect()}
+    # word0 stands twice and counts once
+    assert got == {i: i % 7 + (i * 5 % 7 if i else 0) for i in range(2000)}
