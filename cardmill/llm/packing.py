@@ -22,6 +22,7 @@ import random
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -55,17 +56,32 @@ def tokenizer(path: str):
 
 
 class WordIds:
-    """The ids of words, each different word tokenized once; it belongs to one task, as do its tokenizer and its memory."""
+    """The ids of words, each different word of a task tokenized once. Its tokenizer and most of its memory belong to one
+    task; a worker's next task begins with the words that were met more than once."""
 
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
+    def __init__(self):
+        self.tokenizer = None
         self.clear()
 
     def clear(self) -> None:
         self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of words in order, and their slots
         self.size, self.begin, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.hits = np.zeros(1 << 16, np.int32)  # parts of text that had the word
         self.used = 0  # of ids
 
+    def keep_frequent(self) -> None:
+        """Forget the words that one part of text had only."""
+        frequent = self.hits[self.slots] > 1
+        known, slots = self.known[frequent], self.slots[frequent]
+        size, begin, ids = self.size[slots], self.begin[slots], self.ids
+        self.clear()
+        n, edge = len(known), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        self.known, self.slots, self.used = known, np.arange(n, dtype=np.int32), int(edge[-1])
+        self.size, self.begin, self.hits = size.copy(), edge[:-1].copy(), np.ones(n, np.int32)
+        self.ids = ids[np.repeat(begin - edge[:-1], size) + np.arange(edge[-1])]
+        if not n:
+            self.clear()
+
     def tokenize(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has. Words go to the tokenizer as lines of one text, as no token crosses a line."""
         ids, sizes = [], []
@@ -87,7 +103,8 @@ class WordIds:
         ids, size = self.tokenize(data, starts, ends)
         slots = len(self.known) + np.arange(len(hashes))
         while len(self.size) < slots[-1] + 1:
-            self.size, self.begin = np.resize(self.size, 2 * len(self.size)), np.resize(self.begin, 2 * len(self.begin))
+            self.size, self.begin, self.hits = (np.resize(x, 2 * len(x)) for x in (self.size, self.begin, self.hits))
+        self.hits[slots] = 1
         while len(self.ids) < self.used + len(ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.size[slots], self.begin[slots] = size, self.used + np.cumsum(size) - size
@@ -102,11 +119,12 @@ class WordIds:
         starts, ends, first = word_spans(data, offsets)
         hashes, at, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
-            self.clear()
+            self.keep_frequent()
         place = np.searchsorted(self.known, hashes)
         new = np.append(self.known, np.uint64(0))[place] != hashes
         new[place == len(self.known)] = True
         slots = np.append(self.slots, np.int32(0))[place].astype(np.int64)
+        self.hits[slots[~new]] += 1
         if new.any():
             slots[new] = self.learn(hashes[new], data, starts[at[new]], ends[at[new]])
         slot = slots[inverse]
@@ -115,6 +133,12 @@ class WordIds:
         return self.ids[np.repeat(self.begin[slot] - edge[:-1], size) + np.arange(edge[-1])], edge[first]
 
 
+@cache
+def frequent_words(path: str) -> WordIds:
+    """What this worker keeps from task to task: some megabytes of words."""
+    return WordIds()
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every document's pieces; ``ids`` only where they are wanted, as Spark
     can't leave out what Python has made."""
@@ -143,10 +167,12 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         return frame(schema, *columns)
 
     def run(batches):
-        words = WordIds(path)
+        words = frequent_words(path)
+        words.tokenizer = tokenizer(path)
         for rows, data, offsets in chunks(batches, "text", CHUNK):
             yield cut(rows, data, offsets, words)
-        del words
+        words.tokenizer = None
+        words.keep_frequent()
         release_memory()
 
     return bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
