@@ -25,7 +25,7 @@ from cardmill.functions.elements import (
 from cardmill.operators.dom import NEVER_LEAF, flatten_dom, visible_text
 from cardmill.operators.inside import inside
 from cardmill.operators.selectors import Specs, in_scope, match_selectors
-from cardmill.session import materialize
+from cardmill.session import grown, materialize
 
 NODE_COLUMNS = [
     "node_id", "parent_id", "grand_id", "depth", "subtree_end", "tag", "classes", "attrs", "own_text", "text", "nth_of_type", "parent_tag",
@@ -114,7 +114,7 @@ def match_on_pages(nodes: DataFrame, specs: DataFrame, deep: bool = False) -> Da
         specs = specs.withColumn("scoped", F.lit(False))
     chain = (F.size("steps") > 2) | F.exists(F.slice("steps", 2, 1), lambda s: ~s.near)
     table = specs.withColumns({"deep": chain if deep else F.lit(False), "rooted": F.lit(False), "spec_text": F.lit(None).cast("string"), "spec_attrs": F.array().cast("array<string>")})
-    return match_selectors(nodes, Specs(table, deep=deep), on=("page_id",))
+    return match_selectors(nodes, Specs(table, deep=deep, large=True), on=("page_id",))
 
 
 # --- signatures ---------------------------------------------------------------------------------
@@ -124,17 +124,17 @@ def shared_signatures(nodes: DataFrame, wanted: DataFrame | None = None) -> Data
     With fewer than two other siblings everything is kept. ``wanted`` (page_id, node_id) limits the work.
     """
     group = ["page_id", "parent_id", "tag"]
-    mine = nodes if wanted is None else nodes.join(wanted.select("page_id", "node_id").distinct(), ["page_id", "node_id"], "left_semi")
+    mine = nodes if wanted is None else nodes.join(grown(wanted.select("page_id", "node_id").distinct()), ["page_id", "node_id"], "left_semi")
     siblings = nodes.filter(F.col("parent_id").isNotNull()).select(*group, "sclasses", "sattrs")
     if wanted is not None:
-        siblings = siblings.join(mine.select(*group).distinct(), group, "left_semi")
+        siblings = siblings.join(grown(mine.select(*group).distinct()), group, "left_semi")
     dotted = F.transform("sclasses", lambda c: F.concat(F.lit("."), c))
     totals = siblings.groupBy(*group).agg((F.count("*") - 1).alias("others"))
     atoms = siblings.select(*group, F.explode(F.concat(dotted, "sattrs")).alias("atom"))
     shared = (
         atoms.groupBy(*group, "atom")
         .agg((F.count("*") - 1).alias("with_it"))
-        .join(totals, group)
+        .join(grown(totals), group)
         .filter(F.col("with_it") >= F.col("others") * 0.6)
         .groupBy(*group)
         .agg(F.collect_list("atom").alias("shared"))
@@ -144,8 +144,8 @@ def shared_signatures(nodes: DataFrame, wanted: DataFrame | None = None) -> Data
     classes = F.filter("sclasses", lambda c: few | F.array_contains(common, F.concat(F.lit("."), c)))
     attrs = F.filter(F.slice("sattrs", 1, 3), lambda a: few | F.array_contains(common, a))
     return (
-        mine.join(totals, group, "left")
-        .join(shared, group, "left")
+        mine.join(grown(totals), group, "left")
+        .join(grown(shared), group, "left")
         .select(
             "page_id", "node_id", F.concat("tag", _class_part(classes), _attr_part(attrs)).alias("shared_sig"),
             F.concat(F.slice(_dotted(classes), 1, 3), attrs).alias("shared_names"),
@@ -160,22 +160,22 @@ def path_steps(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     name of a signature are looked at, so a long list of equal items costs one comparison.
     """
     group = ["page_id", "parent_id", "tag"]
-    mine = nodes.join(wanted.select("page_id", "node_id").distinct(), ["page_id", "node_id"], "left_semi")
+    mine = nodes.join(grown(wanted.select("page_id", "node_id").distinct()), ["page_id", "node_id"], "left_semi")
     dotted = F.transform("sclasses", lambda c: F.concat(F.lit("."), c))
     every = F.array_sort(F.array_distinct(F.concat(dotted, "sattrs")))
     named = F.array_sort(F.array_distinct(F.concat(F.slice(dotted, 1, 3), F.slice("sattrs", 1, 3))))
     mine = mine.select(*group, "node_id", "nth_of_type", "sig", F.col("names").alias("told"), named.alias("names"))
     sets = (
-        nodes.join(mine.select(*group).distinct(), group, "left_semi")
+        nodes.join(grown(mine.select(*group).distinct()), group, "left_semi")
         .groupBy(*group, every.alias("all_names"))
         .agg(F.count("*").alias("n"))
     )
     asked = mine.select(*group, "names").distinct()
-    plain = asked.filter(F.size("names") == 0).join(sets.groupBy(*group).agg(F.sum("n").alias("alike")), group)
+    plain = asked.filter(F.size("names") == 0).join(grown(sets.groupBy(*group).agg(F.sum("n").alias("alike"))), group)
     frequency = sets.select(*group, "n", F.explode("all_names").alias("name")).groupBy(*group, "name").agg(F.sum("n").alias("n"))
     rarest = (
         asked.select(*group, "names", F.explode("names").alias("name"))
-        .join(frequency, [*group, "name"])
+        .join(grown(frequency), [*group, "name"])
         .groupBy(*group, "names")
         .agg(F.min(F.struct("n", "name")).alias("rare"))
         .select(*group, "names", "rare.*")
@@ -184,7 +184,7 @@ def path_steps(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     holders = sets.select(*group, "all_names", F.col("n").alias("held"), F.explode("all_names").alias("name"))
     compared = (
         rarest.filter((F.col("n") > 1) & (F.size("names") > 1))
-        .join(holders, [*group, "name"])
+        .join(grown(holders), [*group, "name"])
         .filter(F.size(F.array_except("names", "all_names")) == 0)
         .groupBy(*group, "names")
         .agg(F.sum("held").alias("alike"))
@@ -193,7 +193,7 @@ def path_steps(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     step = F.when(F.col("alike") > 1, F.concat("sig", F.lit(":nth-of-type("), "nth_of_type", F.lit(")"))).otherwise(F.col("sig"))
     place = F.concat(F.lit(":"), F.col("nth_of_type").cast("string"))
     atoms = F.when(F.col("alike") > 1, F.array_append("told", place)).otherwise(F.col("told"))
-    return mine.join(alike, [*group, "names"]).select("page_id", "node_id", step.alias("step"), "tag", atoms.alias("atoms"))
+    return mine.join(grown(alike), [*group, "names"]).select("page_id", "node_id", step.alias("step"), "tag", atoms.alias("atoms"))
 
 
 def path_selectors(nodes: DataFrame, pairs: DataFrame, steps: DataFrame | None = None) -> DataFrame:
@@ -206,9 +206,9 @@ def path_selectors(nodes: DataFrame, pairs: DataFrame, steps: DataFrame | None =
     lines = lines.select("page_id", "card_id", "leaf_id", F.col("out_id").alias("node_id"))
     steps = path_steps(nodes, lines) if steps is None else steps
     parts = F.array_sort(F.collect_list(F.struct("node_id", "step", "tag", "atoms")))
-    found = lines.join(steps, ["page_id", "node_id"]).groupBy("page_id", "card_id", "leaf_id").agg(parts.alias("parts"))
+    found = lines.join(grown(steps), ["page_id", "node_id"]).groupBy("page_id", "card_id", "leaf_id").agg(parts.alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p.step), " > ")
-    return pairs.join(found, ["page_id", "card_id", "leaf_id"], "left").select(
+    return pairs.join(grown(found), ["page_id", "card_id", "leaf_id"], "left").select(
         "page_id", "card_id", "leaf_id",
         F.when(F.col("parts").isNull(), ":self").otherwise(F.concat(F.lit(":scope > "), joined)).alias("path_key"),
         F.transform("parts", lambda p: step(True, p.tag, p.atoms)).alias("path_steps"),
@@ -244,11 +244,11 @@ def _levels(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("tag").alias("el_tag"), F.col("names").alias("el_names"), F.col("parent_tag").alias("el_parent_tag"), F.col("parent_names").alias("el_parent_names"),
     )).alias("el")).select(*KEY, "el.*").filter("el_parent_tag is not null")
     lvl = F.col("el_depth") - F.col("depth")
-    levels = lines.drop("node_id", "reads").filter("parent_id is not null").join(el, KEY).filter("out_id <= el_id")
+    levels = lines.drop("node_id", "reads").filter("parent_id is not null").join(grown(el), KEY).filter("out_id <= el_id")
     levels = levels.withColumnsRenamed({"out_id": "card_id", "out_end": "card_end"})
     shared = shared_signatures(nodes, levels.withColumnRenamed("card_id", "node_id")).withColumnRenamed("node_id", "card_id")
     kind = F.when(lvl == 0, "none").when(lvl == 1, "scope").otherwise("chain")
-    return levels.join(shared, ["page_id", "card_id"]).select(
+    return levels.join(grown(shared), ["page_id", "card_id"]).select(
         *KEY, lvl.alias("lvl"), "el_id", "el_end", "el_sig", "el_parent_sig", "el_tag", "el_names", "el_parent_tag", "el_parent_names",
         "card_id", "card_end", "grand_id",
         F.col("shared_sig").alias("loose"),
@@ -278,7 +278,7 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
         .select(*at, "n")
     )
     follows = F.lead("member_id").over(Window.partitionBy(*at).orderBy("member_id"))
-    members = found.join(groups, at).withColumn("nests", F.coalesce(follows <= F.col("member_end"), F.lit(False)))
+    members = found.join(grown(groups), at).withColumn("nests", F.coalesce(follows <= F.col("member_end"), F.lit(False)))
     members = materialize(members, by="page_id")
 
     # how often the target's own selector hits in each member
@@ -291,11 +291,11 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     hits = match_on_pages(nodes, own).select(*KEY, "rs_kind", "node_id", "parent_id")
     keys = members.select(*at, "rs_kind", "member_id", "member_end")
     chained = inside(keys.filter("rs_kind = 'chain'").drop("rs_kind"), hits.filter("rs_kind = 'chain'").drop("rs_kind", "parent_id"), "node_id", "member_id", "member_end", on=KEY)
-    children = keys.filter("rs_kind = 'scope'").join(hits.filter("rs_kind = 'scope'").select(*KEY, F.col("parent_id").alias("member_id")), [*KEY, "member_id"])
+    children = keys.filter("rs_kind = 'scope'").join(grown(hits.filter("rs_kind = 'scope'").select(*KEY, F.col("parent_id").alias("member_id"))), [*KEY, "member_id"])
     base = members.select(*at, "member_id", F.when(F.col("rs_kind") == "none", 1).otherwise(0).alias("k"))
     one = [*at, "member_id", F.lit(1).alias("k")]
     counts = base.unionByName(chained.select(*one)).unionByName(children.select(*one)).groupBy(*at, "member_id").agg(F.sum("k").alias("k"))
-    told = members.join(counts, [*at, "member_id"])
+    told = members.join(grown(counts), [*at, "member_id"])
     picked = told.filter("member_id = card_id").select(
         *at, F.col("k").alias("k0"), F.col("leaves").alias("leaves0"), F.col("has_link").alias("link0")
     )
@@ -303,7 +303,7 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
         F.col("has_link") == F.col("link0")
     )
     good = (
-        told.join(picked, at)
+        told.join(grown(picked), at)
         .groupBy(*at, "card_id", "n")
         .agg(
             F.avg((F.col("k") == F.col("k0")).cast("int")).alias("frac"),
@@ -314,11 +314,11 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
         .filter("k0 between 1 and 3 and frac >= 0.8 and sim >= 0.6 and not nests")
     )
     largest = good.groupBy(*KEY).agg(F.max("n").alias("max_n"))
-    best = good.join(largest, KEY).filter("n >= 0.9 * max_n").groupBy(*KEY).agg(F.max("lvl").alias("lvl"))
-    chosen = materialize(best.join(levels, at))
+    best = good.join(grown(largest), KEY).filter("n >= 0.9 * max_n").groupBy(*KEY).agg(F.max("lvl").alias("lvl"))
+    chosen = materialize(best.join(grown(levels), at))
     order = Window.partitionBy(*KEY).orderBy("member_id")
     group = materialize(
-        members.join(chosen.select(*at), at).select(*KEY, "member_id", "member_end", F.row_number().over(order).alias("idx"))
+        members.join(grown(chosen.select(*at)), at).select(*KEY, "member_id", "member_end", F.row_number().over(order).alias("idx"))
     )
 
     sizes = group.groupBy(*KEY).agg(F.count("*").cast("int").alias("count"))
@@ -333,9 +333,9 @@ def infer_cards(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
         )
     )
     cards = (
-        chosen.join(sizes, KEY)
-        .join(loose, KEY, "left")
-        .join(grand, ["page_id", "grand_id"], "left")
+        chosen.join(grown(sizes), KEY)
+        .join(grown(loose), KEY, "left")
+        .join(grown(grand), ["page_id", "grand_id"], "left")
         .select(*KEY, "el_id", "el_end", "card_id", "card_end", "count", candidates.alias("candidates"))
     )
     return materialize(cards), group
@@ -372,8 +372,8 @@ def field_selectors(
     )
     of = [*KEY, "field"]
     specs = (
-        wanted.join(el, ["page_id", "el_id"])
-        .join(paths, ["page_id", "card_id", "el_id"])
+        wanted.join(grown(el), ["page_id", "el_id"])
+        .join(grown(paths), ["page_id", "card_id", "el_id"])
         .select(*of, "card_id", "el_id", "need_text", F.posexplode(options).alias("rank", "option"))
         .select(*of, "card_id", "el_id", "need_text", "rank", "option.*")
     )
@@ -385,7 +385,7 @@ def field_selectors(
     )
     looked = looked.groupBy(*KEY, "member_id").agg(F.max("sampled").alias("sampled"))
     bounds = nodes.select("page_id", F.col("node_id").alias("member_id"), F.col("subtree_end").alias("member_end"), F.col("depth").alias("member_depth"))
-    looked = looked.join(bounds, ["page_id", "member_id"])
+    looked = looked.join(grown(bounds), ["page_id", "member_id"])
     hits = match_on_pages(nodes, specs, deep=True).select(
         *of, "card_id", "el_id", "need_text", "rank", "selector", "node_id", "scoped", "scope_near", "tops", (F.col("text") != "").alias("has_text")
     )
@@ -401,14 +401,14 @@ def field_selectors(
         F.sum((F.col("sampled") & usable).cast("int")).alias("hits"),
     )
     kept = (
-        judged.join(sizes, KEY)
+        judged.join(grown(sizes), KEY)
         .filter(F.col("exact") & ((F.col("rank") == 2) | (F.col("hits") >= F.col("sample_size") * 0.6)))
         .groupBy(*of, "selector")
         .agg(F.min("rank").alias("rank"))
     )
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "selector"))), lambda s: s.selector)
     # a wanted element that no selector finds keeps an empty list
-    return specs.select(*of).distinct().join(kept, of, "left").groupBy(*of).agg(
+    return specs.select(*of).distinct().join(grown(kept), of, "left").groupBy(*of).agg(
         F.filter(ordered, lambda s: s.isNotNull()).alias("selectors")
     )
 
@@ -420,17 +420,17 @@ def promoted_leaves(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """
     inline = F.col("tag").isin(fixed.INLINE_TAGS)
     own = nodes.select("page_id", "node_id", "parent_id", inline.alias("inline"))
-    wrapped = leaves.join(own, ["page_id", "node_id"])
+    wrapped = leaves.join(grown(own), ["page_id", "node_id"])
     family = own.filter(F.col("parent_id").isNotNull()).join(
-        wrapped.select("page_id", "parent_id").distinct(), ["page_id", "parent_id"], "left_semi"
+        grown(wrapped.select("page_id", "parent_id").distinct()), ["page_id", "parent_id"], "left_semi"
     )
     family = family.groupBy("page_id", "parent_id").agg(F.count("*").alias("n"), F.min("inline").alias("all_inline"))
     parents = nodes.filter(inline & ~F.col("own")).select("page_id", F.col("node_id").alias("parent_id"))
-    wrappers = family.join(parents, ["page_id", "parent_id"]).filter("all_inline").select(
+    wrappers = family.join(grown(parents), ["page_id", "parent_id"]).filter("all_inline").select(
         "page_id", "parent_id", F.lit(True).alias("wraps")
     )
     up = F.col("wraps") & F.col("inline") & (F.col("parent_id") > F.col("card_id"))
-    return wrapped.join(wrappers, ["page_id", "parent_id"], "left").select(
+    return wrapped.join(grown(wrappers), ["page_id", "parent_id"], "left").select(
         *leaves.columns, F.when(up, F.col("parent_id")).otherwise(F.col("node_id")).alias("leaf_id")
     )
 
@@ -449,7 +449,7 @@ def infer_title_link(nodes: DataFrame, cards: DataFrame) -> DataFrame:
     own = nodes.select("page_id", F.col("node_id").alias("el_id"), "own")
     n = F.coalesce("n_leaves", F.lit(0))
     inner = (F.col("el_id") == F.col("card_id")) | (n > 1) | (~F.col("own") & (n == 1))
-    titles = cards.join(texts, KEY, "left").join(own, ["page_id", "el_id"]).select(
+    titles = cards.join(grown(texts), KEY, "left").join(grown(own), ["page_id", "el_id"]).select(
         *KEY, "card_id", "card_end", F.when(inner, F.coalesce("big_id", "el_id")).otherwise(F.col("el_id")).alias("title_id")
     )
     around = nodes.select("page_id", F.col("node_id").alias("title_id"), F.col("link_id").alias("around_id"))
@@ -464,7 +464,7 @@ def infer_title_link(nodes: DataFrame, cards: DataFrame) -> DataFrame:
         .when(F.col("around_id").isNotNull(), "closest")
         .when(F.col("first_id").isNotNull(), "inner")
     )
-    joined = titles.join(around, ["page_id", "title_id"]).join(first, KEY, "left")
+    joined = titles.join(grown(around), ["page_id", "title_id"]).join(grown(first), KEY, "left")
     return joined.select(*KEY, "card_id", "title_id", F.coalesce("around_id", "first_id").alias("link_id"), kind.alias("link_kind"))
 
 
@@ -483,7 +483,7 @@ def infer_text_fields(
     keys = path_selectors(nodes, leaves.select("page_id", "card_id", "leaf_id").unionByName(title_pairs), steps)
     keys = materialize(keys.drop("path_steps"), by="page_id")
     title_keys = titles.join(
-        keys.withColumnsRenamed({"leaf_id": "title_id", "path_key": "title_key"}), ["page_id", "card_id", "title_id"]
+        grown(keys.withColumnsRenamed({"leaf_id": "title_id", "path_key": "title_key"})), ["page_id", "card_id", "title_id"]
     ).select(*KEY, F.col("card_id").alias("picked_id"), "title_id", "title_key")
     spans = nodes.select("page_id", F.col("node_id").alias("leaf_id"), "subtree_end", "text")
     title_ends = nodes.select("page_id", F.col("node_id").alias("title_id"), F.col("subtree_end").alias("title_end"))
@@ -492,10 +492,10 @@ def infer_text_fields(
     )
     is_picked = F.col("card_id") == F.col("picked_id")
     values = (
-        leaves.join(keys, ["page_id", "card_id", "leaf_id"])
-        .join(title_keys, KEY)
-        .join(spans, ["page_id", "leaf_id"])
-        .join(title_ends, ["page_id", "title_id"])
+        leaves.join(grown(keys), ["page_id", "card_id", "leaf_id"])
+        .join(grown(title_keys), KEY)
+        .join(grown(spans), ["page_id", "leaf_id"])
+        .join(grown(title_ends), ["page_id", "title_id"])
         .filter((F.col("path_key") != F.col("title_key")) & ~(is_picked & overlaps))
         .groupBy(*KEY, "picked_id", "card_id", "idx", "path_key")
         .agg(F.min(F.struct("node_id", "leaf_id", "text")).alias("v"))
@@ -514,7 +514,7 @@ def infer_text_fields(
             F.avg(F.length(text)).alias("length"),
             F.countDistinct(text).alias("kinds"),
         )
-        .join(sizes, KEY)
+        .join(grown(sizes), KEY)
         .filter(F.col("el_id").isNotNull() & (F.col("n") >= F.greatest(F.lit(1), F.col("sample_size") * 0.5)))
     )
     department = (
@@ -533,7 +533,7 @@ def infer_text_fields(
             .select(*KEY, "b.path_key", "b.el_id")
         )
         taken.append(best.select(*KEY, F.lit(field).alias("field"), "el_id"))
-        pool = pool.join(best.select(*KEY, "path_key"), [*KEY, "path_key"], "left_anti")
+        pool = pool.join(grown(best.select(*KEY, "path_key")), [*KEY, "path_key"], "left_anti")
     return taken[0].unionByName(taken[1]).unionByName(taken[2])
 
 
@@ -581,15 +581,15 @@ def infer_id_attribute(nodes: DataFrame, cards: DataFrame, members: DataFrame, s
         .agg(F.min_by("attrs", "node_id").alias("attrs"))
     )
     own = nodes.select("page_id", F.col("node_id").alias("member_id"), "attrs")
-    found = options.filter(F.col("selector").isNotNull()).join(inner, [*KEY, "selector"])
-    found = found.unionByName(options.filter(F.col("selector").isNull()).join(looked.drop("member_end"), KEY).join(own, ["page_id", "member_id"]))
+    found = options.filter(F.col("selector").isNotNull()).join(grown(inner), [*KEY, "selector"])
+    found = found.unionByName(options.filter(F.col("selector").isNull()).join(grown(looked.drop("member_end")), KEY).join(grown(own), ["page_id", "member_id"]))
     value = F.nullif(F.try_element_at(F.col("attrs"), F.col("attr")), F.lit(""))
     score = F.when(F.rlike("attr", F.lit(fixed.ID_ATTR_NAME)), 2).otherwise(0) + F.when(F.col("selector").isNull(), 1).otherwise(0)
     judged = (
         found.withColumn("value", value)
         .groupBy(*KEY, "node_id", "pos", "attr", "selector")
         .agg(F.count("value").alias("n"), F.countDistinct("value").alias("kinds"))
-        .join(sizes, KEY)
+        .join(grown(sizes), KEY)
         .filter("n >= sample_size * 0.8 and kinds = n")
     )
     best = judged.groupBy(*KEY).agg(F.min(F.struct((-score).alias("s"), "node_id", "pos", "attr", "selector")).alias("b"))
@@ -624,7 +624,7 @@ def infer_fields(nodes: DataFrame, cards: DataFrame, members: DataFrame) -> Data
     links = titles.filter("link_kind = 'inner'").select(
         *KEY, "card_id", F.lit("apply_url").alias("field"), F.col("link_id").alias("el_id"), F.lit(False).alias("need_text")
     )
-    rest = texts.join(titles.select(*KEY, "card_id"), KEY).select(*KEY, "card_id", "field", "el_id", F.lit(True).alias("need_text"))
+    rest = texts.join(grown(titles.select(*KEY, "card_id")), KEY).select(*KEY, "card_id", "field", "el_id", F.lit(True).alias("need_text"))
     wanted = materialize(el.unionByName(links).unionByName(rest))
     spec = lambda selectors, attr, closest: F.struct(
         selectors.alias("selectors"), attr.alias("attr"), F.lit(closest).alias("closest")
@@ -651,19 +651,19 @@ def infer_field(nodes: DataFrame, members: DataFrame, picks: DataFrame) -> DataF
     card is absent; the card itself gives an empty list.
     """
     of = [*KEY, "field"]
-    picked = picks.select(*of, "node_id").join(nodes.select("page_id", "node_id", "icon_id"), ["page_id", "node_id"])
+    picked = picks.select(*of, "node_id").join(grown(nodes.select("page_id", "node_id", "icon_id")), ["page_id", "node_id"])
     owner = inside(members.select(*KEY, "member_id", "member_end"), picked, "node_id", "member_id", "member_end", on=KEY, own=True)
     owner = owner.groupBy(*of, "node_id", "icon_id").agg(F.min("member_id").alias("card_id"))
     icon = nodes.select("page_id", F.col("node_id").alias("icon_id"), F.col("parent_id").alias("icon_parent"))
     is_icon = F.col("icon_id") >= F.col("card_id")
-    start = owner.join(icon, ["page_id", "icon_id"], "left").select(
+    start = owner.join(grown(icon), ["page_id", "icon_id"], "left").select(
         *of, "card_id", F.when(is_icon, F.col("icon_parent")).otherwise(F.col("node_id")).alias("start_id")
     )
     own = nodes.select("page_id", F.col("node_id").alias("start_id"), "own", F.col("subtree_end").alias("start_end"))
-    start = start.join(own, ["page_id", "start_id"])
+    start = start.join(grown(own), ["page_id", "start_id"])
     inner = text_leaves(nodes, start, "start_id", "start_end").groupBy(*of).agg(F.count("*").alias("n"), F.min("node_id").alias("only_id"))
     leaf = F.when(~F.col("own") & (F.col("n") == 1), F.col("only_id")).otherwise(F.col("start_id"))
-    leaves = start.join(inner, of, "left").select(*of, "card_id", leaf.alias("node_id"))
+    leaves = start.join(grown(inner), of, "left").select(*of, "card_id", leaf.alias("node_id"))
     final = materialize(promoted_leaves(nodes, leaves).select(*of, "card_id", F.col("leaf_id").alias("el_id"), F.lit(True).alias("need_text")))
     selectors = field_selectors(nodes, members, final.filter("el_id <> card_id"))
     return selectors.unionByName(
@@ -677,4 +677,4 @@ def infer_configs(pages: DataFrame, targets: DataFrame | None = None) -> DataFra
     targets = materialize(default_targets(nodes) if targets is None else targets)
     cards, members = infer_cards(nodes, targets)
     fields = infer_fields(nodes, cards, members)
-    return cards.join(fields, KEY).select(*KEY, "card_id", "count", "candidates", "fields")
+    return cards.join(grown(fields), KEY).select(*KEY, "card_id", "count", "candidates", "fields")

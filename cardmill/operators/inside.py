@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardmill.session import grown
+
 BLOCK = 256  # ids
 
 
@@ -24,4 +26,4 @@ def inside(outer: DataFrame, inner: DataFrame, at: str, start: str, end: str, on
     ranges = outer.withColumn("__block", F.explode(F.sequence(block(start), block(end))))
     points = inner.withColumn("__block", block(at))
     after = F.col(start) <= F.col(at) if own else F.col(start) < F.col(at)
-    return ranges.join(points, [*on, "__block"]).where(after & (F.col(at) <= F.col(end))).drop("__block")
+    return ranges.join(grown(points), [*on, "__block"]).where(after & (F.col(at) <= F.col(end))).drop("__block")

@@ -24,7 +24,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cardmill.functions.elements import control_disabled
-from cardmill.session import materialize
+from cardmill.session import grown, materialize
+
+# Compiled selectors of more sites are joined by shuffle; of fewer they are some megabytes.
+BROADCAST_SPECS = 10_000
 
 # Node columns that matching reads.
 MATCH_COLUMNS = ["node_id", "parent_id", "subtree_end", "depth", "tag", "atoms", "parent_tag", "parent_atoms"]
@@ -141,10 +144,11 @@ class Specs:
     tags: set[str] = field(default_factory=set)  # tags of the elements that matching looks at, '*' for any
     has_text: bool = False  # whether some ask for an element's text
     deep: bool = False  # whether some are chains of more than a parent and a child
+    large: bool = False  # whether they are too many to be broadcast
 
     @staticmethod
     def of(specs: DataFrame) -> Specs:
-        """Compile the selectors once, into the work folder; of its size Spark knows whether to broadcast it.
+        """Compile the selectors once, into the work folder, and count them to know whether they can be broadcast.
 
         Only the distinct names come to the driver, however many selectors there are.
         """
@@ -157,8 +161,9 @@ class Specs:
             F.array_distinct(F.flatten(F.collect_set(looked))).alias("tags"),
             F.coalesce(F.max(F.col("spec_text").isNotNull()), F.lit(False)).alias("has_text"),
             F.coalesce(F.max("deep"), F.lit(False)).alias("deep"),
+            F.count("*").alias("n"),
         ).first()
-        return Specs(table, set(names.kinds), set(names.attrs), set(names.tags), names.has_text, names.deep)
+        return Specs(table, set(names.kinds), set(names.attrs), set(names.tags), names.has_text, names.deep, names.n > BROADCAST_SPECS)
 
     def may_have(self, kind: str) -> bool:
         return kind in self.kinds
@@ -180,7 +185,7 @@ def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",
     depth) that the first step may stand for.
 
     A small table of specs is broadcast by Spark, so that matching is one pass over the elements without a shuffle; a
-    large one is joined by site. Elements need their ``text`` when a selector asks for it.
+    ``large`` one is joined by site. Elements need their ``text`` when a selector asks for it.
     """
     if specs.has_text and "text" not in nodes.columns:
         raise ValueError("a selector asks for :text-is, so the elements need their text")
@@ -202,7 +207,7 @@ def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",
     if "text" in nodes.columns:
         shown = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
         hit &= ~last | F.col("spec_text").isNull() | (shown == F.col("spec_text"))
-    found = nodes.join(steps, [*on, "__key"]).where(hit)
+    found = nodes.join(grown(steps) if specs.large else steps, [*on, "__key"]).where(hit)
     top = F.when(n == 1, F.struct(F.col("node_id").alias("id"), F.col("depth").alias("depth"))).otherwise(
         F.struct(F.col("parent_id").alias("id"), (F.col("depth") - 1).alias("depth")))
     near = F.get("steps", F.lit(0)).near
@@ -215,7 +220,7 @@ def match_selectors(nodes: DataFrame, specs: Specs, on: Sequence[str] = ("slug",
     found = materialize(found.withColumn("n_steps", n).withColumn("near", F.col("step.near")).drop("__key", "steps", "step", "spec_text", "spec_attrs"))
     chains = chain_matches(found.where("deep").select("page_id", "selector", "node_id", "step_no", "n_steps", "near", "parent_id", "subtree_end", "depth", "scoped", "scope_near"))
     rest = found.where("not deep")
-    deep = found.where("deep and step_no = n_steps - 1").drop("tops").join(chains, ["page_id", "selector", "node_id"])
+    deep = found.where("deep and step_no = n_steps - 1").drop("tops").join(grown(chains), ["page_id", "selector", "node_id"])
     return rest.unionByName(deep).drop("step_no", "n_steps", "near", "deep", "rooted")
 
 
@@ -273,7 +278,7 @@ def first_candidates(
     by = list(by)
     counts = matches.groupBy(*by, rank).count().filter(F.col("count") >= min_count)
     winners = counts.groupBy(*by).agg(F.min(rank).alias(rank))
-    return matches.join(winners, [*by, rank])
+    return matches.join(grown(winners), [*by, rank])
 
 
 def control_specs(sites: DataFrame) -> Specs:
@@ -341,6 +346,6 @@ def has_next(pages: DataFrame, controls: DataFrame, url_template: Column) -> Dat
     """Add ``can_continue``: a usable control, or a recorded url pattern with '{page}' to fall back on."""
     found = controls.select("page_id", F.lit(True).alias("_control"))
     templated = F.coalesce(F.contains(url_template, F.lit("{page}")), F.lit(False))
-    return pages.join(found, "page_id", "left").withColumn(
+    return pages.join(grown(found), "page_id", "left").withColumn(
         "can_continue", F.coalesce("_control", F.lit(False)) | templated
     ).drop("_control")

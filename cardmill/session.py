@@ -78,3 +78,12 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table
+
+
+def grown(df: DataFrame) -> DataFrame:
+    """A table that grows with the input, as a side of a join: the join sorts and merges, and sends no side to the driver.
+
+    Spark judges by the size of files whether a table is small enough to be broadcast. Tables of elements, cards and selectors
+    repeat themselves and are compressed up to a hundredfold, so that a few megabytes of files are gigabytes of rows.
+    """
+    return df.hint("merge")
