@@ -9,7 +9,7 @@ from cardmill import fixed
 from cardmill.functions.urls import absolute_url, fill_template
 from cardmill.operators.inside import inside
 from cardmill.operators.selectors import MATCH_COLUMNS, Specs, first_candidates, in_scope, match_selectors
-from cardmill.session import materialize
+from cardmill.session import grown, materialize
 
 # Node columns that extraction reads.
 CARD_NODE_COLUMNS = [*MATCH_COLUMNS, "attrs", "text", "visible", "link", "inner_link", "base_href"]
@@ -44,7 +44,7 @@ def extraction_specs(sites: DataFrame) -> Specs:
     direct = fields.filter(F.col("selector").isNull()).select("slug", "field", "attr")
     wanted = (
         cards.withColumn("kind", F.lit("card"))
-        .unionByName(cards.join(direct, "slug").withColumn("kind", F.lit("self")), allowMissingColumns=True)
+        .unionByName(cards.join(grown(direct), "slug").withColumn("kind", F.lit("self")), allowMissingColumns=True)
         .unionByName(
             fields.filter(F.col("selector").isNotNull())
             .withColumn("kind", F.when(F.col("closest"), "closest").otherwise("inner"))
@@ -66,7 +66,7 @@ def count_cards(nodes: DataFrame, sites: DataFrame, pages: DataFrame | None = No
     )
     if pages is None:
         return counts
-    return pages.select("page_id").join(counts, "page_id", "left").fillna(0, ["n_cards"])
+    return pages.select("page_id").join(grown(counts), "page_id", "left").fillna(0, ["n_cards"])
 
 
 def read_value(attr: Column) -> Column:
@@ -115,7 +115,7 @@ def extract_cards(nodes: DataFrame, sites: DataFrame, specs: Specs | None = None
         above = inside(around, card_keys.select("page_id", "card_id"), "card_id", "node_id", "subtree_end", own=True)
         hits = hits.unionByName(above.withColumn("at", -F.col("node_id")).select(*found))
     if specs.may_have("self"):
-        itself = matches.filter("kind = 'self'").join(cards.select("page_id", "node_id", "rank"), ["page_id", "node_id", "rank"])
+        itself = matches.filter("kind = 'self'").join(grown(cards.select("page_id", "node_id", "rank")), ["page_id", "node_id", "rank"])
         hits = hits.unionByName(itself.withColumns({"card_id": F.col("node_id"), "at": F.lit(0)}).select(*found))
 
     first = F.min(F.struct("rank", "at", "value", "attr", "url", "base_href")).alias("first")
@@ -132,7 +132,7 @@ def extract_cards(nodes: DataFrame, sites: DataFrame, specs: Specs | None = None
         .groupBy("page_id", "card_id", "slug")
         .agg(F.map_from_entries(F.collect_list(F.struct("field", final.alias("value")))).alias("row"))
     )
-    return _job_columns(apply_url_fallback(rows, sites))
+    return _job_columns(apply_url_fallback(rows, grown(sites) if specs.large else sites))
 
 
 def _job_columns(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardmill.functions.text import strip
 from cardmill.functions.urls import search_url, url_tokens, without_fragment
+from cardmill.session import grown
 
 
 def page_frontier(sites: DataFrame, max_pages: int | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def id_url_template(details: DataFrame, attributes: DataFrame) -> DataFrame:
         {"_value": strip(F.col("value")), "_length": F.length("value")}
     ).filter((F.length("_value") >= 3) & ~F.col("attr").isin("href", "class", "style"))
     within = (F.length("_value") >= 5) & F.contains(F.col("_tail"), F.col("_value"))
-    hits = candidates.join(urls, "page_id").filter(F.array_contains("_tokens", F.col("_value")) | within)
+    hits = candidates.join(grown(urls), "page_id").filter(F.array_contains("_tokens", F.col("_value")) | within)
     opened = F.overlay("_url", F.lit("{job_id}"), F.instr(F.col("_url"), F.col("_value")), F.length("_value"))
     best = hits.groupBy("page_id").agg(
         F.min(F.struct((-F.col("_length")).alias("l"), "ord", opened.alias("template"), "selectors", "attr")).alias("b")

@@ -20,7 +20,7 @@ from cardmill.operators.infer import (
 )
 from cardmill.operators.jobs import harvest_first_seen
 from cardmill.plans.scrape import extract_pages
-from cardmill.session import materialize
+from cardmill.session import grown, materialize
 from cardmill.sources.sites import SITE_SCHEMA, with_defaults
 
 
@@ -30,13 +30,13 @@ def learn_paging(nodes: DataFrame, pages: DataFrame, controls: DataFrame) -> Dat
     ``controls`` has page_id, node_id and after_url, the address after its use. The exact path comes first, as the other
     selectors may also hit controls beside it.
     """
-    used = controls.join(nodes.select("page_id", "node_id", "parent_id", "tag", "text", "attrs", "sig"), ["page_id", "node_id"])
+    used = controls.join(grown(nodes.select("page_id", "node_id", "parent_id", "tag", "text", "attrs", "sig")), ["page_id", "node_id"])
     parents = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("sig").alias("parent_sig"))
     roots = nodes.filter(F.col("parent_id").isNull()).groupBy("page_id").agg(F.min(F.struct("node_id", "sig")).alias("root"))
-    pairs = used.join(roots, "page_id").select("page_id", F.col("root.node_id").alias("card_id"), F.col("node_id").alias("leaf_id"))
+    pairs = used.join(grown(roots), "page_id").select("page_id", F.col("root.node_id").alias("card_id"), F.col("node_id").alias("leaf_id"))
     paths = path_selectors(nodes, pairs).select("page_id", F.col("leaf_id").alias("node_id"), "path_key")
-    found = used.join(parents, ["page_id", "parent_id"]).join(roots, "page_id").join(paths, ["page_id", "node_id"])
-    found = found.join(pages.select("page_id", "url"), "page_id")
+    found = used.join(grown(parents), ["page_id", "parent_id"]).join(grown(roots), "page_id").join(grown(paths), ["page_id", "node_id"])
+    found = found.join(grown(pages.select("page_id", "url")), "page_id")
     template = page_number_template(F.col("text"), F.col("sig"))
     exact = F.concat("root.sig", F.expr("substring(path_key, 7)"))  # from the page's root instead of ':scope'
     candidates = F.array_distinct(F.array(exact, F.concat("parent_sig", F.lit(" > "), "sig"), F.col("sig")))
@@ -78,25 +78,25 @@ def learn_sites(
     cards, members = infer_cards(nodes, targets)
     best = cards.groupBy("page_id").agg(F.max(F.struct("count", -F.col("target_id"))).alias("b"))
     best = best.select("page_id", (-F.col("b.col2")).alias("target_id"))
-    sized = cards.join(best, KEY).join(pages.select("page_id", "slug"), "page_id")
+    sized = cards.join(grown(best), KEY).join(grown(pages.select("page_id", "slug")), "page_id")
     best = sized.groupBy("slug").agg(F.max(F.struct("count", -F.col("page_id"), "target_id")).alias("b"))
     best = materialize(best.select((-F.col("b.col2")).alias("page_id"), "b.target_id"))
-    cards = materialize(cards.join(best, KEY))
-    members = members.join(best, KEY)
+    cards = materialize(cards.join(grown(best), KEY))
+    members = members.join(grown(best), KEY)
     fields = infer_fields(nodes, cards, members)
-    learned = cards.join(fields, KEY).select("page_id", "candidates", "fields")
+    learned = cards.join(grown(fields), KEY).select("page_id", "candidates", "fields")
     learned = _link_templates(learned, card_attributes(nodes, cards), details)
     dom = F.struct(
         F.struct(F.col("candidates")).alias("card"), F.col("fields"), F.col("template").alias("apply_url_template")
     )
-    rows = pages.select("page_id", "slug", "name", F.col("url").alias("start_url")).join(learned, "page_id")
+    rows = pages.select("page_id", "slug", "name", F.col("url").alias("start_url")).join(grown(learned), "page_id")
     parts = ["slug", "name", "start_url", "dom"]
     rows = rows.withColumn("dom", dom)
     if controls is not None:
-        rows = rows.join(learn_paging(nodes, pages, controls), "page_id", "left")
+        rows = rows.join(grown(learn_paging(nodes, pages, controls)), "page_id", "left")
         parts.append("pagination")
     if searches is not None:
-        rows = rows.join(learn_searches(searches), "page_id", "left")
+        rows = rows.join(grown(learn_searches(searches)), "page_id", "left")
         parts.append("search")
     rows = rows.select(F.to_json(F.struct(*parts)).alias("doc"))
     return materialize(with_defaults(rows.select(F.from_json("doc", SITE_SCHEMA).alias("s")).select("s.*")))
@@ -111,7 +111,7 @@ def _link_templates(learned: DataFrame, attributes: DataFrame, details: DataFram
         "template",
         F.struct(F.col("selectors"), F.col("attr"), F.lit(False).alias("closest")).alias("id_spec"),
     )
-    joined = learned.join(made, "page_id", "left")
+    joined = learned.join(grown(made), "page_id", "left")
     needs = ~F.map_contains_key("fields", "apply_url") & F.col("template").isNotNull()
     others = F.map_filter("fields", lambda k, _: k != "job_id")
     filled = F.map_concat(others, F.create_map(F.lit("job_id"), F.col("id_spec")))
@@ -127,6 +127,6 @@ def verify_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """The configs with ``onboarded_job_count`` set to the different rows that a run of them reads from the pages."""
     rows = extract_pages(pages, sites)
     number = pages.select("page_id", "page_no") if "page_no" in pages.columns else pages.select("page_id", F.lit(1).alias("page_no"))
-    seen = harvest_first_seen(rows.join(number, "page_id"))
+    seen = harvest_first_seen(rows.join(grown(number), "page_id"))
     counts = seen.groupBy("slug").agg(F.count("*").cast("int").alias("_n"))
-    return sites.join(counts, "slug", "left").withColumn("onboarded_job_count", F.coalesce("_n", F.lit(0))).drop("_n")
+    return sites.join(grown(counts), "slug", "left").withColumn("onboarded_job_count", F.coalesce("_n", F.lit(0))).drop("_n")

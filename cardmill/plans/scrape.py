@@ -20,8 +20,8 @@ from cardmill.operators.jobs import (
     rank_jobs,
     within_cutoff,
 )
-from cardmill.operators.selectors import control_specs, has_next, needed, next_control
-from cardmill.session import materialize
+from cardmill.operators.selectors import BROADCAST_SPECS, control_specs, has_next, needed, next_control
+from cardmill.session import grown, materialize
 
 JOB_ORDER = ["slug", "page_no", "pos"]
 
@@ -48,7 +48,7 @@ def listing_frames(pages: DataFrame, sites: DataFrame) -> DataFrame:
         return pages
     frames = pages.select("page_id", "slug", "view_id", "frame_no", "frame_url")
     frames = frames.join(sites.select("slug", "frame_url_contains"), "slug")
-    return pages.join(listing_frame(frames, F.col("frame_url_contains")).select("page_id"), "page_id", "left_semi")
+    return pages.join(grown(listing_frame(frames, F.col("frame_url_contains")).select("page_id")), "page_id", "left_semi")
 
 
 def rank(raw: DataFrame, order: list[str] = JOB_ORDER, min_score: int | None = fixed.MIN_SCORE) -> DataFrame:
@@ -65,6 +65,8 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
     status 'error', with the rows found so far.
     """
     sites = materialize(sites)
+    by_site = grown if sites.count() > BROADCAST_SPECS else lambda t: t  # tables with a row per site
+    sites = by_site(sites)
     pages = listing_frames(pages, sites)
     reason = block_reason(F.col("html"), F.col("status"))
     visits = pages.select("page_id", "slug", "page_no", reason.alias("block_reason")).join(
@@ -72,7 +74,7 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
     )
     visits = materialize(visits)
     blocked = visits.filter("page_no = 1 and block_reason is not null").select("slug").distinct()
-    open_pages = pages.join(blocked, "slug", "left_anti")
+    open_pages = pages.join(by_site(blocked), "slug", "left_anti")
     controls, fields = control_specs(sites), extraction_specs(sites)
     nodes = materialize(
         flatten_dom(
@@ -83,19 +85,19 @@ def scrape(pages: DataFrame, sites: DataFrame, run_id: str, max_pages: int | Non
         )
     )
 
-    jobs = extract_cards(nodes, sites, fields).join(visits.select("page_id", "page_no"), "page_id")
+    jobs = extract_cards(nodes, sites, fields).join(grown(visits.select("page_id", "page_no")), "page_id")
     first_seen = materialize(harvest_first_seen(jobs))
     p = F.col("pagination")
     reachable = p.type.isin("next", "page_number")
     steps = has_next(visits, next_control(nodes, controls), F.when(reachable, p.url_template))
     limit = F.lit(max_pages) if max_pages else p.max_pages
-    cutoff = pagination_cutoff(
+    cutoff = by_site(pagination_cutoff(
         steps, first_seen, max_pages=limit, kind=p.type, can_continue=F.col("can_continue")
-    )
+    ))
     names = sites.select("slug", F.col("name").alias("company"))
     raw = within_cutoff(first_seen, cutoff).drop("company").join(names, "slug")
     errors = nodes.filter("error is not null").groupBy("page_id").agg(F.min("error").alias("error"))
-    read = visits.join(cutoff.select("slug", "pages"), "slug").filter("page_no <= pages").join(errors, "page_id", "left")
+    read = visits.join(cutoff.select("slug", "pages"), "slug").filter("page_no <= pages").join(grown(errors), "page_id", "left")
     runs = site_run_status(
         read.select(F.lit(run_id).alias("run_id"), "slug", "name", "page_no", "block_reason", "error"),
         raw.select(F.lit(run_id).alias("run_id"), "slug"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cardmill.functions import elements, text, urls, verdicts
 from cardmill.operators import dom, evaluate, extract, frontier, health, infer, jobs, selectors, weights
 from cardmill.plans import onboard, rate, scrape
-from cardmill.session import ship_package, work_dir
+from cardmill.session import grown, ship_package, work_dir
 from cardmill.sources import capture, pages, sheets, sites
 from cardmill.streaming import harvest
 from cardmill.streaming.health import health_stream
@@ -759,7 +759,7 @@ def learn_and_run(spark, sf):
     })
     one = fetched.filter("page_no = 1")
     used = infer.prepare_nodes(one).filter("text = 'Further' and tag = 'a'")
-    used = used.join(one.select("page_id", F.concat("url", F.lit("?page=2")).alias("after_url")), "page_id").select("page_id", "node_id", "after_url")
+    used = used.join(grown(one.select("page_id", F.concat("url", F.lit("?page=2")).alias("after_url"))), "page_id").select("page_id", "node_id", "after_url")
     folder = work_dir(spark)
     sites.write_site_configs(onboard.learn_sites(one, controls=used), folder)
     run = scrape.scrape(fetched, sites.read_site_configs(spark, folder, lines=True), "r1")
