@@ -99,7 +99,10 @@ def scan_site_configs(spark: SparkSession, path: str, lines: bool = False) -> Da
 def read_site_configs(spark: SparkSession, path: str, names: Iterable[str] | None = None, lines: bool = False) -> DataFrame:
     """Valid site configs in file-name order with defaults filled; unusable documents are left out."""
     found = filter_sites(scan_site_configs(spark, path, lines), names)
-    return with_defaults(found.filter(F.col("reject_reason").isNull()).drop("_corrupt", "reject_reason")).orderBy("stem")
+    found = found.filter(F.col("reject_reason").isNull()).drop("_corrupt", "reject_reason")
+    if not lines:  # a sort reads its input twice; so it is a shuffle that it reads, and the many files are opened once
+        found = found.repartition("stem")
+    return with_defaults(found).orderBy("stem")
 
 
 def rejected_site_configs(spark: SparkSession, path: str) -> DataFrame:

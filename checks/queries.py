@@ -188,9 +188,13 @@ def supplier_sites(spark, sf) -> DataFrame:
 
 
 def written_sites(spark, sf) -> str:
-    """Write one JSON document per supplier, as a folder of site configs."""
+    """Write one JSON document per supplier, as a folder of site configs.
+
+    The rows are dealt out to all cores, as the sample table is one row group, and each task moves its files into the fresh
+    folder itself, where else the driver would move all, one after the other."""
     path = work_dir(spark)
-    supplier_sites(spark, sf).select("doc.*").write.option("maxRecordsPerFile", 1).json(path)
+    docs = supplier_sites(spark, sf).select("doc.*").repartition(spark.sparkContext.defaultParallelism)
+    docs.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
     return path
 
 

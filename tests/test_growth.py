@@ -7,6 +7,8 @@ from cardmill.operators import extract, infer, selectors
 from cardmill.operators.dom import flatten_dom
 from cardmill.plans import onboard, scrape
 from cardmill.session import grown, materialize
+from cardmill.sources import sites as site_source
+from checks import queries
 from pages_html import listing
 
 
@@ -56,3 +58,14 @@ def test_grown_is_a_side_of_one_join(spark):
     a = spark.range(5)
     assert "SortMergeJoin" in plan(a.join(grown(a), "id"))
     assert a.join(grown(a), "id").count() == 5
+
+
+def test_folder_of_configs_is_written_by_many_tasks_and_opened_once(spark):
+    folder = queries.written_sites(spark, "/root/testdata/sf0.001")
+    files = spark.read.json(folder, multiLine=True).select(F.col("_metadata.file_name").alias("f"))
+    parts = files.select(F.split("f", "-")[1].alias("part"), "f").agg(F.countDistinct("part"), F.countDistinct("f")).first()
+    assert parts[0] > 1 and parts[1] == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    read = site_source.read_site_configs(spark, folder)
+    assert "hashpartitioning(stem" in plan(read)  # what the sort samples and reads
+    stems = [r.stem for r in read.select("stem").collect()]
+    assert stems == sorted(stems) and len(stems) > 1
