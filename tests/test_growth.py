@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cardmill.operators import extract, infer, selectors
 from cardmill.operators.dom import flatten_dom
 from cardmill.plans import onboard, scrape
-from cardmill.session import grown, materialize
+from cardmill.session import BATCH_BYTES, grown, materialize, size_in_bytes
 from cardmill.sources import sites as site_source
 from checks import queries
 from pages_html import listing
@@ -69,3 +69,12 @@ def test_folder_of_configs_is_written_by_many_tasks_and_opened_once(spark):
     assert "hashpartitioning(stem" in plan(read)  # what the sort samples and reads
     stems = [r.stem for r in read.select("stem").collect()]
     assert stems == sorted(stems) and len(stems) > 1
+
+
+def test_pages_reach_the_parser_in_batches_of_bounded_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 100_000), F.lit("</p>")).alias("html"))
+    found = flatten_dom(pages.coalesce(1), ["tag"])
+    assert size_in_bytes(spark.conf.get(name)) <= BATCH_BYTES
+    assert found.count() == 300
