@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardmill.operators.jobs import harvest_first_seen
 from cardmill.plans.scrape import extract_pages
-from cardmill.session import materialize
+from cardmill.session import grown, materialize
 
 
 def first_seen_within(rows: DataFrame, keys: Sequence[str], event_time: str, delay: str = "1 day") -> DataFrame:
@@ -102,6 +102,6 @@ def page_extractor(sites: DataFrame, page_no: str = "page_no") -> Callable[[Data
 
     def extract(batch: DataFrame) -> DataFrame:
         rows = extract_pages(batch, sites)
-        return rows.join(batch.select("page_id", F.col(page_no).alias("page_no")), "page_id")
+        return rows.join(grown(batch.select("page_id", F.col(page_no).alias("page_no"))), "page_id")
 
     return extract

@@ -861,8 +861,9 @@ def stream_pages(spark, sf):
     ship_package(spark)
     source, folder = work_dir(spark), work_dir(spark)
     fetched = feed_pages(spark, sf)
-    fetched.repartition(2, "page_id").write.parquet(source)
-    stream = spark.readStream.schema(fetched.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    each = spark.sparkContext.defaultParallelism  # files of a batch, so that all cores write and read pages
+    fetched.repartition(2 * each, "page_id").write.parquet(source)
+    stream = spark.readStream.schema(fetched.schema).option("maxFilesPerTrigger", each).parquet(source)
     extract_rows = harvest.page_extractor(site_table(spark, FEED_SITE))
     run = harvest.harvest_stream(stream, f"{folder}/rows", f"{folder}/checkpoint", extract_rows, order=["page_id", "pos"])
     run.awaitTermination()

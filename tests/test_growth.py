@@ -8,6 +8,7 @@ from cardmill.operators.dom import flatten_dom
 from cardmill.plans import onboard, scrape
 from cardmill.session import BATCH_BYTES, grown, materialize, size_in_bytes
 from cardmill.sources import sites as site_source
+from cardmill.streaming import harvest
 from checks import queries
 from pages_html import listing
 
@@ -78,3 +79,10 @@ def test_pages_reach_the_parser_in_batches_of_bounded_bytes(spark):
     found = flatten_dom(pages.coalesce(1), ["tag"])
     assert size_in_bytes(spark.conf.get(name)) <= BATCH_BYTES
     assert found.count() == 300
+
+
+def test_arriving_pages_meet_their_rows_by_merge(spark, pages):
+    site = queries.FEED_SITE | {"slug": "s1", "dom": {"card": {"candidates": ["section.opening"]}, "fields": {"title": {"selectors": ["a"]}}}}
+    rows = harvest.page_extractor(queries.site_table(spark, site))(pages.withColumn("page_no", F.lit(1)))
+    joins = [x for x in plan(rows).splitlines() if "Join" in x]
+    assert "SortMergeJoin [page_id" in joins[0]
