@@ -39,6 +39,7 @@ SLICE_BITS = 16  # buckets of one slice of the sketch on its way to be added up
 WORD_BITS = 24  # flags of the words whose text is looked up
 SHARD_ROWS = 250_000  # suffixes of a shard
 SAMPLE = 1 << 18  # suffixes that the bounds of the shards are taken from, over all tasks
+SAMPLE_ROW = 1 << 11  # suffixes of the sample in one row: 80 KB, as a large value is copied several times on its way
 
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?"]] = True
@@ -99,7 +100,8 @@ def row_languages(rows: pa.RecordBatch) -> np.ndarray:
 
 
 def survey(docs: DataFrame, least: int) -> tuple[np.ndarray, list]:
-    """Flags of the buckets of pairs that may be frequent, and a sample of suffixes (weight, words)."""
+    """Flags of the buckets of pairs that may be frequent, and a sample of suffixes (weight, words). The words come to the driver
+    as bytes (10 MB in all): as lists of numbers they are objects there, in the JVM and in Python, ten times as large."""
     slices, size = 1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS
     a_task = max(4, SAMPLE // max(1, docs.rdd.getNumPartitions()))
 
@@ -131,11 +133,11 @@ def survey(docs: DataFrame, least: int) -> tuple[np.ndarray, list]:
             part = total[k * size : (k + 1) * size]
             if part.any():
                 yield pa.record_batch([[k], [part.tobytes()], [None], [None]], schema=schema)
-        if seen:
-            yield pa.record_batch([[-1], [None], [seen / kept.shape[1]], [kept.T.ravel().view(np.int64).tolist()]], schema=schema)
+        for a in range(0, kept.shape[1] if seen else 0, SAMPLE_ROW):
+            yield pa.record_batch([[-1], [None], [seen / kept.shape[1]], [kept[:, a : a + SAMPLE_ROW].T.tobytes()]], schema=schema)
 
-    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("weight", pa.float64()), ("words", pa.list_(pa.int64()))])
-    found = materialize(docs.mapInArrow(run, "slice int, counts binary, weight double, words array<long>"))
+    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("weight", pa.float64()), ("words", pa.binary())])
+    found = materialize(docs.mapInArrow(run, "slice int, counts binary, weight double, words binary"))
 
     def add_up(batches):
         totals: dict[int, np.ndarray] = {}
@@ -164,7 +166,7 @@ def cut_at_rare_pairs(flags: np.ndarray, languages: np.ndarray, hashes: np.ndarr
 
 def bounds(flags: np.ndarray, sample: list, shard_rows: int) -> np.ndarray:
     """First suffixes (language and words) of all shards but the first, in order."""
-    words = [np.array(r.words, np.int64).view(U64).reshape(-1, DEPTH + 1) for r in sample]
+    words = [np.frombuffer(r.words, U64).reshape(-1, DEPTH + 1) for r in sample]
     if not words:
         return np.zeros((0, DEPTH + 1), U64)
     weight = np.concatenate([np.full(len(w), r.weight) for w, r in zip(words, sample, strict=True)])
@@ -362,22 +364,36 @@ def candidates(frequent: DataFrame, contained: int) -> DataFrame:
     return found.select("language", "words", F.col("f").alias("a"), F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
 
 
-def word_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, written): the text of every wanted word (hash)."""
-    size = 1 << WORD_BITS
+def word_flags(wanted: DataFrame) -> np.ndarray:
+    """Flags of the buckets of all wanted words, eight to a byte. They come to the driver in one job, as 2048 rows of 1 KB at most."""
+    size, row = (1 << WORD_BITS) // 8, 1 << 10  # bytes
 
     def mark(batches):
-        flags = np.zeros(size, bool)
+        flags = np.zeros(1 << WORD_BITS, bool)
         for batch in batches:
             flags[(batch.column(0).to_numpy().view(U64) >> U64(64 - WORD_BITS)).astype(np.int64)] = True
-        yield pa.record_batch([pa.array(np.flatnonzero(flags))], names=["bucket"])
-
-    buckets = wanted.mapInArrow(mark, "bucket long").distinct()
-    packed = buckets.groupBy((F.col("bucket") / 4096).cast("int").alias("part")).agg(F.collect_set("bucket").alias("buckets"))
-    flags = np.zeros(size, bool)  # 2 MB of flags, whatever the number of words
-    for r in packed.toLocalIterator():
-        flags[r.buckets] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+        packed = np.packbits(flags).reshape(-1, row)
+        for k in np.flatnonzero(packed.any(axis=1)):
+            yield pa.record_batch([pa.array([k], pa.int32()), [packed[k].tobytes()]], names=["part", "flags"])
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, flags in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held[k] = held.get(k, np.uint8(0)) | np.frombuffer(flags.as_buffer(), np.uint8)
+        for k, flags in held.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), [flags.tobytes()]], names=["part", "flags"])
+
+    marked = wanted.mapInArrow(mark, "part int, flags binary").repartition(32, "part")
+    flags = np.zeros(size, np.uint8)
+    for r in marked.mapInArrow(merge, "part int, flags binary").collect():
+        flags[r.part * row : (r.part + 1) * row] = np.frombuffer(r.flags, np.uint8)
+    return flags
+
+
+def word_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(word, written): the text of every wanted word (hash)."""
+    shared = docs.sparkSession.sparkContext.broadcast(word_flags(wanted))
 
     def function(rows, data, offsets):
         starts, ends, _ = word_spans(data, offsets, GAP)

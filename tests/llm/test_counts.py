@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cardmill.llm import bit_slices, phrases, prefix_trie
 
@@ -60,6 +63,31 @@ def test_collocations_without_rows(spark, no_docs):
     assert phrases.collocations(spark.createDataFrame([("en", None), ("en", "")], "lang string, text string")).collect() == []
 
 
+def test_sample_comes_to_the_driver_as_bytes(spark):
+    """Lists of numbers would be objects there, 40 bytes and more for each of the 8."""
+    docs = spark.range(200, numPartitions=4).selectExpr("id % 2 AS language", "array_join(transform(sequence(1, 1000), x -> concat('w', (x * id) % 997)), ' ') AS text")
+    tracemalloc.start()
+    flags, sample = phrases.survey(docs, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    suffix = 8 * (phrases.DEPTH + 1)  # bytes
+    assert peak < len(flags) + 2 * 200_000 * suffix + 4_000_000
+    assert sum(len(r.words) for r in sample) == 200_000 * suffix and all(r.weight == 1 for r in sample)
+    assert max(len(r.words) for r in sample) <= phrases.SAMPLE_ROW * suffix
+    edges = phrases.bounds(flags, sample, 500)
+    assert len(edges) > 20 and {int(x) for x in edges[:, 0]} <= {0, 1}
+
+
+def test_word_flags_of_many_words_come_packed(spark, monkeypatch):
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)  # a job for every partition
+    wanted = spark.range(30_000, numPartitions=7).select(F.xxhash64("id").alias("word"))
+    flags = np.unpackbits(phrases.word_flags(wanted))
+    words = np.array([r.word for r in wanted.collect()], np.int64).view(np.uint64)
+    assert len(flags) == 1 << phrases.WORD_BITS
+    assert np.array_equal(np.flatnonzero(flags), np.unique(words >> np.uint64(64 - phrases.WORD_BITS)).astype(np.int64))
+    assert not phrases.word_flags(wanted.where("word is null")).any()
+
+
 def test_three_way_counts_prefixes():
     rng = np.random.default_rng(1)
     for least in (1, 3, 10):
